@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,17 @@ def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
 def text_bytes(value: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return value.encode("utf-8") if value else b""
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in order, a list for about each `size` bytes, so that one very long text needs little memory."""
+    at = 0
+    while at < len(data):
+        end = len(data)
+        if end - at > size and (cut := _SPACE.search(data, at + size)):
+            end = cut.start()
+        yield data[at:end].split()
+        at = end + 1
