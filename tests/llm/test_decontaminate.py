@@ -1,0 +1,109 @@
+import itertools
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from rowmesh.llm import decontaminate as d
+
+
+def plain_tokens(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower)
+
+
+def plain_overlaps(docs, items):
+    """{(doc, item): longest overlap} by trying every alignment and every stretch."""
+    found = {}
+    for i, a in docs:
+        x = plain_tokens(a)
+        for j, b in items:
+            y = plain_tokens(b)
+            for shift in range(-len(y), len(x)):
+                lo, hi = max(0, shift), min(len(x), shift + len(y))
+                equal = [x[k] == y[k - shift] for k in range(lo, hi)]
+                if len(y) < d.MIN_OVERLAP:
+                    if len(y) >= d.MIN_ITEM and len(equal) == len(y) and all(equal):
+                        found[i, j] = max(found.get((i, j), 0), len(y))
+                    continue
+                for s, e in itertools.combinations(range(len(equal) + 1), 2):
+                    if e - s >= d.MIN_OVERLAP and equal[s] and equal[e - 1] and sum(equal[s:e]) >= 0.8 * (e - s):
+                        found[i, j] = max(found.get((i, j), 0), e - s)
+    return found
+
+
+def test_masks_hit_every_12_tokens_with_two_substitutions():
+    for k in range(3):
+        for wrong in itertools.combinations(range(12), k):
+            assert any(not {m + at for m in mask} & set(wrong) for mask in d.MASKS for at in range(12 - mask[-1]))
+
+
+def test_longest():
+    rng = random.Random(1)
+    for _ in range(300):
+        equal = np.array([rng.random() < 0.75 for _ in range(rng.randrange(1, 25))])
+        s, e = d.longest(equal)
+        best = max((y - x for x, y in itertools.combinations(range(len(equal) + 1), 2) if equal[x] and equal[y - 1] and equal[x:y].sum() >= 0.8 * (y - x)), default=0)
+        assert e - s == best and (not best or equal[s:e].mean() >= 0.8)
+
+
+def test_tokens_over_slices(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["Ab", "é9", "x-y", "...", "long" * 9]) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, ""]
+    whole, _, _ = d.tokens(pa.array(texts))
+    assert [len(plain_tokens(t)) for t in texts] == np.bincount(whole.text, minlength=len(texts)).tolist()
+    monkeypatch.setattr(d, "_SLICE", 700)
+    monkeypatch.setattr(d, "_tables", [])
+    cut, _, _ = d.tokens(pa.array(texts))
+    assert (cut.hashes == whole.hashes).all() and (cut.text == whole.text).all() and (cut.ends == whole.ends).all()
+    words = {}
+    for text, h in zip([w for t in texts for w in plain_tokens(t)], whole.hashes.tolist()):
+        assert words.setdefault(text, h) == h
+    assert len(set(words.values())) == len(words)
+
+
+def planted():
+    rng = random.Random(4)
+    vocabulary = [f"tok{i}" for i in range(60)] + ["È", "é"]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([15, 30, 13, 12, 8, 6, 5, 40])]
+    items += [(90, items[0][1]), (91, None), (92, "")]
+    docs = []
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(5, 40))]
+        if k % 2:
+            passage = rng.choice(items[:8])[1].split()
+            passage = passage[rng.randrange(3) :]
+            for _ in range(rng.randrange(4)):
+                passage[rng.randrange(len(passage))] = rng.choice(vocabulary)
+            at = rng.randrange(len(words))
+            words[at:at] = [w.upper() + rng.choice(["", ",", "!!"]) for w in passage] if k % 3 else passage
+        docs.append((k, "\n".join(words) if k % 5 else " ".join(words)))
+    return docs + [(60, None), (61, ""), (1, docs[1][1])], items
+
+
+def test_overlaps_against_every_alignment(spark):
+    docs, items = planted()
+    expected = plain_overlaps(docs, items[:8])
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 300):
+        rows = d.benchmark_overlaps(df, bench, size).collect()
+        assert {(r.doc_id, r.item_id): r.overlap_tokens for r in rows} == {k: v for k, v in expected.items()}
+        text = dict(docs)
+        for r in rows:
+            part = plain_tokens(text[r.doc_id][r.doc_start : r.doc_end])
+            item = plain_tokens(dict(items)[r.item_id])[r.item_token :][: len(part)]
+            assert len(part) == r.overlap_tokens and sum(a == b for a, b in zip(part, item)) == r.equal_tokens
+        kept = d.drop_contaminated(df, bench, size)
+        assert kept.columns == df.columns
+        assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in expected}
+
+
+def test_empty_tables(spark):
+    docs, items = planted()
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert d.benchmark_overlaps(docs.limit(0), items).count() == 0
+    assert d.benchmark_overlaps(docs, items.limit(0)).count() == 0
+    assert d.drop_contaminated(docs, items.limit(0)).count() == docs.count()
