@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, quality, sharding, simhash
+from . import decontaminate, pii, quality, sharding, simhash, subwords
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.encoded_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_quality": op3_quality,
         "op5_simhash": op5_simhash,
+        "op7_subwords": op7_subwords,
         "op10_decontamination": op10_decontamination,
     }
 
