@@ -1,0 +1,81 @@
+import html
+import random
+import re
+
+import duckdb
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from rowmesh.llm.html_text import extracted, main_text
+
+P = "It was a long day, with rain, wind and a great deal of talk about the harvest, the roads and the price of salt."
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>T &amp; T</title><style>p{{}}</style><script>var a='<p>no</p>';</script></head><body>{body}</body></html>"
+
+
+def test_pages_of_the_corpus():
+    """Against the articles cut out by hand from the known frame of these pages."""
+    for number, source in duckdb.sql("select page_id, html from '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        inner = source.split("<article>", 1)[1].split("</article>")[0]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", inner)]
+        assert main_text(source) == "\n".join(x for x in parts if x), number
+
+
+def test_frame_goes():
+    frame = (
+        "<header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='cookie-notice'><p>We use cookies, many, many.</p></div>"
+        "<div id=content><h2>Title</h2><p>{p}</p><div class=ad><p>{p}</p></div><p>Short.</p><ul><li>one<li>two</ul><p>{p}</p><form><p>{p}</p></form></div>"
+        "<aside><p>{p}</p></aside><section id='comments'><p>{p}</p><p>{p}</p></section><div class='side-bar'><p><a href=x>{p}</a></p></div><footer><p>{p}</p></footer>"
+    ).format(p=P)
+    assert main_text(page(frame)) == "\n".join(["Title", P, "Short.", "one", "two", P])
+
+
+def test_article_beside_longer_text_and_header_inside():
+    got = main_text(page(f"<div class=related><p>{P}</p><p>{P}</p></div><article><header><h1>Hi</h1></header><div><p>{P}</p></div><p>End</p><footer>by me</footer></article>"))
+    assert got == "\n".join(["Hi", P, "End"])
+
+
+def test_link_lists_lose():
+    links = "".join(f"<li><a href='/{i}'>{P}</a></li>" for i in range(20))
+    assert main_text(page(f"<div><ul>{links}</ul></div><div><p>{P}</p><p>{P} Again.</p></div>")) == f"{P}\n{P} Again."
+
+
+def test_siblings_of_the_best():
+    assert main_text(page(f"<div><h2>One</h2><div><p>{P}</p><p>{P}</p></div><h2>Two</h2><div><p>{P}</p><p>{P}</p></div></div>")) == "\n".join(["One", P, P, "Two", P, P])
+
+
+def test_text_is_whole_and_decoded():
+    got = main_text(page("<article><p>a&amp;b &lt;i&gt; &#233;&nbsp; x\n\t y<br>z</p><p><b>open<br><p>next &am<pre>  q  w </pre>1 < 2 & 3</article>"))
+    assert got == "a&b <i> é x y z\nopen\nnext &am\nq w\n1 < 2 & 3"
+
+
+def test_odd_pages():
+    assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == main_text("<script>x") == ""
+    assert main_text("just text") == "just text"
+    assert main_text("<article><p>cut off in a ta") == "cut off in a ta"
+    assert main_text("<article><p>x<!-- no <p>end") == "x"
+    assert main_text("</div></p><p>x</p></html>y") in ("x\ny", "x", "y")
+
+
+def test_large_odd_pages_take_linear_time():
+    for unit in ("<", "<a ", '<a "', "<div>", "<p>x", "</p>", "<!--", "&", "<b><p>", "<li><ul>", "<td>"):
+        main_text(unit * 30_000)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "<tr>", "</table>", "<b>", "</b>", "word, ", "<article>", "</article>", "<a href=x>", "</a>", "<h1>", "<br>", "<nav>", "</nav>", "<", "&amp;"])))
+def test_any_tags_give_a_text(parts):
+    text = main_text("".join(parts))
+    assert all(line == " ".join(line.split()) and line for line in text.split("\n")) or text == ""
+
+
+def test_rows(spark):
+    rng = random.Random(1)
+    rows = [(i, f"u{i}" if i % 2 else None, page(f"<article><p>{P * rng.randrange(3)}é</p></article>")) for i in range(8)] + [(None, None, None), (1, "u", ""), (2, "u2", "<article>" + "<p>x</p>" * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = extracted(df).collect()
+    assert sorted((r.page_id or -1, r.url or "", r.text) for r in got) == sorted((i or -1, u or "", main_text(h)) for i, u, h in rows)
+    assert all(r.n_chars == len(r.text) for r in got) and extracted(df.limit(0)).count() == 0
