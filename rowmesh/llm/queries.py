@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, pii, quality, sharding, simhash, subwords, urls
+from . import decontaminate, html_text, pii, quality, sharding, simhash, subwords, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.encoded_digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -53,10 +57,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_html": op6_html,
         "op7_subwords": op7_subwords,
+        "op8_warc": op8_warc,
         "op9_urls": op9_urls,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": urls.oracle()}
+    return {"op8_warc": warc.oracle(), "op9_urls": urls.oracle()}
