@@ -1,9 +1,296 @@
-"""The registered queries of the matrix operators and their SQL."""
+"""The registered queries of the matrix and benchmark operators, and DuckDB SQL for each."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from rowmesh.functions.storage import new_folder
+from rowmesh.operators import layout, runs, spmv
+from rowmesh.sources import csr_tables, matrix_market, run_files
+
+from . import tables as t
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+L = "SELECT l_orderkey AS i, l_partkey AS j, l_quantity AS v FROM lineitem"
+PTR = f"counts AS (SELECT o_orderkey AS i, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), ptrs AS (SELECT i, n, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ptr FROM counts)"
+Y = "SELECT o_orderkey AS i, coalesce(sum(l_quantity * p_size), 0.0)::DOUBLE AS y FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL"
+MEAN = "sum(value::DECIMAL(28, 6))::DOUBLE / count(*)"
+STATS = f"stats AS (SELECT user_id AS matrix, event_type AS variant, count(*) AS n, {MEAN} AS mean, list_sort(list(value))[(9 * count(*)) // 10 + 1] AS p90, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY ALL), base AS (SELECT matrix, mean AS base_mean FROM stats WHERE variant = 'view'), gains AS (SELECT s.*, base_mean, base_mean / mean AS speedup FROM stats s JOIN base USING (matrix) WHERE variant <> 'view')"
+ORDINAL = "CASE variant " + " ".join(f"WHEN '{v}' THEN {k + 1}" for k, v in enumerate(t.VARIANTS)) + " END"
+THREADS = "CASE variant " + " ".join(f"WHEN '{v}' THEN {n}" for v, (_, n) in t.VARIANTS.items()) + " END"
+CHUNKS = "CASE event_type " + " ".join(f"WHEN '{v}' THEN {c}" for v, (c, _) in t.VARIANTS.items()) + " END"
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# Sources and sinks
+
+
+@query(L)
+def mm_scan(spark, sf):
+    """L as coordinate text, read back."""
+    path = new_folder(spark, "mm-l")
+    matrix_market.mm_write(t.matrix_l(spark, sf), f"{path}/L", t.rows_l(spark, sf).count(), t.columns_l(spark, sf).count())
+    return matrix_market.mm_scan(spark, path, "folder").select("i", "j", "v")
+
+
+@query(
+    """SELECT 'S' AS matrix, 'real' AS field, 'symmetric' AS symmetry, (SELECT count(*) FROM part) AS nrows, (SELECT count(*) FROM part) AS ncols, count(*) AS nnz_declared, count(*) AS nnz_stored,
+    (count(*) + count(*) FILTER (l_partkey <> l_suppkey))::BIGINT AS nnz_expanded FROM lineitem"""
+)
+def mm_catalog(spark, sf):
+    path, n = new_folder(spark, "mm-s"), t.columns_l(spark, sf).count()
+    matrix_market.mm_write(t.matrix_s(spark, sf), f"{path}/S", n, n, "symmetric")
+    return matrix_market.mm_catalog(spark, path, "folder")
+
+
+@query(
+    """SELECT 'L' AS matrix, CASE l_quantity WHEN 1 THEN 'bad entry' WHEN 2 THEN 'index out of range' ELSE 'comment after size line' END AS reason,
+    CASE l_quantity WHEN 1 THEN (l_orderkey + 1) || ' ' || (l_partkey + 1) || ' x' WHEN 2 THEN (l_orderkey + 1) || ' 0 2.0' ELSE '% ' || l_orderkey END AS line
+    FROM lineitem WHERE l_quantity IN (1, 2, 3)"""
+)
+def mm_rejects(spark, sf):
+    """L with the lines of the least quantities spoilt in three ways."""
+    path = new_folder(spark, "mm-bad")
+    row, column, v = (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), F.col("v")
+    line = (
+        F.when(v == 1, F.concat_ws(" ", row, column, F.lit("x")))
+        .when(v == 2, F.concat_ws(" ", row, F.lit("0 2.0")))
+        .when(v == 3, F.concat(F.lit("% "), F.col("i").cast("string")))
+        .otherwise(F.concat_ws(" ", row, column, v.cast("string")))
+    )
+    matrix_market.mm_write(t.matrix_l(spark, sf).withColumn("line", line), f"{path}/L", t.rows_l(spark, sf).count(), t.columns_l(spark, sf).count())
+    return matrix_market.mm_rejects(spark, path, "folder")
+
+
+def _chunk_runs(spark, sf):
+    """E as runs of the chunk layout: the baseline in order of value, as such files hold it, the others in order of event."""
+    order = F.when(F.col("variant") == t.BASELINE, F.col("ms")).otherwise(F.lit(0.0))
+    number = F.row_number().over(Window.partitionBy("matrix", "variant").orderBy(order, "event_id"))
+    return t.samples_e(spark, sf).select("matrix", F.lit("static").alias("schedule"), F.lit(4).alias("threads"), t.by_variant(0).alias("chunk"), number.alias("run"), "ms")
+
+
+@query(
+    f"""SELECT user_id::VARCHAR AS matrix, {CHUNKS} AS chunk, 'static' AS schedule, 4 AS threads, CASE WHEN event_type = 'view' THEN 'sequential' ELSE 'chunk' END AS section,
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY CASE WHEN event_type = 'view' THEN value ELSE 0.0 END, event_id)::INT AS run, value AS ms FROM events"""
+)
+def runs_scan(spark, sf):
+    """E rendered to the chunk layout, read back."""
+    path = new_folder(spark, "runs-text")
+    run_files.write_chunk_files(_chunk_runs(spark, sf), path)
+    return run_files.runs_scan(spark, path).select("matrix", "chunk", "schedule", "threads", "section", F.col("run").cast("int").alias("run"), "ms")
+
+
+@query(f"SELECT user_id AS matrix, event_type AS variant, event_id, value AS ms, event_type AS schedule, {CHUNKS} AS threads FROM events WHERE event_type <> 'view'")
+def runs_write(spark, sf):
+    """E written by schedule and threads, read back."""
+    path = new_folder(spark, "runs")
+    samples = t.samples_e(spark, sf).where(F.col("variant") != t.BASELINE)
+    run_files.runs_write(samples.select("matrix", "variant", "event_id", "ms", F.col("variant").alias("schedule"), t.by_variant(0).alias("threads")), path)
+    return spark.read.parquet(path).select("matrix", "variant", "event_id", "ms", "schedule", "threads")
+
+
+@query(f"WITH l AS ({L}) SELECT (row_number() OVER (ORDER BY i, j, v) - 1)::BIGINT AS pos, i, j, v FROM l")
+def csr_write(spark, sf):
+    """L's slots written as a compressed matrix, read back."""
+    path = new_folder(spark, "csr")
+    rows = t.rows_l(spark, sf)
+    csr_tables.csr_write(t.matrix_l(spark, sf), rows, rows.groupBy("matrix").agg(F.count(F.lit(1)).alias("nrows")), path)
+    return csr_tables.csr_read(spark, path)[2].select("pos", "i", "j", "v")
+
+
+# Layout
+
+
+@query(
+    """WITH s AS (SELECT greatest(l_partkey, l_suppkey) AS i, least(l_partkey, l_suppkey) AS j, l_quantity AS v FROM lineitem)
+    SELECT i, j, v FROM s UNION ALL SELECT j, i, v FROM s WHERE i <> j"""
+)
+def sym_expand(spark, sf):
+    return layout.sym_expand(t.matrix_s(spark, sf), F.lit("symmetric")).select("i", "j", "v")
+
+
+@query(f"WITH l AS ({L}) SELECT i, j, v, row_number() OVER (ORDER BY i, j, v) AS place FROM l")
+def coo_sort(spark, sf):
+    """L in order, with the place of each entry."""
+    return layout.coo_sort(layout.csr_slots(t.matrix_l(spark, sf)).select("matrix", "i", "j", "v", (F.col("pos") + 1).alias("place"))).select("i", "j", "v", "place")
+
+
+@query(f"WITH {PTR} SELECT i, n FROM counts")
+def row_counts(spark, sf):
+    return layout.row_counts(t.matrix_l(spark, sf), t.rows_l(spark, sf)).select("i", "n")
+
+
+@query(f"WITH {PTR} SELECT i, n, ptr FROM ptrs")
+def row_ptr(spark, sf):
+    return layout.row_ptr(t.matrix_l(spark, sf), t.rows_l(spark, sf)).select("i", "n", "ptr")
+
+
+@query(_SQL["csr_write"])
+def csr_slots(spark, sf):
+    return layout.csr_slots(t.matrix_l(spark, sf)).select("pos", "i", "j", "v")
+
+
+@query(
+    f"""WITH l AS ({L}), placed AS (SELECT *, (row_number() OVER (PARTITION BY i ORDER BY j, v) - 1) // 4 AS seg FROM l)
+    SELECT i, seg::INT AS seg, count(*)::INT AS n, string_agg(j::VARCHAR, ',' ORDER BY j, v) AS js FROM placed GROUP BY i, seg"""
+)
+def csr_pack(spark, sf):
+    """L packed in segments of four, so that rows have several."""
+    packed = layout.csr_pack(t.matrix_l(spark, sf), 4)
+    return packed.select("i", "seg", F.size("cells").alias("n"), F.array_join(F.transform("cells", lambda c: c["j"].cast("string")), ",").alias("js"))
+
+
+@query(L)
+def csr_unpack(spark, sf):
+    return layout.csr_unpack(layout.csr_pack(t.matrix_l(spark, sf))).select("i", "j", "v")
+
+
+# Products
+
+
+@query("SELECT p_partkey AS j, ((p_partkey * 7919) % 1000) / 100 AS x FROM part")
+def dense_vector(spark, sf):
+    return spmv.column_vector(t.columns_l(spark, sf)).select("j", "x")
+
+
+def _l(spark, sf):
+    return t.matrix_l(spark, sf), t.columns_l(spark, sf), t.rows_l(spark, sf)
+
+
+@query(Y)
+def spmv_(spark, sf):
+    return spmv.spmv(*_l(spark, sf)).select("i", "y")
+
+
+_QUERIES["spmv"], _SQL["spmv"] = _QUERIES.pop("spmv_"), _SQL.pop("spmv_")
+
+
+@query(Y)
+def spmv_packed(spark, sf):
+    entries, x, rows = _l(spark, sf)
+    return spmv.spmv_packed(layout.csr_pack(entries), x, rows).select("i", "y")
+
+
+@query(Y)
+def spmv_parallel(spark, sf):
+    return spmv.spmv_parallel(*_l(spark, sf), 8).select("i", "y")
+
+
+@query(Y)
+def spmv_row_blocks(spark, sf):
+    return spmv.spmv_row_blocks(*_l(spark, sf), 50, 16).select("i", "y")
+
+
+@query(
+    """WITH loads AS (SELECT (l_orderkey // 50) % 16 AS w, count(*) AS n_entries, min(l_orderkey) AS first_row, max(l_orderkey) AS last_row FROM lineitem GROUP BY ALL)
+    SELECT w::INT AS w, n_entries, first_row, last_row, (max(n_entries) OVER () * 16)::DOUBLE / (sum(n_entries) OVER ())::DOUBLE AS imbalance FROM loads"""
+)
+def row_block_load(spark, sf):
+    return spmv.row_block_load(t.matrix_l(spark, sf), 50, 16).select("w", "n_entries", "first_row", "last_row", "imbalance")
+
+
+@query(Y)
+def spmv_balanced(spark, sf):
+    return spmv.spmv_balanced(*_l(spark, sf), 16).select("i", "y")
+
+
+@query(f"WITH {PTR} SELECT least(15, ptr * 16 // (SELECT count(*) FROM lineitem))::INT AS p, count(*) AS n_rows, sum(n)::BIGINT AS n_entries FROM ptrs GROUP BY ALL")
+def balanced_groups(spark, sf):
+    """How many rows and entries each balanced group has."""
+    groups = spmv.balanced_groups(t.matrix_l(spark, sf), t.rows_l(spark, sf), 16)
+    return groups.groupBy("p").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_entries"))
+
+
+# Benchmark runs
+
+
+@query(f"WITH {STATS} SELECT matrix, variant, n, p90 FROM stats")
+def p90_nearest_rank(spark, sf):
+    return runs.p90_nearest_rank(t.samples_e(spark, sf), ["matrix", "variant"])
+
+
+@query(f"WITH {STATS} SELECT matrix, variant, n, mean FROM stats")
+def run_mean(spark, sf):
+    return runs.run_mean(t.samples_e(spark, sf), ["matrix", "variant"])
+
+
+@query(f"WITH {STATS} SELECT matrix, variant, mean, base_mean, speedup FROM gains")
+def speedup(spark, sf):
+    return runs.speedup(t.samples_e(spark, sf), t.BASELINE).select("matrix", "variant", "mean", "base_mean", "speedup")
+
+
+@query(f"WITH {STATS} SELECT matrix, variant, mean, speedup FROM gains QUALIFY row_number() OVER (PARTITION BY matrix ORDER BY mean, {ORDINAL}) = 1")
+def best_config(spark, sf):
+    return runs.best_config(t.samples_e(spark, sf), t.BASELINE, t.ordinal()).select("matrix", "variant", "mean", "speedup")
+
+
+@query(
+    f"""WITH {STATS} SELECT matrix, variant, 0 AS ordinal, n, mean, p90, 1.0::DOUBLE AS speedup, false AS best FROM stats WHERE variant = 'view' UNION ALL
+    SELECT matrix, variant, {ORDINAL} AS ordinal, n, mean, p90, speedup, row_number() OVER (PARTITION BY matrix ORDER BY mean, {ORDINAL}) = 1 AS best FROM gains"""
+)
+def summary_report(spark, sf):
+    return runs.summary_report(t.samples_e(spark, sf), t.BASELINE, t.ordinal())
+
+
+@query(
+    """WITH days AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day),
+    kinds AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS variant), users AS (SELECT DISTINCT user_id AS matrix FROM events)
+    SELECT matrix, variant, day::VARCHAR AS day FROM users, kinds, days EXCEPT SELECT user_id, event_type, ts::DATE::VARCHAR FROM events"""
+)
+def sweep_coverage(spark, sf):
+    """Users, kinds of events and days without an event."""
+    seen = t.samples_e(spark, sf).withColumn("day", F.to_date("ts"))
+    first, last = seen.agg(F.min("day"), F.max("day")).first()
+    grid = {"variant": F.array(*map(F.lit, sorted([*t.VARIANTS, t.BASELINE]))), "day": F.sequence(F.lit(first), F.lit(last))}
+    return runs.sweep_coverage(seen, grid, seen).select("matrix", "variant", F.col("day").cast("string").alias("day"))
+
+
+@query(
+    f"""WITH {PTR}, l AS ({L}), sums AS (SELECT count(*) AS nrows, sum(n)::BIGINT AS nnz, min(n) AS min_row, max(n) AS max_row, (count(*) FILTER (n = 0))::BIGINT AS empty_rows, sum(n * n)::BIGINT AS squares FROM counts)
+    SELECT nrows, (SELECT count(*) FROM part) AS ncols, nnz, nnz::DOUBLE / nrows / (SELECT count(*) FROM part) AS density, min_row, max_row, nnz::DOUBLE / nrows AS mean_row,
+    sqrt(squares::DOUBLE / nrows - (nnz::DOUBLE / nrows) * (nnz::DOUBLE / nrows)) AS stddev_row, empty_rows, (SELECT max(abs(i - j)) FROM l) AS bandwidth, (SELECT count(*) FROM l WHERE i = j) AS diagonal,
+    (SELECT count(*) FROM l WHERE (j, i) IN (SELECT (i, j) FROM l))::DOUBLE / nnz AS mirrored FROM sums"""
+)
+def sparsity_profile(spark, sf):
+    entries, x, rows = _l(spark, sf)
+    ncols = x.groupBy("matrix").agg(F.count(F.lit(1)).alias("ncols"))
+    return runs.sparsity_profile(entries, layout.row_counts(entries, rows), ncols).drop("matrix")
+
+
+@query(
+    f"""WITH rolled AS (SELECT user_id AS matrix, event_type AS variant, grouping(user_id, event_type) AS level, count(*) AS n, {MEAN} AS mean, min(value) AS least FROM events GROUP BY ROLLUP (user_id, event_type))
+    SELECT matrix, variant, level::BIGINT AS level, n, mean, least, CASE WHEN level = 0 THEN rank() OVER (PARTITION BY level, matrix ORDER BY mean) END::INT AS place FROM rolled"""
+)
+def schedule_eval(spark, sf):
+    return runs.schedule_eval(t.samples_e(spark, sf), ["matrix", "variant"])
+
+
+@query(
+    f"""WITH {STATS}, threaded AS (SELECT *, {THREADS} AS threads FROM gains)
+    SELECT matrix, variant, threads, speedup, speedup / threads AS efficiency, speedup < 1 AS slower, p90 > 2 * median AS tail_heavy, mean > p90 AS outlier,
+    coalesce(speedup <= lag(speedup) OVER (PARTITION BY matrix ORDER BY threads, variant), false) AS flat, 2 * n / mean AS throughput FROM threaded"""
+)
+def bottlenecks(spark, sf):
+    return runs.bottlenecks(t.samples_e(spark, sf), t.BASELINE, t.by_variant(1), F.col("n"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
