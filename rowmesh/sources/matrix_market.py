@@ -97,8 +97,9 @@ def mm_rejects(spark: SparkSession, path: str, by: str = "file") -> DataFrame:
     headers, body = _parsed(spark, path, by)
     sizes = headers.where("size_line is not null and (nrows is null or ncols is null or nnz_declared is null)").select("matrix", F.lit(BAD_SIZE).alias("reason"), F.col("size_line").alias("line"))
     lines = body.where("reason is not null").where(F.col("reason") != BAD_SIZE).select("matrix", "reason", "line")
-    # The listing of the files, without reading them, also shows empty ones. Paths are compared by their ends, as schemes are written differently.
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_replace("path", r"^\w+:/+", "/").alias("file"))
+    # The driver's listing, as scans leave out files of no length. Paths are compared without their schemes, which are written differently.
+    listed = spark.read.option("recursiveFileLookup", True).text(path).inputFiles()
+    files = spark.createDataFrame([(f,) for f in listed], "file string").select(F.regexp_replace("file", r"^\w+:/+", "/").alias("file"))
     sized = headers.where("size_line is not null").select(F.regexp_replace("file", r"^\w+:/+", "/").alias("file"))
     missing = files.join(sized, "file", "left_anti").select(_name(F.col("file"), by).alias("matrix"), F.lit(NO_SIZE).alias("reason"), F.lit(None).cast("string").alias("line"))
     return lines.unionByName(sizes).unionByName(missing)
