@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
@@ -28,12 +29,12 @@ from .common import bounded_batches
 
 #: Share of candidate merges that are skipped, and among how many segmentations a document's id chooses.
 DROPOUT, VARIANTS = 0.1, 4
-#: Segmentations that a worker remembers before it forgets all and starts again, and the longest stretch worth remembering.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
+#: Segmentations that a worker remembers at most (about 200 bytes each), and the longest stretch worth remembering.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
 
 _BLANK = "▁"
 _BLANK_BYTES = _BLANK.encode()
-_MASK = (1 << 64) - 1
+_LAST = np.int32(2**31 - 1)
 
 
 class Vocabulary:
@@ -55,12 +56,39 @@ class Vocabulary:
             self.bytes[i] = piece.encode()
         for b, i in enumerate(self.bytes_ids):
             self.bytes[i] = bytes([b])
+        self._tables()
         # No piece goes on across a blank, nor across a line end where none holds one: what lies between is encoded by itself.
         if any(" " in piece.lstrip(" ") for piece in self.ids):
             raise ValueError("the vocabulary has pieces with blanks inside")
         lines = "" if any("\n" in piece for piece in self.ids) else "\n"
         self.stretch = re.compile(rf" +[^ {lines}]*|[^ {lines}]+" + ("|\n" if lines else ""))
 
+    def _tables(self) -> None:
+        """Symbols as numbers: pieces, then characters of pieces that are none themselves; what each two make, and in which order."""
+        pieces = list(self.ids)
+        symbols = {x: k for k, x in enumerate(dict.fromkeys([*pieces, *(c for x in pieces for c in x)]))}
+        self.symbol_id = np.full(len(symbols), -1, np.int32)
+        self.symbol_id[: len(pieces)] = list(self.ids.values())
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for x, k in symbols.items():
+            if len(x) == 1:
+                self.of_char[ord(x)] = k
+        made = {}
+        for x in pieces:
+            for cut in range(1, len(x)):
+                a, b = symbols.get(x[:cut]), symbols.get(x[cut:])
+                if a is not None and b is not None:
+                    made[a << 32 | b] = (symbols[x], self.order[x])
+        self.pairs = np.array(sorted(made), np.int64)
+        self.made, self.made_order = np.array([made[k] for k in self.pairs.tolist()], np.int32).T.copy()
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What symbols a and b make, and its place in the order of merges (_LAST where they make nothing)."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        fits = (self.pairs[at] == key) & (b >= 0)
+        return np.where(fits, self.made[at], -1), np.where(fits, self.made_order[at], _LAST)
+
     def fallback(self, text: str) -> list[int]:
         return [self.bytes_ids[b] for b in text.encode()]
 
@@ -70,24 +98,40 @@ def vocabulary(folder: str = vocabularies.FOLDER, name: str = vocabularies.PIECE
     return Vocabulary(os.path.join(folder, name))
 
 
-def _merged(v: Vocabulary, s: str, key: int, skip: int) -> list[int]:
-    """Ids of a stretch; a candidate is skipped if the upper 32 bits of its hash are below `skip`."""
+def _skipped(base: int, start: int, mid: int, end: int, skip: int) -> bool:
+    """Whether the hash of a candidate's place, under the stretch's own hash, is among the lowest `skip` of 2**32."""
+    x = (base + start * 0x9E3779B1 + mid * 0x85EBCA77 + end * 0xC2B2AE3D) & 0xFFFFFFFF
+    x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+    x = (x ^ x >> 12) * 0x297A2D39 & 0xFFFFFFFF
+    return x ^ x >> 15 < skip
+
+
+def _merged(v: Vocabulary, s: str, base: int, skip: int) -> list[int]:
+    """Ids of one stretch of any length; `base` is its own hash."""
+    out: list[int] = []
+    start = 0
+    for end in _by_heap(v, s, base, skip):
+        piece = s[start:end]
+        if (found := v.ids.get(piece)) is not None:
+            out.append(found)
+        else:
+            out += v.fallback(piece)
+        start = end
+    return out
+
+
+def _by_heap(v: Vocabulary, s: str, base: int, skip: int) -> list[int]:
+    """Where the pieces of a stretch end."""
     n = len(s)
     order, longest = v.order, v.longest
     end = list(range(1, n + 1))
     before = list(range(-1, n))
     agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := order.get(s[i : i + 2])) is not None]
     heapq.heapify(agenda)
-    base = xxhash.xxh64_intdigest(s.encode(), key) if skip else 0
     while agenda:
         _, i, mid, e = heapq.heappop(agenda)
-        if end[i] != mid or end[mid] != e:
+        if end[i] != mid or end[mid] != e or skip and _skipped(base, i, mid, e, skip):
             continue
-        if skip:
-            h = (base ^ (i * 0x9E3779B97F4A7C15 + mid * 0xC2B2AE3D27D4EB4F + e * 0x165667B19E3779F9)) & _MASK
-            h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
-            if (h ^ (h >> 27)) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF < skip:
-                continue
         end[i], end[mid] = e, 0
         if e < n:
             before[e] = i
@@ -97,62 +141,167 @@ def _merged(v: Vocabulary, s: str, key: int, skip: int) -> list[int]:
         left = before[i]
         if left >= 0 and e - left <= longest and (r := order.get(s[left:e])) is not None:
             heapq.heappush(agenda, (r, left, i, e))
-    out, i = [], 0
-    while i < n:
-        piece = s[i : end[i]]
-        if (found := v.ids.get(piece)) is not None:
-            out.append(found)
-        else:
-            out += v.fallback(piece)
-        i = end[i]
-    return out
+    return [e for e in end if e]
+
+
+def merged_together(v: Vocabulary, stretches: list[str], bases: np.ndarray, skip: int) -> list[bytes | None]:
+    """Ids of many short stretches (2 bytes each, native order), merged in step; None where one has a character that no piece holds.
+
+    Each stretch is a row of symbols linked by the places of their neighbours. In
+    each step every row takes its best candidate, the leftmost of equal ones, and
+    merges or skips it.
+    """
+    sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+    rows, width = len(stretches), int(sizes.max()) + 1
+    place = np.arange(width)
+    inside = place < sizes[:, None]
+    symbol = np.full((rows, width), -1, np.int32)
+    symbol[inside] = v.of_char[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
+    known = (symbol >= 0).sum(axis=1) == sizes
+    after = np.where(inside, place + 1, width - 1).astype(np.int64)
+    before = np.broadcast_to(place - 1, (rows, width)).copy()
+    worth = np.full((rows, width), _LAST, np.int32)
+    if width > 1:
+        worth[:, :-1] = v.meet(symbol[:, :-1], symbol[:, 1:])[1]
+    alive = inside.copy()
+    S, A, B, G, W = symbol.ravel(), after.ravel(), before.ravel(), alive.ravel(), worth.ravel()
+    live = np.flatnonzero(known)
+    while len(live):
+        k = worth[live].argmin(axis=1)
+        row = live * width
+        at = row + k
+        open_ = W[at] < _LAST
+        if not open_.all():
+            live, k, row, at = live[open_], k[open_], row[open_], at[open_]
+        mid = A[at]
+        end = A[row + mid]
+        if skip:
+            x = (bases[live] + k.astype(np.uint64) * 0x9E3779B1 + mid.astype(np.uint64) * 0x85EBCA77 + end.astype(np.uint64) * 0xC2B2AE3D).astype(np.uint32)
+            x = (x ^ x >> 15) * np.uint32(0x2C1B3C6D)
+            x = (x ^ x >> 12) * np.uint32(0x297A2D39)
+            over = (x ^ x >> 15) < skip
+            W[at[over]] = _LAST
+            go = ~over
+            row, at, mid, end = row[go], at[go], mid[go], end[go]
+            k = k[go]
+        gone = row + mid
+        S[at] = v.meet(S[at], S[gone])[0]
+        G[gone], W[gone] = False, _LAST
+        A[at] = end
+        # The place past a row's end holds no symbol, so nothing is made with it.
+        B[row + end] = k
+        W[at] = v.meet(S[at], S[row + end])[1]
+        left = B[at]
+        has = left >= 0
+        back = (row + left)[has]
+        W[back] = v.meet(S[back], S[at[has]])[1]
+    which = v.symbol_id[symbol[alive]]
+    counts = alive.sum(axis=1)
+    # A character of pieces that is no piece itself needs the byte pieces.
+    known &= np.bincount(np.repeat(np.arange(rows), counts), which < 0, rows) == 0
+    data, ends = which.astype(np.uint16).tobytes(), np.cumsum(counts * 2).tolist()
+    return [data[e - 2 * n : e] if ok else None for e, n, ok in zip(ends, counts.tolist(), known.tolist())]
+
+
+#: Stretches up to this length are merged together, so many at a time.
+_SHORT, _TOGETHER = (8, 16, 40), 16_384
 
 
 class Encoder:
-    """encode(text, variant) under one key. A worker remembers what short stretches gave, up to a bound."""
+    """Encodes whole texts under one key. A worker remembers what stretches gave, up to a bound."""
 
     def __init__(self, v: Vocabulary, dropout: float = DROPOUT, key: int = 0):
         if not 0 <= dropout <= 1:
             raise ValueError("dropout lies between 0 and 1")
+        if max(v.ids.values()) >= 1 << 16:
+            raise ValueError("ids go into two bytes")
         self.v, self.key, self.skip = v, key, round(dropout * 2**32)
-        self.by_variant: dict[int, dict[str, tuple[int, ...]]] = {}
+        # Two generations by variant: what is met again moves to the younger; the older goes when the younger is full.
+        self.young: dict[int, dict[str, bytes]] = {}
+        self.old: dict[int, dict[str, bytes]] = {}
         self.size = 0
 
-    def _stretch(self, s: str, variant: int) -> list[int]:
+    def _stretch(self, s: str, key: int) -> bytes:
         # A blank sign of the source is no blank: it goes through the byte pieces, so that decoding gives it back.
-        key = xxhash.xxh64_intdigest(b"%d %d" % (self.key, variant)) if self.skip else 0
-        out: list[int] = []
+        out = array("H")
         for k, part in enumerate(s.split(_BLANK)):
             if k:
-                out += [self.v.bytes_ids[b] for b in _BLANK_BYTES]
+                out.extend(self.v.bytes_ids[b] for b in _BLANK_BYTES)
             if part:
-                out += _merged(self.v, part, key, self.skip)
-        return out
+                out.extend(_merged(self.v, part, xxhash.xxh32_intdigest(part.encode(), key) if self.skip else 0, self.skip))
+        return out.tobytes()
+
+    def _new(self, stretches: list[str], variant: int) -> dict[str, bytes]:
+        key = xxhash.xxh32_intdigest(b"%d %d" % (self.key, variant)) if self.skip else 0
+        found: dict[str, bytes] = {}
+        least = 0
+        for most in _SHORT:
+            some = [s for s in stretches if least < len(s) <= most]
+            least = most
+            for at in range(0, len(some), _TOGETHER):
+                part = some[at : at + _TOGETHER]
+                bases = np.fromiter((xxhash.xxh32_intdigest(s.encode(), key) for s in part), np.uint64, len(part)) if self.skip else np.zeros(len(part), np.uint64)
+                found.update(zip(part, merged_together(self.v, part, bases, self.skip)))
+        for s in stretches:
+            if found.get(s) is None:
+                found[s] = self._stretch(s, key)
+        return found
+
+    def encode_all(self, texts: list[str | None], variants: list[int]) -> list[np.ndarray]:
+        """Ids (uint16) of each whole text; none for an empty or null one. A blank is put before a text, as the model has it."""
+        out = [bytearray() for _ in texts]
+        parts = [(k, part) for k, text in enumerate(texts) if text for part in _parts(" " + text)]
+        at = 0
+        while at < len(parts):
+            # A group of parts holds a few million characters at most, whatever the texts' lengths.
+            size, to = 0, at
+            while to < len(parts) and (to == at or size + len(parts[to][1]) <= 2 * PART):
+                size += len(parts[to][1])
+                to += 1
+            self._group(parts[at:to], variants, out)
+            at = to
+        return [np.frombuffer(bytes(x), np.uint16) for x in out]
+
+    def _group(self, parts: list[tuple[int, str]], variants: list[int], out: list[bytearray]) -> None:
+        cut = [(k, self.v.stretch.findall(part)) for k, part in parts]
+        for variant in {variants[k] for k, _ in cut}:
+            mine = [(k, stretches) for k, stretches in cut if variants[k] == variant]
+            young, old = self.young.setdefault(variant, {}), self.old.get(variant, {})
+            seen = {s for _, stretches in mine for s in stretches}
+            table = {s: ids for s in seen if (ids := young.get(s) or old.get(s)) is not None}
+            table |= self._new([s for s in seen if s not in table], variant)
+            for k, stretches in mine:
+                out[k] += b"".join(map(table.__getitem__, stretches))
+            for s, ids in table.items():
+                if len(s) <= LONGEST_REMEMBERED and s not in young:
+                    if self.size >= REMEMBERED // 2:
+                        self.old, self.young, self.size = self.young, {}, 0
+                        young = self.young.setdefault(variant, {})
+                    young[s] = ids
+                    self.size += 1
 
     def encode(self, text: str | None, variant: int = 0) -> list[int]:
-        """Ids of a whole text; none for an empty or null one. A blank is put before the text, as the model has it."""
-        if not text:
-            return []
-        known = self.by_variant.setdefault(variant, {})
-        out: list[int] = []
-        for m in self.v.stretch.finditer(" " + text):
-            s = m[0]
-            ids = known.get(s)
-            if ids is None:
-                ids = tuple(self._stretch(s, variant))
-                if len(s) <= LONGEST_REMEMBERED:
-                    if self.size >= REMEMBERED:
-                        self.by_variant.clear()
-                        known = self.by_variant.setdefault(variant, {})
-                        self.size = 0
-                    known[s] = ids
-                    self.size += 1
-            out += ids
-        return out
+        """Ids of one whole text."""
+        return self.encode_all([text], [variant])[0].tolist()
+
+
+#: Characters of a text that are cut into stretches at a time.
+PART = 1 << 20
+_BEFORE_BLANK = re.compile(r"[^ ](?= )")
+
+
+def _parts(text: str, size: int = PART) -> Iterator[str]:
+    """The text in parts of about `size` characters, cut where a run of blanks begins."""
+    at = 0
+    while at < len(text):
+        cut = _BEFORE_BLANK.search(text, at + size) if len(text) - at > size else None
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
-def decode(v: Vocabulary, ids: list[int]) -> str:
-    """The text that encode() was given: the bytes of the pieces, without the blank put before it."""
+def decode(v: Vocabulary, ids) -> str:
+    """The text that was encoded: the bytes of the pieces, without the blank put before it."""
     data = b"".join(map(v.bytes.__getitem__, ids))
     return (data[1:] if data[:1] == b" " else data).decode()
 
@@ -179,13 +328,9 @@ def encoded(
         encoder = _encoder(folder, name, dropout, key)
         for batch in batches:
             chosen = [variant_of(i, variants) for i in batch.column(0).to_pylist()]
-            ids = [array("i", encoder.encode(t, k)) for t, k in zip(batch.column(batch.num_columns - 1).to_pylist(), chosen)]
-            flat = array("i")
-            ends = array("i", [0])
-            for x in ids:
-                flat.extend(x)
-                ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(flat) if len(flat) else [], pa.int32()))
+            ids = encoder.encode_all(batch.column(batch.num_columns - 1).to_pylist(), chosen)
+            ends = np.cumsum([0, *map(len, ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chosen, pa.int32()), lists], out.names)
 
     return slim.mapInArrow(each, out)
@@ -217,12 +362,10 @@ def encoded_digests(
         low, high = min(encoder.v.bytes_ids), max(encoder.v.bytes_ids)
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                variant = variant_of(i, variants)
-                ids = encoder.encode(text, variant)
-                numbers = pa.array(ids, pa.int32()).to_numpy()
-                n_bytes = int(((numbers >= low) & (numbers <= high)).sum())
-                rows.append((variant, len(ids), n_bytes, zlib.crc32(numbers.astype("<i4").tobytes()), decode(encoder.v, ids) == (text or "")))
+            texts, chosen = batch.column(1).to_pylist(), [variant_of(i, variants) for i in batch.column(0).to_pylist()]
+            for text, variant, ids in zip(texts, chosen, encoder.encode_all(texts, chosen)):
+                n_bytes = int(((ids >= low) & (ids <= high)).sum())
+                rows.append((variant, len(ids), n_bytes, zlib.crc32(ids.astype("<i4").tobytes()), decode(encoder.v, ids.tolist()) == (text or "")))
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], [x.split()[0] for x in DIGEST.split(", ")])

@@ -17,7 +17,7 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_file=f"{vocabularies.FOLDER
 def plain_dropout(text, key, skip):
     """Merges by scanning all neighbours for the best candidate that isn't skipped, again and again."""
     parts = [(i, i + 1) for i in range(len(text))]
-    base = s.xxhash.xxh64_intdigest(text.encode(), key)
+    base = s.xxhash.xxh32_intdigest(text.encode(), key)
     gone = set()
     while True:
         best = None
@@ -29,9 +29,7 @@ def plain_dropout(text, key, skip):
         if best is None:
             break
         _, a, b, c, k = best
-        h = (base ^ (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9)) % 2**64
-        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) % 2**64
-        if ((h ^ (h >> 27)) * 0x94D049BB133111EB >> 32) % 2**32 < skip:
+        if s._skipped(base, a, b, c, skip):
             gone.add((a, b, c))
         else:
             parts[k : k + 2] = [(a, c)]
@@ -56,8 +54,20 @@ def test_without_dropout_as_the_library():
 def test_agenda_against_scanning(dropout):
     rng = random.Random(3)
     words = [w for t in samples() for w in t.split()][:600]
-    for w in [" " + rng.choice(words) for _ in range(150)]:
-        assert s._merged(V, w, 7, round(dropout * 2**32)) == plain_dropout(w, 7, round(dropout * 2**32))
+    skip = round(dropout * 2**32)
+    base = lambda w: s.xxhash.xxh32_intdigest(w.encode(), 7)
+    chosen = [" " + rng.choice(words) for _ in range(150)] + [rng.choice(words) * rng.randrange(1, 12) for _ in range(40)]
+    together = s.merged_together(V, chosen, s.np.array([base(w) for w in chosen], s.np.uint64), skip)
+    for w, ids in zip(chosen, together):
+        expected = plain_dropout(w, 7, skip)
+        assert s._merged(V, w, base(w), skip) == expected
+        assert ids is None or s.np.frombuffer(ids, s.np.uint16).tolist() == expected
+    assert sum(ids is None for ids in together) < 5
+
+
+def test_share_of_skipped_candidates():
+    hit = sum(s._skipped(b * 2654435761 & 0xFFFFFFFF, i, i + 1 + b % 3, i + 4, round(0.1 * 2**32)) for b in range(2000) for i in range(20))
+    assert 0.09 < hit / 40_000 < 0.11
 
 
 @settings(max_examples=300, deadline=None)
@@ -81,7 +91,14 @@ def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(s, "REMEMBERED", 10)
     encoder, free = s.Encoder(V, 0.2), s.Encoder(V, 0.2)
     text = samples()[0]
-    assert encoder.encode(text, 1) == free.encode(text, 1) and sum(map(len, encoder.by_variant.values())) <= 10
+    assert encoder.encode(text, 1) == free.encode(text, 1) and sum(map(len, [*encoder.young.values(), *encoder.old.values()])) <= 10
+
+
+def test_long_texts_in_parts():
+    text = "a  b\nccc  " * 400
+    parts = list(s._parts(text, 100))
+    assert "".join(parts) == text and len(parts) > 30
+    assert [x for p in parts for x in V.stretch.findall(p)] == V.stretch.findall(text)
 
 
 def test_queries(spark):
