@@ -52,19 +52,29 @@ _ATS = "at|arroba|chez|klammeraffe"
 
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?![^\W_])"
 _ITEM = rf"(?:{_WORD}|[0-9]+|(?:{_DOTS})(?![^\W_]))"
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus +)?{_WORD}(?:[ ,.()-]{{1,3}}{_ITEM})+|(?<![^\W_])(?:\+|plus +)?[0-9]+(?:[ ,.()-]{{1,3}}{_ITEM})+", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus {{1,3}})?{_WORD}(?:[ ,.()-]{{1,3}}{_ITEM})+|(?<![^\W_])(?:\+|plus {{1,3}})?[0-9]+(?:[ ,.()-]{{1,3}}{_ITEM})+", re.IGNORECASE)
 _SPELLED_ITEM = re.compile(rf"{_WORD}|[0-9]+|(?:{_DOTS})(?![^\W_])|plus|\+|[.]", re.IGNORECASE)
 #: Cheap test before _SPELLED: two spelled digits side by side.
 _TWO_WORDS = re.compile(rf"(?<![^\W_]){_WORD}[ ,.()-]{{1,3}}{_WORD}", re.IGNORECASE)
-_DISGUISED_AT = re.compile(rf" *[\[({{<] *(?:{_ATS}|@) *[\])}}>] *|(?<=[A-Za-z0-9])[_-](?:at|AT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
-_DISGUISED_DOT = re.compile(rf" *[\[({{<] *(?:{_DOTS}|\.) *[\])}}>] *|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
-#: Bare words count only as a whole address: local part, at (or an @), and a domain with at least one bare dot and a known end.
-_BARE = re.compile(rf"[A-Za-z0-9._%+-](?P<at> +(?:{_ATS}) +|@)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?P<rest>(?: +(?:{_DOTS}) +[A-Za-z0-9-]+)+)", re.IGNORECASE)
+_DISGUISED_AT = re.compile(rf" {{0,3}}[\[({{<] {{0,3}}(?:{_ATS}|@) {{0,3}}[\])}}>] {{0,3}}|(?<=[A-Za-z0-9])[_-](?:at|AT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
+_DISGUISED_DOT = re.compile(rf" {{0,3}}[\[({{<] {{0,3}}(?:{_DOTS}|\.) {{0,3}}[\])}}>] {{0,3}}|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
+#: Bare words count only as a whole address: local part, at, and a domain with bare or plain dots and a known end, of which one at least is disguised.
+_BARE = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?P<lead>(?:[A-Za-z0-9_%+-]{{1,64}} {{1,3}}(?:{_DOTS}) {{1,3}}){{0,4}})[A-Za-z0-9._%+-]{{1,64}}(?P<at> {{1,3}}(?:{_ATS}|@) {{1,3}}|@)"
+    rf"[A-Za-z0-9-]{{1,63}}(?P<rest>(?:(?: {{1,3}}(?:{_DOTS}|\.) {{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{1,8}})",
+    re.IGNORECASE,
+)
+#: Numbers with bare dots between them, as many as an address has.
+_BARE_IP = re.compile(rf"(?<![A-Za-z0-9])[0-9]{{1,3}}(?: {{1,3}}(?:{_DOTS}) {{1,3}}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.IGNORECASE)
+#: Letters that pass for digits, and a run in which they may stand for them.
+_LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_MIXED_HINT = re.compile(r"[0-9][ -]?[OolI]|[OolI][ -]?[0-9]")
+_MIXED = re.compile(r"(?<![^\W_])[0-9OolI](?:[ -]?[0-9OolI]){8,40}(?![^\W_])")
 # Ends of an address that bare words must lead to.
 _ENDS = frozenset("com org net edu gov mil int info biz name io co dev app ai eu uk de fr es pt it nl be at ch us ca mx br ar ru pl se no dk fi ie au nz jp cn in kr example test".split())
-_BARE_DOT = re.compile(rf" +(?:{_DOTS}) +", re.IGNORECASE)
+_BARE_DOT = re.compile(rf" {{1,3}}(?:{_DOTS}|\.) {{1,3}}", re.IGNORECASE)
 #: One of these is in every text that the last transducer changes.
-_HINTS = ("[", "(", "{", "<", "_at_", "-at-", "_dot_", "-dot-", *(f" {w} " for w in _DOTS.split("|")))
+_HINTS = ("[", "(", "{", "<", "_at_", "-at-", "_dot_", "-dot-", " @ ", *(f" {w} " for w in _DOTS.split("|")))
 
 Span = tuple[int, int, int]
 
@@ -141,6 +151,15 @@ def _plain(c: str) -> str | None:
 
 
 def _characters(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    if _MIXED_HINT.search(text):
+        for m in _MIXED.finditer(text):
+            if sum(c.isdigit() for c in m[0]) >= 6:
+                edits += [(m.start() + k, m.start() + k + 1, _LETTER_DIGITS[c]) for k, c in enumerate(m[0]) if c in _LETTER_DIGITS]
+    return edits + _foreign(text)
+
+
+def _foreign(text: str) -> list[tuple[int, int, str]]:
     if text.isascii():
         return []
     known = {c: p for c in set(text) if c > "\x7f" and (p := _plain(c)) is not None}
@@ -172,11 +191,12 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
     # Bare words are read in the text as the brackets have left it.
     more = []
     for m in _BARE.finditer(view.text):
-        if m["rest"].rsplit(" ", 1)[1].lower() not in _ENDS:
-            continue
-        if m["at"] != "@":
-            more.append((*m.span("at"), "@"))
-        more += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in _BARE_DOT.finditer(m["rest"])]
+        dots = [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in ("lead", "rest") for d in _BARE_DOT.finditer(m[g])]
+        word_at = m["at"].strip().lower() not in ("", "@")
+        # " at " before a plain domain is ordinary prose; " @ " isn't.
+        if re.split(r"[ .]", m["rest"])[-1].lower() in _ENDS and (any(d[0] >= m.start("rest") for d in dots) or m["at"] != "@" and not word_at):
+            more += [*dots, *([(*m.span("at"), "@")] if m["at"] != "@" else [])]
+    more += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _BARE_IP.finditer(view.text) for d in _BARE_DOT.finditer(m[0])]
     return taken + [(s, e, put) for a, b, put in more for s, e, _ in [view.back(a, b)]]
 
 
