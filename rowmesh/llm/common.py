@@ -1,42 +1,21 @@
-"""What the corpus operators share: the cluster's shared folder, Arrow batch sizes and word splitting."""
+"""What the corpus operators share: Arrow batch sizes and word splitting, beside the package's storage."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: A word is a run of anything but these; bytes.split() splits on just these six.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+from rowmesh.functions.storage import new_folder, written
 
+__all__ = ["bounded_batches", "new_folder", "text_bytes", "word_chunks", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rowmesh-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_folder(spark)}/rowmesh/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its rows no longer depend on the tasks that made them, whichever executors are lost."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Let an Arrow batch hold few rows, so that long texts can't fill a worker's memory."""
+def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
+    """Let an Arrow batch hold few rows and bytes, so that long texts can't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def text_bytes(value: str | None) -> bytes:
@@ -44,6 +23,7 @@ def text_bytes(value: str | None) -> bytes:
     return value.encode("utf-8") if value else b""
 
 
+#: What parts words; bytes.split() splits on just these six.
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 

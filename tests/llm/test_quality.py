@@ -2,7 +2,6 @@ import random
 import re
 from collections import Counter
 
-import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
 
 from rowmesh.llm import quality as q
