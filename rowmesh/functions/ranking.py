@@ -42,7 +42,7 @@ def exclusive_sum(df: DataFrame, group: str, order: str, value: str, name: str,
     Two phases: sums of blocks of `block` numbers are added up first, a table that
     is smaller by that factor, then each block is summed from its start.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    blocked = df.withColumn("_block", F.expr(f"`{order}` div {int(block)}"))
     sums = blocked.groupBy(group, "_block").agg(F.sum(value).alias("_sum"))
     upto = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(group, "_block", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_start"))

@@ -21,14 +21,20 @@ def column_vector(columns: DataFrame) -> DataFrame:
     return columns.select("matrix", "j", (F.pmod(F.col("j") * 7919, F.lit(1000)) / 100).alias("x"))
 
 
-def _with_empty_rows(sums: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.join(sums, ["matrix", "i"], "left").select("matrix", "i", F.coalesce("y", F.lit(0.0)).alias("y"))
+def _over_domain(parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(matrix, i, y): the sums of parts(matrix, i, y) for every row of the domain, and for no other.
+
+    The domain comes in as rows of 0.0, so one shuffle, of partial sums, gives both
+    the sums and the empty rows.
+    """
+    zeros = rows.select("matrix", "i", F.lit(0.0).alias("y"), F.lit(True).alias("known"))
+    both = parts.select("matrix", "i", "y", F.lit(False).alias("known")).unionByName(zeros)
+    return both.groupBy("matrix", "i").agg(F.sum("y").alias("y"), F.max("known").alias("known")).where("known").drop("known")
 
 
 def spmv(entries: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
     """(matrix, i, y). Spark broadcasts x where it is small and shuffles on j, splitting heavy columns, where it isn't; sums are partial before the shuffle on i."""
-    sums = entries.join(x, ["matrix", "j"]).groupBy("matrix", "i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-    return _with_empty_rows(sums, rows)
+    return _over_domain(entries.join(x, ["matrix", "j"]).select("matrix", "i", (F.col("v") * F.col("x")).alias("y")), rows)
 
 
 def spmv_packed(packed: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
@@ -42,19 +48,19 @@ def spmv_packed(packed: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
         return spmv(packed.select("matrix", "i", F.inline("cells")), x, rows)
     array = x.groupBy("matrix").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("xs"))
     product = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["v"] * F.get(F.col("xs"), c["j"].cast("int")))
-    sums = packed.join(F.broadcast(array), "matrix").select("matrix", "i", product.alias("part"))
-    return _with_empty_rows(sums.groupBy("matrix", "i").agg(F.sum("part").alias("y")), rows)
+    return _over_domain(packed.join(F.broadcast(array), "matrix").select("matrix", "i", product.alias("y")), rows)
 
 
-def spmv_parallel(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: int | None = None) -> DataFrame:
-    """(matrix, i, y) with ranges of rows over `workers` partitions, each row summed by one of them."""
+def spmv_parallel(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: int | None = None, by: tuple[str, ...] = ("matrix", "i")) -> DataFrame:
+    """(matrix, i, y) with ranges of rows over `workers` partitions, each row summed by one of them; for one matrix, by=("i",) will do."""
     workers = workers or entries.sparkSession.sparkContext.defaultParallelism
-    return spmv(entries.repartitionByRange(workers, "matrix", "i"), x, rows)
+    dealt = entries.repartitionByRange(workers, *by)
+    return _over_domain(dealt.join(x, ["matrix", "j"]).groupBy("matrix", "i").agg(F.sum(F.col("v") * F.col("x")).alias("y")), rows)
 
 
 def block_worker(chunk: int, workers: int):
     """The worker of row i when blocks of `chunk` rows are dealt in turn."""
-    return F.pmod(F.floor(F.col("i") / chunk), F.lit(workers)).cast("int")
+    return F.expr(f"pmod(i div {int(chunk)}, {int(workers)})").cast("int")
 
 
 def spmv_row_blocks(entries: DataFrame, x: DataFrame, rows: DataFrame, chunk: int = 50, workers: int | None = None) -> DataFrame:
@@ -62,7 +68,7 @@ def spmv_row_blocks(entries: DataFrame, x: DataFrame, rows: DataFrame, chunk: in
     workers = workers or entries.sparkSession.sparkContext.defaultParallelism
     dealt = entries.withColumn("w", block_worker(chunk, workers)).repartitionById(workers, "w")
     sums = dealt.join(x, ["matrix", "j"]).groupBy("w", "matrix", "i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-    return _with_empty_rows(sums.drop("w"), rows)
+    return _over_domain(sums, rows)
 
 
 def row_block_load(entries: DataFrame, chunk: int = 50, workers: int = 16) -> DataFrame:
@@ -76,7 +82,7 @@ def balanced_groups(entries: DataFrame, rows: DataFrame, workers: int = 16) -> D
     """(matrix, i, n, p): contiguous groups of rows with about as many entries each."""
     pointers = row_ptr(entries, rows)
     total = pointers.groupBy("matrix").agg(F.greatest(F.sum("n"), F.lit(1)).alias("nnz"))
-    p = F.least(F.lit(workers - 1), F.floor(F.col("ptr") * workers / F.col("nnz"))).cast("int")
+    p = F.expr(f"least({int(workers) - 1}, ptr * {int(workers)} div nnz)").cast("int")
     return pointers.join(total, "matrix").select("matrix", "i", "n", p.alias("p"))
 
 
@@ -92,4 +98,4 @@ def spmv_balanced(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: in
     groups = balanced_groups(entries, rows, workers).select("matrix", "i", "p")
     dealt = entries.join(groups, ["matrix", "i"]).repartitionById(workers, "p")
     sums = dealt.join(x, ["matrix", "j"]).groupBy("p", "matrix", "i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-    return _with_empty_rows(sums.drop("p"), rows)
+    return _over_domain(sums, rows)

@@ -187,7 +187,7 @@ def spmv_packed(spark, sf):
 
 @query(Y)
 def spmv_parallel(spark, sf):
-    return spmv.spmv_parallel(*_l(spark, sf), 8).select("i", "y")
+    return spmv.spmv_parallel(*_l(spark, sf), 8, ("i",)).select("i", "y")
 
 
 @query(Y)
