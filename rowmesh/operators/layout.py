@@ -60,7 +60,7 @@ def csr_pack(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(matrix, i, seg, cells): each row as arrays of (j, v) in order, at most `segment` entries in one."""
     slots = ranked(entries.select("matrix", "i", "j", "v"), ["matrix", "i"], ["j", "v"], "at")
     seg = F.floor(F.col("at") / segment).cast("int")
-    return slots.groupBy("matrix", "i", seg.alias("seg")).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("cells"))
+    return slots.groupBy("matrix", "i", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cells"))
 
 
 def csr_unpack(packed: DataFrame) -> DataFrame:

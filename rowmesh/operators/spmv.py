@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .layout import row_ptr
+from .layout import csr_unpack, row_ptr
 
-#: Most entries of x that the packed product sends to every task as one array.
+#: Most entries of x that the packed product sends to every task.
 PACKED_X = 4_000_000
 
 
@@ -38,17 +38,14 @@ def spmv(entries: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def spmv_packed(packed: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
-    """(matrix, i, y) from packed rows of one matrix and x(matrix, j, x) with every j from 0 on.
+    """(matrix, i, y) from packed rows: cells are walked where they lie and meet x there; only partial sums are shuffled.
 
-    x goes along as one array, whose length is checked; beyond PACKED_X entries the
-    rows are unpacked and joined. Only rows of several segments need a second sum.
+    x goes to every task after its entries were counted against PACKED_X; beyond
+    that Spark joins as it sees fit. (As one array column x would be copied with
+    every packed row.)
     """
     n = x.limit(PACKED_X + 1).count()
-    if n > PACKED_X:
-        return spmv(packed.select("matrix", "i", F.inline("cells")), x, rows)
-    array = x.groupBy("matrix").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("xs"))
-    product = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["v"] * F.get(F.col("xs"), c["j"].cast("int")))
-    return _over_domain(packed.join(F.broadcast(array), "matrix").select("matrix", "i", product.alias("y")), rows)
+    return spmv(csr_unpack(packed), x if n > PACKED_X else F.broadcast(x), rows)
 
 
 def spmv_parallel(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: int | None = None, by: tuple[str, ...] = ("matrix", "i")) -> DataFrame:

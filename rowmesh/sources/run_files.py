@@ -74,10 +74,10 @@ def write_chunk_files(runs: DataFrame, path: str) -> None:
     """runs(matrix, schedule, threads, chunk, run, ms) in the chunk layout, chunk null for the baseline; a file holds at most FILE_RUNS runs of a section."""
     keys = ["threads", "matrix", "schedule", "part"]
     pieces = runs.withColumn("part", F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"))
-    sections = pieces.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("run", "ms"))).alias("samples"))
+    sections = pieces.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("run", "ms"))).alias("samples"))
     lines = F.array_join(F.transform("samples", lambda s: F.format_string("%.6f", s["ms"])), "\n")
     title = F.when(F.col("chunk").isNull(), "SEQUENTIAL (baseline - no parallelization):").otherwise(F.concat(F.lit(CHUNK), F.col("chunk").cast("string")))
     texts = sections.select(*keys, F.coalesce("chunk", F.lit(-1)).alias("chunk"), F.concat_ws("\n", title, lines, F.lit("")).alias("body"))
-    whole = texts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "body"))), lambda s: s["body"]), "\n").alias("bodies"))
+    whole = texts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "body"))), lambda s: s["body"]), "\n").alias("bodies"))
     head = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit("\nSchedule Type: "), F.upper("schedule"), F.lit("\nNumber of threads: "), F.col("threads").cast("string"), F.lit("\n"))
     whole.select(*keys, F.concat_ws("\n", head, "bodies").alias("value")).write.partitionBy("threads", "matrix", "schedule", "part").text(path)
