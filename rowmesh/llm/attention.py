@@ -1,17 +1,19 @@
 """A small causal self-attention model over subword ids, in numpy: forward, backward and windowed scoring.
 
-The model predicts the class of the next subword; within a class, corpus counts
-give the subword. One layer of attention looks back over a window with a learned
-bias for each distance.
+The model predicts the class of the next subword, then, by two-way choices down the
+class's Huffman tree, the subword within it; each choice starts from the corpus
+counts. One layer of attention looks back over a window with a learned bias for each
+distance.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Width of the vectors, classes of next subwords, rows of the embedding, window, and how many new tokens a window scores.
+#: Width of the vectors, classes of next subwords, rows of the embedding where none are asked for (a lexicon has one for each subword), window, and how many new tokens a window scores.
 WIDTH, CLASSES, ROWS, WINDOW, STRIDE = 16, 64, 4096, 32, 16
 #: Windows in a training step and in a scoring step.
 STEP_WINDOWS, SCORE_WINDOWS = 64, 512
@@ -22,17 +24,23 @@ _SAFE = 60.0
 Params = dict[str, np.ndarray]
 
 
-def shapes() -> dict[str, tuple[int, ...]]:
+#: Parameters with a row for each subword or node.
+_TABLES = ("E", "t", "d")
+
+
+def shapes(rows: int = ROWS) -> dict[str, tuple[int, ...]]:
     d = WIDTH
-    return {"E": (ROWS, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, CLASSES), "r": (d, CLASSES), "b": (CLASSES,), "far": (WINDOW,)}
+    whole = {"q": (d, d), "k": (d, d), "v": (d, d), "o": (d, CLASSES), "r": (d, CLASSES), "b": (CLASSES,), "far": (WINDOW,), "w": (d, d), "u": (d, d)}
+    return {"E": (rows, d), **whole, "t": (rows, d), "d": (rows,)}
 
 
-def initial(class_share: np.ndarray, seed: int = 7) -> Params:
-    """Seeded start: classes as frequent as in the corpus, near distances a little favoured."""
+def initial(class_share: np.ndarray, seed: int = 7, rows: int = ROWS) -> Params:
+    """Seeded start: classes, and subwords within them, as frequent as in the corpus, near distances a little favoured."""
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.5 if k == "E" else 0.5 / np.sqrt(s[0]))).astype(np.float32) for k, s in shapes().items()}
+    p = {k: (rng.standard_normal(s) * (0.5 if k == "E" else 0.5 / np.sqrt(s[0]))).astype(np.float32) for k, s in shapes(rows).items() if k not in ("t", "d")}
     p["b"] = np.log(class_share).astype(np.float32)
     p["far"] = (-0.1 * np.arange(WINDOW)).astype(np.float32)
+    p["t"], p["d"] = np.zeros((rows, WIDTH), np.float32), np.zeros(rows, np.float32)
     return p
 
 
@@ -42,7 +50,8 @@ def flat(p: Params) -> np.ndarray:
 
 def unflat(values: np.ndarray) -> Params:
     out, at = {}, 0
-    for k, s in shapes().items():
+    a_row = sum(int(np.prod(s)) for s in shapes(1).values()) - (fixed := sum(int(np.prod(s)) for s in shapes(0).values()))
+    for k, s in shapes((len(values) - fixed) // a_row).items():
         n = int(np.prod(s))
         out[k] = values[at : at + n].reshape(s)
         at += n
@@ -56,8 +65,23 @@ def _softmax(x: np.ndarray) -> None:
     x /= x.sum(axis=-1, keepdims=True)
 
 
-def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, Params]:
-    """Mean cross-entropy of the target classes (windows x places) where `real`, and its gradient; rows are embedding rows."""
+@dataclass
+class Choices:
+    """The two-way choices that lead to the targets: at which place, at which node, which way (1 or -1), and the node's log odds."""
+
+    place: np.ndarray
+    node: np.ndarray
+    way: np.ndarray
+    odds: np.ndarray
+
+
+def _gathered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of `values` by their place among n."""
+    return np.stack([np.bincount(at, values[:, j], n) for j in range(values.shape[1])], axis=1).astype(values.dtype)
+
+
+def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.ndarray, choices: Choices | None = None) -> tuple[float, Params]:
+    """Mean cross-entropy of the target classes (windows x places) where `real`, with that of the choices within them, and its gradient; rows are embedding rows."""
     n, w = rows.shape
     scale = 1 / np.sqrt(WIDTH)
     lag = np.arange(w)[:, None] - np.arange(w)
@@ -84,7 +108,21 @@ def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.
     dy[each, goal] -= 1
     dy *= (real / y.dtype.type(count)).astype(y.dtype)[:, None]
     g = {"o": c.T @ dy, "r": e.T @ dy, "b": dy.sum(axis=0)}
-    dc = deep(dy @ p["o"].T)
+    dc, dh = dy @ p["o"].T, None
+    for name in ("w", "u", "t", "d"):
+        g[name] = np.zeros_like(p[name])
+    if choices is not None and len(choices.place):
+        h = (c @ p["w"] + e @ p["u"]).take(choices.place, axis=0)
+        t = p["t"].take(choices.node, axis=0)
+        z = choices.way * (np.einsum("ij,ij->i", h, t) + p["d"].take(choices.node) + choices.odds.astype(h.dtype))
+        loss += float(np.logaddexp(0, -z).sum() / count)
+        dz = (-choices.way / (1 + np.exp(np.clip(z, -_SAFE, _SAFE))) / h.dtype.type(count)).astype(h.dtype)
+        g["d"] = np.bincount(choices.node, dz, len(p["d"])).astype(h.dtype)
+        g["t"] = _gathered(choices.node, dz[:, None] * h, len(p["t"]))
+        dh = _gathered(choices.place, dz[:, None] * t, n * w)
+        g["w"], g["u"] = c.T @ dh, e.T @ dh
+        dc += dh @ p["w"].T
+    dc = deep(dc)
     ds = dc @ v.transpose(0, 2, 1)
     ds -= np.einsum("nij,nij->ni", ds, a)[..., None]
     ds *= a
@@ -94,37 +132,73 @@ def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
         g[name] = e.T @ d
     de = dy @ p["r"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    at = rows.ravel()
-    g["E"] = np.stack([np.bincount(at, de[:, j], ROWS) for j in range(WIDTH)], axis=1).astype(p["E"].dtype)
+    if dh is not None:
+        de += dh @ p["u"].T
+    g["E"] = _gathered(rows.ravel(), de, len(p["E"]))
     return loss, g
 
 
-def train(start: Params, windows: np.ndarray, target: np.ndarray, real: np.ndarray, passes: int, rate: float, seed: int = 3) -> Params:
-    """Adam over the windows in seeded order; the given parameters stay as they are."""
+def _some(values: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers among the values in order, and which of them each value is; lookup is scratch space."""
+    flags = np.zeros(len(lookup), bool)
+    flags[values] = True
+    found = np.flatnonzero(flags)
+    lookup[found] = np.arange(len(found))
+    return found, lookup[values]
+
+
+def train(start: Params, lex: Lexicon, ids: np.ndarray, real: np.ndarray, passes: int, rate: float, seed: int = 3) -> Params:
+    """Adam over the windows (rows of ids, each the target of the one before it, where `real`) in seeded order; the given parameters stay as they are.
+
+    Of the tables with a row for each subword or node, a step changes only the rows it meets.
+    """
     p = {k: x.copy() for k, x in start.items()}
     first, second, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    lookup = np.zeros(len(p["E"]), np.int64)
     rng = np.random.default_rng(seed)
     for _ in range(passes):
-        order = rng.permutation(len(windows))
+        order = rng.permutation(len(ids))
         for at in range(0, len(order), STEP_WINDOWS):
             some = order[at : at + STEP_WINDOWS]
-            _, g = loss_and_gradient(p, windows[some], target[some], real[some])
+            now, goal = real[some], ids[some, 1:]
+            met, rows = _some(lex.row[ids[some, :-1]], lookup)
+            place = np.flatnonzero(now.ravel())
+            choices = lex.choices(place, goal.ravel()[place])
+            nodes, choices.node = _some(choices.node, lookup)
+            part = {k: met if k == "E" else nodes if k in _TABLES else slice(None) for k in p}
+            _, g = loss_and_gradient({k: p[k][part[k]] for k in p}, rows, lex.cls[goal].astype(np.int64), now, choices)
             t += 1
-            for k in p:
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.01 * (g[k] * g[k] - second[k])
-                p[k] -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
+            for k, at_rows in part.items():
+                m = first[k][at_rows] + 0.1 * (g[k] - first[k][at_rows])
+                s = second[k][at_rows] + 0.01 * (g[k] * g[k] - second[k][at_rows])
+                first[k][at_rows], second[k][at_rows] = m, s
+                p[k][at_rows] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
     return p
 
 
 @dataclass
 class Lexicon:
-    """What the corpus counts say of each subword id: embedding row, class, log share within the class. The last id ends a text."""
+    """What the corpus counts say of each subword id: embedding row, class, log share within the class, and its way down the class's tree. The last id ends a text.
+
+    The choices of id i are those from begins[i] to begins[i + 1]: a node and which way to go there. odds has the log odds of each node.
+    """
 
     row: np.ndarray
     cls: np.ndarray
     share: np.ndarray
     class_share: np.ndarray
+    begins: np.ndarray
+    nodes: np.ndarray
+    ways: np.ndarray
+    odds: np.ndarray
+
+    def choices(self, place: np.ndarray, ids: np.ndarray) -> Choices:
+        """The choices that lead to the ids, each at its place."""
+        lo = self.begins[ids]
+        n = self.begins[ids + 1] - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        node = self.nodes[at].astype(np.int64)
+        return Choices(np.repeat(place, n), node, self.ways[at], self.odds[node])
 
     @property
     def end(self) -> int:
@@ -134,15 +208,12 @@ class Lexicon:
 def lexicon(counts: np.ndarray, pieces: list[bytes]) -> Lexicon:
     """counts and bytes of each subword id; the last id is the end.
 
-    The most frequent ids have an embedding row of their own, the others share
-    rows by rank. Classes are stretches of the alphabet of about equal frequency,
+    Every id has an embedding row of its own. Classes are stretches of the alphabet of about equal frequency,
     with the end a class of its own; every id has one count more than seen.
     """
     n = len(counts)
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((np.arange(n), -counts))] = np.arange(n)
-    half = ROWS // 2
-    row = np.where(rank < half, rank, half + (rank - half) % half).astype(np.int32)
+    row = np.empty(n, np.int32)
+    row[np.lexsort((np.arange(n), -counts))] = np.arange(n)
     plus = counts + 1.0
     order = np.array(sorted(range(n - 1), key=pieces.__getitem__))
     upto = np.cumsum(plus[order])
@@ -151,23 +222,51 @@ def lexicon(counts: np.ndarray, pieces: list[bytes]) -> Lexicon:
     total = np.bincount(cls, plus, CLASSES)
     share = np.log(plus) - np.log(total[cls])
     smooth = (total + 1) / (total + 1).sum()
-    return Lexicon(row, cls, share.astype(np.float64), smooth)
+    return Lexicon(row, cls, share.astype(np.float64), smooth, *_trees(plus, cls))
+
+
+def _trees(plus: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """begins, nodes, ways and odds of a Huffman tree over the ids of each class."""
+    n, made, odds = len(plus), 0, np.zeros(len(plus), np.float32)
+    up: dict[int, tuple[int, int]] = {}
+    for c in range(CLASSES):
+        # Ids are leaves; a node is n and its number.
+        heap = [(float(plus[i]), int(i)) for i in np.flatnonzero(cls == c)]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            up[x], up[y] = (made, -1), (made, 1)
+            odds[made] = np.log(b / a)
+            heapq.heappush(heap, (a + b, n + made))
+            made += 1
+    begins, nodes, ways = [0], [], []
+    for i in range(n):
+        at = i
+        while at in up:
+            node, way = up[at]
+            nodes.append(node)
+            ways.append(way)
+            at = n + node
+        begins.append(len(nodes))
+    return np.array(begins, np.int64), np.array(nodes, np.int32), np.array(ways, np.int8), odds
 
 
 class Scorer:
     """log10 probabilities of subword sequences. Every token is scored once, in the window whose last STRIDE places hold it."""
 
     def __init__(self, p: Params, lex: Lexicon):
-        self.lex = lex
-        one = np.ones((ROWS + 1, 1), np.float32)
+        self.lex, self.blank = lex, len(p["E"])
+        one = np.ones((self.blank + 1, 1), np.float32)
         blank = np.zeros((1, WIDTH), np.float32)
         # A last column of queries and keys hides the places before a text begins.
         self.q = np.hstack([np.vstack([p["E"] @ p["q"], blank]) / np.float32(np.sqrt(WIDTH)), one]).astype(np.float32)
-        self.k = np.hstack([np.vstack([p["E"] @ p["k"], blank]), np.where(np.arange(ROWS + 1) == ROWS, _FAR, 0)[:, None]]).astype(np.float32)
+        self.k = np.hstack([np.vstack([p["E"] @ p["k"], blank]), np.where(np.arange(self.blank + 1) == self.blank, _FAR, 0)[:, None]]).astype(np.float32)
         # A last column of values adds up the weights.
         self.v = np.hstack([np.vstack([p["E"] @ p["v"], blank]), one]).astype(np.float32)
         self.o = p["o"]
         self.r = np.vstack([p["E"] @ p["r"] + p["b"], np.zeros((1, CLASSES), np.float32)]).astype(np.float32)
+        self.w, self.t, self.d = p["w"], p["t"], p["d"]
+        self.u = np.vstack([p["E"] @ p["u"], blank]).astype(np.float32)
         lag = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)
         self.far = np.where(lag < 0, _FAR, p["far"][np.maximum(lag, 0)]).astype(np.float32)
         # Where no score can be large, exponentials need no maximum taken off.
@@ -183,7 +282,7 @@ class Scorer:
         windows = -(-sizes // STRIDE)
         lengths = lead + windows * STRIDE
         begins = np.r_[0, np.cumsum(lengths)]
-        rows = np.full(begins[-1], ROWS, np.int32)
+        rows = np.full(begins[-1], self.blank, np.int32)
         target = np.full(begins[-1], end, np.int64)
         real = np.zeros(begins[-1], bool)
         for x, b in zip(texts, begins):
@@ -205,7 +304,8 @@ class Scorer:
                 a -= a.max(axis=-1, keepdims=True)
             np.exp(a, out=a)
             c = (a @ self.v.take(seen, axis=0)).reshape(-1, WIDTH + 1)
-            y = (c[:, :-1] / c[:, -1:]) @ self.o
+            c = c[:, :-1] / c[:, -1:]
+            y = c @ self.o
             y += self.r.take(mine.ravel(), axis=0)
             goal = target.take(now.ravel())
             picked = y[np.arange(len(goal)), self.lex.cls.take(goal)].astype(np.float64)
@@ -214,7 +314,14 @@ class Scorer:
                 y -= top[:, None]
                 picked -= top
             np.exp(y, out=y)
-            log = picked - np.log(y @ self.ones) + self.lex.share.take(goal)
+            log = picked - np.log(y @ self.ones)
+            place = np.flatnonzero(real.take(now.ravel()))
+            way = self.lex.choices(place, goal[place])
+            h = c @ self.w
+            h += self.u.take(mine.ravel(), axis=0)
+            z = np.einsum("ij,ij->i", h.take(way.place, axis=0), self.t.take(way.node, axis=0))
+            z = way.way * (z + self.d.take(way.node) + way.odds)
+            log += np.bincount(way.place, np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), len(log))
             log = log.reshape(now.shape)
             out += np.bincount(of[at : at + SCORE_WINDOWS], (log * real.take(now)).sum(axis=1), len(texts))
         return out / np.log(10)

@@ -3,8 +3,8 @@
 Counts are taken over all training documents by Spark. The most frequent words,
 a fixed number of them, go to every task; the words of a document that are not
 among them are looked up by a join. The attention model is trained in parallel:
-each training document gives windows in proportion to its length, each task
-trains on its share of them from common parameters, and the results are averaged.
+each training document is cut into consecutive windows, each task trains on its
+share of them from common parameters, and the results are averaged.
 """
 
 from __future__ import annotations
@@ -28,16 +28,16 @@ from .common import bounded_batches, text_bytes, written
 FOLDS, HELD_OUT = 7, 2
 #: Words with the greatest counts that every task holds.
 TOP_WORDS = 1 << 16
-#: One training window for each document, and one more for each so many words.
-WORDS_PER_WINDOW = 512
 #: Windows that one task trains on, rounds of training and averaging, passes over the windows in a round, step size.
-TRAINER_WINDOWS, ROUNDS, PASSES, RATE = 8192, 2, 1, 0.01
+TRAINER_WINDOWS, ROUNDS, PASSES, RATE = 1 << 17, 2, 1, 0.01
 #: Trainers averaged in one group.
 FAN_IN = 64
 #: Distinct words that a worker counts before it hands them on, words whose subwords it remembers, and words that are encoded at once.
 COUNTED, REMEMBERED, WORDS_AT_ONCE = 300_000, 400_000, 100_000
 #: Stands for the end of a text among the words; no word holds a line end.
 END = b"\n"
+#: Fills a window after the end of its text; no subword has this id.
+_AFTER = np.iinfo(np.uint16).max
 
 
 def held_out(doc_id: Column) -> Column:
@@ -127,49 +127,45 @@ def subword_counts(counts: DataFrame, folder: str, name: str) -> np.ndarray:
 
 
 def training_windows(train: DataFrame, lex: attention.Lexicon, folder: str, name: str) -> DataFrame:
-    """(k long, ids array<int>) from train(doc_id, text): WINDOW + 1 ids from a place that a hash chooses, -1 after the end.
+    """(k long, ids binary) from train(doc_id, text): each text, with an end before and after it, in windows of WINDOW + 1 ids (2 bytes each).
 
-    A window may begin before the first word, with an end as its first id.
+    A window begins with the last id of the one before it, so every token of a
+    text and its end is a target once. What lies after the end is _AFTER.
     """
-    size, end = attention.WINDOW + 1, lex.end
+    size, end = attention.WINDOW, lex.end
+    if end >= _AFTER:
+        raise ValueError("ids go into two bytes")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(folder, name)
         for batch in batches:
-            keys, flat = [], array("i")
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = text_bytes(text).lower().split()
-                for k in range(1 + len(words) // WORDS_PER_WINDOW):
-                    key = xxhash.xxh64_intdigest(b"%s %d" % (str(doc).encode(), k))
-                    at = key % (len(words) + 1)
-                    ids = array("i", [end] if at == 0 else [])
-                    at = max(0, at - 1)
-                    while len(ids) < size and at < len(words):
-                        ids.extend(subwords.text(words[at : at + 16]).tolist())
-                        at += 16
-                    if len(ids) < size:
-                        ids.append(end)
-                    ids = ids[:size]
-                    ids.extend([-1] * (size - len(ids)))
-                    keys.append(key >> 1)
-                    flat.extend(ids)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * size, pa.int32()), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["k", "ids"])
-
-    return train.select("doc_id", "text").mapInArrow(each, "k long, ids array<int>")
+            keys, data = [], []
+            words = [text_bytes(text).lower().split() for text in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), subwords.texts(words)):
+                n = -(-(len(ids) + 1) // size)
+                line = np.full(n * size + 1, _AFTER, np.uint16)
+                line[1 : len(ids) + 1] = ids
+                line[[0, len(ids) + 1]] = end
+                data.append(line[np.arange(n)[:, None] * size + np.arange(size + 1)].tobytes())
+                own = str(doc).encode()
+                keys += [xxhash.xxh64_intdigest(b"%s %d" % (own, k)) >> 1 for k in range(n)]
+            places = pa.array(np.arange(len(keys) + 1) * 2 * (size + 1), pa.int32()).buffers()[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.Array.from_buffers(pa.binary(), len(keys), [None, places, pa.py_buffer(b"".join(data))])], ["k", "ids"])
+
+    return train.select("doc_id", "text").mapInArrow(each, "k long, ids binary")
 
 
 def _train_share(start: np.ndarray, lex: attention.Lexicon):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        parts = [np.asarray(b.column(1).flatten()).reshape(-1, attention.WINDOW + 1) for b in batches if b.num_rows]
+        parts = [np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16) for b in batches if b.num_rows]
         if not parts:
             return
-        ids = np.concatenate(parts)
-        real = ids[:, 1:] >= 0
-        ids = np.where(ids < 0, lex.end, ids)
-        trained = attention.train(attention.unflat(start), lex.row[ids[:, :-1]], lex.cls[ids[:, 1:]].astype(np.int64), real, PASSES, RATE)
+        ids = np.concatenate(parts).reshape(-1, attention.WINDOW + 1)
+        real = ids[:, 1:] != _AFTER
+        ids = np.where(ids == _AFTER, lex.end, ids.astype(np.int32))
+        trained = attention.train(attention.unflat(start), lex, ids, real, PASSES, RATE)
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(len(ids))]), pa.array([attention.flat(trained).astype("<f4").tobytes()], pa.binary())],
             ["trainer", "weight", "p"],
@@ -189,7 +185,7 @@ def _mean(group: pd.DataFrame) -> pd.DataFrame:
 def train_model(windows: DataFrame, lex: attention.Lexicon) -> attention.Params:
     """Rounds of training on all windows, each followed by an average over the trainers."""
     n = windows.count()
-    params = attention.flat(attention.initial(lex.class_share))
+    params = attention.flat(attention.initial(lex.class_share, rows=len(lex.row)))
     trainers = max(1, math.ceil(n / TRAINER_WINDOWS))
     shares = windows.repartition(trainers, "k").sortWithinPartitions("k", "ids")
     for _ in range(ROUNDS if n else 0):

@@ -129,3 +129,62 @@ def test_empty_table_and_nothing_to_train_on(spark):
     assert lm.scores(df.limit(0)).count() == 0
     out = lm.scores(df.where(lm.held_out(F.col("doc_id")))).collect()
     assert out and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and r.score < 0 for r in out)
+
+
+def test_gradient_of_the_choices_against_differences():
+    rng, lex = np.random.default_rng(4), small_lexicon()
+    p = {k: x.astype(np.float64) for k, x in a.initial(lex.class_share, rows=301).items()}
+    p["t"] += rng.standard_normal(p["t"].shape) * 0.3
+    rows, ids, real = rng.integers(0, 20, (3, 9)), rng.integers(0, 300, (3, 9)), rng.random((3, 9)) < 0.8
+    place = np.flatnonzero(real.ravel())
+    way = lex.choices(place, ids.ravel()[place])
+    value = lambda: a.loss_and_gradient(p, rows, lex.cls[ids].astype(np.int64), real, way)
+    g = value()[1]
+    for k, at in [("t", (int(way.node[0]), 3)), ("d", (int(way.node[1]),)), ("w", (2, 5)), ("u", (1, 1)), ("E", (int(rows[0, 0]), 2)), ("v", (3, 3)), ("q", (0, 4))]:
+        was = p[k][at]
+        p[k][at] = was + 1e-5
+        up = value()[0]
+        p[k][at] = was - 1e-5
+        down = value()[0]
+        p[k][at] = was
+        assert abs((up - down) / 2e-5 - g[k][at]) < 1e-6, (k, at)
+
+
+def test_probabilities_of_all_subwords_sum_to_one():
+    rng, lex = np.random.default_rng(5), small_lexicon()
+    p = a.initial(lex.class_share, rows=301)
+    p["t"] += rng.standard_normal(p["t"].shape).astype(np.float32)
+    scorer = a.Scorer(p, lex)
+    # Without the end after it, each text of one subword leaves the probability of that subword.
+    first = scorer.score([np.array([x]) for x in range(300)]) - [_last(p, lex, [x]) for x in range(300)]
+    assert abs((10.0**first).sum() + 10.0 ** scorer.score([np.array([], int)])[0] - 1) < 1e-4
+    assert not np.allclose(first, a.Scorer(a.initial(lex.class_share, rows=301), lex).score([np.array([x]) for x in range(300)]) - [_last(p, lex, [x]) for x in range(300)])
+
+
+def _last(p, lex, ids):
+    """log10 probability of the end after the ids; the end is a class of its own."""
+    e = p["E"][lex.row[[lex.end, *ids]]].astype(np.float64)
+    s = (e[-1] @ p["q"]) @ (e @ p["k"]).T / np.sqrt(a.WIDTH) + p["far"][np.arange(len(e))[::-1]]
+    w = np.exp(s - s.max())
+    y = (w / w.sum()) @ (e @ p["v"]) @ p["o"] + e[-1] @ p["r"] + p["b"]
+    return (y[lex.cls[lex.end]] - y.max() - np.log(np.exp(y - y.max()).sum())) / np.log(10)
+
+
+def test_every_token_is_a_target_once(spark):
+    rows = [(1, "The river runs " * 700), (2, ""), (3, None), (None, "a b"), (4, "x " * 31), (5, "x " * 32)]
+    encoding = lm.vocabularies.byte_bpe()[0]
+    lex = a.lexicon(np.ones(encoding.n_vocab + 1, np.int64), [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)] + [b""])
+    got = lm.training_windows(spark.createDataFrame(rows, "doc_id long, text string"), lex, lm.vocabularies.FOLDER, lm.vocabularies.BYTE_BPE).collect()
+    targets = Counter(x for r in got for x in np.frombuffer(r.ids, np.uint16)[1:].tolist() if x != 65535)
+    expected = Counter(x for _, t in rows for w in (t or "").lower().split() for x in encoding.encode_ordinary(" " + w)) + Counter({lex.end: len(rows)})
+    assert targets == expected and len(set(lex.row.tolist())) == encoding.n_vocab + 1
+
+
+def test_context_bears_within_a_class(spark):
+    """Two subwords of one class, told apart only by the word before them."""
+    rng = random.Random(8)
+    pairs = [("north", "stone"), ("south", "stones")]
+    rows = [(i, " ".join(" ".join(rng.choice(pairs)) for _ in range(40))) for i in range(300)]
+    odd = [(1000, "north stone " * 20), (1001, "north stones " * 20)]
+    got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows + odd, "doc_id long, text string")).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] + 5
