@@ -54,8 +54,8 @@ _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?![^\
 _ITEM = rf"(?:{_WORD}|[0-9]+|(?:{_DOTS})(?![^\W_]))"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus {{1,3}})?{_WORD}(?:[ ,.()-]{{1,3}}{_ITEM})+|(?<![^\W_])(?:\+|plus {{1,3}})?[0-9]+(?:[ ,.()-]{{1,3}}{_ITEM})+", re.IGNORECASE)
 _SPELLED_ITEM = re.compile(rf"{_WORD}|[0-9]+|(?:{_DOTS})(?![^\W_])|plus|\+|[.]", re.IGNORECASE)
-#: Cheap test before _SPELLED: two spelled digits side by side.
-_TWO_WORDS = re.compile(rf"(?<![^\W_]){_WORD}[ ,.()-]{{1,3}}{_WORD}", re.IGNORECASE)
+#: Cheap test before _SPELLED: two spelled digits with at most numbers and dots between them.
+_TWO_WORDS = re.compile(rf"(?<![^\W_]){_WORD}(?:[ ,.()-]{{1,3}}(?:[0-9]++|(?:{_DOTS})(?![^\W_])))*[ ,.()-]{{1,3}}{_WORD}", re.IGNORECASE)
 _DISGUISED_AT = re.compile(rf" {{0,3}}[\[({{<] {{0,3}}(?:{_ATS}|@) {{0,3}}[\])}}>] {{0,3}}|(?<=[A-Za-z0-9])[_-](?:at|AT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
 _DISGUISED_DOT = re.compile(rf" {{0,3}}[\[({{<] {{0,3}}(?:{_DOTS}|\.) {{0,3}}[\])}}>] {{0,3}}|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
 #: Bare words count only as a whole address: local part, at, and a domain with bare or plain dots and a known end, of which one at least is disguised.
@@ -68,9 +68,13 @@ _BARE = re.compile(
 _BARE_IP = re.compile(rf"(?<![A-Za-z0-9])[0-9]{{1,3}}(?: {{1,3}}(?:{_DOTS}) {{1,3}}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.IGNORECASE)
 #: Letters that pass for digits, and a run in which they may stand for them.
 _LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
-_MIXED_HINT = re.compile(r"[0-9][ -]?[OolI]|[OolI][ -]?[0-9]")
-_MIXED = re.compile(r"(?<![^\W_])[0-9OolI](?:[ -]?[0-9OolI]){8,40}(?![^\W_])")
-# Ends of an address that bare words must lead to.
+_MIXED_HINT = re.compile(r"[0-9][ ().-]*+[OolI]|[OolI][ ().-]*+[0-9]")
+_MIXED = re.compile(r"(?<![^\W_])[0-9OolI]++(?![^\W_])(?:[ ().-]++[0-9OolI]++(?![^\W_]))*+")
+#: A letter by itself at the end of a run of longer groups is a word.
+_LONE_FIRST, _LONE_LAST = re.compile(r"[OolI] ++(?=[0-9OolI]{2})"), re.compile(r"(?<=[0-9OolI]{2}) ++[OolI]$")
+# Words of prose that neither begin nor end a domain of bare words.
+_PROSE = frozenset("a an the this that these those which what one each every any some my your his her its our their of and or to on by for from with as if when where while but than then so we he she they you who is was are were be will would has had have".split())
+# Ends of an address that are known by themselves; others count where both at and dot are disguised.
 _ENDS = frozenset("com org net edu gov mil int info biz name io co dev app ai eu uk de fr es pt it nl be at ch us ca mx br ar ru pl se no dk fi ie au nz jp cn in kr example test".split())
 _BARE_DOT = re.compile(rf" {{1,3}}(?:{_DOTS}|\.) {{1,3}}", re.IGNORECASE)
 #: One of these is in every text that the last transducer changes.
@@ -154,8 +158,12 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
     edits = []
     if _MIXED_HINT.search(text):
         for m in _MIXED.finditer(text):
-            if sum(c.isdigit() for c in m[0]) >= 6:
-                edits += [(m.start() + k, m.start() + k + 1, _LETTER_DIGITS[c]) for k, c in enumerate(m[0]) if c in _LETTER_DIGITS]
+            run = m[0]
+            # Detection judges what comes out, so a run of any length may be read as a number.
+            if any("0" <= c <= "9" for c in run) and any(c in _LETTER_DIGITS for c in run):
+                lo = first.end() if (first := _LONE_FIRST.match(run)) else 0
+                hi = last.start() if (last := _LONE_LAST.search(run, max(lo, len(run) - 64))) else len(run)
+                edits += [(m.start() + k, m.start() + k + 1, _LETTER_DIGITS[c]) for k, c in enumerate(run[:hi]) if k >= lo and c in _LETTER_DIGITS]
     return edits + _foreign(text)
 
 
@@ -181,6 +189,18 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _ends_address(m: re.Match, word_at: bool, dotted: bool) -> bool:
+    """Whether the end of a bare address is one: a known one, or any letters where at and dot are both disguised and it doesn't read as prose."""
+    last = re.split(r"[ .]", m["rest"])[-1].lower()
+    if last in _ENDS:
+        return True
+    if not (last.isalpha() and len(last) >= 2 and dotted and m["at"] != "@") or last in _PROSE:
+        return False
+    host = m[0][m.end("at") - m.start() : m.start("rest") - m.start()].lower()
+    # "at some point" is ordinary prose.
+    return host not in _PROSE and not (m["at"].strip().lower() == "at" and re.search(r" point ", m["rest"], re.IGNORECASE)) and (word_at or " . " not in m["rest"])
+
+
 def _addresses(text: str) -> list[tuple[int, int, str]]:
     lower = text.lower()
     if not any(h in lower for h in _HINTS):
@@ -194,7 +214,7 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
         dots = [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in ("lead", "rest") for d in _BARE_DOT.finditer(m[g])]
         word_at = m["at"].strip().lower() not in ("", "@")
         # " at " before a plain domain is ordinary prose; " @ " isn't.
-        if re.split(r"[ .]", m["rest"])[-1].lower() in _ENDS and (any(d[0] >= m.start("rest") for d in dots) or m["at"] != "@" and not word_at):
+        if _ends_address(m, word_at, any(d[0] >= m.start("rest") for d in dots)) and (any(d[0] >= m.start("rest") for d in dots) or m["at"] != "@" and not word_at):
             more += [*dots, *([(*m.span("at"), "@")] if m["at"] != "@" else [])]
     more += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _BARE_IP.finditer(view.text) for d in _BARE_DOT.finditer(m[0])]
     return taken + [(s, e, put) for a, b, put in more for s, e, _ in [view.back(a, b)]]

@@ -103,3 +103,31 @@ def test_redaction(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redacted(df).collect()}
     assert got == {1: ("a [EMAIL] b", 11), 2: (None, None), 3: ("", 0), 4: ("nothing", 7)}
+
+
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("dns eight dot eight dot eight dot eight here", "ip", "eight dot eight dot eight dot eight"),
+        ("call +1 five 55 zero 123 four 567 now", "phone", "+1 five 55 zero 123 four 567"),
+        ("call +1 (2O2) 555-Ol47 now", "phone", "+1 (2O2) 555-Ol47"),
+        ("host l92.168.O.1 is up", "ip", "l92.168.O.1"),
+        ("host 1O.O.O.1, up", "ip", "1O.O.O.1"),
+        ("so I 4lll 1111 1I11 1111 I paid", "card", "4lll 1111 1I11 1111"),
+        ("mail bob at mail dot shop now", "email", "bob at mail dot shop"),
+        ("mail bob arroba correo punto tienda", "email", "bob arroba correo punto tienda"),
+    ],
+)
+def test_disguises_without_narrow_gates(text, kind, source):
+    base, spans = pii.find(text)
+    assert [(text[s:e], pii.KINDS[k]) for s, k, e in spans if (s, k, e) not in base] == [(source, kind)]
+
+
+def test_prose_gets_nothing():
+    for clean in ("we arrive at some point during the day", "look at this point there", "meet me at the dot of noon", "I saw 10 or 2 of them", "a @ b . then", "1 of 5 or 6 (I think) - 7"):
+        assert pii.find(clean)[1] == []
+
+
+def test_new_patterns_take_linear_time():
+    for text in ("one 1 " * 50_000, "one " + "1 " * 100_000, "o. (" * 60_000, "1 " + "(" * 200_000, "l.1 " * 60_000, "o " * 100_000 + "1"):
+        pii.find(text)
