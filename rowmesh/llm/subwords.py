@@ -2,9 +2,10 @@
 
 Merges are taken from an agenda, best score first and leftmost of equal ones, as
 the vocabulary's own encoder does. When a candidate comes up, a keyed hash of its
-place decides whether it is skipped for good. Without dropout the result is that
-of the library; with it, other segmentations of the same text come out, which
-differ by key and variant but are the same on every run and machine.
+place, under the document's key and the stretch's place in the document, decides
+whether it is skipped for good. Without dropout the result is that of the library;
+with it, other segmentations of the same text come out, which differ by key, variant
+and place but are the same on every run and machine.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from . import vocabularies
 from .common import bounded_batches
 
-#: Share of candidate merges that are skipped, and among how many segmentations a document's id chooses.
-DROPOUT, VARIANTS = 0.1, 4
+#: Share of candidate merges that are skipped, and among how many keys a document's id chooses: all that the variant's type holds.
+DROPOUT, VARIANTS = 0.1, 1 << 31
 #: Segmentations that a worker remembers at most (about 200 bytes each), and the longest stretch worth remembering.
 REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
 
@@ -106,6 +107,21 @@ def _skipped(base: int, start: int, mid: int, end: int, skip: int) -> bool:
     return x ^ x >> 15 < skip
 
 
+def _lowest(x: np.ndarray, skip: int) -> np.ndarray:
+    """The test of _skipped() for many sums of base and place."""
+    x = (x ^ x >> 15) * np.uint32(0x2C1B3C6D)
+    x = (x ^ x >> 12) * np.uint32(0x297A2D39)
+    return (x ^ x >> 15) < skip
+
+
+def _bases(own: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash bases of stretches from their own hashes, their documents' keys and their places there."""
+    x = (own ^ keys << np.uint64(32)) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (x ^ x >> np.uint64(31)) & np.uint64(0xFFFFFFFF)
+
+
 def _merged(v: Vocabulary, s: str, base: int, skip: int) -> list[int]:
     """Ids of one stretch of any length; `base` is its own hash."""
     out: list[int] = []
@@ -144,9 +160,11 @@ def _by_heap(v: Vocabulary, s: str, base: int, skip: int) -> list[int]:
     return [e for e in end if e]
 
 
-def merged_together(v: Vocabulary, stretches: list[str], bases: np.ndarray, skip: int) -> list[bytes | None]:
+def merged_together(v: Vocabulary, stretches: list[str], bases: np.ndarray, skip: int, trace: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes | None]:
     """Ids of many short stretches (2 bytes each, native order), merged in step; None where one has a character that no piece holds.
 
+    Into `trace` goes, step by step, which stretches had a candidate and what its place adds to the base.
+
     Each stretch is a row of symbols linked by the places of their neighbours. In
     each step every row takes its best candidate, the leftmost of equal ones, and
     merges or skips it.
@@ -175,11 +193,12 @@ def merged_together(v: Vocabulary, stretches: list[str], bases: np.ndarray, skip
             live, k, row, at = live[open_], k[open_], row[open_], at[open_]
         mid = A[at]
         end = A[row + mid]
+        if skip or trace is not None:
+            spot = k.astype(np.uint64) * 0x9E3779B1 + mid.astype(np.uint64) * 0x85EBCA77 + end.astype(np.uint64) * 0xC2B2AE3D
+        if trace is not None:
+            trace.append((live, spot.astype(np.uint32)))
         if skip:
-            x = (bases[live] + k.astype(np.uint64) * 0x9E3779B1 + mid.astype(np.uint64) * 0x85EBCA77 + end.astype(np.uint64) * 0xC2B2AE3D).astype(np.uint32)
-            x = (x ^ x >> 15) * np.uint32(0x2C1B3C6D)
-            x = (x ^ x >> 12) * np.uint32(0x297A2D39)
-            over = (x ^ x >> 15) < skip
+            over = _lowest((bases[live] + spot).astype(np.uint32), skip)
             W[at[over]] = _LAST
             go = ~over
             row, at, mid, end = row[go], at[go], mid[go], end[go]
@@ -208,7 +227,12 @@ _SHORT, _TOGETHER = (8, 16, 40), 16_384
 
 
 class Encoder:
-    """Encodes whole texts under one key. A worker remembers what stretches gave, up to a bound."""
+    """Encodes whole texts under one key.
+
+    A worker remembers, up to a bound, what stretches give where nothing is
+    skipped, and the candidates on the way there. Where a document's hashes skip
+    none of these, that is the result; else the stretch is merged anew.
+    """
 
     def __init__(self, v: Vocabulary, dropout: float = DROPOUT, key: int = 0):
         if not 0 <= dropout <= 1:
@@ -216,41 +240,49 @@ class Encoder:
         if max(v.ids.values()) >= 1 << 16:
             raise ValueError("ids go into two bytes")
         self.v, self.key, self.skip = v, key, round(dropout * 2**32)
-        # Two generations by variant: what is met again moves to the younger; the older goes when the younger is full.
-        self.young: dict[int, dict[str, bytes]] = {}
-        self.old: dict[int, dict[str, bytes]] = {}
-        self.size = 0
+        # Two generations: what is met again moves to the younger; the older goes when the younger is full.
+        self.young: dict[int, dict[str, tuple]] = {0: {}}
+        self.old: dict[int, dict[str, tuple]] = {0: {}}
 
-    def _stretch(self, s: str, key: int) -> bytes:
+    def _stretch(self, s: str, base: int) -> bytes:
         # A blank sign of the source is no blank: it goes through the byte pieces, so that decoding gives it back.
         out = array("H")
         for k, part in enumerate(s.split(_BLANK)):
             if k:
                 out.extend(self.v.bytes_ids[b] for b in _BLANK_BYTES)
             if part:
-                out.extend(_merged(self.v, part, xxhash.xxh32_intdigest(part.encode(), key) if self.skip else 0, self.skip))
+                out.extend(_merged(self.v, part, base + k * 0x9E3779B1 & 0xFFFFFFFF, self.skip))
         return out.tobytes()
 
-    def _new(self, stretches: list[str], variant: int) -> dict[str, bytes]:
-        key = xxhash.xxh32_intdigest(b"%d %d" % (self.key, variant)) if self.skip else 0
-        found: dict[str, bytes] = {}
+    def _new(self, stretches: list[str]) -> dict[str, tuple[bytes | None, bytes, int]]:
+        """Of each stretch its ids where nothing is skipped, the candidates on the way (4 bytes each), and its own hash; no ids where it must be merged by itself."""
+        found: dict[str, tuple[bytes | None, bytes, int]] = {}
         least = 0
         for most in _SHORT:
             some = [s for s in stretches if least < len(s) <= most]
             least = most
             for at in range(0, len(some), _TOGETHER):
-                part = some[at : at + _TOGETHER]
-                bases = np.fromiter((xxhash.xxh32_intdigest(s.encode(), key) for s in part), np.uint64, len(part)) if self.skip else np.zeros(len(part), np.uint64)
-                found.update(zip(part, merged_together(self.v, part, bases, self.skip)))
+                part, trace = some[at : at + _TOGETHER], []
+                ids = merged_together(self.v, part, np.zeros(len(part), np.uint64), 0, trace)
+                rows = np.concatenate([r for r, _ in trace] or [np.zeros(0, np.int64)])
+                spots = np.concatenate([x for _, x in trace] or [np.zeros(0, np.uint32)])[np.argsort(rows, kind="stable")].tobytes()
+                ends = (4 * np.cumsum(np.bincount(rows, minlength=len(part)))).tolist()
+                found.update((s, (x, spots[a:b], xxhash.xxh32_intdigest(s.encode()))) for s, x, a, b in zip(part, ids, [0, *ends], ends))
         for s in stretches:
-            if found.get(s) is None:
-                found[s] = self._stretch(s, key)
+            if s not in found:
+                found[s] = (None, b"", xxhash.xxh32_intdigest(s.encode()))
         return found
 
     def encode_all(self, texts: list[str | None], variants: list[int]) -> list[np.ndarray]:
         """Ids (uint16) of each whole text; none for an empty or null one. A blank is put before a text, as the model has it."""
         out = [bytearray() for _ in texts]
         parts = [(k, part) for k, text in enumerate(texts) if text for part in _parts(" " + text)]
+        # Where each part begins in its text.
+        sizes = np.array([len(part) for _, part in parts], np.int64)
+        upto = np.cumsum(sizes) - sizes
+        of = np.array([k for k, _ in parts], np.int64)
+        begins = upto - upto[np.searchsorted(of, of)] if len(of) else upto
+        keys = [xxhash.xxh32_intdigest(b"%d %d" % (self.key, variant)) for variant in variants]
         at = 0
         while at < len(parts):
             # A group of parts holds a few million characters at most, whatever the texts' lengths.
@@ -258,27 +290,65 @@ class Encoder:
             while to < len(parts) and (to == at or size + len(parts[to][1]) <= 2 * PART):
                 size += len(parts[to][1])
                 to += 1
-            self._group(parts[at:to], variants, out)
+            self._group(parts[at:to], begins[at:to], keys, out)
             at = to
         return [np.frombuffer(bytes(x), np.uint16) for x in out]
 
-    def _group(self, parts: list[tuple[int, str]], variants: list[int], out: list[bytearray]) -> None:
-        cut = [(k, self.v.stretch.findall(part)) for k, part in parts]
-        for variant in {variants[k] for k, _ in cut}:
-            mine = [(k, stretches) for k, stretches in cut if variants[k] == variant]
-            young, old = self.young.setdefault(variant, {}), self.old.get(variant, {})
-            seen = {s for _, stretches in mine for s in stretches}
-            table = {s: ids for s in seen if (ids := young.get(s) or old.get(s)) is not None}
-            table |= self._new([s for s in seen if s not in table], variant)
-            for k, stretches in mine:
-                out[k] += b"".join(map(table.__getitem__, stretches))
-            for s, ids in table.items():
-                if len(s) <= LONGEST_REMEMBERED and s not in young:
-                    if self.size >= REMEMBERED // 2:
-                        self.old, self.young, self.size = self.young, {}, 0
-                        young = self.young.setdefault(variant, {})
-                    young[s] = ids
-                    self.size += 1
+    def _group(self, parts: list[tuple[int, str]], begins: np.ndarray, keys: list[int], out: list[bytearray]) -> None:
+        cut = [self.v.stretch.findall(part) for _, part in parts]
+        counts = np.array(list(map(len, cut)), np.int64)
+        all_ = [s for stretches in cut for s in stretches]
+        table = self._table(set(all_))
+        number = {s: k for k, s in enumerate(table)}
+        which = np.fromiter(map(number.__getitem__, all_), np.int64, len(all_))
+        entries = list(table.values())
+        done = [entries[k][0] for k in which.tolist()]
+        if self.skip:
+            sizes = np.fromiter(map(len, all_), np.int64, len(all_))
+            ends = np.cumsum(sizes)
+            firsts = np.cumsum(counts) - counts
+            part_begin = begins - (ends - sizes)[np.minimum(firsts, len(all_) - 1)]
+            at = ends - sizes + np.repeat(part_begin, counts)
+            own = np.array([e[2] for e in entries], np.uint64)
+            bases = _bases(own[which], np.repeat(np.array([keys[k] for k, _ in parts], np.uint64), counts), at)
+            spots = np.frombuffer(b"".join(e[1] for e in entries), np.uint32)
+            n = np.array([len(e[1]) // 4 for e in entries], np.int64)
+            starts, mine = (np.cumsum(n) - n)[which], n[which]
+            place = np.repeat(starts - np.cumsum(mine) + mine, mine) + np.arange(mine.sum())
+            over = _lowest(np.repeat(bases.astype(np.uint32), mine) + spots[place], self.skip)
+            changed = np.unique(np.repeat(np.arange(len(all_)), mine)[over])
+            least = 0
+            for most in _SHORT:
+                some = changed[(sizes[changed] > least) & (sizes[changed] <= most)]
+                least = most
+                for k in range(0, len(some), _TOGETHER):
+                    part = some[k : k + _TOGETHER].tolist()
+                    for i, ids in zip(part, merged_together(self.v, [all_[i] for i in part], bases[part], self.skip)):
+                        done[i] = ids
+        alone: dict[tuple[str, int], bytes] = {}
+        for i, ids in enumerate(done):
+            if ids is None:
+                base = int(bases[i]) if self.skip else 0
+                if (found := alone.get((all_[i], base))) is None:
+                    found = alone[all_[i], base] = self._stretch(all_[i], base)
+                done[i] = found
+        i = 0
+        for (k, _), n_mine in zip(parts, counts.tolist()):
+            out[k] += b"".join(done[i : i + n_mine])
+            i += n_mine
+
+    def _table(self, seen: set[str]) -> dict[str, tuple[bytes | None, bytes, int]]:
+        """What is remembered, or found now, of each stretch."""
+        young, old = self.young[0], self.old[0]
+        table = {s: known for s in seen if (known := young.get(s) or old.get(s)) is not None}
+        table |= self._new([s for s in seen if s not in table])
+        for s, known in table.items():
+            if len(s) <= LONGEST_REMEMBERED and s not in young:
+                if len(young) >= REMEMBERED // 2:
+                    self.old[0], self.young[0] = young, {}
+                    young = self.young[0]
+                young[s] = known
+        return table
 
     def encode(self, text: str | None, variant: int = 0) -> list[int]:
         """Ids of one whole text."""

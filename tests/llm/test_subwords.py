@@ -111,3 +111,37 @@ def test_queries(spark):
     assert sorted((r.doc_id or -1, len(r.ids)) for r in tokens.collect()) == sorted((r.doc_id or -1, r.n_tokens) for r in got)
     assert sorted((r.doc_id or -1, r.text) for r in s.decoded(tokens).collect()) == sorted((i or -1, t or "") for i, t in rows)
     assert s.encoded_digests(df.limit(0)).count() == 0 and s.encoded(df.limit(0)).count() == 0
+
+
+def test_dropout_differs_by_place_and_document():
+    encoder = s.Encoder(V, 0.1)
+    ways = set()
+    for document in range(40):
+        rest, found = encoder.encode("international " * 30, document), []
+        assert s.decode(V, rest) == "international " * 30
+        word = []
+        for i in rest:
+            if V.bytes[i].startswith(b" ") and word:
+                found.append(tuple(word))
+                word = []
+            word.append(i)
+        ways |= set(found)
+        assert len(set(found)) > 1
+    assert len(ways) > 4
+    assert len({s.variant_of(i, s.VARIANTS) for i in range(100)}) == 100
+
+
+def test_remembered_stretches_against_merging_each(monkeypatch):
+    texts = [" ".join(samples()[:30]), *samples(), "a▁b ▁▁ " * 40]
+    encoder = s.Encoder(V, 0.2, key=3)
+    got = encoder.encode_all(texts, list(range(len(texts))))
+    for variant, (text, ids) in enumerate(zip(texts, got)):
+        expected, at = [], 0
+        for part in V.stretch.findall(" " + text) if text else []:
+            own = s.np.array([s.xxhash.xxh32_intdigest(part.encode())], s.np.uint64)
+            key = s.np.array([s.xxhash.xxh32_intdigest(b"3 %d" % variant)], s.np.uint64)
+            expected += s.np.frombuffer(encoder._stretch(part, int(s._bases(own, key, s.np.array([at]))[0])), s.np.uint16).tolist()
+            at += len(part)
+        assert ids.tolist() == expected
+    monkeypatch.setattr(s, "PART", 300)
+    assert [x.tolist() for x in s.Encoder(V, 0.2, key=3).encode_all(texts, list(range(len(texts))))] == [x.tolist() for x in got]
