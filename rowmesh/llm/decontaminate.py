@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits. A seed is the hash of six tokens at the
+Tokens are runs of Unicode letters, marks and digits; where a script sets no blanks
+between words, each character is a token. A seed is the hash of six tokens at the
 places of a fixed mask; the places between are ignored, so a substituted token
 there doesn't break the seed. The masks below hit every stretch of 12 tokens with
 at most 2 substitutions (a test proves it). Seeds of the benchmark are looked up
@@ -11,6 +12,7 @@ side by side: an overlap is the longest stretch with at least 80 % equal tokens.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,18 +40,30 @@ _SLICE = 1 << 20
 _rng = np.random.default_rng(20)
 _ODD = lambda n: _rng.integers(0, 2**64, n, np.uint64) | np.uint64(1)
 _BYTE, _BASE, _TIMES = _ODD(256), int(_ODD(1)[0]), _ODD(64)
-_CLASS = np.zeros(256, bool)
-for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _CLASS[_a:_b] = True
+# Kana, ideographs, and the scripts of South-East Asia that are written without blanks.
+_SINGLE = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAA60, 0xAA80), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x32000))
 _BYTE[65:91] = _BYTE[97:123]
 
 
-def _powers(base: int) -> np.ndarray:
-    factors = np.full(_SLICE + 1, base, np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n + 1, base, np.uint64)
     factors[0] = 1
     return np.multiply.accumulate(factors)
 
 
+_classes: list[np.ndarray] = []
+
+
+def _class_of(points: np.ndarray) -> np.ndarray:
+    """0 for separators, 1 for what makes up words, 2 for characters that are tokens by themselves."""
+    if not _classes:
+        found = np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)), np.uint8, 0x110000)
+        for lo, hi in _SINGLE:
+            found[lo:hi] *= 2
+        _classes.append(found)
+    return _classes[0][points]
+
+
 _tables: list[np.ndarray] = []
 
 
@@ -66,48 +80,46 @@ class Tokens:
 def tokens(texts: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray]:
     """The tokens of an Arrow array of texts (null as empty), A-Z lower-cased; the texts' bytes, and where each text begins in them.
 
-    Long arrays are worked off in slices. A run of over 255 bytes without a
-    separator may be cut in two where a slice ends.
+    Long arrays are worked off in slices, which are cut between tokens.
     """
-    if not _tables:
-        _tables.extend((_powers(_BASE), _powers(pow(_BASE, -1, 2**64))))
     texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    none = np.zeros(0, np.int64)
     if not len(texts) or offsets[-1] == offsets[0]:
-        none = np.zeros(0, np.int64)
         return Tokens(none.astype(np.uint64), none, none, none), np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    parts = []
-    for at in range(0, len(data), _SLICE - 256):
-        lo, hi = _cut(data, at), _cut(data, at + _SLICE - 256)
-        if lo < hi:
-            parts.append(_slice_tokens(data, lo, hi, offsets))
-    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts))
-    return Tokens(hashes, starts, ends, np.searchsorted(offsets, starts, "right") - 1), data, offsets
-
-
-def _cut(data: np.ndarray, at: int) -> int:
-    """at, or the nearest place at most 255 bytes before it that follows a separator."""
-    if at <= 0 or at >= len(data):
-        return max(0, min(at, len(data)))
-    other = np.flatnonzero(~_CLASS[data[max(0, at - 255) : at]])
-    return at if not len(other) else max(0, at - 255) + int(other[-1]) + 1
-
-
-def _slice_tokens(data: np.ndarray, lo: int, hi: int, offsets: np.ndarray):
-    piece = data[lo:hi]
-    inside = _CLASS[piece]
-    first = np.zeros(len(piece) + 1, bool)
-    first[0] = True
-    first[offsets[(offsets >= lo) & (offsets < hi)] - lo] = True
-    before = np.r_[False, inside[:-1]]
-    starts = np.flatnonzero(inside & (~before | first[:-1]))
-    after = np.r_[inside[1:], False]
-    ends = np.flatnonzero(inside & (~after | np.r_[first[1:-1], True])) + 1
+    starts, ends = _places(data, offsets)
+    hashes, at = [none.astype(np.uint64)], 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _SLICE, "right")))
+        hashes.append(_hashes(data, starts[at:to], ends[at:to]))
+        at = to
+    return Tokens(np.concatenate(hashes), starts, ends, np.searchsorted(offsets, starts, "right") - 1), data, offsets
+
+
+def _places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-plus-one byte of each token."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    kind = _class_of(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32))
+    sizes = np.diff(np.r_[lead, len(data)])
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    before = np.r_[np.uint8(0), kind[:-1]]
+    begins = (kind > 0) & ((before != 1) | (kind == 2) | first[lead])
+    stops = (kind > 0) & np.r_[(kind[1:] == 0) | begins[1:], True]
+    return lead[begins], (lead + sizes)[stops]
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    piece = data[starts[0] : ends[-1]]
+    if not _tables or len(_tables[0]) < len(piece):
+        n = max(_SLICE, len(piece))
+        _tables[:] = _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
     sums = np.zeros(len(piece) + 1, np.uint64)
     np.cumsum(_BYTE[piece] * _tables[0][: len(piece)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * _tables[1][starts], starts + lo, ends + lo
+    starts, ends = starts - starts[0], ends - starts[0]
+    return (sums[ends] - sums[starts]) * _tables[1][starts]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:

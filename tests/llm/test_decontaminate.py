@@ -107,3 +107,19 @@ def test_empty_tables(spark):
     assert d.benchmark_overlaps(docs.limit(0), items).count() == 0
     assert d.benchmark_overlaps(docs, items.limit(0)).count() == 0
     assert d.drop_contaminated(docs, items.limit(0)).count() == docs.count()
+
+
+def test_other_scripts_and_dashes(spark):
+    items = [(1, "春天的河水流过石头和绿色的田野然后进入大海"), (2, " ".join(f"word{i}" for i in range(15))), (3, "ฉันชอบกินข้าวกับปลาในตอนเช้า")]
+    docs = [(1, "很久以前有人说" + items[0][1] + "所以大家都知道了"), (2, items[1][1].replace("word6 word7", "word6—word7").replace("word9 ", "word9 – ")), (3, "วันนี้" + items[2][1] + "ครับ"), (4, "别的句子在这里没有相同的地方")]
+    rows = d.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (2, 2), (3, 3)}
+    assert next(docs[0][1][r.doc_start : r.doc_end] for r in rows if r.doc_id == 1) == items[0][1]
+
+
+def test_long_runs_are_not_cut(monkeypatch):
+    monkeypatch.setattr(d, "_SLICE", 300)
+    monkeypatch.setattr(d, "_tables", [])
+    for lead in range(0, 300, 37):
+        t, _, _ = d.tokens(pa.array(["a " * lead + "é" * 1000, "é" * 1000]))
+        assert len(t.hashes) == lead + 2 and t.hashes[-1] == t.hashes[-2]
