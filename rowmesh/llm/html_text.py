@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("script style title textarea iframe noembed noframes xmp noscript template object embed svg math canvas video audio nav footer aside form button select menu dialog search".split())
+DROPPED = frozenset("script style title textarea iframe noembed noframes xmp noscript template object embed svg math canvas video audio button select".split())
+#: Dropped unless they turn out to hold the article.
+FRAME = frozenset("nav footer aside form menu dialog search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption center".split())
 TAG_POINTS = {"article": 25, "main": 15, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "address": -3, "th": -5}
@@ -38,6 +41,10 @@ FOREIGN = frozenset(
 )
 ALWAYS_FOREIGN = FOREIGN - {"ad", "ads", "side", "foot", "header", "banner", "social", "notice", "hidden", "search", "alert"}
 OWN = frozenset("article articles post entry content contents body text main story page blog hentry".split())
+#: Foreign even where the name also says content: what readers wrote, and other articles.
+OTHERS = frozenset("comment comments respond discussion disqus reply replies related recommended recommendations".split())
+#: A class that begins with one of these says what a page has or lacks, not what the element is.
+STATES = frozenset("has have no with without not show hide supports enable enabled disable disabled".split())
 #: What a start of each of these ends, and where the search for it stops.
 CLOSES = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
@@ -45,66 +52,69 @@ CLOSES = {
 }
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+# A quote only opens a value right after "="; one that never closes is an ordinary character. So a tag fails to match only if no ">" follows.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _INTERESTING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-#: Longest tag that is read as one; a longer "tag" ends at its first ">".
-_LONGEST_TAG = 1 << 16
 
 
 class Element:
-    __slots__ = ("tag", "parent", "names", "gone", "kids", "link", "number", "last", "points", "chars", "linked")
+    """An element; `gone` if it is dropped, `doubt` if it is dropped unless it turns out to hold the article."""
+
+    __slots__ = ("tag", "parent", "names", "gone", "doubt", "depth", "within", "kids", "link", "number", "last", "points", "chars", "linked", "weight", "cores")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.kids = tag, parent, []
         self.names: frozenset[str] = frozenset()
-        self.gone = tag in DROPPED
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.gone, self.doubt = tag in DROPPED, tag in FRAME
         self.link = tag == "a" or parent is not None and parent.link
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        #: Whether an article or main element lies around this one.
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
+        self.points, self.chars, self.linked, self.weight, self.cores = 0.0, 0, 0, 0, 0
         if attributes and _INTERESTING.search(attributes):
             self._read(attributes)
-        if tag == "header" and not self._within_article():
-            self.gone = True
-
-    def _within_article(self) -> bool:
-        up = self.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is not None
+        if tag == "header" and not self.within:
+            self.doubt = True
 
     def _read(self, attributes: str) -> None:
         words: list[str] = []
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
-                words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+                for whole in value.split():
+                    found = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", whole).lower())
+                    if found and (len(found) == 1 or found[0] not in STATES):
+                        words += found
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
-                self.gone = True
+                self.doubt = True
         self.names = frozenset(words)
         if self.tag not in ("html", "body", "article", "main") and (self.names & ALWAYS_FOREIGN or self.names & FOREIGN and not self.names & OWN):
-            self.gone = True
+            self.doubt = True
         if self.tag in ("article", "section") and self.names & {"comment", "comments", "reply", "replies", "respond"}:
-            self.gone = True
+            self.doubt = True
 
 
 def parse(page: str) -> Element:
     """The page as a tree; text lies in kids as strings, character references still in it. Any input gives a tree."""
     root = top = Element("html", None)
-    open_tags: dict[str, int] = {"html": 1}
+    #: Depths of the open elements of each tag.
+    open_tags: dict[str, list[int]] = {"html": [0]}
     at, n, last_end = 0, len(page), page.rfind(">")
+    deepest = lambda tags: max((d[-1] for t in tags if (d := open_tags.get(t))), default=-1)
 
-    def close(tags: frozenset[str], stop: frozenset[str]) -> None:
+    def leave() -> None:
         nonlocal top
-        if not any(open_tags.get(t) for t in tags):
-            return
-        up = top
-        while up is not None and up.tag not in stop:
-            if up.tag in tags and up.parent is not None:
-                while top is not up.parent:
-                    open_tags[top.tag] -= 1
-                    top = top.parent
-            up = up.parent
+        open_tags[top.tag].pop()
+        top = top.parent
+
+    def close(tags: frozenset[str], stop: frozenset[str]) -> None:
+        """End the open elements of these tags that lie within the innermost of `stop`."""
+        least = deepest(stop)
+        while (depth := deepest(tags)) > least:
+            while top.depth >= depth:
+                leave()
 
     while at < n:
         lt = page.find("<", at)
@@ -120,7 +130,7 @@ def parse(page: str) -> Element:
         if page[lt + 1 : lt + 2] in ("!", "?"):
             at = page.find(">", lt) + 1 or n
             continue
-        m = _TAG.match(page, lt, min(n, lt + _LONGEST_TAG))
+        m = _TAG.match(page, lt)
         if m is None:
             nxt = page[lt + 1 : lt + 3]
             if nxt[:1].isalpha() and nxt.isascii() or nxt[:1] == "/":
@@ -137,10 +147,8 @@ def parse(page: str) -> Element:
                     top.kids.append(" ")
                 continue
             while top.tag != tag:
-                open_tags[top.tag] -= 1
-                top = top.parent
-            open_tags[tag] -= 1
-            top = top.parent
+                leave()
+            leave()
             continue
         if tag in ("html", "head"):
             continue
@@ -164,7 +172,7 @@ def parse(page: str) -> Element:
         if m[3].endswith("/") and tag in ("svg", "path", "use"):
             continue
         top = _under(top, tag, m[3])
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        open_tags.setdefault(tag, []).append(top.depth)
     return root
 
 
@@ -174,6 +182,51 @@ def _under(parent: Element, tag: str, attributes: str) -> Element:
     return kid
 
 
+def settle(root: Element) -> None:
+    """Decide every doubtful element by what it holds, and mark those that go.
+
+    The weight of an element is its text outside links and dropped elements. A
+    doubtful one stays if it holds half of the page's weight and, unless it is a form or
+    its own name says content, also every article and main element of the page (or,
+    on a page without these, its first-level headings). If nothing is left so, those
+    with half of the weight stay, but no menus, footers and the like.
+    """
+    order = [root]
+    for node in order:
+        order += [k for k in node.kids if isinstance(k, Element) and not k.gone]
+    marks = ("article", "main")
+    if not any(x.tag in marks and not x.doubt for x in order):
+        marks = ("h1",)
+    for node in reversed(order):
+        node.weight += 0 if node.link else sum(len(k) - k.count(" ") for k in node.kids if isinstance(k, str) and not k.isspace())
+        node.cores += node.tag in marks and not node.doubt
+        if node.parent is not None:
+            node.parent.weight += node.weight
+            node.parent.cores += node.cores
+    unsure = [x for x in order if x.doubt]
+    for x in unsure:
+        large = 2 * x.weight >= root.weight and x.weight > 0
+        named = x.tag == "form" or x.names & OWN and not x.names & OTHERS and x.tag not in FRAME
+        x.gone = not (large and (named or 0 < x.cores == root.cores))
+    if root.weight and unsure and not _left(root):
+        for x in unsure:
+            x.gone = x.gone and (2 * x.weight < root.weight or x.tag in FRAME and x.tag != "form")
+
+
+def _left(root: Element) -> bool:
+    """Whether any text is left outside what goes."""
+    nodes = [root]
+    while nodes:
+        node = nodes.pop()
+        for k in node.kids:
+            if isinstance(k, str):
+                if not k.isspace() and k:
+                    return True
+            elif not k.gone:
+                nodes.append(k)
+    return False
+
+
 def blocks(root: Element) -> tuple[list[tuple[Element, str]], list[Element]]:
     """(block element, its text) in page order, white space made one and ends trimmed, and all kept elements in page order."""
     out: list[tuple[Element, str]] = []
@@ -224,7 +277,9 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line ends; empty for a null or empty page."""
     if not page:
         return ""
-    found, order = blocks(parse(page))
+    root = parse(page)
+    settle(root)
+    found, order = blocks(root)
     if not found:
         return ""
     for node in order:
@@ -255,8 +310,10 @@ def main_text(page: str | None) -> str:
     chosen = [best]
     if best.parent is not None:
         chosen += _siblings(best, score)
-    spans = [(x.number, x.last) for x in chosen]
-    return "\n".join(text for node, text in found if any(a <= node.number < b for a, b in spans))
+    # Siblings don't overlap, so the last one that begins before a block decides.
+    chosen.sort(key=lambda x: x.number)
+    begins = [x.number for x in chosen]
+    return "\n".join(text for node, text in found if (k := bisect_right(begins, node.number)) and node.number < chosen[k - 1].last)
 
 
 def _siblings(best: Element, score) -> list[Element]:
@@ -290,7 +347,9 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page: the main text of the whole html (null as empty) and its code points.
 
-    Pages are read one by one, so equal rows give equal results; other columns don't matter.
+    Pages are read one by one, so equal rows give equal results, also those that
+    share a page_id or have none; other columns don't matter. A page without an
+    article, and a null or empty html, give an empty text; no pages give no rows.
     """
     bounded_batches(pages.sparkSession)
 
