@@ -4,24 +4,29 @@ Tokens are runs of Unicode letters, marks and digits; where a script sets no bla
 between words, each character is a token. A seed is the hash of six tokens at the
 places of a fixed mask; the places between are ignored, so a substituted token
 there doesn't break the seed. The masks below hit every stretch of 12 tokens with
-at most 2 substitutions (a test proves it). Seeds of the benchmark are looked up
-among those of the documents, and around each hit the two token sequences are laid
-side by side: an overlap is the longest stretch with at least 80 % equal tokens.
+at most 2 substitutions (a test proves it). Items under 12 tokens have one seed, of
+all their tokens. The seeds of the documents are joined with those of the benchmark,
+and where the two have one in common their token sequences are laid side by side at
+every shift that a common seed shows: an overlap is the longest stretch with at
+least 80 % equal tokens.
+
+One way for a benchmark of any size: a filter of fixed size, made of all benchmark
+seeds, goes to the tasks that read the documents; only documents with a seed that
+passes it are written with those seeds, and the join is made on these.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, written
 
 #: Fixed seed masks: the places, from a window's first token, that are hashed.
 MASKS = (
@@ -31,10 +36,12 @@ MASKS = (
 )
 #: Shortest overlap in tokens, and the share of them that must be equal.
 MIN_OVERLAP, MIN_EQUAL = 12, 0.8
-#: Items of at least this many tokens but under MIN_OVERLAP match whole and unchanged; shorter ones never do.
-MIN_ITEM = 6
-#: Benchmark text that one pass holds in each task; a larger benchmark is worked off in passes of this size.
-PASS_BYTES = 16 << 20
+#: Items of at least this many tokens but under MIN_OVERLAP match whole and unchanged. One or two words are no evidence of a leak, so shorter ones match nothing.
+MIN_ITEM = 3
+#: Bits of the filter that every task holds, whatever the benchmark's size (16 MB); it passes what isn't in the benchmark now and then, and never stops what is.
+FILTER_BITS = 1 << 27
+#: Pairs of places of repeated seeds that are written out; more are found by a convolution.
+PAIRS = 1 << 20
 
 _SLICE = 1 << 20
 _rng = np.random.default_rng(20)
@@ -143,63 +150,97 @@ def _masks(lengths: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
     return [(i + 1, m) for i, m in enumerate(MASKS)] + [(1000 + n, tuple(range(n))) for n in lengths]
 
 
-class Index:
-    """The seeds and tokens of a block of benchmark items, small enough to be sent to every task."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = np.array(ids, np.int64)
-        self.t, _, _ = tokens(pa.array(texts, pa.large_string()))
-        count = np.bincount(self.t.text, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
-        self.first = np.r_[0, np.cumsum(count)]
-        self.lengths = tuple(sorted({int(n) for n in count if MIN_ITEM <= n < MIN_OVERLAP}))
-        self.seeds = []
-        for salt, places in _masks(self.lengths):
-            at, h = _seeds(self.t, places, salt)
-            size = count[self.t.text[at]]
-            right = size >= MIN_OVERLAP if salt < 1000 else size == len(places)
-            at, h = at[right], h[right]
+def _item_seeds(t: Tokens, n_texts: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Seeds of benchmark texts: (salt, text, token of all tokens, hash) by mask; short items have one over all their tokens."""
+    count = np.bincount(t.text, minlength=n_texts)
+    found = []
+    for salt, places in _masks(tuple(sorted({int(n) for n in count if MIN_ITEM <= n < MIN_OVERLAP}))):
+        at, h = _seeds(t, places, salt)
+        size = count[t.text[at]]
+        right = size >= MIN_OVERLAP if salt < 1000 else size == len(places)
+        found.append((salt, t.text[at[right]], at[right], h[right]))
+    return found
+
+
+def _shifts(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """The different values of a place of `mine` minus a place of `theirs`, without writing out all pairs where they are many."""
+    if len(mine) * len(theirs) <= PAIRS:
+        return np.unique(mine[:, None] - theirs)
+    lo, hi = mine.min(), theirs.max()
+    a, b = np.zeros(mine.max() - lo + 1), np.zeros(hi - theirs.min() + 1)
+    a[mine - lo] = 1
+    b[hi - theirs] = 1
+    size = 1 << (len(a) + len(b) - 1).bit_length()
+    both = np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)
+    return np.flatnonzero(both > 0.5) + lo - hi
+
+
+class Sides:
+    """One text and the benchmark items that may overlap it."""
+
+    def __init__(self, text: str, items: list[str]):
+        self.x, self.data, _ = tokens(pa.array([text], pa.large_string()))
+        self.y, _, _ = tokens(pa.array(items, pa.large_string()))
+        self.first = np.searchsorted(self.y.text, np.arange(len(items) + 1))
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.item_seeds = _item_seeds(self.y, len(items))
+
+    def _mine(self, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the text's seeds, by hash."""
+        if salt not in self.seeds:
+            at, h = _seeds(self.x, MASKS[salt - 1] if salt < 1000 else tuple(range(salt - 1000)), salt)
             order = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[h >> np.uint64(44)] = True
-            self.seeds.append((salt, places, h[order], at[order], seen))
-
-    def candidates(self, t: Tokens) -> np.ndarray:
-        """Distinct (text, item, token of the text minus token of the item) with a common seed."""
-        found = []
-        for salt, places, hashes, tokens_at, seen in self.seeds:
-            at, h = _seeds(t, places, salt)
-            if not len(hashes) or not len(at):
+            self.seeds[salt] = at[order], h[order]
+        return self.seeds[salt]
+
+    def shifts(self, item: int) -> np.ndarray:
+        """Every token of the text minus token of the item at which the two have a seed in common, in order."""
+        found = [np.zeros(0, np.int64)]
+        for salt, of, at, h in self.item_seeds:
+            a, b = np.searchsorted(of, [item, item + 1])
+            if a == b:
                 continue
-            may = seen[h >> np.uint64(44)]
-            at, h = at[may], h[may]
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            my_at, my_h = self._mine(salt)
+            at, h = at[a:b] - self.first[item], h[a:b]
+            lo, hi = np.searchsorted(my_h, h, "left"), np.searchsorted(my_h, h, "right")
             n = hi - lo
-            if n.sum():
-                which = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                mine, theirs = np.repeat(at, n), tokens_at[which]
-                found.append(np.stack([t.text[mine], self.t.text[theirs], mine - theirs], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-
-    def overlaps(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int, int]]:
-        """(row, item id, equal tokens, tokens, first token in the item, first and last-plus-one code point in the text), the best of each row and item."""
-        t, data, offsets = tokens(texts)
-        of_text = np.searchsorted(t.text, np.arange(len(texts) + 1))
-        best: dict[tuple[int, int], tuple] = {}
-        for row, item, shift in self.candidates(t).tolist():
-            a, b = max(of_text[row], self.first[item] + shift), min(of_text[row + 1], self.first[item + 1] + shift)
-            equal = t.hashes[a:b] == self.t.hashes[a - shift : b - shift]
+            if n.sum() <= PAIRS:
+                which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append(np.unique(my_at[which] - np.repeat(at, n)))
+            else:
+                _, firsts = np.unique(h, return_index=True)
+                found += [_shifts(my_at[lo[k] : hi[k]], at[h == h[k]]) for k in firsts.tolist() if n[k]]
+        return np.unique(np.concatenate(found))
+
+    def overlap(self, item: int) -> tuple[int, int, int, int, int] | None:
+        """(equal tokens, tokens, first token in the item, first and last-plus-one code point in the text) of the best overlap: the longest, then the one with most equal tokens, then the first."""
+        x, y = self.x.hashes, self.y.hashes[self.first[item] : self.first[item + 1]]
+        best, where = (0, 0), None
+        for shift in self.shifts(item).tolist():
+            a, b = max(0, shift), min(len(x), len(y) + shift)
+            if b - a < best[0]:
+                continue
+            equal = x[a:b] == y[a - shift : b - shift]
+            n = int(equal.sum())
+            if len(y) < MIN_OVERLAP:
+                if n == len(y):
+                    best, where = (n, n), (a, b, 0)
+                    break
+                continue
+            if n < max(MIN_EQUAL * MIN_OVERLAP, MIN_EQUAL * best[0]):
+                continue
             s, e = longest(equal)
-            whole = self.first[item + 1] - self.first[item]
-            if e - s >= MIN_OVERLAP or whole < MIN_OVERLAP and equal.sum() == whole:
-                rank = (e - s, int(equal[s:e].sum()), -int(a + s))
-                if rank > best.get((row, item), ((0,),))[0]:
-                    best[row, item] = (rank, int(a + s), int(a + e), int(a + s - shift - self.first[item]))
-        out = []
-        for (row, item), (rank, s, e, at) in sorted(best.items()):
-            begin, upto = int(t.starts[s]), int(t.ends[e - 1])
-            chars = np.flatnonzero((data[offsets[row] : upto] & 0xC0) != 0x80)
-            out.append((row, int(self.ids[item]), rank[1], rank[0], at, int(np.searchsorted(chars, begin - offsets[row])), len(chars)))
-        return out
+            rank = (e - s, int(equal[s:e].sum()))
+            if e - s >= MIN_OVERLAP and rank > best:
+                best, where = rank, (a + s, a + e, a + s - shift)
+                # Nothing can be longer than the shorter of the two, and later shifts begin later.
+                if rank == (min(len(x), len(y)),) * 2:
+                    break
+        if where is None:
+            return None
+        begin, upto = int(self.x.starts[where[0]]), int(self.x.ends[where[1] - 1])
+        chars = np.flatnonzero((self.data[:upto] & 0xC0) != 0x80)
+        return best[1], best[0], where[2], int(np.searchsorted(chars, begin)), len(chars)
 
 
 def longest(equal: np.ndarray) -> tuple[int, int]:
@@ -219,60 +260,142 @@ def longest(equal: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def indexes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[Index]:
-    """The benchmark in blocks of about pass_bytes of text. Items of equal text count as the one of least id."""
-    items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / pass_bytes))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id").collect()
-        yield Index([-1 if r.item_id is None else r.item_id for r in rows], [r.text for r in rows])
+# Seeds of the benchmark
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item bigint, item_id, text), a row for each different text; the least item_id stands for equal ones, -1 for none."""
+    texts = benchmark.where("text is not null").groupBy(F.col("text").cast("string").alias("text")).agg(F.coalesce(F.min(F.col("item_id").cast("long")), F.lit(-1)).alias("item_id"))
+    return texts.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+
+
+def _seed_table(items: DataFrame) -> DataFrame:
+    """(h, item, salt): the different seeds of each item."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, _, _ = tokens(batch.column(1))
+            for salt, of, _, h in _item_seeds(t, batch.num_rows):
+                rows = np.unique(np.stack([of.astype(np.uint64), h]), axis=1)
+                mine = batch.column(0).take(pa.array(rows[0].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[1].astype(np.int64)), mine, pa.array(np.full(len(mine), salt, np.int32))], ["h", "item", "salt"])
+
+    return items.select("item", "text").mapInArrow(each, "h long, item long, salt int")
+
+
+def _probes(h: Column, bits: int) -> Column:
+    """The two places of a seed in the filter."""
+    return F.array(F.pmod(h.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), F.lit(bits)))
+
+
+def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The bits of all seeds, in bytes; its size doesn't depend on how many there are."""
+    places = seeds.select(F.explode(_probes(F.col("h"), bits)).alias("at")).select((F.col("at").cast("long") + 1).alias("at"))
+    maps = places.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
+    found = np.zeros((bits // 32768 + 1, 4096), np.uint8)
+    for k, part in zip(maps["k"].to_pylist(), maps["bits"].to_pylist()):
+        found[k - 1] = np.frombuffer(part, np.uint8)
+    return found.ravel()
+
 
+def _passes(held: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(h), bool)
+    for part in (h & np.uint64(0x7FFFFFFF), h >> np.uint64(32) & np.uint64(0x7FFFFFFF)):
+        at = part % np.uint64(bits)
+        ok &= (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return ok
 
-OVERLAPS = "doc_id long, item_id long, equal_tokens long, overlap_tokens long, item_token long, doc_start long, doc_end long"
 
+# Overlaps
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
+_KEY = ["k1", "k2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text with a key of 128 bits that equal texts share."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"), text.alias("text"))
+
+
+def _candidates(keyed: DataFrame, seeds: DataFrame, bits: int) -> DataFrame:
+    """The rows of keyed that have seeds which pass the filter, with these."""
+    lengths = tuple(sorted(r.salt - 1000 for r in seeds.where("salt > 1000").select("salt").distinct().collect()))
+    sent = keyed.sparkSession.sparkContext.broadcast(_filter(seeds, bits))
+    place = keyed.columns.index("text")
+    schema = keyed.withColumn("hs", F.array().cast("array<bigint>")).schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        for batch in batches:
+            t, _, _ = tokens(batch.column(place))
+            hits = []
+            for salt, places in _masks(lengths):
+                at, h = _seeds(t, places, salt)
+                ok = _passes(held, bits, h)
+                hits.append(np.stack([t.text[at[ok]].astype(np.uint64), h[ok]]))
+            rows, hs = np.unique(np.concatenate(hits, axis=1), axis=1)
+            which, n = np.unique(rows.astype(np.int64), return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(hs.astype(np.int64)))
+            some = batch.take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, lists], schema.names)
+
+    return keyed.mapInArrow(each, schema)
+
+
+OVERLAPS = "item_id long, equal_tokens long, overlap_tokens long, item_token long, doc_start long, doc_end long"
+#: Parts into which the items of one text are dealt, so that no row holds them all.
+_DEALT = 16
+
+
+def _verified(candidates: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
+    """(k1, k2, *OVERLAPS) of every different candidate text and item that overlap."""
+    pairs = candidates.select(*_KEY, F.explode("hs").alias("h")).join(seeds.select("h", "item"), "h").select(*_KEY, "item").distinct()
+    dealt = pairs.join(items, "item").groupBy(*_KEY, F.pmod(F.xxhash64("item"), F.lit(_DEALT)).alias("part")).agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"))).alias("items"))
+    texts = candidates.groupBy(*_KEY).agg(F.first("text").alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, text, mine in zip(range(batch.num_rows), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                sides = Sides(text, [m["item_text"] for m in mine])
+                out += [(row, m["item_id"], *found) for k, m in enumerate(mine) if (found := sides.overlap(k)) is not None]
+            if out:
+                columns = list(zip(*out))
+                keys = [batch.column(k).take(pa.array(columns[0], pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.int64()) for c in columns[1:])], [*_KEY, *(x.split()[0] for x in OVERLAPS.split(", "))])
+
+    return texts.join(dealt, _KEY).select(*_KEY, "text", "items").mapInArrow(each, f"k1 long, k2 long, {OVERLAPS}")
+
+
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """A row for each document and benchmark item that overlap: the longest overlap, and its code points in the text.
 
     Every row of docs is a document of its own, whatever its doc_id; a null text
     has no tokens and a null benchmark text no seeds. Of equal benchmark texts the
     least item_id stands for all (-1 where it is null). Of several overlaps with
     one item the longest counts, then the one with most equal tokens, then the
-    first. Empty tables give no rows. Only the columns named here are read.
+    first. Items of fewer than MIN_ITEM tokens match nothing, those under
+    MIN_OVERLAP only whole and unchanged. Empty tables give no rows. Only the
+    columns named here are read. filter_bits changes the effort, not the result.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    slim, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for index in indexes(benchmark, pass_bytes):
-        sent = spark.sparkContext.broadcast(index)
-
-        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hits = sent.value.overlaps(batch.column(1))
-                if hits:
-                    columns = list(zip(*hits))
-                    ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns[1:])], [x.split()[0] for x in OVERLAPS.split(", ")])
-
-        part = slim.mapInArrow(each, OVERLAPS)
-        found = part if found is None else found.unionByName(part)
-    return found
+    candidates, found = _found(docs, benchmark, filter_bits)
+    return candidates.select("doc_id", *_KEY).join(found, _KEY).drop(*_KEY)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The rows of docs, all columns, whose text overlaps no benchmark item; see benchmark_overlaps()."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    place = docs.columns.index("text")
-    for index in indexes(benchmark, pass_bytes):
-        sent = spark.sparkContext.broadcast(index)
+def _found(docs: DataFrame, benchmark: DataFrame, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    bounded_batches(docs.sparkSession)
+    items = written(_items(benchmark), "items")
+    seeds = written(_seed_table(items), "item-seeds")
+    candidates = written(_candidates(_keyed(docs), seeds, filter_bits), "candidates")
+    return candidates, written(_verified(candidates, seeds, items), "overlaps")
 
-        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[hit[0] for hit in sent.value.overlaps(batch.column(place))]] = False
-                yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(each, docs.schema)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs, all columns, whose text overlaps no benchmark item; see benchmark_overlaps().
+
+    A row with a null or empty text stays, and rows that repeat stay or go together.
+    """
+    _, found = _found(docs, benchmark, filter_bits)
+    text = F.col("text").cast("string")
+    marked = docs.withColumns({"_rm_k1": F.xxhash64(F.lit(1), text), "_rm_k2": F.xxhash64(F.lit(2), text)})
+    return marked.join(found.select(F.col("k1").alias("_rm_k1"), F.col("k2").alias("_rm_k2")).distinct(), ["_rm_k1", "_rm_k2"], "left_anti").select(*docs.columns)

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -123,3 +124,35 @@ def test_long_runs_are_not_cut(monkeypatch):
     for lead in range(0, 300, 37):
         t, _, _ = d.tokens(pa.array(["a " * lead + "é" * 1000, "é" * 1000]))
         assert len(t.hashes) == lead + 2 and t.hashes[-1] == t.hashes[-2]
+
+
+def test_quotes_and_short_items(spark):
+    items = [(1, "What is two plus two?"), (2, "one two"), (3, "It was a “very” long day’s walk to the old bridge over the river and back"), (4, "rare short item")]
+    docs = [(1, "He asked: what is TWO plus two? Nobody knew."), (2, "one two three"), (3, items[2][1].replace("“very”", '"very"').replace("’", "'")), (4, "a rare short item."), (5, "a rare long item"), (6, "what is two plus three")]
+    rows = d.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (3, 3), (4, 4)}
+
+
+def test_repeated_words_take_little_time():
+    began = time.process_time()
+    sides = d.Sides("a " * 20_000, ["a " * 500, "b " * 500])
+    assert sides.overlap(0) == (500, 500, 0, 0, 999) and sides.overlap(1) is None
+    sides = d.Sides("x " + "a b " * 10_000, ["c a b " + "a b " * 300])
+    equal, n, *_ = sides.overlap(0)
+    assert (equal, n) == (602, 602)
+    assert time.process_time() - began < 10
+
+
+def test_shifts_by_convolution(monkeypatch):
+    rng = np.random.default_rng(3)
+    mine, theirs = np.unique(rng.integers(5, 300, 90)), np.unique(rng.integers(0, 80, 30))
+    expected = np.unique(mine[:, None] - theirs).tolist()
+    monkeypatch.setattr(d, "PAIRS", 10)
+    assert d._shifts(mine, theirs).tolist() == expected
+
+
+def test_result_does_not_depend_on_the_neighbours(spark):
+    docs, items = planted()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    ways = [sorted(map(tuple, d.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), bench).collect())) for n in (1, 7)]
+    assert ways[0] == ways[1] and ways[0]
