@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowmesh.operators.layout import csr_slots, row_ptr
 
 
+_SCHEMAS = {"row_ptr": "i long, n long, ptr long, matrix string", "slots": "i long, j long, v double, pos long, matrix string"}
+
+
 def csr_write(entries: DataFrame, rows: DataFrame, matrices: DataFrame, path: str) -> None:
-    """matrices, row_ptr(i, ptr, n) and slots(pos, i, j, v) under a folder, sorted by range so that readers can skip row groups."""
+    """matrices, row_ptr(i, ptr, n) and slots(pos, i, j, v) under a folder, sorted by range so that readers can skip row groups.
+
+    A matrix without entries has its row pointers and no slots; no matrices at all give empty tables.
+    """
     matrices.write.mode("overwrite").parquet(f"{path}/matrices")
     for name, table, key in (("row_ptr", row_ptr(entries, rows), "i"), ("slots", csr_slots(entries), "pos")):
+        table = table.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _SCHEMAS[name].split(", ")])
         table.repartitionByRange("matrix", key).sortWithinPartitions("matrix", key).write.partitionBy("matrix").mode("overwrite").parquet(f"{path}/{name}")
 
 
 def csr_read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """matrices, row_ptr and slots of csr_write()."""
-    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("matrices", "row_ptr", "slots"))
+    parts = (spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _SCHEMAS.items())
+    return (spark.read.parquet(f"{path}/matrices"), *parts)

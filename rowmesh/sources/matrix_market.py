@@ -1,7 +1,11 @@
 """Coordinate matrix text (Matrix Market): many files, split files, bad lines kept as data.
 
-A line is read by itself, so large files are read in splits. The header and size
-line of a file lie in its first split; both are found by line order within it.
+A line is read by itself, so large files are read in splits. The size line of a file
+is its first line that is no comment, in whichever split; lines are ordered by where
+their split begins and by their place in it. The text is read twice: for the headers,
+one row per file, and for the lines, which meet the headers without a shuffle. Both
+reads must cut the files alike: where the number of executors changes while a query
+runs, fix spark.sql.files.minPartitionNum.
 """
 
 from __future__ import annotations
@@ -9,8 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmesh.functions.storage import written
 from rowmesh.operators.layout import sym_expand
 
+#: Headers that every task holds, at most; more files than this are joined as Spark sees fit.
+BROADCAST_FILES = 100_000
+
 #: Reasons in mm_rejects().
 NO_SIZE, BAD_SIZE, UNSUPPORTED, LATE_COMMENT, BAD_ENTRY, OUT_OF_RANGE = "missing size line", "bad size line", "unsupported matrix", "comment after size line", "bad entry", "index out of range"
 
@@ -29,26 +37,29 @@ def _lines(spark: SparkSession, path: str, by: str) -> DataFrame:
 
 
 def _headers(lines: DataFrame) -> DataFrame:
-    """One row per file with lines in its first split: field, symmetry, the size line's id and numbers (null where there are none)."""
-    first = lines.where("at = 0")
-    found = first.groupBy("file", "matrix").agg(
-        F.min_by(F.when(F.startswith("line", F.lit("%%MatrixMarket")), F.col("line")), F.when(F.startswith("line", F.lit("%%MatrixMarket")), F.col("line_id"))).alias("head"),
-        F.min(F.when(~F.startswith("line", F.lit("%")) & (F.col("line") != ""), F.struct("line_id", "line"))).alias("size"),
+    """One row per file with lines: field, symmetry, the size line's place and numbers (null where there are none)."""
+    place, title = F.struct("at", "line_id"), F.startswith("line", F.lit("%%MatrixMarket"))
+    found = lines.where("line != ''").groupBy("file", "matrix").agg(
+        F.min_by(F.when(title, F.col("line")), F.when(title & (F.col("at") == 0), place)).alias("head"),
+        F.min(F.when(~F.startswith("line", F.lit("%")), F.struct("at", "line_id", "line"))).alias("size"),
     )
     words, numbers = F.split(F.lower("head"), r"\s+"), F.split(F.col("size.line"), r"\s+")
     number = lambda k: F.when(F.size(numbers) == 3, F.get(numbers, F.lit(k)).try_cast("long"))
     return found.select(
         "file", "matrix", F.coalesce(F.get(words, F.lit(3)), F.lit("real")).alias("field"), F.coalesce(F.get(words, F.lit(4)), F.lit("general")).alias("symmetry"),
-        F.col("size.line_id").alias("size_id"), F.col("size.line").alias("size_line"), number(0).alias("nrows"), number(1).alias("ncols"), number(2).alias("nnz_declared"),
+        F.col("size.at").alias("size_at"), F.col("size.line_id").alias("size_id"), F.col("size.line").alias("size_line"), number(0).alias("nrows"), number(1).alias("ncols"), number(2).alias("nnz_declared"),
     )
 
 
 def _parsed(spark: SparkSession, path: str, by: str) -> tuple[DataFrame, DataFrame]:
     """Headers, and every line after a size line with its entry or the reason why it has none."""
     lines = _lines(spark, path, by)
-    headers = _headers(lines)
-    # One row per file goes to the lines; Spark broadcasts it where it is small.
-    body = lines.drop("matrix").join(headers, "file").where((F.col("line_id") > F.col("size_id")) & (F.col("line") != ""))
+    headers = written(_headers(lines), "headers")
+    few = headers.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    # A size line longer than any real one would only take up room.
+    known = headers.drop("matrix", "size_line")
+    after = (F.col("at") > F.col("size_at")) | (F.col("at") == F.col("size_at")) & (F.col("line_id") > F.col("size_id"))
+    body = lines.join(F.broadcast(known) if few else known, "file").where(after & (F.col("line") != ""))
     words = F.split("line", r"\s+")
     word = lambda k: F.get(words, F.lit(k))
     pattern = F.col("field") == "pattern"

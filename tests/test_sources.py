@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rowmesh.functions import storage
 from rowmesh.operators import layout
 from rowmesh.sources import csr_tables, matrix_market, run_files
 
@@ -143,3 +144,47 @@ def test_long_sections_go_over_several_files(spark, tmp_path, monkeypatch):
     run_files.write_chunk_files(runs, str(tmp_path / "t"))
     got = run_files.runs_scan(spark, str(tmp_path / "t")).collect()
     assert sorted((r.run, r.ms) for r in got) == [(k, k / 8) for k in range(1, 31)] and all(math.isfinite(r.ms) for r in got)
+
+
+def test_size_line_in_a_late_split(spark, tmp_path):
+    """A comment block that fills the first splits of a file."""
+    lines = ["%%MatrixMarket matrix coordinate real general"] + ["% " + "c" * 998] * 10_000 + ["3 4 2", "1 1 5.0", "3 4 6.0"]
+    (tmp_path / "a.mtx").write_text("\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        assert sorted(tuple(r)[2:] for r in matrix_market.mm_scan(spark, str(tmp_path)).collect()) == [(0, 0, 5.0), (2, 3, 6.0)]
+        assert matrix_market.mm_rejects(spark, str(tmp_path)).count() == 0
+        one = matrix_market.mm_catalog(spark, str(tmp_path)).first()
+        assert (one.nrows, one.ncols, one.nnz_declared, one.nnz_stored) == (3, 4, 2, 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_lines_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket matrix coordinate real general\n2 2 1\n1 1 1.0\n")
+    plan = matrix_market.mm_scan(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "hashpartitioning" not in plan
+
+
+def test_empty_compressed_matrix(spark, tmp_path):
+    none = spark.createDataFrame([], "matrix string, i long, j long, v double")
+    rows = spark.createDataFrame([("m", 0), ("m", 1)], "matrix string, i long")
+    for k, domain in enumerate((rows, rows.limit(0))):
+        csr_tables.csr_write(none, domain, domain.groupBy("matrix").count(), f"{tmp_path}/{k}")
+        matrices, ptr, slots = csr_tables.csr_read(spark, f"{tmp_path}/{k}")
+        assert (matrices.count(), sorted((r.i, r.n, r.ptr) for r in ptr.collect()), slots.count()) == ((1, [(0, 0, 0), (1, 0, 0)], 0) if k == 0 else (0, [], 0))
+
+
+def test_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError):
+        storage.shared_folder(Session())
+    assert storage.qualified(spark, "/tmp/x").startswith("file:")
