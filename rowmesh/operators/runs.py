@@ -2,7 +2,10 @@
 
 A configuration is named by `by`, its columns besides the matrix; one value of the
 variant is the baseline. Samples are money-like decimals of `scale` places, so that
-sums don't depend on their order.
+sums don't depend on their order. What is no such number (null, NaN, infinite) is no
+sample: it counts nowhere, and a configuration without a sample has no row. A ratio
+over a mean of zero is null, and what is judged by it is null too. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +18,11 @@ from rowmesh.functions.ranking import ranked
 SCALE = 6
 
 
+def samples(runs: DataFrame, value: str = "ms", scale: int = SCALE) -> DataFrame:
+    """The rows of runs with a sample."""
+    return runs.where(F.col(value).try_cast(f"decimal(28,{scale})").isNotNull())
+
+
 def p90_rank(n: Column) -> Column:
     """0-based place of the nearest-rank 90th percentile among n: floor(0.9 n), always below n."""
     return F.floor(n * 9 / 10)
@@ -22,7 +30,7 @@ def p90_rank(n: Column) -> Column:
 
 def order_statistics(runs: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
     """(*by, n, median, p90): the values at places floor(n / 2) and floor(0.9 n) of the sorted samples; a group of any size is spread over tasks."""
-    rows = ranked(runs.select(*by, value), by, [value], "_rank")
+    rows = ranked(samples(runs, value).select(*by, value), by, [value], "_rank")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     found = rows.join(sizes, by)
     pick = lambda place: F.max(F.when(F.col("_rank") == place, F.col(value)))
@@ -36,19 +44,19 @@ def p90_nearest_rank(runs: DataFrame, by: list[str]) -> DataFrame:
 
 def mean_of(value: str = "ms", scale: int = SCALE) -> Column:
     """Mean through an exact decimal sum."""
-    return F.sum(F.col(value).cast(f"decimal(28,{scale})")).cast("double") / F.count(value)
+    return F.try_divide(F.sum(F.col(value).try_cast(f"decimal(28,{scale})")).cast("double"), F.count(value))
 
 
 def run_mean(runs: DataFrame, by: list[str]) -> DataFrame:
     """(*by, n, mean)."""
-    return runs.groupBy(*by).agg(F.count("ms").alias("n"), mean_of().alias("mean"))
+    return samples(runs).groupBy(*by).agg(F.count("ms").alias("n"), mean_of().alias("mean"))
 
 
 def speedup(runs: DataFrame, baseline: str, by: tuple[str, ...] = ("variant",), scope: tuple[str, ...] = ("matrix",)) -> DataFrame:
     """(matrix, *by, mean, base_mean, speedup) of each configuration but the baseline; the baseline's mean is that within `scope`."""
     means = run_mean(runs, [*dict.fromkeys(["matrix", *scope, *by])]).drop("n")
-    base = runs.where(F.col("variant") == baseline).groupBy(*scope).agg(mean_of().alias("base_mean"))
-    return means.where(F.col("variant") != baseline).join(base, list(scope)).withColumn("speedup", F.col("base_mean") / F.col("mean"))
+    base = samples(runs).where(F.col("variant") == baseline).groupBy(*scope).agg(mean_of().alias("base_mean"))
+    return means.where(F.col("variant") != baseline).join(base, list(scope)).withColumn("speedup", F.try_divide("base_mean", "mean"))
 
 
 def best_config(runs: DataFrame, baseline: str, ordinal: Column, within: tuple[str, ...] = ("matrix",)) -> DataFrame:
@@ -102,7 +110,7 @@ def sparsity_profile(entries: DataFrame, counts: DataFrame, ncols: DataFrame) ->
 
 def schedule_eval(runs: DataFrame, dimensions: list[str]) -> DataFrame:
     """Means and least samples over the rollup of the dimensions, with grouping id, and the rank of each cell by mean under its parent."""
-    rolled = runs.rollup(*dimensions).agg(F.grouping_id().alias("level"), F.count("ms").alias("n"), mean_of().alias("mean"), F.min("ms").alias("least"))
+    rolled = samples(runs).rollup(*dimensions).agg(F.grouping_id().alias("level"), F.count("ms").alias("n"), mean_of().alias("mean"), F.min("ms").alias("least"))
     under = Window.partitionBy("level", *dimensions[:-1]).orderBy("mean")
     # Only the finest cells compete: those of one parent are few.
     return rolled.withColumn("place", F.when(F.col("level") == 0, F.rank().over(under)))
@@ -114,7 +122,7 @@ def bottlenecks(runs: DataFrame, baseline: str, threads: Column, nnz: Column | N
     stats = speedup(runs, baseline).join(order_statistics(runs, by), by).withColumn("threads", threads)
     fewer = F.lag("speedup").over(Window.partitionBy("matrix").orderBy("threads", "variant"))
     return stats.select(
-        *by, "threads", "speedup", (F.col("speedup") / F.col("threads")).alias("efficiency"), (F.col("speedup") < 1).alias("slower"),
+        *by, "threads", "speedup", F.try_divide("speedup", "threads").alias("efficiency"), (F.col("speedup") < 1).alias("slower"),
         (F.col("p90") > 2 * F.col("median")).alias("tail_heavy"), (F.col("mean") > F.col("p90")).alias("outlier"), F.coalesce(F.col("speedup") <= fewer, F.lit(False)).alias("flat"),
-        *([(2 * nnz / F.col("mean")).alias("throughput")] if nnz is not None else []),
+        *([F.try_divide(2 * nnz, F.col("mean")).alias("throughput")] if nnz is not None else []),
     )
