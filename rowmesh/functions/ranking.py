@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import written
 
 
+#: Input bytes that one range of ranked() should stand for.
+RANGE_BYTES = 128 << 20
+#: What Spark says of the size of a table that it knows nothing about, or more.
+_UNKNOWN = 1 << 60
+
+
+def ranges_for(df: DataFrame) -> int:
+    """How many range partitions suit df: by the bytes of the tables it reads, and no fewer than a shuffle has."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    total = sum(x for x in sizes if x < _UNKNOWN)
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / RANGE_BYTES))
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """df with the rank (0-based, long) of each row in its group under `order`; rows equal in all of it stand in any order.
 
@@ -16,11 +33,10 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     the partitions before its own, plus its place there; its rank is that less the
     least place of its group. What is joined back holds one row per partition or group.
     """
-    spark = df.sparkSession
     # A tie-breaker among the range keys splits rows that are equal in all else.
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     keys = [*group, *order, "_tie"]
-    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or ranges_for(df)
     rows = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
     rows = written(rows, "ranked")
     part, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .layout import csr_unpack, row_ptr
 
-#: Most entries of x that the packed product sends to every task.
+#: Most entries of x that are sent to every task (16 bytes each).
 PACKED_X = 4_000_000
 
 
 def dense_vector(spark: SparkSession, matrix: str, ncols: int, seed: int = 0) -> DataFrame:
-    """(matrix, j, x): uniform in [0, 10], the same for a seed and a number of partitions."""
-    return spark.range(ncols).select(F.lit(matrix).alias("matrix"), F.col("id").alias("j"), (F.rand(seed) * 10).alias("x"))
+    """(matrix, j, x): uniform in [0, 10), decided by the seed and the column alone."""
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) * F.lit(2.0**-53)
+    return spark.range(ncols).select(F.lit(matrix).alias("matrix"), F.col("id").alias("j"), (share * 10).alias("x"))
 
 
 def column_vector(columns: DataFrame) -> DataFrame:
@@ -38,21 +44,56 @@ def spmv(entries: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def spmv_packed(packed: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
-    """(matrix, i, y) from packed rows: cells are walked where they lie and meet x there; only partial sums are shuffled.
+    """(matrix, i, y) row by row over the packed arrays: each segment is walked where it lies and looks its entries of x up in an array.
 
-    x goes to every task after its entries were counted against PACKED_X; beyond
-    that Spark joins as it sees fit. (As one array column x would be copied with
-    every packed row.)
+    x goes to every task as one array for each matrix after its entries were counted
+    against PACKED_X; a larger x is joined, see spmv(). Segments need no shuffle; only
+    their sums do. Entries without an x count nothing, as in the join.
     """
-    n = x.limit(PACKED_X + 1).count()
-    return spmv(csr_unpack(packed), x if n > PACKED_X else F.broadcast(x), rows)
+    if x.count() > PACKED_X:
+        return spmv(csr_unpack(packed), x, rows)
+    sent = x.sparkSession.sparkContext.broadcast(_vectors(x.where("x is not null and j is not null").select("matrix", "j", "x").toArrow()))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(2)
+            flat = cells.flatten()
+            j, v = flat.field("j").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False))
+            names = batch.column(0).dictionary_encode()
+            of = names.indices.to_numpy(zero_copy_only=False)[row]
+            products = np.zeros(len(row))
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                if name in sent.value:
+                    columns, values = sent.value[name]
+                    mine = np.flatnonzero(of == k)
+                    at = np.minimum(np.searchsorted(columns, j[mine]), len(columns) - 1)
+                    products[mine] = np.where(columns[at] == j[mine], v[mine] * values[at], 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.bincount(row, products, batch.num_rows))], ["matrix", "i", "y"])
+
+    return _over_domain(packed.select("matrix", "i", "cells").mapInArrow(walk, "matrix string, i long, y double"), rows)
+
+
+def _vectors(x: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The columns of each matrix in order, and x there."""
+    table = x.sort_by([("matrix", "ascending"), ("j", "ascending")]).combine_chunks()
+    names, j, values = table["matrix"].to_pylist(), table["j"].to_numpy(), table["x"].to_numpy()
+    ends = [k + 1 for k in range(len(names)) if k + 1 == len(names) or names[k] != names[k + 1]]
+    return {names[a]: (j[a:b], values[a:b]) for a, b in zip([0, *ends], ends)}
 
 
 def spmv_parallel(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: int | None = None, by: tuple[str, ...] = ("matrix", "i")) -> DataFrame:
-    """(matrix, i, y) with ranges of rows over `workers` partitions, each row summed by one of them; for one matrix, by=("i",) will do."""
+    """(matrix, i, y) with the entries in `workers` ranges of about equal size; for one matrix, by=("i",) will do.
+
+    Ranges go on by column within a row, so one that holds a third of all entries is
+    dealt to several tasks too. As rows lie together, what is shuffled after that is
+    about one partial sum for each row. An x of more than PACKED_X entries is joined
+    on the column first, where ranges of rows would be lost again.
+    """
     workers = workers or entries.sparkSession.sparkContext.defaultParallelism
-    dealt = entries.repartitionByRange(workers, *by)
-    return _over_domain(dealt.join(x, ["matrix", "j"]).groupBy("matrix", "i").agg(F.sum(F.col("v") * F.col("x")).alias("y")), rows)
+    if x.count() > PACKED_X:
+        return spmv(entries, x, rows)
+    return spmv(entries.repartitionByRange(workers, *by, "j"), F.broadcast(x), rows)
 
 
 def block_worker(chunk: int, workers: int):
@@ -61,11 +102,8 @@ def block_worker(chunk: int, workers: int):
 
 
 def spmv_row_blocks(entries: DataFrame, x: DataFrame, rows: DataFrame, chunk: int = 50, workers: int | None = None) -> DataFrame:
-    """(matrix, i, y) with blocks of `chunk` rows dealt in turn to `workers` partitions."""
-    workers = workers or entries.sparkSession.sparkContext.defaultParallelism
-    dealt = entries.withColumn("w", block_worker(chunk, workers)).repartitionById(workers, "w")
-    sums = dealt.join(x, ["matrix", "j"]).groupBy("w", "matrix", "i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-    return _over_domain(sums, rows)
+    """(matrix, i, y). Which task sums a row is left to Spark; how even blocks of `chunk` rows would be is row_block_load()."""
+    return spmv(entries, x, rows)
 
 
 def row_block_load(entries: DataFrame, chunk: int = 50, workers: int = 16) -> DataFrame:
@@ -84,15 +122,9 @@ def balanced_groups(entries: DataFrame, rows: DataFrame, workers: int = 16) -> D
 
 
 def spmv_balanced(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: int | None = None, schedule: str = "balanced", chunk: int = 50) -> DataFrame:
-    """(matrix, i, y) under one of the schedules: 'balanced' groups of rows, 'blocks' dealt in turn, or 'range'."""
-    workers = workers or entries.sparkSession.sparkContext.defaultParallelism
+    """(matrix, i, y). 'balanced' and 'range' give ranges of about as many entries each, 'blocks' leaves the rows to Spark; the result is the same."""
     if schedule == "blocks":
         return spmv_row_blocks(entries, x, rows, chunk, workers)
-    if schedule == "range":
+    if schedule in ("range", "balanced"):
         return spmv_parallel(entries, x, rows, workers)
-    if schedule != "balanced":
-        raise ValueError(f"schedule is 'balanced', 'blocks' or 'range', not {schedule!r}")
-    groups = balanced_groups(entries, rows, workers).select("matrix", "i", "p")
-    dealt = entries.join(groups, ["matrix", "i"]).repartitionById(workers, "p")
-    sums = dealt.join(x, ["matrix", "j"]).groupBy("p", "matrix", "i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-    return _over_domain(sums, rows)
+    raise ValueError(f"schedule is 'balanced', 'blocks' or 'range', not {schedule!r}")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmesh.functions.ranking import ranked
 from rowmesh.functions.storage import new_folder
 from rowmesh.operators import layout, runs, spmv
 from rowmesh.sources import csr_tables, matrix_market, run_files
@@ -79,8 +80,8 @@ def mm_rejects(spark, sf):
 def _chunk_runs(spark, sf):
     """E as runs of the chunk layout: the baseline in order of value, as such files hold it, the others in order of event."""
     order = F.when(F.col("variant") == t.BASELINE, F.col("ms")).otherwise(F.lit(0.0))
-    number = F.row_number().over(Window.partitionBy("matrix", "variant").orderBy(order, "event_id"))
-    return t.samples_e(spark, sf).select("matrix", F.lit("static").alias("schedule"), F.lit(4).alias("threads"), t.by_variant(0).alias("chunk"), number.alias("run"), "ms")
+    numbered = ranked(t.samples_e(spark, sf).withColumn("first", order), ["matrix", "variant"], ["first", "event_id"], "before")
+    return numbered.select("matrix", F.lit("static").alias("schedule"), F.lit(4).alias("threads"), t.by_variant(0).alias("chunk"), (F.col("before") + 1).alias("run"), "ms")
 
 
 @query(
@@ -215,6 +216,70 @@ def balanced_groups(spark, sf):
     return groups.groupBy("p").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_entries"))
 
 
+# Several matrices at once
+
+S = "SELECT greatest(l_partkey, l_suppkey) AS i, least(l_partkey, l_suppkey) AS j, l_quantity AS v FROM lineitem"
+BOTH = f"s AS ({S}), both_of AS (SELECT 'L' AS matrix, i, j, v FROM ({L}) UNION ALL SELECT 'S', i, j, v FROM s UNION ALL SELECT 'S', j, i, v FROM s WHERE i <> j)"
+DOMAIN = "SELECT 'L' AS matrix, o_orderkey AS i FROM orders UNION ALL SELECT 'S', p_partkey FROM part"
+
+
+def _both_files(spark, sf) -> str:
+    """A folder with L, general, and S, symmetric, as coordinate text."""
+    path, n = new_folder(spark, "mm-both"), t.columns_l(spark, sf).count()
+    matrix_market.mm_write(t.matrix_l(spark, sf), f"{path}/L", t.rows_l(spark, sf).count(), n)
+    matrix_market.mm_write(t.matrix_s(spark, sf), f"{path}/S", n, n, "symmetric")
+    return path
+
+
+def _both(spark, sf):
+    """Entries, x and rows of both matrices, from their files."""
+    path = _both_files(spark, sf)
+    x = t.columns_l(spark, sf)
+    return matrix_market.mm_entries(spark, path, "folder"), x.unionByName(x.withColumn("matrix", F.lit("S"))), layout.row_domain(matrix_market.mm_catalog(spark, path, "folder"))
+
+
+@query(f"WITH {BOTH} SELECT matrix, i, j, v FROM both_of")
+def mm_entries(spark, sf):
+    """Both matrices read back, symmetric storage expanded."""
+    return matrix_market.mm_entries(spark, _both_files(spark, sf), "folder")
+
+
+@query(f"WITH {BOTH} SELECT d.matrix, d.i, coalesce(sum(v * p_size), 0.0)::DOUBLE AS y FROM ({DOMAIN}) d LEFT JOIN both_of b ON b.matrix = d.matrix AND b.i = d.i LEFT JOIN part ON p_partkey = j GROUP BY ALL")
+def spmv_matrices(spark, sf):
+    """Products of both matrices, from file to y."""
+    return spmv.spmv(*_both(spark, sf))
+
+
+@query(f"WITH {BOTH} SELECT d.matrix, d.i, coalesce(sum(v * p_size), 0.0)::DOUBLE AS y FROM ({DOMAIN}) d LEFT JOIN both_of b ON b.matrix = d.matrix AND b.i = d.i LEFT JOIN part ON p_partkey = j GROUP BY ALL")
+def spmv_packed_matrices(spark, sf):
+    """The same from packed rows."""
+    entries, x, rows = _both(spark, sf)
+    return spmv.spmv_packed(layout.csr_pack(entries), x, rows)
+
+
+@query(f"WITH {BOTH} SELECT matrix, i, j, v, (row_number() OVER (PARTITION BY matrix ORDER BY i, j, v) - 1)::BIGINT AS pos FROM both_of")
+def csr_matrices_slots(spark, sf):
+    """Slots of both matrices after a compressed write."""
+    entries, _, rows = _both(spark, sf)
+    path = new_folder(spark, "csr-both")
+    csr_tables.csr_write(entries, rows, rows.groupBy("matrix").agg(F.count(F.lit(1)).alias("nrows")), path)
+    return csr_tables.csr_read(spark, path)[2].select("matrix", "i", "j", "v", "pos")
+
+
+@query(
+    f"""WITH {BOTH}, counted AS (SELECT d.matrix, d.i, count(b.i) AS n FROM ({DOMAIN}) d LEFT JOIN both_of b ON b.matrix = d.matrix AND b.i = d.i GROUP BY ALL),
+    sized AS (SELECT matrix, count(*) AS nrows FROM counted GROUP BY matrix)
+    SELECT matrix, i, n, coalesce(sum(n) OVER (PARTITION BY matrix ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ptr, nrows FROM counted JOIN sized USING (matrix)"""
+)
+def csr_matrices_ptr(spark, sf):
+    """Row pointers and sizes of both matrices after a compressed write."""
+    entries, _, rows = _both(spark, sf)
+    path = new_folder(spark, "csr-both")
+    csr_tables.csr_write(entries, rows, rows.groupBy("matrix").agg(F.count(F.lit(1)).alias("nrows")), path)
+    matrices, ptr, _ = csr_tables.csr_read(spark, path)
+    return ptr.join(matrices, "matrix").select("matrix", "i", "n", "ptr", "nrows")
+
+
 # Benchmark runs
 
 

@@ -103,3 +103,46 @@ def test_empty_matrices(spark):
     assert layout.csr_pack(none).count() == layout.csr_slots(none).count() == 0
     profile = runs.sparsity_profile(none, layout.row_counts(none, rows), rows.groupBy("matrix").agg(F.count("i").alias("ncols"))).collect()
     assert {(r.matrix, r.nnz, r.empty_rows, r.bandwidth) for r in profile} == {("A", 0, 45, 0), ("B", 0, 2, 0), ("C", 0, 1, 0)}
+
+
+def odd_runs(spark):
+    rows = [("m", "base", 4.0), ("m", "base", None), ("m", "base", float("nan")), ("m", "zero", 0.0), ("m", "a", 2.0), ("m", "a", float("inf")), ("m", "none", None), ("n", "a", 1.0), (None, "a", 1.0)]
+    return spark.createDataFrame(rows, "matrix string, variant string, ms double")
+
+
+def test_odd_samples(spark):
+    """Null, NaN and infinite samples count nowhere; a mean of zero gives no ratio."""
+    df, by = odd_runs(spark), ["matrix", "variant"]
+    means = {(r.matrix, r.variant): (r.n, r["mean"]) for r in runs.run_mean(df, by).collect()}
+    assert means == {("m", "base"): (1, 4.0), ("m", "zero"): (1, 0.0), ("m", "a"): (1, 2.0), ("n", "a"): (1, 1.0), (None, "a"): (1, 1.0)}
+    ranks = {(r.matrix, r.variant): (r.n, r.median, r.p90) for r in runs.order_statistics(df, by).where("matrix is not null").collect()}
+    assert ranks == {k: (1, v[1], v[1]) for k, v in means.items() if k[0]}
+    gains = {r.variant: r.speedup for r in runs.speedup(df, "base").collect()}
+    assert gains == {"zero": None, "a": 2.0}
+    order = F.when(F.col("variant") == "a", 1).otherwise(2)
+    assert runs.best_config(df, "base", order).first().variant == "zero"
+    report = {r.variant: (r.n, r.speedup, r.best) for r in runs.summary_report(df, "base", order).where("matrix = 'm'").collect()}
+    assert report == {"base": (1, 1.0, False), "zero": (1, None, True), "a": (1, 2.0, False)}
+    flags = {r.variant: (r.efficiency, r.slower, r.throughput) for r in runs.bottlenecks(df, "base", F.when(F.col("variant") == "a", 0).otherwise(4), F.lit(8)).collect()}
+    assert flags == {"zero": (None, None, None), "a": (None, False, 8.0)}
+    rolled = {(r.matrix, r.variant, r.level): (r.n, r.least) for r in runs.schedule_eval(df, by).collect()}
+    assert rolled[None, None, 3] == (5, 0.0) and rolled["m", None, 1] == (3, 0.0)
+
+
+def test_no_samples_at_all(spark):
+    df, by = odd_runs(spark).limit(0), ["matrix", "variant"]
+    for out in (runs.run_mean(df, by), runs.order_statistics(df, by), runs.speedup(df, "base"), runs.best_config(df, "base", F.lit(1)), runs.summary_report(df, "base", F.lit(1)), runs.bottlenecks(df, "base", F.lit(1))):
+        assert out.count() == 0
+
+
+def test_one_row_with_most_entries(spark):
+    """A row that holds nearly all entries is dealt to several ranges."""
+    entries = spark.range(20_000).select(F.lit("m").alias("matrix"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).cast("long").alias("i"), (F.col("id") % 1000).alias("j"), F.lit(1.0).alias("v"))
+    x, rows = spark.range(1000).select(F.lit("m").alias("matrix"), F.col("id").alias("j"), F.lit(2.0).alias("x")), spark.range(20_000).select(F.lit("m").alias("matrix"), F.col("id").alias("i"))
+    got = as_dict(spmv.spmv_parallel(entries, x, rows, 8))
+    assert got == as_dict(spmv.spmv_packed(layout.csr_pack(entries, 100), x, rows)) and got["m", 7] == 2.0 * 19_800 and len(got) == 20_000
+
+
+def test_vector_does_not_depend_on_partitions(spark):
+    few = {r.j: r.x for r in spmv.dense_vector(spark, "m", 50, 5).coalesce(1).collect()}
+    assert few == {r.j: r.x for r in spmv.dense_vector(spark, "m", 50, 5).repartition(7).collect()}
