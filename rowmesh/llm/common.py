@@ -5,17 +5,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
 
 from rowmesh.functions.storage import new_folder, written
 
-__all__ = ["bounded_batches", "new_folder", "text_bytes", "word_chunks", "written"]
+__all__ = ["new_folder", "small", "text_bytes", "word_chunks", "written"]
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
-    """Let an Arrow batch hold few rows and bytes, so that long texts can't fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `size` bytes, so that long texts can't fill a worker's memory; none without rows.
+
+    Spark itself bounds the bytes of an Arrow batch, whatever its number of rows.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def text_bytes(value: str | None) -> bytes:

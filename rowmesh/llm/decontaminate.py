@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import small, written
 
 #: Fixed seed masks: the places, from a window's first token, that are hashed.
 MASKS = (
@@ -273,7 +273,7 @@ def _seed_table(items: DataFrame) -> DataFrame:
     """(h, item, salt): the different seeds of each item."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             t, _, _ = tokens(batch.column(1))
             for salt, of, _, h in _item_seeds(t, batch.num_rows):
                 rows = np.unique(np.stack([of.astype(np.uint64), h]), axis=1)
@@ -326,7 +326,7 @@ def _candidates(keyed: DataFrame, seeds: DataFrame, bits: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
-        for batch in batches:
+        for batch in small(batches):
             t, _, _ = tokens(batch.column(place))
             hits = []
             for salt, places in _masks(lengths):
@@ -354,7 +354,7 @@ def _verified(candidates: DataFrame, seeds: DataFrame, items: DataFrame) -> Data
     texts = candidates.groupBy(*_KEY).agg(F.first("text").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for row, text, mine in zip(range(batch.num_rows), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 sides = Sides(text, [m["item_text"] for m in mine])
@@ -383,7 +383,6 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int =
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, filter_bits: int) -> tuple[DataFrame, DataFrame]:
-    bounded_batches(docs.sparkSession)
     items = written(_items(benchmark), "items")
     seeds = written(_seed_table(items), "item-seeds")
     candidates = written(_candidates(_keyed(docs), seeds, filter_bits), "candidates")

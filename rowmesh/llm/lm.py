@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention, vocabularies
-from .common import bounded_batches, text_bytes, written
+from .common import small, text_bytes, written
 
 #: A document is held out if the CRC-32 of its id as text leaves this remainder.
 FOLDS, HELD_OUT = 7, 2
@@ -91,7 +91,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
 
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(text_bytes(text).lower().split())
                 counts[END] += 1
@@ -138,7 +138,7 @@ def training_windows(train: DataFrame, lex: attention.Lexicon, folder: str, name
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(folder, name)
-        for batch in batches:
+        for batch in small(batches):
             keys, data = [], []
             words = [text_bytes(text).lower().split() for text in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), subwords.texts(words)):
@@ -213,7 +213,7 @@ def _scored(docs: DataFrame, top: dict[bytes, int], lex: attention.Lexicon, para
         top, lex, params = sent.value
         log = {w: math.log10(c + 1) for w, c in top.items()}
         scorer, subwords = attention.Scorer(params, lex), Subwords(folder, name)
-        for batch in batches:
+        for batch in small(batches):
             n_tokens, known, base, texts = [], [], [], []
             words_out, numbers_out, ends = [], array("i"), [0]
             for text in batch.column(2).to_pylist():
@@ -247,7 +247,6 @@ def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocab
     only token is the end. Rows are scored one by one, whatever their ids. Without
     training documents no token is known and the model is its start.
     """
-    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     train = slim.where(~F.col("held_out"))
     counts = written(word_counts(train), "word-counts")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import small
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -273,10 +273,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Rows are judged one by one, so equal rows give equal results and other columns
     don't matter. A null text counts as empty: no spans, and the hash of nothing.
     """
-    bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = find(text)
@@ -294,11 +293,10 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     A null text stays null and its n_chars as it is.
     """
-    bounded_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = pa.array([redact(t) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), texts)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabularies
-from .common import bounded_batches, text_bytes
+from .common import small, text_bytes
 
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 10, 5, 20
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
@@ -141,10 +141,9 @@ def quality(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = voca
     A null text has no words and fails; it is measured as empty. `lang` may be
     missing or null: the script then picks the band. Rows are judged one by one.
     """
-    bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counts, measured = base_counts(text), fertility(text or "", folder, name)
@@ -160,11 +159,10 @@ def quality(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = voca
 
 def keep_good(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocabularies.BYTE_BPE) -> DataFrame:
     """The rows of docs, all columns, that quality() keeps."""
-    bounded_batches(docs.sparkSession)
     place, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             langs = batch.column(lang).to_pylist() if lang is not None else [None] * batch.num_rows
             good = []
             for text, code in zip(batch.column(place).to_pylist(), langs):

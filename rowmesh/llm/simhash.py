@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_bytes, word_chunks, written
+from .common import small, text_bytes, word_chunks, written
 from .components import connected_components
 
 SHINGLE = 3
@@ -67,10 +67,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, text_hash, fp) of every row: fp as a signed long, text_hash the xxhash64 of the text (null as empty)."""
-    bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["doc_id", "text_hash", "fp"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabularies
-from .common import bounded_batches
+from .common import small
 
 #: Share of candidate merges that are skipped, and among how many keys a document's id chooses: all that the variant's type holds.
 DROPOUT, VARIANTS = 0.1, 1 << 31
@@ -390,13 +390,12 @@ def encoded(
     docs: DataFrame, keep: tuple[str, ...] = (), dropout: float = DROPOUT, key: int = 0, variants: int = VARIANTS, folder: str = vocabularies.FOLDER, name: str = vocabularies.PIECE_BPE
 ) -> DataFrame:
     """(doc_id, *keep, variant, ids) of each document; a null text gives no ids, as an empty one does."""
-    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     out = slim.drop("text").withColumns({"variant": F.lit(0), "ids": F.array().cast("array<int>")}).schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(folder, name, dropout, key)
-        for batch in batches:
+        for batch in small(batches):
             chosen = [variant_of(i, variants) for i in batch.column(0).to_pylist()]
             ids = encoder.encode_all(batch.column(batch.num_columns - 1).to_pylist(), chosen)
             ends = np.cumsum([0, *map(len, ids)])
@@ -408,11 +407,10 @@ def encoded(
 
 def decoded(tokens: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocabularies.PIECE_BPE) -> DataFrame:
     """tokens(doc_id, ids): (doc_id, text), whatever the variant; null ids give an empty text."""
-    bounded_batches(tokens.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(folder, name)
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(v, x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(each, "doc_id long, text string")
@@ -425,12 +423,11 @@ def encoded_digests(
     docs: DataFrame, dropout: float = DROPOUT, key: int = 0, variants: int = VARIANTS, folder: str = vocabularies.FOLDER, name: str = vocabularies.PIECE_BPE
 ) -> DataFrame:
     """For each document the variant, how many tokens and byte pieces it has, the CRC-32 of its ids (4 bytes each, low byte first), and whether decoding gives the text back."""
-    bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(folder, name, dropout, key)
         low, high = min(encoder.v.bytes_ids), max(encoder.v.bytes_ids)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             texts, chosen = batch.column(1).to_pylist(), [variant_of(i, variants) for i in batch.column(0).to_pylist()]
             for text, variant, ids in zip(texts, chosen, encoder.encode_all(texts, chosen)):

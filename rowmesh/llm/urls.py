@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-
 #: (verdict, rule): the rule fits its host and all subdomains of it, if the url's path starts with the rule's.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: One of these is enough.
@@ -76,7 +74,6 @@ def url_verdicts(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_h
     or odd url has an empty host and path, so no rule and no term: it is allowed.
     Rows are judged one by one; only page_id and url are read.
     """
-    bounded_batches(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)

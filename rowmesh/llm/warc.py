@@ -42,7 +42,9 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import bounded_batches, new_folder
+from rowmesh.functions.storage import qualified
+
+from .common import new_folder
 
 #: Payloads of fewer bytes are stored anew each time.
 MIN_REVISIT = 100
@@ -68,11 +70,20 @@ SCHEMA = T.StructType(
 )
 
 
-def _place(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if "://" in path or path.startswith("file:"):
-        return arrow_fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    return arrow_fs.LocalFileSystem(), path
+def _place(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a URI, and the path in it.
+
+    The workers that plan and read a Python source can't ask Hadoop, so a path
+    without a scheme is a local one here; write_pages() and read_back() pass the
+    URI that Spark itself would use for it.
+    """
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return arrow_fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return arrow_fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    # Hadoop's connectors have their own names for the same store.
+    return arrow_fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
 
 
 # Writing
@@ -341,7 +352,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make format("warc") known, with its predicates pushed down."""
+    """Make format("warc") known, and allow Python data sources to take predicates, which this one needs: the only setting that this package touches."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
@@ -372,9 +383,9 @@ def page_records(pages: DataFrame, min_revisit: int = MIN_REVISIT, date: str = "
 
 
 def write_pages(pages: DataFrame, path: str, **how) -> None:
-    """Archives of pages in a folder that all executors reach."""
+    """Archives of pages in a folder that all executors reach; no pages give no archive, but a manifest."""
     register(pages.sparkSession)
-    bounded_batches(pages.sparkSession)
+    path = qualified(pages.sparkSession, path)
     page_records(pages, **how).write.format("warc").mode("append").option("path", path).save()
 
 
@@ -385,6 +396,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     revisit has none, and gives those in its headers.
     """
     register(spark)
+    path = qualified(spark, path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     responses = spark.read.format("warc").load(path).where(F.col("warc_type") == "response")
     revisits = spark.read.format("warc").option("payload", "false").load(path).where(F.col("warc_type") == "revisit")
