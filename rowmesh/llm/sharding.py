@@ -19,6 +19,8 @@ from .common import written
 
 #: A block holds at most 2**BLOCK_BITS rows, and a bucket of the second permutation about as many.
 BLOCK_BITS = 16
+#: Block counts that lie in one row of the communication matrix while it is dealt.
+FAN = 1024
 
 
 def _let(value: Column, body) -> Column:
@@ -102,32 +104,55 @@ def _split(caps: Column, drawn: Column, shards: int, *keys: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), start, step)["out"]
 
 
-def communication_matrix(blocks: DataFrame, sizes: list[int], n_blocks: int, seed: int) -> DataFrame:
-    """blocks(block, n) and exact shard sizes: (block, sent), sent[s] rows going to shard s.
+def _halved(nodes: DataFrame, shards: int, seed: int, level: int, most: int) -> DataFrame:
+    """nodes(ns array of (child, n), caps), at most `most` children each: (child, caps), each child's share of the room in the shards.
 
-    The set of blocks is halved again and again; each half gets its share of the
-    room in the shards by one draw, down to single blocks. Draws of one level
-    don't depend on each other, so after some levels the nodes are spread over tasks.
+    The children of a node are halved again and again; each half gets its share by
+    one draw. A draw is keyed by the level of nodes, the halving and the half's first child.
     """
-    long = F.lit(0).cast("long")
-    nodes = blocks.groupBy().agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("ns")).select(
-        long.alias("at"), "ns", F.array(*[F.lit(x).cast("long") for x in sizes]).alias("caps")
-    )
-    for level in range(math.ceil(math.log2(max(n_blocks, 1)))):
+    zero = F.lit(0).cast("long")
+    nodes = nodes.select(F.col("ns")[0]["child"].alias("first"), "ns", "caps")
+    for step in range(math.ceil(math.log2(most))):
         half = F.expr("size(ns) div 2").cast("int")
         left, right = F.slice("ns", 1, half), F.slice("ns", half + 1, F.size("ns") - half)
-        drawn = F.aggregate(left, long, lambda a, b: a + b["n"])
-        cut = _split(F.col("caps"), drawn, len(sizes), F.lit(seed), F.lit(level), F.col("at"))
-        nodes = nodes.select("at", "ns", "caps", F.when(F.size("ns") > 1, cut).alias("mine"))
-        one = F.struct(F.col("at").alias("at"), F.col("ns").alias("ns"), F.col("caps").alias("caps"))
+        drawn = F.aggregate(left, zero, lambda a, b: a + b["n"])
+        cut = _split(F.col("caps"), drawn, shards, F.lit(seed), F.lit(level), F.lit(step), F.col("first"))
+        nodes = nodes.select("first", "ns", "caps", F.when(F.size("ns") > 1, cut).alias("mine"))
+        one = F.struct(F.col("first").alias("first"), F.col("ns").alias("ns"), F.col("caps").alias("caps"))
         two = F.array(
-            F.struct(F.col("at").alias("at"), left.alias("ns"), F.col("mine").alias("caps")),
-            F.struct((F.col("at") + half).alias("at"), right.alias("ns"), F.zip_with("caps", "mine", lambda c, m: c - m).alias("caps")),
+            F.struct(F.col("first").alias("first"), left.alias("ns"), F.col("mine").alias("caps")),
+            F.struct(right[0]["child"].alias("first"), right.alias("ns"), F.zip_with("caps", "mine", lambda c, m: c - m).alias("caps")),
         )
         nodes = nodes.select(F.inline(F.when(F.size("ns") > 1, two).otherwise(F.array(one))))
-        if level == 7:
-            nodes = nodes.repartition("at")
-    return nodes.select(F.col("ns")[0]["block"].alias("block"), F.col("caps").alias("sent"))
+    return nodes.select(F.col("ns")[0]["child"].alias("child"), "caps")
+
+
+def communication_matrix(blocks: DataFrame, sizes: list[int], n_blocks: int, seed: int, fan: int = FAN) -> DataFrame:
+    """blocks(block, n) and exact shard sizes: (block, sent), sent[s] rows going to shard s.
+
+    Blocks are numbered and grouped by `fan`, these groups again, until one is left,
+    so no row holds more than `fan` counts. From the top down each group's share of
+    the room in the shards is dealt to its members, all groups of a level at once.
+    """
+    shards = len(sizes)
+    # One row per block of rows, so one task can number them.
+    numbered = blocks.withColumn("child", F.row_number().over(Window.orderBy("block")).cast("long") - 1)
+    tables, most, members = [], [], numbered.select("child", "n")
+    while True:
+        most.append(max(1, min(fan, n_blocks)))
+        grouped = members.groupBy(F.expr(f"child div {int(fan)}").alias("at")).agg(F.array_sort(F.collect_list(F.struct("child", "n"))).alias("ns"), F.sum("n").alias("n"))
+        tables.append(grouped)
+        n_blocks = math.ceil(n_blocks / fan)
+        if n_blocks <= 1:
+            break
+        members = grouped.select(F.col("at").alias("child"), "n")
+    room = F.array(*[F.lit(x).cast("long") for x in sizes])
+    nodes = tables[-1].select("ns", room.alias("caps"))
+    for level in range(len(tables) - 1, -1, -1):
+        dealt = _halved(nodes, shards, seed, level, most[level])
+        if level:
+            nodes = tables[level - 1].join(dealt.withColumnRenamed("child", "at"), "at").select("ns", "caps")
+    return numbered.select("block", "child").join(dealt, "child").select("block", F.col("caps").alias("sent"))
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:

@@ -76,3 +76,13 @@ def test_no_python_in_the_plan(spark, capsys):
     assert "Python" not in capsys.readouterr().out
     assert sorted((r.doc_id or 0, r["size"], r.text_crc32, r.law, r.grown_shard) for r in out.collect()) == [(0, 1, 0, "rows", None)] + 2 * [(1, 2, zlib.crc32(b"a"), "rows", None)]
     assert s.sharded_documents(df.limit(0)).count() == 0 and s.sharded_documents(df.limit(0)).columns == out.columns
+
+
+@pytest.mark.parametrize("fan", [2, 3, 5])
+def test_matrix_dealt_over_several_levels(spark, fan):
+    sizes = [(b * 3, b * 11 % 40) for b in range(23)]
+    total = sum(n for _, n in sizes)
+    df = spark.createDataFrame(sizes, "block long, n long")
+    matrix = {r.block: r.sent for r in s.communication_matrix(df, s.shard_sizes(total, 4), len(sizes), 5, fan).collect()}
+    assert {b: sum(row) for b, row in matrix.items()} == dict(sizes)
+    assert [sum(row[k] for row in matrix.values()) for k in range(4)] == s.shard_sizes(total, 4)
