@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, text_bytes, word_chunks, written
@@ -156,9 +156,11 @@ def links(fps: DataFrame, part: int = PART) -> DataFrame:
     Anchors with one fingerprint are dropped, as it has no partner there. A group
     of over `part` members is cut into parts by hash, and every two parts are a
     cell of their own, so that no task has to hold or compare a group of any size.
+    Groups are counted with partial sums and the counts joined back, a join whose
+    heavy keys Spark can split.
     """
-    together = Window.partitionBy("anchor")
-    met = at_anchors(fps).withColumn("n", F.count(F.lit(1)).over(together)).where("n > 1")
+    points = at_anchors(fps)
+    met = points.join(points.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor")
     parts = F.ceil(F.col("n") / part).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
     other = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: (F.least(j, mine) * parts + F.greatest(j, mine)).cast("long"))
@@ -188,8 +190,10 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the least doc_id, and of rows that share it the one whose text hash is least.
 
-    All columns stay. Rows equal in doc_id and text are one document. A component
-    without any doc_id keeps one row.
+    All columns stay. Rows equal in doc_id and text are one document; which of them
+    stays is decided by a hash of all columns. A component without any doc_id keeps
+    one row. Null and empty texts have fingerprint 0 and so are one component. An
+    empty table gives an empty one.
     """
     columns = docs.columns
     keyed = written(fingerprints(docs), "fingerprints")
@@ -197,4 +201,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     best = components(keyed).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_rm_id"), F.col("first.text_hash").alias("_rm_hash"))
     hashed = docs.withColumn("_rm_text", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = hashed.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("_rm_id")) & (F.col("_rm_text") == F.col("_rm_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_rm_text"]).select(*columns)
+    # Of rows alike in doc_id and text the one with the least hash of all columns stays.
+    rows = kept.select("doc_id", "_rm_text", F.struct(F.xxhash64(*columns).alias("_rm_all"), *columns).alias("_rm_row"))
+    return rows.groupBy("doc_id", "_rm_text").agg(F.min_by("_rm_row", "_rm_row._rm_all").alias("_rm_row")).select(*[F.col(f"_rm_row.{c}").alias(c) for c in columns])
