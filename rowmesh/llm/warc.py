@@ -44,10 +44,12 @@ from pyspark.sql.datasource import (
 
 from rowmesh.functions.storage import qualified
 
-from .common import new_folder
+from .common import new_folder, written
 
 #: Payloads of fewer bytes are stored anew each time.
 MIN_REVISIT = 100
+#: Groups of equal payloads whose digests every task holds, at most (about 100 bytes each).
+BROADCAST_GROUPS = 200_000
 #: A file is closed and a new one begun once it has as many bytes.
 ROLL_BYTES = 64 << 20
 LEVEL = 4
@@ -363,8 +365,9 @@ def register(spark: SparkSession) -> None:
 def page_records(pages: DataFrame, min_revisit: int = MIN_REVISIT, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """The records of pages, one per row. Of payloads of at least min_revisit bytes that are equal, the one of the least page_id is kept.
 
-    Only groups of several pages are joined back, on the digest, so one very large
-    group is a join that Spark can split. A null html is an empty payload. Rows
+    Only the digests of groups of several pages are joined back. While these are few
+    they go to every task and no payload is moved; else it is a join on the digest whose
+    heavy keys Spark can split. A null html is an empty payload. Rows
     that repeat the least page_id of their group are responses each; a null
     page_id is a revisit unless its group has no id at all.
     """
@@ -374,6 +377,9 @@ def page_records(pages: DataFrame, min_revisit: int = MIN_REVISIT, date: str = "
         F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("length"),
     )
     firsts = keyed.where(F.col("length") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    firsts = written(firsts, "repeated-payloads")
+    if firsts.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        firsts = F.broadcast(firsts)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     return keyed.join(firsts, "digest", "left").select(
@@ -393,21 +399,17 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of archived pages.
 
     Length and digest of a response are taken from the payload that was read; a
-    revisit has none, and gives those in its headers.
+    revisit has none, and gives those in its headers. Each archive is read once.
     """
     register(spark)
     path = qualified(spark, path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    responses = spark.read.format("warc").load(path).where(F.col("warc_type") == "response")
-    revisits = spark.read.format("warc").option("payload", "false").load(path).where(F.col("warc_type") == "revisit")
-    return responses.select(
-        number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
-        F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"),
-    ).unionByName(
-        revisits.select(
-            number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
-            F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"),
-        )
+    response = F.col("warc_type") == "response"
+    records = spark.read.format("warc").load(path).where(F.col("warc_type").isin("response", "revisit"))
+    return records.select(
+        number("record_id").alias("page_id"), F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), F.when(~response, number("refers_to")).alias("refers_to"),
     )
 
 
