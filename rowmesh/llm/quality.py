@@ -24,31 +24,38 @@ _MANY_WORDS = 50_000
 
 @dataclass(frozen=True)
 class Band:
-    """What a text of a language may measure.
+    """What a text of a language may measure under each vocabulary.
 
     chars_per_token lies low where words are broken up (noise, another script) and
-    high where a few long tokens repeat; byte_share is the share of tokens that are
-    no text by themselves; evenness is the entropy of the tokens over the most that
-    as many tokens, or ENTROPY_TOKENS of them, can have.
+    high where a few long tokens repeat. byte_share is the share of tokens that are
+    no text by themselves, for the byte vocabulary, and of byte pieces for the other.
+    evenness is the entropy of the tokens over the most that as many tokens, or
+    ENTROPY_TOKENS of them, can have. max_top bounds the share of the most frequent
+    token (the min-entropy), of which TOP_MORE are free: a list of items between one
+    mark lies beyond. Scripts that fall back to bytes share the first of these.
     """
 
     min_chars: float
     max_chars: float
     max_byte_share: float
     min_evenness: float
+    min_piece_chars: float
+    max_piece_bytes: float
+    max_top: float = 0.12
 
 
 #: Bands by language, and by script where the language is unknown.
 BANDS = {
-    "en": Band(1.8, 6.5, 0.08, 0.63),
-    "de": Band(1.5, 6.5, 0.15, 0.62),
-    "fr": Band(1.5, 6.5, 0.15, 0.61),
-    "es": Band(1.5, 6.5, 0.15, 0.61),
-    "latin": Band(1.4, 6.5, 0.20, 0.58),
-    "other": Band(0.3, 6.5, 0.70, 0.45),
+    "en": Band(2.2, 6.5, 0.08, 0.65, 1.5, 0.12),
+    "de": Band(1.9, 6.5, 0.15, 0.64, 1.4, 0.15),
+    "fr": Band(2.0, 6.5, 0.15, 0.63, 1.5, 0.15),
+    "es": Band(1.9, 6.5, 0.15, 0.64, 1.4, 0.15),
+    "latin": Band(1.4, 6.5, 0.20, 0.58, 1.2, 0.25),
+    "other": Band(0.3, 6.5, 0.70, 0.45, 0.25, 0.95, 0.4),
 }
 #: Past as many tokens the most entropy that a text can have is taken not to grow further.
 ENTROPY_TOKENS = 1024
+TOP_MORE = 3
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -102,15 +109,31 @@ def pieces(text: str, size: int = 1 << 18) -> Iterator[str]:
         at = end
 
 
-def fertility(text: str, folder: str = vocabularies.FOLDER, name: str = vocabularies.BYTE_BPE) -> tuple[int, float, float, float]:
-    """n_tokens, characters per token, byte-fallback share and token entropy (bits) of a whole text; zeros for an empty one."""
-    encoding, fallback = vocabularies.byte_bpe(folder, name)
-    if not text:
-        return 0, 0.0, 0.0, 0.0
-    ids = np.concatenate([np.array(encoding.encode_ordinary(p), np.int64) for p in pieces(text)])
+class Fertility(tuple):
+    """n_tokens, characters per token, byte-fallback share and token entropy (bits) of a text under a vocabulary; `top` is how often its most frequent token comes, `pieces` the same under the piece vocabulary."""
+
+    top: int = 0
+    pieces: Fertility | None = None
+
+
+def _fertility(text: str, ids: np.ndarray, fallback: np.ndarray) -> Fertility:
+    if not len(ids):
+        return Fertility((0, 0.0, 0.0, 0.0))
     counts = np.unique(ids, return_counts=True)[1]
     entropy = math.log2(len(ids)) - float((counts * np.log2(counts)).sum()) / len(ids)
-    return len(ids), len(text) / len(ids), float(fallback[ids].mean()), max(0.0, entropy)
+    found = Fertility((len(ids), len(text) / len(ids), float(fallback[ids].mean()), max(0.0, entropy)))
+    found.top = int(counts.max())
+    return found
+
+
+def fertility(text: str, folder: str = vocabularies.FOLDER, name: str = vocabularies.BYTE_BPE, piece_name: str = vocabularies.PIECE_BPE) -> Fertility:
+    """The fertility of a whole text under a byte vocabulary and, in `pieces`, under a piece vocabulary; zeros for an empty one."""
+    encoding, fallback = vocabularies.byte_bpe(folder, name)
+    model, byte_pieces = vocabularies.piece_bpe(folder, piece_name)
+    none, parts = np.zeros(0, np.int64), list(pieces(text))
+    found = _fertility(text, np.concatenate([none, *(np.array(encoding.encode_ordinary(p), np.int64) for p in parts)]), fallback)
+    found.pieces = _fertility(text, np.concatenate([none, *(np.array(model.encode(p), np.int64) for p in parts)]), byte_pieces)
+    return found
 
 
 def band_of(lang: str | None, text: str) -> Band:
@@ -121,25 +144,34 @@ def band_of(lang: str | None, text: str) -> Band:
     return BANDS["other" if 2 * foreign > len(re.findall(r"[^\W\d_]", text)) else "latin"]
 
 
-def in_band(band: Band, measured: tuple[int, float, float, float]) -> bool:
-    n, chars, byte_share, entropy = measured
-    if n < 2:
-        return n > 0
-    evenness = entropy / math.log2(min(n, ENTROPY_TOKENS))
-    return band.min_chars <= chars <= band.max_chars and byte_share <= band.max_byte_share and evenness >= band.min_evenness
+def in_band(band: Band, measured: Fertility) -> bool:
+    """Whether both vocabularies find a text within its band; one of no tokens is in none, of one token in every."""
+    if measured[0] < 2:
+        return measured[0] > 0
+    for (n, chars, byte_share, entropy), least, most_bytes, top in (
+        (measured, band.min_chars, band.max_byte_share, measured.top),
+        (measured.pieces, band.min_piece_chars, band.max_piece_bytes, measured.pieces.top),
+    ):
+        evenness = entropy / math.log2(min(max(n, 2), ENTROPY_TOKENS))
+        if not (least <= chars <= band.max_chars and byte_share <= most_bytes and evenness >= band.min_evenness and top <= band.max_top * n + TOP_MORE):
+            return False
+    return True
 
 
 RULES = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+    "n_tokens long, chars_per_token double, byte_share double, token_entropy double, top_token long, "
+    "n_pieces long, chars_per_piece double, byte_piece_share double, piece_entropy double, top_piece long"
 )
 
 
 def quality(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocabularies.BYTE_BPE) -> DataFrame:
-    """A row for each document: the base counts, whether they fail, the tokenizer's measures, and the verdict `kept`.
+    """A row for each document: the base counts, whether they fail, the verdict `kept`, and what both vocabularies measure.
 
-    A null text has no words and fails; it is measured as empty. `lang` may be
-    missing or null: the script then picks the band. Rows are judged one by one.
+    A null or empty text has no words and fails; its measures are zero. `lang` may be
+    missing, null or unknown: the script then picks the band. Rows are judged one by
+    one, so repeated rows get equal verdicts and other columns don't matter. No
+    documents give no rows.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +180,9 @@ def quality(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = voca
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counts, measured = base_counts(text), fertility(text or "", folder, name)
                 failed = base_failed(counts[0], counts[4])
-                rows.append((*counts, failed, not failed and in_band(band_of(lang, text), measured), *measured))
-            columns = list(zip(*rows)) or [()] * 11
-            types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 3
+                rows.append((*counts, failed, not failed and in_band(band_of(lang, text), measured), *measured, measured.top, *measured.pieces, measured.pieces.top))
+            columns = list(zip(*rows))
+            types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), *[pa.float64()] * 3, pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], [x.split()[0] for x in RULES.split(", ")])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -158,7 +190,7 @@ def quality(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = voca
 
 
 def keep_good(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocabularies.BYTE_BPE) -> DataFrame:
-    """The rows of docs, all columns, that quality() keeps."""
+    """The rows of docs, all columns, that quality() keeps; equal rows stay or go together, and null and empty texts go."""
     place, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import sentencepiece
 import tiktoken
 
 #: Where the vocabulary files lie on the driver and on each executor.
@@ -31,3 +32,10 @@ def byte_bpe(folder: str = FOLDER, name: str = BYTE_BPE) -> tuple[tiktoken.Encod
         except UnicodeDecodeError:
             fallback[rank] = True
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), fallback
+
+
+@lru_cache(maxsize=4)
+def piece_bpe(folder: str = FOLDER, name: str = PIECE_BPE) -> tuple[sentencepiece.SentencePieceProcessor, np.ndarray]:
+    """The encoder of a piece model, and for each id whether it is a byte piece (a byte fallback)."""
+    model = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, name))
+    return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])

@@ -80,3 +80,25 @@ def test_verdicts(spark):
     kept = q.keep_good(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 2, 8]
     assert q.quality(df.limit(0)).count() == 0 and q.quality(df.drop("lang")).count() == len(rows)
+
+
+def test_pieces_of_the_second_vocabulary():
+    model, byte_pieces = q.vocabularies.piece_bpe()
+    text = "The quick brown fox — naïve 你好 🦊 jumps. " * 3
+    ids = model.encode(text)
+    found = q.fertility(text)
+    assert tuple(found.pieces)[:2] == (len(ids), len(text) / len(ids)) and found.pieces.top == max(Counter(ids).values())
+    assert abs(found.pieces[2] - sum(model.id_to_piece(i).startswith("<0x") for i in ids) / len(ids)) < 1e-12 and found.pieces[2] > 0 and byte_pieces.sum() == 256
+
+
+def test_labels_that_no_band_was_set_from():
+    """Bands were set from labelled documents of even id; those of odd id show what they do."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select text, lang, quality from '{folder}/documents.parquet' join '{folder}/labels.parquet' using (doc_id) where doc_id % 2 = 1").fetchall()
+    kept = {0: [], 1: []}
+    for text, lang, label in rows:
+        counts = q.base_counts(text)
+        kept[label].append(not q.base_failed(counts[0], counts[4]) and q.in_band(q.band_of(lang, text), q.fertility(text or "")))
+    assert len(kept[0]) > 200 and sum(kept[0]) < 0.05 * len(kept[0]) and sum(kept[1]) > 0.97 * len(kept[1])
