@@ -51,35 +51,45 @@ _DOTS = "dot|punkt|punto|point"
 _ATS = "at|arroba|chez|klammeraffe"
 
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?![^\W_])"
-_ITEM = rf"(?:{_WORD}|[0-9]+|(?:{_DOTS})(?![^\W_]))"
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus {{1,3}})?{_WORD}(?:[ ,.()-]{{1,3}}{_ITEM})+|(?<![^\W_])(?:\+|plus {{1,3}})?[0-9]+(?:[ ,.()-]{{1,3}}{_ITEM})+", re.IGNORECASE)
+_ITEM = rf"(?:{_WORD}|[0-9]++|(?:{_DOTS})(?![^\W_]))"
+_GAP = "[ ,.()-]++"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus ++)?{_WORD}(?:{_GAP}{_ITEM})++|(?<![^\W_])(?:\+|plus ++)?[0-9]++(?:{_GAP}{_ITEM})++", re.IGNORECASE)
 _SPELLED_ITEM = re.compile(rf"{_WORD}|[0-9]+|(?:{_DOTS})(?![^\W_])|plus|\+|[.]", re.IGNORECASE)
 #: Cheap test before _SPELLED: two spelled digits with at most numbers and dots between them.
-_TWO_WORDS = re.compile(rf"(?<![^\W_]){_WORD}(?:[ ,.()-]{{1,3}}(?:[0-9]++|(?:{_DOTS})(?![^\W_])))*[ ,.()-]{{1,3}}{_WORD}", re.IGNORECASE)
-_DISGUISED_AT = re.compile(rf" {{0,3}}[\[({{<] {{0,3}}(?:{_ATS}|@) {{0,3}}[\])}}>] {{0,3}}|(?<=[A-Za-z0-9])[_-](?:at|AT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
-_DISGUISED_DOT = re.compile(rf" {{0,3}}[\[({{<] {{0,3}}(?:{_DOTS}|\.) {{0,3}}[\])}}>] {{0,3}}|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
-#: Bare words count only as a whole address: local part, at, and a domain with bare or plain dots and a known end, of which one at least is disguised.
-_BARE = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<lead>(?:[A-Za-z0-9_%+-]{{1,64}} {{1,3}}(?:{_DOTS}) {{1,3}}){{0,4}})[A-Za-z0-9._%+-]{{1,64}}(?P<at> {{1,3}}(?:{_ATS}|@) {{1,3}}|@)"
-    rf"[A-Za-z0-9-]{{1,63}}(?P<rest>(?:(?: {{1,3}}(?:{_DOTS}|\.) {{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{1,8}})",
-    re.IGNORECASE,
-)
+_TWO_WORDS = re.compile(rf"(?<![^\W_]){_WORD}(?:{_GAP}(?:[0-9]++|(?:{_DOTS})(?![^\W_])))*+{_GAP}{_WORD}", re.IGNORECASE)
+# A run of blanks is only tried from its begin.
+_DISGUISED_AT = re.compile(rf"(?<! ) *+[\[({{<] *+(?:{_ATS}|@) *+[\])}}>] *+|(?<=[A-Za-z0-9])[_-](?:at|AT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
+_DISGUISED_DOT = re.compile(rf"(?<! ) *+[\[({{<] *+(?:{_DOTS}|\.) *+[\])}}>] *+|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
+#: Bare words count only as a whole address: an at, after it a domain with bare or plain dots and a known end, before it a local part, of which one at least is disguised.
+_BARE_AT = re.compile(rf"(?<! ) ++(?:{_ATS}|@) ++|@", re.IGNORECASE)
+_BARE_DOMAIN = re.compile(rf"(?P<host>[A-Za-z0-9-]++)(?P<rest>(?:(?: ++(?:{_DOTS}|\.) ++|\.)[A-Za-z0-9-]++)++)", re.IGNORECASE)
 #: Numbers with bare dots between them, as many as an address has.
-_BARE_IP = re.compile(rf"(?<![A-Za-z0-9])[0-9]{{1,3}}(?: {{1,3}}(?:{_DOTS}) {{1,3}}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.IGNORECASE)
+_BARE_IP = re.compile(rf"(?<![A-Za-z0-9])[0-9]{{1,3}}(?: ++(?:{_DOTS}) ++[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.IGNORECASE)
 #: Letters that pass for digits, and a run in which they may stand for them.
 _LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
 _MIXED_HINT = re.compile(r"[0-9][ ().-]*+[OolI]|[OolI][ ().-]*+[0-9]")
 _MIXED = re.compile(r"(?<![^\W_])[0-9OolI]++(?![^\W_])(?:[ ().-]++[0-9OolI]++(?![^\W_]))*+")
-#: A letter by itself at the end of a run of longer groups is a word.
-_LONE_FIRST, _LONE_LAST = re.compile(r"[OolI] ++(?=[0-9OolI]{2})"), re.compile(r"(?<=[0-9OolI]{2}) ++[OolI]$")
+#: A letter by itself at the begin of a run of longer groups is a word, as one at its end is (see _without_last()).
+_LONE_FIRST, _LONG_GROUP = re.compile(r"[OolI] ++(?=[0-9OolI]{2})"), re.compile(r"[0-9OolI]{2}")
 # Words of prose that neither begin nor end a domain of bare words.
 _PROSE = frozenset("a an the this that these those which what one each every any some my your his her its our their of and or to on by for from with as if when where while but than then so we he she they you who is was are were be will would has had have".split())
 # Ends of an address that are known by themselves; others count where both at and dot are disguised.
 _ENDS = frozenset("com org net edu gov mil int info biz name io co dev app ai eu uk de fr es pt it nl be at ch us ca mx br ar ru pl se no dk fi ie au nz jp cn in kr example test".split())
-_BARE_DOT = re.compile(rf" {{1,3}}(?:{_DOTS}|\.) {{1,3}}", re.IGNORECASE)
+# Words that stand before a place ("sat at", "here at") and are no local part of a bare address.
+_BEFORE_PLACE = frozenset(
+    "sat sit sits sitting stay stays stayed staying look looks looked looking stare stared meet meets met meeting arrive arrives arrived arriving live lives lived living work works worked working "
+    "stand stands stood standing stop stops stopped start starts started begin began begins end ends ended be is are was were am been being here there home available hosted visit visited shop "
+    "found find posted read seen saw see us me him her them it you not now then only just also all one held based again still aim aimed laugh laughed smile smiled point pointed knock knocked".split()
+)
+_NO_NAMES = _BEFORE_PLACE | _PROSE | frozenset(f"{_ATS}|{_DOTS}".split("|"))
+_BARE_DOT = re.compile(rf" ++(?:{_DOTS}|\.) ++", re.IGNORECASE)
+_DOT_WORDS = frozenset(_DOTS.split("|"))
+_SIGNS = frozenset(f"{_ATS}|{_DOTS}".split("|"))
 #: One of these is in every text that the last transducer changes.
 _HINTS = ("[", "(", "{", "<", "_at_", "-at-", "_dot_", "-dot-", " @ ", *(f" {w} " for w in _DOTS.split("|")))
 
+_PLAIN = re.compile(r"[A-Za-z0-9]")
+
 Span = tuple[int, int, int]
 
 
@@ -162,11 +172,17 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
             # Detection judges what comes out, so a run of any length may be read as a number.
             if any("0" <= c <= "9" for c in run) and any(c in _LETTER_DIGITS for c in run):
                 lo = first.end() if (first := _LONE_FIRST.match(run)) else 0
-                hi = last.start() if (last := _LONE_LAST.search(run, max(lo, len(run) - 64))) else len(run)
+                hi = _without_last(run)
                 edits += [(m.start() + k, m.start() + k + 1, _LETTER_DIGITS[c]) for k, c in enumerate(run[:hi]) if k >= lo and c in _LETTER_DIGITS]
     return edits + _foreign(text)
 
 
+def _without_last(run: str) -> int:
+    """Where a run ends, without a letter that stands by itself after a longer group."""
+    rest = run[:-1].rstrip(" ")
+    return len(rest) if run[-1] in _LETTER_DIGITS and len(rest) < len(run) - 1 and _LONG_GROUP.match(rest, max(0, len(rest) - 2)) else len(run)
+
+
 def _foreign(text: str) -> list[tuple[int, int, str]]:
     if text.isascii():
         return []
@@ -189,16 +205,62 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def _ends_address(m: re.Match, word_at: bool, dotted: bool) -> bool:
+def _ends_address(at: str, host: str, rest: str, dotted: bool) -> bool:
     """Whether the end of a bare address is one: a known one, or any letters where at and dot are both disguised and it doesn't read as prose."""
-    last = re.split(r"[ .]", m["rest"])[-1].lower()
+    last = re.split(r"[ .]", rest)[-1].lower()
     if last in _ENDS:
         return True
-    if not (last.isalpha() and len(last) >= 2 and dotted and m["at"] != "@") or last in _PROSE:
+    if not (last.isalpha() and len(last) >= 2 and dotted and at) or last in _PROSE or last in DIGIT_WORDS or last in _SIGNS:
         return False
-    host = m[0][m.end("at") - m.start() : m.start("rest") - m.start()].lower()
     # "at some point" is ordinary prose.
-    return host not in _PROSE and not (m["at"].strip().lower() == "at" and re.search(r" point ", m["rest"], re.IGNORECASE)) and (word_at or " . " not in m["rest"])
+    return host.lower() not in _PROSE and not (at == "at" and re.search(r" point ", rest, re.IGNORECASE)) and (at != "@" or " . " not in rest)
+
+
+def _local_part(text: str, floor: int, end: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where the local part that ends at a place begins, not before `floor`, and its spelled dots; its begin is the end if there is none."""
+    dots: list[tuple[int, int]] = []
+    begin = end
+    while begin > floor and text[begin - 1] in _LOCAL:
+        begin -= 1
+    while begin < end:
+        word_end = begin
+        while word_end > floor and text[word_end - 1] == " ":
+            word_end -= 1
+        word = word_end
+        while word > floor and text[word - 1].isalpha():
+            word -= 1
+        before = word
+        while before > floor and text[before - 1] == " ":
+            before -= 1
+        first = before
+        while first > floor and text[first - 1] in _LOCAL:
+            first -= 1
+        if word_end == begin or text[word:word_end].lower() not in _DOT_WORDS or before == word or first == before:
+            break
+        dots.append((before, begin))
+        begin = first
+    return begin, dots
+
+
+def _bare_addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that turn bare words into addresses. A domain is sought after each at first, so that prose is left at once."""
+    floor = 0
+    for m in _BARE_AT.finditer(text):
+        domain = _BARE_DOMAIN.match(text, m.end()) if m.start() >= floor else None
+        if domain is None:
+            continue
+        at = m[0].strip().lower() if m[0] != "@" else ""
+        dots = [(domain.start("rest") + d.start(), domain.start("rest") + d.end()) for d in _BARE_DOT.finditer(domain["rest"])]
+        # " at " before a plain domain is ordinary prose; " @ " isn't.
+        if not (dots or at == "@") or not _ends_address(at, domain["host"], domain["rest"], bool(dots)):
+            continue
+        begin, lead = _local_part(text, floor, m.start())
+        if begin == m.start() or at == "at" and not lead and text[begin : m.start()].lower() in _NO_NAMES:
+            continue
+        yield from ((s, e, ".") for s, e in [*lead, *dots])
+        if at:
+            yield m.start(), m.end(), "@"
+        floor = domain.end()
 
 
 def _addresses(text: str) -> list[tuple[int, int, str]]:
@@ -209,19 +271,17 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
     taken = sorted(edits)
     view = Layer(text, taken)
     # Bare words are read in the text as the brackets have left it.
-    more = []
-    for m in _BARE.finditer(view.text):
-        dots = [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in ("lead", "rest") for d in _BARE_DOT.finditer(m[g])]
-        word_at = m["at"].strip().lower() not in ("", "@")
-        # " at " before a plain domain is ordinary prose; " @ " isn't.
-        if _ends_address(m, word_at, any(d[0] >= m.start("rest") for d in dots)) and (any(d[0] >= m.start("rest") for d in dots) or m["at"] != "@" and not word_at):
-            more += [*dots, *([(*m.span("at"), "@")] if m["at"] != "@" else [])]
+    more = list(_bare_addresses(view.text))
     more += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _BARE_IP.finditer(view.text) for d in _BARE_DOT.finditer(m[0])]
     return taken + [(s, e, put) for a, b, put in more for s, e, _ in [view.back(a, b)]]
 
 
 def added(text: str, base: list[Span]) -> list[Span]:
-    """Spans, in the source, that only the rewritten text shows; none that lies within a base span of its kind."""
+    """Spans, in the source, that only the rewritten text shows.
+
+    None that lies within a base span of its kind, or goes beyond one only by
+    characters that are no ASCII letters or digits: that is the same find.
+    """
     layers = []
     for rewrite in (_characters, _numbers, _addresses):
         if edits := sorted(rewrite(layers[-1].text if layers else text)):
@@ -234,7 +294,7 @@ def added(text: str, base: list[Span]) -> list[Span]:
         for layer in reversed(layers):
             s, e, here = layer.back(s, e)
             edited |= here
-        if edited and not any(k == kind and a <= s and e <= b for a, k, b in base):
+        if edited and not any(k == kind and (a <= s and e <= b or s <= a and b <= e and not _PLAIN.search(text[s:a] + text[b:e])) for a, k, b in base):
             found.append((s, kind, e))
     return found
 
@@ -271,7 +331,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """A row for each document: how many base spans of each kind, their SHA-256, all spans, and how many the disguises add.
 
     Rows are judged one by one, so equal rows give equal results and other columns
-    don't matter. A null text counts as empty: no spans, and the hash of nothing.
+    don't matter. A null text counts as empty: no spans, and the hash of nothing. Of
+    spans with one start the kinds come in their order. No documents give no rows.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +342,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 base, spans = find(text)
                 counts = [sum(k == n for _, k, _ in base) for n in range(4)]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
-            columns = list(zip(*rows)) or [()] * 7
+            columns = list(zip(*rows))
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], [x.split()[0] for x in SPANS.split(", ")])
 
@@ -291,7 +352,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with personal data in `text` replaced by [EMAIL], [IP], [CARD] or [PHONE], and `n_chars`, where there is one, brought up to date.
 
-    A null text stays null and its n_chars as it is.
+    A null text stays null and its n_chars as it is; texts without personal data, also
+    empty ones, stay as they are. Rows are judged one by one, so repeated rows give
+    equal results. No documents give no rows.
     """
     place = docs.columns.index("text")
 
