@@ -60,9 +60,14 @@ def unflat(values: np.ndarray) -> Params:
 
 def _softmax(x: np.ndarray) -> None:
     """In place, over the last axis."""
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    was, ones = x, np.ones(x.shape[-1], x.dtype)
+    # One maximum for all rows does, unless some row lies far below it.
+    e = np.exp(x - x.max())
+    total = e @ ones
+    if total.min() < 1e-25:
+        e = np.exp(x - x.max(axis=-1, keepdims=True))
+        total = e @ ones
+    np.divide(e, total[..., None], out=was)
 
 
 @dataclass
@@ -77,11 +82,12 @@ class Choices:
 
 def _gathered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of `values` by their place among n."""
-    return np.stack([np.bincount(at, values[:, j], n) for j in range(values.shape[1])], axis=1).astype(values.dtype)
+    d = values.shape[1]
+    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d).astype(values.dtype)
 
 
-def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.ndarray, choices: Choices | None = None) -> tuple[float, Params]:
-    """Mean cross-entropy of the target classes (windows x places) where `real`, with that of the choices within them, and its gradient; rows are embedding rows."""
+def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.ndarray, choices: Choices | None = None, with_loss: bool = True) -> tuple[float, Params]:
+    """Mean cross-entropy (0 without with_loss) of the target classes (windows x places) where `real`, with that of the choices within them, and its gradient; rows are embedding rows."""
     n, w = rows.shape
     scale = 1 / np.sqrt(WIDTH)
     lag = np.arange(w)[:, None] - np.arange(w)
@@ -96,32 +102,36 @@ def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.
     a += far
     _softmax(a)
     c = flat2(a @ v)
-    y = c @ p["o"]
-    y += e @ p["r"]
+    # What the attention gathers and the subword itself go through one product.
+    both, out = np.hstack([c, e]), np.vstack([p["o"], p["r"]])
+    y = both @ out
     y += p["b"]
     _softmax(y)
     real, each, goal = real.ravel(), np.arange(n * w), target.ravel()
     count = max(1, int(real.sum()))
-    picked = y[each, goal]
-    loss = float(-(np.log(np.maximum(picked, 1e-30)) * real).sum() / count)
+    loss = float(-(np.log(np.maximum(y[each, goal], 1e-30)) * real).sum() / count) if with_loss else 0.0
     dy = y
     dy[each, goal] -= 1
     dy *= (real / y.dtype.type(count)).astype(y.dtype)[:, None]
-    g = {"o": c.T @ dy, "r": e.T @ dy, "b": dy.sum(axis=0)}
-    dc, dh = dy @ p["o"].T, None
+    g_out, d_both = both.T @ dy, dy @ out.T
+    g = {"o": g_out[:WIDTH], "r": g_out[WIDTH:], "b": np.ones(len(dy), dy.dtype) @ dy}
+    dc, de, dh = d_both[:, :WIDTH], d_both[:, WIDTH:], None
     for name in ("w", "u", "t", "d"):
         g[name] = np.zeros_like(p[name])
     if choices is not None and len(choices.place):
-        h = (c @ p["w"] + e @ p["u"]).take(choices.place, axis=0)
+        wu = np.vstack([p["w"], p["u"]])
+        h = (both @ wu).take(choices.place, axis=0)
         t = p["t"].take(choices.node, axis=0)
         z = choices.way * (np.einsum("ij,ij->i", h, t) + p["d"].take(choices.node) + choices.odds.astype(h.dtype))
-        loss += float(np.logaddexp(0, -z).sum() / count)
+        if with_loss:
+            loss += float(np.logaddexp(0, -z).sum() / count)
         dz = (-choices.way / (1 + np.exp(np.clip(z, -_SAFE, _SAFE))) / h.dtype.type(count)).astype(h.dtype)
         g["d"] = np.bincount(choices.node, dz, len(p["d"])).astype(h.dtype)
         g["t"] = _gathered(choices.node, dz[:, None] * h, len(p["t"]))
         dh = _gathered(choices.place, dz[:, None] * t, n * w)
-        g["w"], g["u"] = c.T @ dh, e.T @ dh
-        dc += dh @ p["w"].T
+        g_wu, d_more = both.T @ dh, dh @ wu.T
+        g["w"], g["u"] = g_wu[:WIDTH], g_wu[WIDTH:]
+        dc, de = dc + d_more[:, :WIDTH], de + d_more[:, WIDTH:]
     dc = deep(dc)
     ds = dc @ v.transpose(0, 2, 1)
     ds -= np.einsum("nij,nij->ni", ds, a)[..., None]
@@ -129,11 +139,10 @@ def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.
     g["far"] = np.bincount(np.maximum(lag, 0).ravel(), (ds.sum(axis=0) * (lag >= 0)).ravel(), WINDOW).astype(p["E"].dtype)
     ds *= scale
     dq, dk, dv = flat2(ds @ k), flat2(ds.transpose(0, 2, 1) @ q), flat2(a.transpose(0, 2, 1) @ dc)
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = e.T @ d
-    de = dy @ p["r"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    if dh is not None:
-        de += dh @ p["u"].T
+    d_qkv = np.hstack([dq, dk, dv])
+    g_qkv = e.T @ d_qkv
+    g["q"], g["k"], g["v"] = g_qkv[:, :WIDTH], g_qkv[:, WIDTH : 2 * WIDTH], g_qkv[:, 2 * WIDTH :]
+    de = de + d_qkv @ np.hstack([p["q"], p["k"], p["v"]]).T
     g["E"] = _gathered(rows.ravel(), de, len(p["E"]))
     return loss, g
 
@@ -147,33 +156,45 @@ def _some(values: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, lookup[values]
 
 
-def train(start: Params, lex: Lexicon, ids: np.ndarray, real: np.ndarray, passes: int, rate: float, seed: int = 3) -> Params:
-    """Adam over the windows (rows of ids, each the target of the one before it, where `real`) in seeded order; the given parameters stay as they are.
+class Trainer:
+    """Adam from given parameters, which stay as they are; of the tables with a row for each subword or node, a step changes only the rows it meets."""
 
-    Of the tables with a row for each subword or node, a step changes only the rows it meets.
-    """
-    p = {k: x.copy() for k, x in start.items()}
-    first, second, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    lookup = np.zeros(len(p["E"]), np.int64)
-    rng = np.random.default_rng(seed)
-    for _ in range(passes):
-        order = rng.permutation(len(ids))
+    def __init__(self, start: Params, lex: Lexicon, rate: float, seed: int = 3):
+        self.p = {k: x.copy() for k, x in start.items()}
+        self.first, self.second = ({k: np.zeros_like(x) for k, x in start.items()} for _ in range(2))
+        self.lex, self.rate, self.steps = lex, rate, 0
+        self.lookup, self.rng = np.zeros(len(start["E"]), np.int64), np.random.default_rng(seed)
+
+    def learn(self, ids: np.ndarray, real: np.ndarray) -> None:
+        """Once over the windows (rows of ids, each the target of the one before it, where `real`) in seeded order."""
+        order = self.rng.permutation(len(ids))
         for at in range(0, len(order), STEP_WINDOWS):
-            some = order[at : at + STEP_WINDOWS]
-            now, goal = real[some], ids[some, 1:]
-            met, rows = _some(lex.row[ids[some, :-1]], lookup)
-            place = np.flatnonzero(now.ravel())
-            choices = lex.choices(place, goal.ravel()[place])
-            nodes, choices.node = _some(choices.node, lookup)
-            part = {k: met if k == "E" else nodes if k in _TABLES else slice(None) for k in p}
-            _, g = loss_and_gradient({k: p[k][part[k]] for k in p}, rows, lex.cls[goal].astype(np.int64), now, choices)
-            t += 1
-            for k, at_rows in part.items():
-                m = first[k][at_rows] + 0.1 * (g[k] - first[k][at_rows])
-                s = second[k][at_rows] + 0.01 * (g[k] * g[k] - second[k][at_rows])
-                first[k][at_rows], second[k][at_rows] = m, s
-                p[k][at_rows] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-    return p
+            self._step(ids[order[at : at + STEP_WINDOWS]], real[order[at : at + STEP_WINDOWS]])
+
+    def _step(self, ids: np.ndarray, real: np.ndarray) -> None:
+        p, lex, goal = self.p, self.lex, ids[:, 1:]
+        met, rows = _some(lex.row[ids[:, :-1]], self.lookup)
+        place = np.flatnonzero(real.ravel())
+        choices = lex.choices(place, goal.ravel()[place])
+        nodes, choices.node = _some(choices.node, self.lookup)
+        part = {k: met if k == "E" else nodes if k in _TABLES else slice(None) for k in p}
+        _, g = loss_and_gradient({k: p[k][part[k]] for k in p}, rows, lex.cls[goal].astype(np.int64), real, choices, with_loss=False)
+        self.steps += 1
+        size, scale = self.rate / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
+        for k, at in part.items():
+            m, s, d = self.first[k][at], self.second[k][at], g[k]
+            m += 0.1 * (d - m)
+            s += 0.01 * (d * d - s)
+            self.first[k][at], self.second[k][at] = m, s
+            p[k][at] -= size * m / (np.sqrt(scale * s) + 1e-8)
+
+
+def train(start: Params, lex: Lexicon, ids: np.ndarray, real: np.ndarray, passes: int, rate: float, seed: int = 3) -> Params:
+    """`passes` times over the windows, see Trainer."""
+    trainer = Trainer(start, lex, rate, seed)
+    for _ in range(passes):
+        trainer.learn(ids, real)
+    return trainer.p
 
 
 @dataclass

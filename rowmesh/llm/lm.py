@@ -3,8 +3,10 @@
 Counts are taken over all training documents by Spark. The most frequent words,
 a fixed number of them, go to every task; the words of a document that are not
 among them are looked up by a join. The attention model is trained in parallel:
-each training document is cut into consecutive windows, each task trains on its
-share of them from common parameters, and the results are averaged.
+each training document is cut into consecutive windows, so that every token is a
+target once. The documents come in rounds, each with a larger share of them; in a
+round each task trains on its part of the windows from common parameters, and the
+results are averaged before the next.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ from .common import small, text_bytes, written
 FOLDS, HELD_OUT = 7, 2
 #: Words with the greatest counts that every task holds.
 TOP_WORDS = 1 << 16
-#: Windows that one task trains on, rounds of training and averaging, passes over the windows in a round, step size.
-TRAINER_WINDOWS, ROUNDS, PASSES, RATE = 1 << 17, 2, 1, 0.01
+#: Windows that one task trains on, passes over the windows of a round, step size.
+TRAINER_WINDOWS, PASSES, RATE = 1 << 17, 1, 0.01
+#: Parts of the training documents, by a hash of their id, that each round takes: the first rounds only find the way, the last gets half.
+SHARES = (1, 1, 2, 4)
+#: Windows that a trainer holds and shuffles at a time.
+HELD_WINDOWS = 1 << 16
 #: Trainers averaged in one group.
 FAN_IN = 64
 #: Distinct words that a worker counts before it hands them on, words whose subwords it remembers, and words that are encoded at once.
@@ -159,17 +165,30 @@ def _train_share(start: np.ndarray, lex: attention.Lexicon):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        parts = [np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16) for b in batches if b.num_rows]
-        if not parts:
-            return
-        ids = np.concatenate(parts).reshape(-1, attention.WINDOW + 1)
-        real = ids[:, 1:] != _AFTER
-        ids = np.where(ids == _AFTER, lex.end, ids.astype(np.int32))
-        trained = attention.train(attention.unflat(start), lex, ids, real, PASSES, RATE)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(len(ids))]), pa.array([attention.flat(trained).astype("<f4").tobytes()], pa.binary())],
-            ["trainer", "weight", "p"],
-        )
+        trainer, held, n, seen = attention.Trainer(attention.unflat(start), lex, RATE), [], 0, 0
+
+        def learn() -> None:
+            ids = np.frombuffer(b"".join(held), np.uint16).reshape(-1, attention.WINDOW + 1)
+            real = ids[:, 1:] != _AFTER
+            ids = np.where(ids == _AFTER, lex.end, ids.astype(np.int32))
+            for _ in range(PASSES):
+                trainer.learn(ids, real)
+
+        for batch in batches:
+            held += batch.column(1).to_pylist()
+            n += batch.num_rows
+            if n >= HELD_WINDOWS:
+                learn()
+                seen, n = seen + n, 0
+                held.clear()
+        if n:
+            learn()
+            seen += n
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([attention.flat(trainer.p).astype("<f4").tobytes()], pa.binary())],
+                ["trainer", "weight", "p"],
+            )
 
     return each
 
@@ -182,22 +201,25 @@ def _mean(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"trainer": [int(group["trainer"].iloc[0]) // FAN_IN], "weight": [weights.sum()], "p": [(total / weights.sum()).astype("<f4").tobytes()]})
 
 
-def train_model(windows: DataFrame, lex: attention.Lexicon) -> attention.Params:
-    """Rounds of training on all windows, each followed by an average over the trainers."""
-    n = windows.count()
-    params = attention.flat(attention.initial(lex.class_share, rows=len(lex.row)))
-    trainers = max(1, math.ceil(n / TRAINER_WINDOWS))
-    shares = windows.repartition(trainers, "k").sortWithinPartitions("k", "ids")
-    for _ in range(ROUNDS if n else 0):
-        found, left = shares.mapInArrow(_train_share(params, lex), "trainer long, weight double, p binary"), trainers
-        if left > FAN_IN:
-            found = written(found, "trained")
-        while True:
+def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, folder: str, name: str) -> attention.Params:
+    """Training on all windows of train(doc_id, text), about n_windows, in rounds; after each an average over the trainers.
+
+    Windows are dealt to trainers and put in order by a hash of document and place, so
+    the result doesn't depend on how the input is split, but for sums of floats.
+    """
+    params, done = attention.flat(attention.initial(lex.class_share, rows=len(lex.row))), 0
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(sum(SHARES)))
+    for part in SHARES:
+        mine = train.where((share >= done) & (share < done + part))
+        left = max(1, math.ceil(n_windows * part / sum(SHARES) / TRAINER_WINDOWS))
+        windows = training_windows(mine, lex, folder, name).repartition(left, "k").sortWithinPartitions("k", "ids")
+        found = written(windows.mapInArrow(_train_share(params, lex), "trainer long, weight double, p binary"), "trained")
+        while left > 1:
             found = found.groupBy(F.floor(F.col("trainer") / FAN_IN).alias("g")).applyInPandas(_mean, "trainer long, weight double, p binary")
             left = math.ceil(left / FAN_IN)
-            if left <= 1:
-                break
-        params = np.frombuffer(found.first()["p"], "<f4")
+        if (last := found.first()) is not None:
+            params = np.frombuffer(last["p"], "<f4")
+        done += part
     return attention.unflat(params)
 
 
@@ -244,8 +266,9 @@ def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocab
     base_score is the add-one log10 score of the document's words and its end under
     the counts of the training documents; score is the attention model's log10
     probability of the lower-cased text. A null text counts as an empty one, whose
-    only token is the end. Rows are scored one by one, whatever their ids. Without
-    training documents no token is known and the model is its start.
+    only token is the end. Rows are scored one by one, whatever their ids, and
+    repeated rows each; other columns don't matter. Without training documents no
+    token is known and the model is its start. No documents give no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     train = slim.where(~F.col("held_out"))
@@ -254,8 +277,9 @@ def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocab
     rows = counts.orderBy(F.col("c").desc(), "word").limit(top_words).toArrow()
     top = dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist())) | ({END: ends} if ends else {})
     encoding, _ = vocabularies.byte_bpe(folder, name)
-    lex = attention.lexicon(subword_counts(counts, folder, name), [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)] + [b""])
-    params = train_model(written(training_windows(train, lex, folder, name), "windows"), lex)
+    seen = subword_counts(counts, folder, name)
+    lex = attention.lexicon(seen, [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)] + [b""])
+    params = train_model(train, lex, seen.sum() / attention.WINDOW + seen[-1], folder, name)
     # Written, so that the joins below don't score anything twice and the row numbers stay as they are.
     done = written(_scored(slim, top, lex, params, folder, name).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = done.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
