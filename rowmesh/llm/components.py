@@ -13,7 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round lets every node, and the root that it had, take the least root
     among its neighbours, then follows roots one step further. Links and labels
-    stay in tables; the driver sees a count per round. No links give no rows.
+    stay in tables; the driver sees a count per round. A link of a node with itself, or
+    one that repeats, adds nothing; a null end is no node. No links give no rows.
     """
     both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l"))
     edges = written(both.select(F.col("l.a").alias("u"), F.col("l.b").alias("v")).where("u <> v").distinct(), "edges")

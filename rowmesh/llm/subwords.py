@@ -389,7 +389,13 @@ def variant_of(doc_id: int | None, variants: int) -> int:
 def encoded(
     docs: DataFrame, keep: tuple[str, ...] = (), dropout: float = DROPOUT, key: int = 0, variants: int = VARIANTS, folder: str = vocabularies.FOLDER, name: str = vocabularies.PIECE_BPE
 ) -> DataFrame:
-    """(doc_id, *keep, variant, ids) of each document; a null text gives no ids, as an empty one does."""
+    """(doc_id, *keep, variant, ids) of each document.
+
+    A null text gives no ids, as an empty one does; a null doc_id has variant 0. Rows
+    with equal doc_id and text get equal ids. Texts of any length are encoded whole, in
+    parts cut where none can meet. No documents give no rows, and columns that are not
+    kept don't matter.
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     out = slim.drop("text").withColumns({"variant": F.lit(0), "ids": F.array().cast("array<int>")}).schema
 
@@ -406,7 +412,7 @@ def encoded(
 
 
 def decoded(tokens: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocabularies.PIECE_BPE) -> DataFrame:
-    """tokens(doc_id, ids): (doc_id, text), whatever the variant; null ids give an empty text."""
+    """tokens(doc_id, ids): (doc_id, text) of each row, whatever the variant; null and empty ids give an empty text, no rows give none."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(folder, name)
@@ -422,7 +428,11 @@ DIGEST = "doc_id long, variant int, n_tokens long, n_bytes long, ids_crc32 long,
 def encoded_digests(
     docs: DataFrame, dropout: float = DROPOUT, key: int = 0, variants: int = VARIANTS, folder: str = vocabularies.FOLDER, name: str = vocabularies.PIECE_BPE
 ) -> DataFrame:
-    """For each document the variant, how many tokens and byte pieces it has, the CRC-32 of its ids (4 bytes each, low byte first), and whether decoding gives the text back."""
+    """For each document the variant, how many tokens and byte pieces it has, the CRC-32 of its ids (4 bytes each, low byte first), and whether decoding gives the text back.
+
+    A null text counts as empty, with no tokens; a null doc_id has variant 0. Repeated
+    rows get equal results, no documents give no rows, other columns don't matter.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(folder, name, dropout, key)
@@ -433,7 +443,7 @@ def encoded_digests(
             for text, variant, ids in zip(texts, chosen, encoder.encode_all(texts, chosen)):
                 n_bytes = int(((ids >= low) & (ids <= high)).sum())
                 rows.append((variant, len(ids), n_bytes, zlib.crc32(ids.astype("<i4").tobytes()), decode(encoder.v, ids.tolist()) == (text or "")))
-            columns = list(zip(*rows)) or [()] * 5
+            columns = list(zip(*rows))
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], [x.split()[0] for x in DIGEST.split(", ")])
 

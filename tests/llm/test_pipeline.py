@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from rowmesh.llm import pii, quality, subwords
@@ -8,6 +9,7 @@ from tests.llm.test_quality import plain_counts
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
+GOOD = "Many quiet rivers run through old green valleys, and people who live there tell a@b.com long stories about winter, bread, horses and the sea beyond the hills."
 
 
 def leaks(text, items):
@@ -75,3 +77,30 @@ def test_empty_and_odd_documents(spark, stage):
     assert stage(spark, empty, SF).count() == 0
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "", None, None, 0), (2, "a " * 100_000, "en", "s", 200_000), (2, "a " * 100_000, "en", "s", 200_000)], schema)
     stage(spark, odd, SF).collect()
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns of other names and of names that the operators use themselves go through all stages but the last."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for name in ("k1", "hs", "fp", "root", "item", "kept", "variant", "ids", "first", "row"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    columns = docs.columns
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        assert all(r.fp == "own fp" and r.k1 == "own k1" for r in docs.select("fp", "k1").collect())
+    assert p.STAGES[-1][1](spark, docs, SF).columns == ["doc_id", "lang", "source", "variant", "ids"]
+
+
+def test_what_odd_documents_come_to(spark):
+    long = " ".join(f"word{k}x{k * 7 % 1013}" for k in range(60_000))
+    rows = [(1, None, None, None, None), (None, "", None, None, 0), (2, "a " * 100_000, "en", "s", 200_000), (3, long, None, "s", len(long)), (3, long, None, "s", len(long)), (None, GOOD, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.quality_rules(spark, docs, SF)
+    assert sorted((r.doc_id or 0) for r in kept.collect()) in ([0], [0, 3, 3])
+    assert sorted((r.doc_id or 0) for r in p.near_duplicates(spark, docs, SF).collect()) == [0, 1, 2, 3]
+    assert p.decontamination(spark, docs, SF).count() == len(rows)
+    safe = p.personal_data(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in safe) == sorted((i or 0, (t or "").replace("a@b.com", "[EMAIL]")) for i, t, *_ in rows)
+    ids = p.tokens(spark, docs, SF).collect()
+    assert sorted(len(r.ids) for r in ids)[:2] == [0, 0] and len(ids) == len(rows)
