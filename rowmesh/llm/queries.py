@@ -46,7 +46,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_verdicts(_table(spark, sf_dir, "pages"))
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"), whole=True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.oracle(), "op9_urls": urls.oracle()}
+    return {"op8_warc": warc.oracle(), "op9_urls": urls.oracle(whole=True)}

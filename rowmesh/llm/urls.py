@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 #: (verdict, rule): the rule fits its host and all subdomains of it, if the url's path starts with the rule's.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: One of these is enough.
-STRICT = ("casino", "casinos", "porn", "porno", "xxx", "viagra", "cialis", "pills", "spam", "warez", "phishing", "malware", "hentai", "escorts", "betting")
+#: One of these is enough; English, German, French and Spanish.
+STRICT = (
+    "casino", "casinos", "porn", "porno", "xxx", "viagra", "cialis", "pills", "spam", "warez", "phishing", "malware", "hentai", "escorts", "betting",
+    "sexshop", "nudes", "camgirls", "camsex", "jackpot", "gluecksspiel", "spielbank", "wetten", "potenzmittel", "casinospiele", "paris-sportifs", "pornographie", "apuestas", "tragaperras", "pornografia", "putas", "keygen", "crackz", "botnet",
+)
 #: Of these it takes SOFT_HITS different ones.
-SOFT = ("adult", "x", "ads", "ad", "track", "tracker", "free", "cheap", "win", "bets", "bet", "bonus", "deals", "promo", "farm", "clicks", "popup", "sex", "slots", "poker", "loans", "crypto")
+SOFT = (
+    "adult", "x", "ads", "ad", "track", "tracker", "free", "cheap", "win", "bets", "bet", "bonus", "deals", "promo", "farm", "clicks", "popup", "sex", "slots", "poker", "loans", "crypto",
+    "gratis", "kostenlos", "billig", "gewinn", "gewinnspiel", "kredit", "rabatt", "erotik", "gratuit", "pas-cher", "gagner", "credit-rapide", "rencontres", "erotique", "barato", "ganar", "premio", "sorteo", "prestamos", "citas", "erotica", "coupon", "lottery", "bitcoin",
+)
 SOFT_HITS = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,27 +70,36 @@ def hits(text: str, terms: ahocorasick.Automaton) -> tuple[int, int]:
     return strict, len(seen) - strict
 
 
+def terms_of(path: str) -> tuple[str, ...]:
+    """Terms from a file that the driver reads, one to a line, in lower case; empty lines and those that begin with # don't count."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(dict.fromkeys(t for line in f if (t := line.strip().lower()) and not t.startswith("#")))
+
+
 VERDICTS = "page_id long, host string, path string, rule string, verdict string, n_strict int, n_soft int"
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
-    """A row for each page: host, path, the rule that decides or null, the verdict, and how many terms of each kind host and path hold.
+def url_verdicts(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS, whole: bool = False) -> DataFrame:
+    """A row for each page: host, path, the rule that decides or null, the verdict, and how many terms of each kind stand in host and path or, with `whole`, in all of the url but its scheme.
 
     Without a rule, one strict term or soft_hits different soft ones block. A null
-    or odd url has an empty host and path, so no rule and no term: it is allowed.
-    Rows are judged one by one; only page_id and url are read.
+    or odd url has an empty host and path, so no rule fits; its terms count only with
+    `whole`, none in a null one. Rows are judged one by one, so repeated rows get equal
+    verdicts; only page_id and url are read; no pages give no rows.
     """
     host, path = host_and_path(F.col("url"))
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    at = F.instr("url", "://")
+    seen = F.when(at > 0, F.substring(F.col("url"), at + 3, F.length("url"))).otherwise(F.coalesce("url", F.lit(""))) if whole else F.concat(host, path)
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), seen.alias("seen"))
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)
-    slim = slim.select("page_id", "host", "path", rule.alias("rule"), says.alias("verdict"))
+    slim = slim.select("page_id", "host", "path", rule.alias("rule"), says.alias("verdict"), "seen")
     strict, soft = tuple(strict), tuple(soft)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = automaton(strict, soft)
         lower = str.maketrans(_UPPER, _LOWER)
         for batch in batches:
-            counts = [hits(h + p.translate(lower), terms) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            counts = [hits(text.translate(lower), terms) for text in batch.column(5).to_pylist()]
             verdicts = [v or ("block" if a or b >= soft_hits else "allow") for v, (a, b) in zip(batch.column(4).to_pylist(), counts)]
             columns = [*batch.columns[:4], pa.array(verdicts, pa.string()), *(pa.array([c[k] for c in counts], pa.int32()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in VERDICTS.split(", ")])
@@ -92,8 +107,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_h
     return slim.mapInArrow(each, VERDICTS)
 
 
-def oracle() -> str:
+def oracle(whole: bool = False) -> str:
     """DuckDB SQL for url_verdicts() of `pages` with the default rules and terms."""
+    read = "CASE WHEN instr(url, '://') > 0 THEN rest ELSE coalesce(url, '') END" if whole else "host || path"
 
     def term(t):
         return f"regexp_matches(seen, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT"
@@ -105,9 +121,9 @@ def oracle() -> str:
         for k, value in (("rule", text), ("says", says)):
             cases[k] += f" WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}') THEN '{value}'"
     return f"""
-WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-scanned AS (SELECT *, host || translate(path, '{_UPPER}', '{_LOWER}') AS seen, CASE{cases['rule']} END AS rule, CASE{cases['says']} END AS says FROM parts),
+WITH cut AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, url, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+scanned AS (SELECT *, translate({read}, '{_UPPER}', '{_LOWER}') AS seen, CASE{cases['rule']} END AS rule, CASE{cases['says']} END AS says FROM parts),
 counted AS (SELECT *, ({' + '.join(map(term, STRICT))})::INT AS n_strict, ({' + '.join(map(term, SOFT))})::INT AS n_soft FROM scanned)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN n_strict > 0 OR n_soft >= {SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM counted
 """

@@ -60,3 +60,18 @@ def test_sql_gives_the_same(pages, tmp_path):
     rows = con.sql(urls.oracle()).fetchall()
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(rows, key=key) == sorted((tuple(r) for r in urls.url_verdicts(pages).collect()), key=key)
+
+
+def test_terms_in_the_whole_url(spark, tmp_path):
+    cases = [("http://h.org/go?to=casino-porn", "block"), ("www.casino.net/xxx", "block"), ("x://free.org/freedom?BONUS", "block"), ("x://free.org/freedom#bonuses", "allow"), ("http://casino.com/?xxx", "allow"), (None, "allow"), ("", "allow"), ("http://a.net/es/?free", "block")]
+    pages = spark.createDataFrame(list(enumerate(c[0] for c in cases)), "page_id long, url string")
+    rows = {r.page_id: r for r in urls.url_verdicts(pages, whole=True).collect()}
+    assert [rows[i].verdict for i in range(len(cases))] == [c[1] for c in cases]
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.sql(urls.oracle(whole=True)).fetchall()) == sorted(map(tuple, rows.values()))
+    (tmp_path / "terms").write_text("# mine\nRivers\n\nstones\nrivers\n")
+    assert urls.terms_of(str(tmp_path / "terms")) == ("rivers", "stones")
+    own = urls.url_verdicts(spark.createDataFrame([(1, "http://x.org/rivers")], "page_id long, url string"), strict=urls.terms_of(str(tmp_path / "terms")), soft=())
+    assert own.first().verdict == "block"
