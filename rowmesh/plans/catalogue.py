@@ -95,15 +95,38 @@ def runs_scan(spark, sf):
     return run_files.runs_scan(spark, path).select("matrix", "chunk", "schedule", "threads", "section", F.col("run").cast("int").alias("run"), "ms")
 
 
-@query(f"SELECT user_id AS matrix, event_type AS variant, event_id, value AS ms, event_type AS schedule, {CHUNKS} AS threads FROM events WHERE event_type <> 'view'")
+@query(f"SELECT user_id AS matrix, event_type AS variant, event_id, value AS ms, event_type AS schedule, coalesce({CHUNKS}, 0) AS threads FROM events")
 def runs_write(spark, sf):
-    """E written by schedule and threads, read back."""
+    """E written by schedule and threads (0 for the baseline), read back."""
     path = new_folder(spark, "runs")
-    samples = t.samples_e(spark, sf).where(F.col("variant") != t.BASELINE)
-    run_files.runs_write(samples.select("matrix", "variant", "event_id", "ms", F.col("variant").alias("schedule"), t.by_variant(0).alias("threads")), path)
+    samples = t.samples_e(spark, sf).select("matrix", "variant", "event_id", "ms", F.col("variant").alias("schedule"), F.coalesce(t.by_variant(0), F.lit(0)).alias("threads"))
+    run_files.runs_write(samples, path)
     return spark.read.parquet(path).select("matrix", "variant", "event_id", "ms", "schedule", "threads")
 
 
+@query(
+    """WITH kinds AS (SELECT * FROM (VALUES ('view', 'LOCAL', 'sequential', NULL), ('click', 'LOCAL', 'parallel', NULL), ('error', 'CLUSTER', 'sequential', 8), ('purchase', 'CLUSTER', 'parallel', 8), ('signup', 'CLUSTER', 'sequential', 16)) k(event_type, env, section, threads))
+    SELECT env, user_id::VARCHAR AS matrix, section, threads::INT AS threads, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id)::INT AS run, value AS ms FROM events JOIN kinds USING (event_type)"""
+)
+def runs_layouts(spark, sf):
+    """E in the layouts of one section and of two: views and clicks in files of their own, errors beside purchases, signups alone; read back."""
+    path, kind = new_folder(spark, "runs-layouts"), F.col("variant")
+    numbered = ranked(t.samples_e(spark, sf), ["matrix", "variant"], ["event_id"], "before").select("matrix", "variant", (F.col("before") + 1).alias("run"), "ms")
+    placed = numbered.withColumns({"section": F.when(kind.isin("click", "purchase"), "parallel").otherwise("sequential"), "threads": F.when(kind == "signup", 16).otherwise(8)})
+    run_files.write_plain_files(placed.where(kind.isin("view", "click")), f"{path}/LOCAL/plain")
+    run_files.write_paired_files(placed.where(~kind.isin("view", "click")), f"{path}/CLUSTER/paired")
+    return run_files.runs_scan(spark, path).select("env", "matrix", "section", "threads", F.col("run").cast("int").alias("run"), "ms")
+
+
+@query(f"SELECT user_id::VARCHAR AS matrix, 'guided' AS schedule, 4 AS threads, coalesce({CHUNKS}, 0) AS chunk, min(value) AS mean, max(value) AS p90, count(*)::DOUBLE AS speedup FROM events GROUP BY user_id, event_type")
+def summaries_scan(spark, sf):
+    """Least, greatest and number of E's samples in the places of a summary's figures, read back."""
+    path = new_folder(spark, "summaries")
+    cells = t.samples_e(spark, sf).groupBy("matrix", F.coalesce(t.by_variant(0), F.lit(0)).alias("chunk")).agg(F.min("ms").alias("mean"), F.max("ms").alias("p90"), F.count("ms").cast("double").alias("speedup"))
+    run_files.write_summary_files(cells.select("*", F.lit("guided").alias("schedule"), F.lit(4).alias("threads")), path)
+    return run_files.summaries_scan(spark, path).select("matrix", "schedule", "threads", "chunk", "mean", "p90", "speedup")
+
+
 @query(f"WITH l AS ({L}) SELECT (row_number() OVER (ORDER BY i, j, v) - 1)::BIGINT AS pos, i, j, v FROM l")
 def csr_write(spark, sf):
     """L's slots written as a compressed matrix, read back."""

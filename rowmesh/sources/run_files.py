@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # The titles by which a section of a result file is known.
 SEQUENTIAL, PARALLEL, CHUNK, TIMES, CHUNK_LINE = "SEQUENTIAL", "PARALLEL", "CHUNK SIZE: ", "Times (ms):", "Chunk "
+#: A line that is a sample, and one that looks like a number but is none.
+SAMPLE = r"[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]{1,3})?"
+NUMERIC = r"[-+]?(?:[0-9][0-9.eE+-]*|\.[0-9.eE+-]+|[iI]nf(?:inity)?|INF|[nN]a[nN]|NAN)"
 #: Samples of a section that one file of write_chunk_files() holds.
 FILE_RUNS = 1000
 
@@ -20,14 +23,26 @@ def runs_scan(spark: SparkSession, path: str) -> DataFrame:
     """(env, matrix, variant, schedule, threads, chunk, section, run, ms, part) from the files under a folder.
 
     Files with samples give a row for each; summaries without samples give none
-    (see summaries_scan()). env and threads come from the path, threads from the
-    text where the path has none; part numbers the pieces of a split result.
+    (see summaries_scan()), nor do lines that are no number (see runs_rejects()). env
+    and threads come from the path, threads from the text where the path has none;
+    part numbers the pieces of a split result. No files give no rows.
     """
-    return _sections(spark, path).select("env", "matrix", "variant", "schedule", "threads", "chunk", "section", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?m)^\s*([0-9]+\.[0-9]+)\s*$"), 1)), "part").select(
+    return _sections(spark, path).select("env", "matrix", "variant", "schedule", "threads", "chunk", "section", F.posexplode(_lines(SAMPLE)), "part").select(
         "env", "matrix", "variant", "schedule", "threads", "chunk", "section", (F.col("pos") + 1 + F.col("part") * FILE_RUNS).alias("run"), F.col("col").cast("double").alias("ms"), "part"
     )
 
 
+def _lines(pattern: str) -> Column:
+    """The lines of a section that are such a number."""
+    return F.regexp_extract_all("body", F.lit(rf"(?m)^[ \t\r]*({pattern})[ \t\r]*$"), 1)
+
+
+def runs_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(env, matrix, schedule, threads, chunk, section, line): lines of the sections that look like a number but are no sample: negative, infinite, not a number."""
+    found = _sections(spark, path).where("section <> 'summary'").select("env", "matrix", "schedule", "threads", "chunk", "section", F.explode(_lines(NUMERIC)).alias("line"))
+    return found.where(~F.rlike("line", F.lit(f"^{SAMPLE}$")))
+
+
 def _sections(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     files = files.select(
@@ -81,3 +96,34 @@ def write_chunk_files(runs: DataFrame, path: str) -> None:
     whole = texts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "body"))), lambda s: s["body"]), "\n").alias("bodies"))
     head = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit("\nSchedule Type: "), F.upper("schedule"), F.lit("\nNumber of threads: "), F.col("threads").cast("string"), F.lit("\n"))
     whole.select(*keys, F.concat_ws("\n", head, "bodies").alias("value")).write.partitionBy("threads", "matrix", "schedule", "part").text(path)
+
+
+def _samples_text() -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "ms"))), lambda s: F.format_string("%.6f", s["ms"])), "\n")
+
+
+def write_plain_files(runs: DataFrame, path: str) -> None:
+    """runs(matrix, section, run, ms) in the plain layout: files of one section, 'sequential' or 'parallel'; one holds at most FILE_RUNS runs."""
+    pieces = runs.withColumns({"part": F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"), "kind": F.upper("section")})
+    texts = pieces.groupBy("kind", "matrix", "part").agg(_samples_text().alias("samples"))
+    value = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit(f"\n{TIMES}\n"), F.col("samples"), F.lit("\n"))
+    texts.select("kind", "matrix", "part", value.alias("value")).write.partitionBy("kind", "matrix", "part").text(path)
+
+
+def write_paired_files(runs: DataFrame, path: str) -> None:
+    """runs(matrix, threads, section, run, ms) in the layout of sequential and parallel runs in one file; one holds at most FILE_RUNS runs of each."""
+    pieces = runs.withColumn("part", F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"))
+    sections = pieces.groupBy("threads", "matrix", "part", "section").agg(_samples_text().alias("samples"))
+    title = F.when(F.col("section") == "sequential", f"{SEQUENTIAL} VERSION:").otherwise(f"{PARALLEL} VERSION:")
+    bodies = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((F.col("section") != "sequential").alias("second"), F.concat_ws("\n", title, "samples").alias("body")))), lambda s: s["body"]), "\n\n")
+    files = sections.groupBy("threads", "matrix", "part").agg(bodies.alias("bodies"))
+    value = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit("\n\n"), F.col("bodies"), F.lit("\n\nSUMMARY:\n"))
+    files.select("threads", "matrix", "part", value.alias("value")).write.partitionBy("threads", "matrix", "part").text(path)
+
+
+def write_summary_files(lines: DataFrame, path: str) -> None:
+    """lines(matrix, schedule, threads, chunk, mean, p90, speedup) in the layout without samples; the chunks of a matrix are few."""
+    line = F.format_string(f"{CHUNK_LINE}%d: Avg %.6f ms | 90th %.6f ms | Speedup %.2fx", "chunk", "mean", "p90", "speedup")
+    files = lines.groupBy("threads", "matrix", "schedule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", line.alias("line")))), lambda s: s["line"]), "\n").alias("lines"))
+    value = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit("\nSchedule: "), F.col("schedule"), F.lit("\nThreads: "), F.col("threads").cast("string"), F.lit("\n\n"), F.col("lines"), F.lit("\n"))
+    files.select("threads", "matrix", "schedule", value.alias("value")).write.partitionBy("threads", "matrix", "schedule").text(path)

@@ -188,3 +188,10 @@ def test_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError):
         storage.shared_folder(Session())
     assert storage.qualified(spark, "/tmp/x").startswith("file:")
+
+
+def test_lines_that_are_no_samples(spark, tmp_path):
+    text = "Matrix: m\nTimes (ms):\n0.5\n7\n1e-3\nnan\ninf\n-1.5\n1.2.3\n\nAverage: 0.5 ms\n"
+    (tmp_path / "RESULTS_m_SEQUENTIAL.txt").write_text(text)
+    assert [r.ms for r in run_files.runs_scan(spark, str(tmp_path)).orderBy("run").collect()] == [0.5, 7.0, 0.001]
+    assert sorted(r.line for r in run_files.runs_rejects(spark, str(tmp_path)).collect()) == ["-1.5", "1.2.3", "inf", "nan"]
