@@ -190,17 +190,24 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the least doc_id, and of rows that share it the one whose text hash is least.
 
-    All columns stay. Rows equal in doc_id and text are one document; which of them
-    stays is decided by a hash of all columns. A component without any doc_id keeps
-    one row. Null and empty texts have fingerprint 0 and so are one component. An
-    empty table gives an empty one.
+    All columns stay. Of rows alike in doc_id and text the one with the least hash of
+    all columns stays, of rows equal in all columns one. A component without any
+    doc_id keeps one row. Null and empty texts have fingerprint 0 and so are one
+    component. An empty table gives an empty one.
     """
-    columns = docs.columns
+    columns, keys = docs.columns, ["_rm_id", "_rm_text", "_rm_all"]
     keyed = written(fingerprints(docs), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("first")
-    best = components(keyed).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_rm_id"), F.col("first.text_hash").alias("_rm_hash"))
-    hashed = docs.withColumn("_rm_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("_rm_id")) & (F.col("_rm_text") == F.col("_rm_hash")), "left_semi")
-    # Of rows alike in doc_id and text the one with the least hash of all columns stays.
-    rows = kept.select("doc_id", "_rm_text", F.struct(F.xxhash64(*columns).alias("_rm_all"), *columns).alias("_rm_row"))
-    return rows.groupBy("doc_id", "_rm_text").agg(F.min_by("_rm_row", "_rm_row._rm_all").alias("_rm_row")).select(*[F.col(f"_rm_row.{c}").alias(c) for c in columns])
+    best = components(keyed).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_rm_id"), F.col("first.text_hash").alias("_rm_text"))
+    marked = docs.withColumns({"_rm_id": F.col("doc_id").cast("long"), "_rm_text": F.xxhash64(F.coalesce("text", F.lit(""))), "_rm_all": F.xxhash64(*columns)})
+    alike = _within(marked.select(*keys), best, keys[:2])
+    chosen = written(alike.groupBy(*keys[:2]).agg(F.min(keys[2]).alias(keys[2]), F.count(F.lit(1)).alias("n")), "chosen")
+    # Nearly always one row has that id and text; only the others are grouped, and so moved, with their texts.
+    one = _within(marked, chosen.where("n = 1"), keys)
+    several = _within(marked, chosen.where("n > 1"), keys).dropDuplicates(keys)
+    return one.unionByName(several).select(*columns)
+
+
+def _within(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys, nulls too, are among the chosen ones."""
+    return rows.alias("r").join(chosen.alias("c"), [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "left_semi")
