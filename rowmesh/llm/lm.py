@@ -28,8 +28,8 @@ from .common import small, text_bytes, written
 
 #: A document is held out if the CRC-32 of its id as text leaves this remainder.
 FOLDS, HELD_OUT = 7, 2
-#: Words with the greatest counts that every task holds.
-TOP_WORDS = 1 << 16
+#: Words with the greatest counts that every task holds, and the bytes that such a word has at most.
+TOP_WORDS, TOP_BYTES = 1 << 16, 64
 #: Windows that one task trains on, passes over the windows of a round, step size.
 TRAINER_WINDOWS, PASSES, RATE = 1 << 17, 1, 0.01
 #: Parts of the training documents, by a hash of their id, that each round takes: the first rounds only find the way, the last gets half.
@@ -274,7 +274,7 @@ def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocab
     train = slim.where(~F.col("held_out"))
     counts = written(word_counts(train), "word-counts")
     tokens, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
-    rows = counts.orderBy(F.col("c").desc(), "word").limit(top_words).toArrow()
+    rows = counts.where(F.octet_length("word") <= TOP_BYTES).orderBy(F.col("c").desc(), "word").limit(top_words).toArrow()
     top = dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist())) | ({END: ends} if ends else {})
     encoding, _ = vocabularies.byte_bpe(folder, name)
     seen = subword_counts(counts, folder, name)
