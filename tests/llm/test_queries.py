@@ -90,10 +90,11 @@ def test_op7(rows, docs):
         assert got[i].lossless and (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()))
 
 
-@pytest.mark.parametrize("name", ["op8_warc", "op9_urls"])
+@pytest.mark.parametrize("name", sorted(__spark_entry__.corpus_queries.oracle_sql()))
 def test_with_sql(rows, name):
     con = duckdb.connect()
-    con.sql(f"create view pages as select * from '{SF}/pages.parquet'")
+    for table in ("pages", "documents", "benchmark"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, rows(name)), key=key) == sorted(con.sql(__spark_entry__.oracle_sql()[name]).fetchall(), key=key)
 
