@@ -124,3 +124,11 @@ def test_op10(rows, docs):
                     if e - s >= 12:
                         expected[i, j] = max(expected.get((i, j), 0), e - s)
     assert {(r.doc_id, r.item_id): r.overlap_tokens for r in rows("op10_decontamination")} == expected and expected
+
+
+def test_settings_stay_as_they_are(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions", "spark.checkpoint.dir", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n) for n in names]
+    for name in ("op1_pii", "op2_sharding", "op3_quality", "op6_html", "op7_subwords", "op8_warc", "op9_urls", "op10_decontamination"):
+        assert __spark_entry__.queries()[name](spark, SF).columns
+    assert [spark.conf.get(n) for n in names] == before
