@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .storage import written
 
 
-#: Input bytes that one range of ranked() should stand for.
-RANGE_BYTES = 128 << 20
+#: Input bytes that one range of ranked() should stand for, and how many ranges one shuffle has at most; beyond that they grow, and their sorts spill.
+RANGE_BYTES, MOST_RANGES = 512 << 20, 1 << 15
 #: What Spark says of the size of a table that it knows nothing about, or more.
 _UNKNOWN = 1 << 60
 
@@ -22,7 +22,7 @@ def ranges_for(df: DataFrame) -> int:
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     total = sum(x for x in sizes if x < _UNKNOWN)
     spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / RANGE_BYTES))
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, math.ceil(total / RANGE_BYTES)))
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
