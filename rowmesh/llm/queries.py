@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm, pii, quality, sharding, simhash, subwords, urls, warc
+from . import decontaminate, html_text, lm, periodic_runs, pii, quality, sharding, simhash, subwords, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
 # Parts of the same operators that SQL can express
 
 
@@ -149,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_urls": op9_urls,
         "op10_decontamination": op10_decontamination,
+        "op11_periodic_runs": op11_periodic_runs,
         "pii_base_counts": pii_base_counts,
         "shard_sizes": shard_sizes,
         "shard_rows": shard_rows,
