@@ -16,13 +16,17 @@ RANGE_BYTES, MOST_RANGES = 512 << 20, 1 << 15
 _UNKNOWN = 1 << 60
 
 
-def ranges_for(df: DataFrame) -> int:
-    """How many range partitions suit df: by the bytes of the tables it reads, and no fewer than a shuffle has."""
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, as far as Spark knows them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    total = sum(x for x in sizes if x < _UNKNOWN)
+    return sum(x for x in sizes if x < _UNKNOWN)
+
+
+def ranges_for(df: DataFrame) -> int:
+    """How many range partitions suit df: by the bytes of the tables it reads, and no fewer than a shuffle has."""
     spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, math.ceil(total / RANGE_BYTES)))
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, math.ceil(input_bytes(df) / RANGE_BYTES)))
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
