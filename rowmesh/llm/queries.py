@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm, periodic_runs, pii, quality, sharding, simhash, subwords, urls, warc
+from . import decontaminate, html_text, line_dedup, lm, periodic_runs, pii, quality, sharding, simhash, subwords, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(_table(spark, sf_dir, "documents"))
+
+
 # Parts of the same operators that SQL can express
 
 
@@ -139,6 +143,13 @@ equal AS (SELECT doc_id, item_id, p - q AS shift, p, row_number() OVER (PARTITIO
 stretches AS (SELECT a.doc_id, a.item_id, b.p - a.p + 1 AS tokens, b.r - a.r + 1 AS same FROM equal a JOIN equal b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.shift = b.shift AND b.p >= a.p + {decontaminate.MIN_OVERLAP - 1})
 SELECT doc_id, item_id, max(tokens)::BIGINT AS overlap_tokens FROM stretches WHERE 5 * same >= 4 * tokens GROUP BY doc_id, item_id
 """
+_LINES_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+often AS (SELECT key AS shared FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.LEAST_DOCS})
+SELECT doc_id, count(*) AS n_lines, count(shared) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (shared IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN often ON shared = key GROUP BY doc_id
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -154,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_urls": op9_urls,
         "op10_decontamination": op10_decontamination,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_line_dedup": op12_line_dedup,
         "pii_base_counts": pii_base_counts,
         "shard_sizes": shard_sizes,
         "shard_rows": shard_rows,
@@ -167,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_warc": warc.oracle(),
         "op9_urls": urls.oracle(whole=True),
+        "op12_line_dedup": _LINES_SQL,
         "pii_base_counts": _PII_SQL,
         "shard_sizes": _SHARD_SIZES_SQL,
         "shard_rows": _SHARD_ROWS_SQL,
