@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, lm, periodic_runs, pii, quality, sharding, simhash, subwords, urls, warc
+from . import decontaminate, html_text, lexical, line_dedup, lm, periodic_runs, pii, quality, sharding, simhash, subwords, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_counts(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 # Parts of the same operators that SQL can express
 
 
@@ -150,6 +154,16 @@ often AS (SELECT key AS shared FROM k WHERE key <> '' GROUP BY key HAVING count(
 SELECT doc_id, count(*) AS n_lines, count(shared) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (shared IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN often ON shared = key GROUP BY doc_id
 """
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEARCH_SQL = f"""
+WITH x AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS w FROM documents WHERE text IS NOT NULL),
+counts AS (SELECT doc_id, w, count(*) AS tf FROM x GROUP BY ALL), sizes AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS all_terms FROM sizes), held AS (SELECT w, count(*) AS df FROM counts GROUP BY w),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS w FROM benchmark WHERE text IS NOT NULL),
+weighed AS (SELECT item_id, w, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM asked JOIN held USING (w), total),
+scored AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // all_terms)))))::BIGINT AS score FROM weighed JOIN counts USING (w) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= {lexical.BEST}
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -166,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_line_dedup": op12_line_dedup,
+        "op13_lexical": op13_lexical,
         "pii_base_counts": pii_base_counts,
         "shard_sizes": shard_sizes,
         "shard_rows": shard_rows,
@@ -180,6 +195,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.oracle(),
         "op9_urls": urls.oracle(whole=True),
         "op12_line_dedup": _LINES_SQL,
+        "op13_lexical": _SEARCH_SQL,
         "pii_base_counts": _PII_SQL,
         "shard_sizes": _SHARD_SIZES_SQL,
         "shard_rows": _SHARD_ROWS_SQL,

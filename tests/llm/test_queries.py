@@ -27,7 +27,7 @@ def rows(spark):
 
 def test_all_are_registered():
     names = __spark_entry__.queries().keys()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_op1(rows, docs):
