@@ -1,11 +1,12 @@
 """Coordinate matrix text (Matrix Market): many files, split files, bad lines kept as data.
 
 A line is read by itself, so large files are read in splits. The size line of a file
-is its first line that is no comment, in whichever split; lines are ordered by where
-their split begins and by their place in it. The text is read twice: for the headers,
-one row per file, and for the lines, which meet the headers without a shuffle. Both
-reads must cut the files alike: where the number of executors changes while a query
-runs, fix spark.sql.files.minPartitionNum.
+is its first line that is no comment, in whichever split. One read finds it, a second
+counts how often its text comes again; after that no line's place matters: every line
+that is no comment and differs from the size line is an entry, and of those equal to it
+all but one are. So the entries are the same however later reads cut the files. Lines
+meet the headers, one row per file, without a shuffle. Comments after the size line do
+have a place; mm_rejects() takes them from one read that is written.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from rowmesh.operators.layout import sym_expand
 
 #: Headers that every task holds, at most; more files than this are joined as Spark sees fit.
 BROADCAST_FILES = 100_000
+#: Entries equal to their file's size line that one row makes.
+_COPIES = 1 << 16
 
 #: Reasons in mm_rejects().
 NO_SIZE, BAD_SIZE, UNSUPPORTED, LATE_COMMENT, BAD_ENTRY, OUT_OF_RANGE = "missing size line", "bad size line", "unsupported matrix", "comment after size line", "bad entry", "index out of range"
@@ -37,7 +40,7 @@ def _lines(spark: SparkSession, path: str, by: str) -> DataFrame:
 
 
 def _headers(lines: DataFrame) -> DataFrame:
-    """One row per file with lines: field, symmetry, the size line's place and numbers (null where there are none)."""
+    """One row per file with lines: field, symmetry, the size line and its numbers (null where there are none)."""
     place, title = F.struct("at", "line_id"), F.startswith("line", F.lit("%%MatrixMarket"))
     found = lines.where("line != ''").groupBy("file", "matrix").agg(
         F.min_by(F.when(title, F.col("line")), F.when(title & (F.col("at") == 0), place)).alias("head"),
@@ -47,19 +50,26 @@ def _headers(lines: DataFrame) -> DataFrame:
     number = lambda k: F.when(F.size(numbers) == 3, F.get(numbers, F.lit(k)).try_cast("long"))
     return found.select(
         "file", "matrix", F.coalesce(F.get(words, F.lit(3)), F.lit("real")).alias("field"), F.coalesce(F.get(words, F.lit(4)), F.lit("general")).alias("symmetry"),
-        F.col("size.at").alias("size_at"), F.col("size.line_id").alias("size_id"), F.col("size.line").alias("size_line"), number(0).alias("nrows"), number(1).alias("ncols"), number(2).alias("nnz_declared"),
+        F.col("size.line").alias("size_line"), number(0).alias("nrows"), number(1).alias("ncols"), number(2).alias("nnz_declared"),
     )
 
 
+def _sized() -> Column:
+    return F.col("nrows").isNotNull() & F.col("ncols").isNotNull() & F.col("nnz_declared").isNotNull()
+
+
 def _parsed(spark: SparkSession, path: str, by: str) -> tuple[DataFrame, DataFrame]:
-    """Headers, and every line after a size line with its entry or the reason why it has none."""
+    """Headers, and every line that is neither a comment nor the size line with its entry or the reason why it has none."""
     lines = _lines(spark, path, by)
     headers = written(_headers(lines), "headers")
     few = headers.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
-    # A size line longer than any real one would only take up room.
-    known = headers.drop("matrix", "size_line")
-    after = (F.col("at") > F.col("size_at")) | (F.col("at") == F.col("size_at")) & (F.col("line_id") > F.col("size_id"))
-    body = lines.join(F.broadcast(known) if few else known, "file").where(after & (F.col("line") != ""))
+    known = F.broadcast(headers.drop("matrix")) if few else headers.drop("matrix")
+    plain = lines.select("file", "matrix", "line").where("line != '' and not startswith(line, '%')").join(known, "file")
+    # Lines equal to the size line, but for itself: a row for each stretch of them.
+    again = plain.where("line = size_line").groupBy("file").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+    again = written(again.select("file", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(_COPIES).cast("long"))).alias("first"), "n"), "again")
+    copies = again.select("file", F.explode(F.sequence("first", F.least("n", F.col("first") + (_COPIES - 1))))).select("file").join(F.broadcast(headers) if few else headers, "file")
+    body = plain.where("line != size_line").unionByName(copies.withColumn("line", F.col("size_line")))
     words = F.split("line", r"\s+")
     word = lambda k: F.get(words, F.lit(k))
     pattern = F.col("field") == "pattern"
@@ -71,17 +81,25 @@ def _parsed(spark: SparkSession, path: str, by: str) -> tuple[DataFrame, DataFra
             "whole": F.size(words) == F.when(pattern, 2).otherwise(3),
         }
     )
-    sized = F.col("nrows").isNotNull() & F.col("ncols").isNotNull() & F.col("nnz_declared").isNotNull()
     reason = (
-        F.when(~sized, F.lit(BAD_SIZE))
+        F.when(~_sized(), F.lit(BAD_SIZE))
         .when((F.col("field") == "complex") | (F.col("symmetry") == "hermitian"), UNSUPPORTED)
-        .when(F.startswith("line", F.lit("%")), LATE_COMMENT)
         .when(~F.col("whole") | F.col("i").isNull() | F.col("j").isNull() | F.col("v").isNull(), BAD_ENTRY)
         .when(~F.col("i").between(0, F.col("nrows") - 1) | ~F.col("j").between(0, F.col("ncols") - 1), OUT_OF_RANGE)
     )
     return headers, body.withColumn("reason", reason)
 
 
+def _late_comments(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """(matrix, line): comments after the size line of files that have a good one. Places are those of one read, which is written."""
+    sizes = headers.where(_sized() & (F.col("field") != "complex") & (F.col("symmetry") != "hermitian")).select("file", "size_line")
+    comment = F.startswith("line", F.lit("%"))
+    marks = lines.join(sizes, "file").where(comment | (F.col("line") == F.col("size_line"))).select("file", "matrix", F.struct("at", "line_id").alias("place"), F.when(comment, F.col("line")).alias("line"))
+    marks = written(marks, "marks")
+    sized = marks.where("line is null").groupBy("file").agg(F.min("place").alias("after"))
+    return marks.where("line is not null").join(sized, "file").where("place > after").select("matrix", "line")
+
+
 def mm_scan(spark: SparkSession, path: str, by: str = "file") -> DataFrame:
     """(matrix, symmetry, i, j, v): the stored entries, 0-based; pattern entries count 1.0. Mirrors are left to sym_expand()."""
     return _parsed(spark, path, by)[1].where("reason is null").select("matrix", "symmetry", "i", "j", "v")
@@ -106,14 +124,15 @@ def mm_catalog(spark: SparkSession, path: str, by: str = "file") -> DataFrame:
 def mm_rejects(spark: SparkSession, path: str, by: str = "file") -> DataFrame:
     """(matrix, reason, line): lines that give no entry, bad size lines, and files without one (line null)."""
     headers, body = _parsed(spark, path, by)
-    sizes = headers.where("size_line is not null and (nrows is null or ncols is null or nnz_declared is null)").select("matrix", F.lit(BAD_SIZE).alias("reason"), F.col("size_line").alias("line"))
+    sizes = headers.where("size_line is not null").where(~_sized()).select("matrix", F.lit(BAD_SIZE).alias("reason"), F.col("size_line").alias("line"))
     lines = body.where("reason is not null").where(F.col("reason") != BAD_SIZE).select("matrix", "reason", "line")
+    late = _late_comments(_lines(spark, path, by), headers).select("matrix", F.lit(LATE_COMMENT).alias("reason"), "line")
     # The driver's listing, as scans leave out files of no length. Paths are compared without their schemes, which are written differently.
     listed = spark.read.option("recursiveFileLookup", True).text(path).inputFiles()
     files = spark.createDataFrame([(f,) for f in listed], "file string").select(F.regexp_replace("file", r"^\w+:/+", "/").alias("file"))
     sized = headers.where("size_line is not null").select(F.regexp_replace("file", r"^\w+:/+", "/").alias("file"))
     missing = files.join(sized, "file", "left_anti").select(_name(F.col("file"), by).alias("matrix"), F.lit(NO_SIZE).alias("reason"), F.lit(None).cast("string").alias("line"))
-    return lines.unionByName(sizes).unionByName(missing)
+    return lines.unionByName(sizes).unionByName(late).unionByName(missing)
 
 
 def mm_write(entries: DataFrame, path: str, nrows: int, ncols: int, symmetry: str = "general", files: int | None = None) -> None:

@@ -195,3 +195,32 @@ def test_lines_that_are_no_samples(spark, tmp_path):
     (tmp_path / "RESULTS_m_SEQUENTIAL.txt").write_text(text)
     assert [r.ms for r in run_files.runs_scan(spark, str(tmp_path)).orderBy("run").collect()] == [0.5, 7.0, 0.001]
     assert sorted(r.line for r in run_files.runs_rejects(spark, str(tmp_path)).collect()) == ["-1.5", "1.2.3", "inf", "nan"]
+
+
+@pytest.mark.parametrize("before, after", [("4096", "1m"), ("1m", "4096")])
+def test_entries_do_not_depend_on_splits(spark, tmp_path, before, after):
+    """The files are cut otherwise when the rows are read than when the query was built; one has entries equal to its size line, and late comments."""
+    lines = ["% " + "c" * 80] * 300 + ["50 50 3000"] + [f"{k % 50 + 1} {k % 7 + 1} {k}" for k in range(2000)] + ["% late", "50 50 3000", "x", "50 50 3000"] + [f"1 2 {k}" for k in range(998)]
+    (tmp_path / "a.mtx").write_text(HEAD.format("integer", "general") + "\n".join(lines) + "\n")
+    (tmp_path / "b.mtx").write_text(HEAD.format("real", "symmetric") + "2 2 2\n2 2 2\n2 1 5\n")
+    size, parts = "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"
+    old = spark.conf.get(size)
+    try:
+        spark.conf.set(size, before)
+        built = [f(spark, str(tmp_path)) for f in (matrix_market.mm_scan, matrix_market.mm_catalog, matrix_market.mm_rejects)]
+        spark.conf.set(size, after)
+        spark.conf.set(parts, "1" if after == "1m" else "40")
+        entries, catalog, rejects = (df.collect() for df in built)
+    finally:
+        spark.conf.set(size, old)
+        spark.conf.unset(parts)
+    expected = [("a", k % 50, k % 7, float(k)) for k in range(2000)] + [("a", 49, 49, 3000.0)] * 2 + [("a", 0, 1, float(k)) for k in range(998)] + [("b", 1, 1, 2.0), ("b", 1, 0, 5.0)]
+    assert sorted((r.matrix, r.i, r.j, r.v) for r in entries) == sorted(expected)
+    assert sorted((r.matrix, r.nnz_declared, r.nnz_stored, r.nnz_expanded) for r in catalog) == [("a", 3000, 3000, 3000), ("b", 2, 2, 3)]
+    assert sorted(tuple(r) for r in rejects) == [("a", matrix_market.BAD_ENTRY, "x"), ("a", matrix_market.LATE_COMMENT, "% late")]
+
+
+def test_many_entries_equal_to_the_size_line(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(matrix_market, "_COPIES", 7)
+    (tmp_path / "a.mtx").write_text(HEAD.format("real", "general") + "2 3 4\n" * 101)
+    assert [tuple(r)[2:] for r in matrix_market.mm_scan(spark, str(tmp_path)).collect()] == [(1, 2, 4.0)] * 100
