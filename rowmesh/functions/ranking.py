@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .storage import written
 
-
 #: Input bytes that one range of ranked() should stand for, and how many ranges one shuffle has at most; beyond that they grow, and their sorts spill.
 RANGE_BYTES, MOST_RANGES = 512 << 20, 1 << 15
 #: What Spark says of the size of a table that it knows nothing about, or more.
@@ -29,31 +33,71 @@ def ranges_for(df: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, math.ceil(input_bytes(df) / RANGE_BYTES)))
 
 
+def _same(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first equals the one before it; null equals null, NaN equals NaN."""
+    odd = column.is_null().to_numpy(zero_copy_only=False).astype(np.int8)
+    if pa.types.is_floating(column.type):
+        odd[pc.fill_null(pc.is_nan(column), False).to_numpy(zero_copy_only=False)] = 2
+    equal = pc.fill_null(pc.equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+    return equal | (odd[1:] > 0) & (odd[1:] == odd[:-1])
+
+
+def _numbered(group: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows in order of their group, with three columns more: each row's place in the partition, the rows of its group before it there, and whether its group is the partition's first."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, begun, first = None, 0, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            starts = np.zeros(n, bool)
+            for k in group:
+                column = batch.column(k)
+                starts[1:] |= ~_same(column)
+                starts[0] |= last is not None and not _same(pa.concat_arrays([last.column(k), column[:1]]))[0]
+            places = np.arange(at, at + n)
+            # Where each row's group begins: at its last start, or where the group before this batch did.
+            begins = np.maximum.accumulate(np.where(starts, places, begun))
+            firsts = (np.cumsum(starts) == 0) & first
+            first, begun, at, last = bool(firsts[-1]), int(begins[-1]), at + n, batch.slice(n - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places), pa.array(places - begins), pa.array(firsts)], [*batch.schema.names, "_at", "_run", "_first"])
+
+    return each
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """df with the rank (0-based, long) of each row in its group under `order`; rows equal in all of it stand in any order.
 
     Rows are range-partitioned by group and order and sorted within partitions, so
-    a group of any size is spread over tasks. A row's place is the number of rows in
-    the partitions before its own, plus its place there; its rank is that less the
-    least place of its group. What is joined back holds one row per partition or group.
+    a group of any size is spread over tasks, and numbered where they lie. A carry table
+    of one row per partition holds how many rows the group at a partition's start has in
+    the partitions before; it is all that is joined back. Null is a group like any other.
     """
     # A tie-breaker among the range keys splits rows that are equal in all else.
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     keys = [*group, *order, "_tie"]
     n = partitions or ranges_for(df)
-    rows = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
-    rows = written(rows, "ranked")
-    part, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = rows.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("_place", F.col("_before") + place).drop("_part", "_before", "_at")
-    if not group:
-        return placed.withColumnRenamed("_place", name)
-    firsts = placed.groupBy(*group).agg(F.min("_place").alias("_first"))
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in group]
-    joined = placed.alias("p").join(firsts.alias("f"), same)
-    return joined.select(*[F.col(f"p.{c}").alias(c) for c in df.columns], (F.col("p._place") - F.col("f._first")).alias(name))
+    rows = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_part", F.spark_partition_id())
+    schema = StructType([*rows.schema, StructField("_at", LongType()), StructField("_run", LongType()), StructField("_first", BooleanType())])
+    rows = written(rows.mapInArrow(_numbered([df.columns.index(g) for g in group]), schema), "ranked")
+    carries = written(_carries(rows, group), "carries")
+    rank = F.col("_run") + F.when(F.col("_first"), F.col("_carry")).otherwise(F.lit(0))
+    return rows.join(F.broadcast(carries), "_part").select(*df.columns, rank.alias(name))
+
+
+def _carries(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(_part, _carry): for each partition, how many rows of its first group lie in the partitions before it."""
+    key = F.struct(F.lit(0).alias("one"), *group)
+    parts = rows.groupBy("_part").agg(
+        F.min_by(key, "_at").alias("head"), F.max_by(key, "_at").alias("tail"), (F.max_by("_run", "_at") + 1).alias("n"), F.max_by("_first", "_at").alias("single")
+    )
+    by_part = Window.orderBy("_part")
+    goes_on = F.lag("tail").over(by_part).eqNullSafe(F.col("head"))
+    # A group goes through a partition if it came in and is all there is; its rows add up from the last partition where it didn't.
+    parts = parts.withColumn("goes_on", goes_on).withColumn("stretch", F.sum((~(F.col("goes_on") & F.col("single"))).cast("int")).over(by_part))
+    parts = parts.withColumn("out", F.sum("n").over(Window.partitionBy("stretch").orderBy("_part")))
+    return parts.select("_part", F.when(F.col("goes_on"), F.lag("out").over(by_part)).otherwise(F.lit(0)).alias("_carry"))
 
 
 def exclusive_sum(df: DataFrame, group: str, order: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .layout import csr_unpack, row_ptr
+from rowmesh.functions.storage import written
+
+from .layout import row_ptr
 
-#: Most entries of x that are sent to every task (16 bytes each).
-PACKED_X = 4_000_000
+#: Most entries of x that are sent to every task (some 32 bytes each).
+BROADCAST_X = 2_000_000
+#: Columns of one block of a tiled product: an array of half a megabyte.
+COLUMN_BLOCK = 1 << 16
+#: A column is heavy if it has more than 1 / _SHARE of an even partition's entries; so there are at most _SHARE heavy ones for each partition.
+_SHARE = 4
 
 
 def dense_vector(spark: SparkSession, matrix: str, ncols: int, seed: int = 0) -> DataFrame:
@@ -38,48 +39,73 @@ def _over_domain(parts: DataFrame, rows: DataFrame) -> DataFrame:
     return both.groupBy("matrix", "i").agg(F.sum("y").alias("y"), F.max("known").alias("known")).where("known").drop("known")
 
 
-def spmv(entries: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
-    """(matrix, i, y). Spark broadcasts x where it is small and shuffles on j, splitting heavy columns, where it isn't; sums are partial before the shuffle on i."""
-    return _over_domain(entries.join(x, ["matrix", "j"]).select("matrix", "i", (F.col("v") * F.col("x")).alias("y")), rows)
+def _vector(x: DataFrame) -> DataFrame:
+    """x(matrix, j, x) without what has no column or value."""
+    return x.select("matrix", "j", "x").where("j is not null and x is not null")
 
 
-def spmv_packed(packed: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
-    """(matrix, i, y) row by row over the packed arrays: each segment is walked where it lies and looks its entries of x up in an array.
+def spmv(entries: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
+    """(matrix, i, y): sums of v x over the entries of each row, partial before the shuffle on i.
 
-    x goes to every task as one array for each matrix after its entries were counted
-    against PACKED_X; a larger x is joined, see spmv(). Segments need no shuffle; only
-    their sums do. Entries without an x count nothing, as in the join.
+    An x of up to BROADCAST_X entries goes to every task. A larger one is joined on the
+    column; columns with more entries than a quarter of a partition's share are told
+    beforehand, and only their entries of x, whose number this bounds, are broadcast:
+    the entries that would make a partition too large are not moved. Null keys, values
+    and entries without an x count nothing; entries and x that repeat count each.
+    """
+    x = _vector(x)
+    if x.limit(BROADCAST_X + 1).count() <= BROADCAST_X:
+        parts = entries.join(F.broadcast(x), ["matrix", "j"])
+        return _over_domain(parts.select("matrix", "i", (F.col("v") * F.col("x")).alias("y")), rows)
+    counts = entries.groupBy("matrix", "j").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(counts, "column-counts")
+    most = _SHARE * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = (sizes.agg(F.sum("n")).first()[0] or 0) // most + 1
+    heavy = F.broadcast(sizes.where(F.col("n") >= least).select("matrix", "j"))
+    here = entries.join(F.broadcast(x.join(heavy, ["matrix", "j"], "left_semi")), ["matrix", "j"])
+    moved = entries.join(heavy, ["matrix", "j"], "left_anti").join(x, ["matrix", "j"])
+    both = here.select("matrix", "i", "v", "x").unionByName(moved.select("matrix", "i", "v", "x"))
+    return _over_domain(both.select("matrix", "i", (F.col("v") * F.col("x")).alias("y")), rows)
+
+
+def column_blocks(x: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
+    """(matrix, block, first, xs): x as arrays over the columns from `first` on, null where a column has no entry; entries that repeat are summed."""
+    sums = _vector(x).groupBy("matrix", "j").agg(F.sum("x").alias("x")).withColumn("block", F.expr(f"j div {int(block)}"))
+    ends = sums.groupBy("matrix", "block").agg(F.min("j").alias("first"), F.max("j").alias("last"), F.count(F.lit(1)).alias("n"))
+    # Columns without an entry between others come in as nulls, so that places in an array are columns.
+    holes = ends.where("n < last - first + 1").select("matrix", "block", F.explode(F.sequence("first", "last")).alias("j"), F.lit(None).cast("double").alias("x"))
+    full = sums.select("matrix", "block", "j", "x").unionByName(holes).groupBy("matrix", "block", "j").agg(F.max("x").alias("x"))
+    cells = F.sort_array(F.collect_list(F.struct("j", "x")))
+    return full.groupBy("matrix", "block").agg(F.min("j").alias("first"), F.transform(cells, lambda c: c["x"]).alias("xs"))
+
+
+def tiles(packed: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
+    """(matrix, block, i, cells): packed rows cut where a block of columns ends; a segment that lies in one block stays as it is."""
+    of = lambda c: F.floor(c["j"] / F.lit(block))
+    ordered = packed.where(F.size("cells") > 0).select("matrix", "i", F.filter("cells", lambda c: c["j"].isNotNull()).alias("cells"))
+    n = F.size("cells")
+    at = lambda k: of(F.get("cells", k))
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (at(k) != at(k - 1)))
+    cut = ordered.where(n > 0).withColumn("starts", F.when(at(F.lit(0)) == at(n - 1), F.array(F.lit(0))).otherwise(starts))
+    upto = lambda k: F.coalesce(F.get("starts", k + 1), n)
+    pieces = F.transform("starts", lambda s, k: F.struct(at(s).alias("block"), F.slice("cells", s + 1, upto(k) - s).alias("cells")))
+    return cut.select("matrix", "i", F.explode(pieces).alias("t")).select("matrix", "t.block", "i", "t.cells")
+
+
+def spmv_packed(packed: DataFrame, x: DataFrame, rows: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
+    """(matrix, i, y) row by row over the packed arrays, in tiles: each looks its entries of x up in the array of its block of columns.
+
+    x stays in tables, an array for each block. Blocks are broadcast up to BROADCAST_X
+    entries of x and joined beyond that, where Spark splits heavy blocks: the tiles,
+    the arithmetic and so the result are the same. What counts is as in spmv(); only the
+    sums of tiles are shuffled.
     """
-    if x.count() > PACKED_X:
-        return spmv(csr_unpack(packed), x, rows)
-    sent = x.sparkSession.sparkContext.broadcast(_vectors(x.where("x is not null and j is not null").select("matrix", "j", "x").toArrow()))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column(2)
-            flat = cells.flatten()
-            j, v = flat.field("j").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False))
-            names = batch.column(0).dictionary_encode()
-            of = names.indices.to_numpy(zero_copy_only=False)[row]
-            products = np.zeros(len(row))
-            for k, name in enumerate(names.dictionary.to_pylist()):
-                if name in sent.value:
-                    columns, values = sent.value[name]
-                    mine = np.flatnonzero(of == k)
-                    at = np.minimum(np.searchsorted(columns, j[mine]), len(columns) - 1)
-                    products[mine] = np.where(columns[at] == j[mine], v[mine] * values[at], 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.bincount(row, products, batch.num_rows))], ["matrix", "i", "y"])
-
-    return _over_domain(packed.select("matrix", "i", "cells").mapInArrow(walk, "matrix string, i long, y double"), rows)
-
-
-def _vectors(x: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The columns of each matrix in order, and x there."""
-    table = x.sort_by([("matrix", "ascending"), ("j", "ascending")]).combine_chunks()
-    names, j, values = table["matrix"].to_pylist(), table["j"].to_numpy(), table["x"].to_numpy()
-    ends = [k + 1 for k in range(len(names)) if k + 1 == len(names) or names[k] != names[k + 1]]
-    return {names[a]: (j[a:b], values[a:b]) for a, b in zip([0, *ends], ends)}
+    arrays = column_blocks(x, block)
+    if _vector(x).limit(BROADCAST_X + 1).count() <= BROADCAST_X:
+        arrays = F.broadcast(arrays)
+    product = lambda c: F.coalesce(c["v"] * F.get("xs", (c["j"] - F.col("first")).cast("int")), F.lit(0.0))
+    y = F.aggregate("cells", F.lit(0.0), lambda sum_of, c: sum_of + product(c))
+    return _over_domain(tiles(packed, block).join(arrays, ["matrix", "block"]).select("matrix", "i", y.alias("y")), rows)
 
 
 def spmv_parallel(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: int | None = None, by: tuple[str, ...] = ("matrix", "i")) -> DataFrame:
@@ -87,13 +113,13 @@ def spmv_parallel(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: in
 
     Ranges go on by column within a row, so one that holds a third of all entries is
     dealt to several tasks too. As rows lie together, what is shuffled after that is
-    about one partial sum for each row. An x of more than PACKED_X entries is joined
+    about one partial sum for each row. An x of more than BROADCAST_X entries is joined
     on the column first, where ranges of rows would be lost again.
     """
     workers = workers or entries.sparkSession.sparkContext.defaultParallelism
-    if x.count() > PACKED_X:
+    if _vector(x).limit(BROADCAST_X + 1).count() > BROADCAST_X:
         return spmv(entries, x, rows)
-    return spmv(entries.repartitionByRange(workers, *by, "j"), F.broadcast(x), rows)
+    return spmv(entries.repartitionByRange(workers, *by, "j"), x, rows)
 
 
 def block_worker(chunk: int, workers: int):
@@ -101,11 +127,6 @@ def block_worker(chunk: int, workers: int):
     return F.expr(f"pmod(i div {int(chunk)}, {int(workers)})").cast("int")
 
 
-def spmv_row_blocks(entries: DataFrame, x: DataFrame, rows: DataFrame, chunk: int = 50, workers: int | None = None) -> DataFrame:
-    """(matrix, i, y). Which task sums a row is left to Spark; how even blocks of `chunk` rows would be is row_block_load()."""
-    return spmv(entries, x, rows)
-
-
 def row_block_load(entries: DataFrame, chunk: int = 50, workers: int = 16) -> DataFrame:
     """(matrix, w, n_entries, first_row, last_row, imbalance): what each worker would get; imbalance is the greatest load over the mean."""
     loads = entries.groupBy("matrix", block_worker(chunk, workers).alias("w")).agg(F.count(F.lit(1)).alias("n_entries"), F.min("i").alias("first_row"), F.max("i").alias("last_row"))
@@ -119,12 +140,3 @@ def balanced_groups(entries: DataFrame, rows: DataFrame, workers: int = 16) -> D
     total = pointers.groupBy("matrix").agg(F.greatest(F.sum("n"), F.lit(1)).alias("nnz"))
     p = F.expr(f"least({int(workers) - 1}, ptr * {int(workers)} div nnz)").cast("int")
     return pointers.join(total, "matrix").select("matrix", "i", "n", p.alias("p"))
-
-
-def spmv_balanced(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: int | None = None, schedule: str = "balanced", chunk: int = 50) -> DataFrame:
-    """(matrix, i, y). 'balanced' and 'range' give ranges of about as many entries each, 'blocks' leaves the rows to Spark; the result is the same."""
-    if schedule == "blocks":
-        return spmv_row_blocks(entries, x, rows, chunk, workers)
-    if schedule in ("range", "balanced"):
-        return spmv_parallel(entries, x, rows, workers)
-    raise ValueError(f"schedule is 'balanced', 'blocks' or 'range', not {schedule!r}")

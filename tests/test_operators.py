@@ -26,22 +26,81 @@ def as_dict(df):
     return {(r.matrix, r.i): r.y for r in df.collect()}
 
 
-@pytest.mark.parametrize("workers, chunk", [(1, 1), (3, 2), (8, 50)])
-def test_products_agree(spark, workers, chunk):
+@pytest.mark.parametrize("workers", [1, 3, 8])
+def test_products_agree(spark, workers):
     _, entries, rows, x, y = small(spark)
     assert as_dict(spmv.spmv(entries, x, rows)) == y
     assert as_dict(spmv.spmv_parallel(entries, x, rows, workers)) == y
-    for schedule in ("balanced", "blocks", "range"):
-        assert as_dict(spmv.spmv_balanced(entries, x, rows, workers, schedule, chunk)) == y
-    with pytest.raises(ValueError):
-        spmv.spmv_balanced(entries, x, rows, schedule="guided")
 
 
 @pytest.mark.parametrize("limit", [4_000_000, 5])
-def test_packed_product(spark, monkeypatch, limit):
-    monkeypatch.setattr(spmv, "PACKED_X", limit)
+@pytest.mark.parametrize("block", [spmv.COLUMN_BLOCK, 4, 1])
+def test_packed_product(spark, monkeypatch, limit, block):
+    monkeypatch.setattr(spmv, "BROADCAST_X", limit)
     _, entries, rows, x, y = small(spark)
-    assert as_dict(spmv.spmv_packed(layout.csr_pack(entries, 7), x, rows)) == y
+    assert as_dict(spmv.spmv_packed(layout.csr_pack(entries, 7), x, rows, block)) == y
+    assert as_dict(spmv.spmv(entries, x, rows)) == y
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 2])
+def test_odd_vectors(spark, monkeypatch, limit):
+    """Both products, with x broadcast or joined: a repeated column, missing ones, nulls; the same result in all four."""
+    monkeypatch.setattr(spmv, "BROADCAST_X", limit)
+    entries = spark.createDataFrame([("m", 0, 0, 2.0), ("m", 0, 3, 5.0), ("m", 0, 6, 1.0), ("m", 1, 3, 1.0), ("m", 1, None, 9.0), ("m", 1, 0, None), ("m", 2, 9, 4.0), ("m", 7, 0, 1.0), (None, 0, 0, 1.0)], "matrix string, i long, j long, v double")
+    x = spark.createDataFrame([("m", 0, 1.0), ("m", 0, 10.0), ("m", 6, 3.0), ("m", 3, None), ("m", None, 8.0), ("m", 5, 100.0), ("n", 3, 1.0)], "matrix string, j long, x double")
+    rows = spark.createDataFrame([("m", i) for i in range(4)], "matrix string, i long")
+    expected = {("m", 0): 25.0, ("m", 1): 0.0, ("m", 2): 0.0, ("m", 3): 0.0}
+    assert as_dict(spmv.spmv(entries, x, rows)) == expected
+    for block in (1, 4, spmv.COLUMN_BLOCK):
+        assert as_dict(spmv.spmv_packed(layout.csr_pack(entries), x, rows, block)) == expected
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_of_products(spark, monkeypatch):
+    """Packed rows aren't unpacked; columns with many entries are joined where they lie, others by the column."""
+    _, entries, rows, x, _ = small(spark)
+    packed = spmv.spmv_packed(layout.csr_pack(entries), x, rows)
+    assert "inline" not in plan_of(packed) and "MapInArrow" not in plan_of(packed)
+    monkeypatch.setattr(spmv, "BROADCAST_X", 2)
+    n = 40_000
+    hot = spark.range(n).select(F.lit("m").alias("matrix"), (F.col("id") % 97).alias("i"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 4001).cast("long").alias("j"), F.lit(1.0).alias("v"))
+    ones = spark.range(4001).select(F.lit("m").alias("matrix"), F.col("id").alias("j"), F.lit(2.0).alias("x"))
+    domain = spark.range(97).select(F.lit("m").alias("matrix"), F.col("id").alias("i"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        product = spmv.spmv(hot, ones, domain)
+        assert plan_of(product).count("BroadcastHashJoin") >= 2 and plan_of(product).count("SortMergeJoin") == 1
+        assert sum(as_dict(product).values()) == 2.0 * n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_plan_of_packing(spark):
+    """One exchange by range before the ranks are fixed, and one by hash to gather the rows."""
+    _, entries, _, _, _ = small(spark)
+    plan = plan_of(layout.csr_pack(entries))
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 40])
+def test_groups_over_partition_borders(spark, partitions):
+    """Groups shorter and longer than a partition, null and NaN keys, several columns."""
+    rng = random.Random(partitions)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, float("nan"), 0.0, -0.0, 1.5]), rng.randrange(5), k) for k in range(300)] + [("z", 2.0, 1, 300 + k) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, d double, o long, id long")
+    seen, key = {}, lambda d: "nan" if d != d else d
+    for r in ranked(df, ["g", "d"], ["o"], "k", partitions).collect():
+        seen.setdefault((r.g, None if r.d is None else key(r.d)), []).append((r.k, r.o))
+    for group in seen.values():
+        group.sort()
+        assert [k for k, _ in group] == list(range(len(group))) and [o for _, o in group] == sorted(o for _, o in group)
+    assert sum(map(len, seen.values())) == 500 and len(seen) == len({(g, None if d is None else key(d)) for g, d, _, _ in rows})
+    assert sorted(r.k for r in ranked(df, [], ["o"], "k", partitions).collect()) == list(range(500))
 
 
 def test_layouts(spark):
@@ -99,7 +158,7 @@ def test_random_vector_is_repeatable(spark):
 def test_empty_matrices(spark):
     _, entries, rows, x, _ = small(spark)
     none = entries.limit(0)
-    assert set(as_dict(spmv.spmv(none, x, rows)).values()) == set(as_dict(spmv.spmv_balanced(none, x, rows, 4)).values()) == {0.0}
+    assert set(as_dict(spmv.spmv(none, x, rows)).values()) == set(as_dict(spmv.spmv_packed(layout.csr_pack(none), x, rows)).values()) == {0.0}
     assert layout.csr_pack(none).count() == layout.csr_slots(none).count() == 0
     profile = runs.sparsity_profile(none, layout.row_counts(none, rows), rows.groupBy("matrix").agg(F.count("i").alias("ncols"))).collect()
     assert {(r.matrix, r.nnz, r.empty_rows, r.bandwidth) for r in profile} == {("A", 0, 45, 0), ("B", 0, 2, 0), ("C", 0, 1, 0)}
