@@ -14,6 +14,17 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="rowmesh-")
 
 
+@lru_cache(maxsize=64)
+def _own_folder(folder: str, application: str) -> str:
+    """The application's own folder, which goes when its driver ends."""
+    spark, path = SparkSession.active(), f"{folder}/rowmesh/{application}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme that Spark reads it by, so that every reader means the same file system."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -35,8 +46,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_folder(spark)}/rowmesh/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used before; it goes when the session's driver ends, or with clear()."""
+    return f"{_own_folder(shared_folder(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that the application has written by new_folder() so far; queries not yet run that rest on it fail."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(shared_folder(spark), spark.sparkContext.applicationId))
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for one in files.listStatus(hadoop):
+        files.delete(one.getPath(), True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

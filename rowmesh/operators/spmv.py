@@ -81,7 +81,7 @@ def column_blocks(x: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
 
 def tiles(packed: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
     """(matrix, block, i, cells): packed rows cut where a block of columns ends; a segment that lies in one block stays as it is."""
-    of = lambda c: F.floor(c["j"] / F.lit(block))
+    of = lambda c: F.call_function("div", c["j"], F.lit(block))
     ordered = packed.where(F.size("cells") > 0).select("matrix", "i", F.filter("cells", lambda c: c["j"].isNotNull()).alias("cells"))
     n = F.size("cells")
     at = lambda k: of(F.get("cells", k))

@@ -77,11 +77,11 @@ def mm_rejects(spark, sf):
     return matrix_market.mm_rejects(spark, path, "folder")
 
 
-def _chunk_runs(spark, sf):
-    """E as runs of the chunk layout: the baseline in order of value, as such files hold it, the others in order of event."""
+def _chunk_runs(spark, sf, ms=None):
+    """E as runs of the chunk layout, with other samples where ms says so: the baseline in order of value, as such files hold it, the others in order of event."""
     order = F.when(F.col("variant") == t.BASELINE, F.col("ms")).otherwise(F.lit(0.0))
     numbered = ranked(t.samples_e(spark, sf).withColumn("first", order), ["matrix", "variant"], ["first", "event_id"], "before")
-    return numbered.select("matrix", F.lit("static").alias("schedule"), F.lit(4).alias("threads"), t.by_variant(0).alias("chunk"), (F.col("before") + 1).alias("run"), "ms")
+    return numbered.select("matrix", F.lit("static").alias("schedule"), F.lit(4).alias("threads"), t.by_variant(0).alias("chunk"), (F.col("before") + 1).alias("run"), (F.col("ms") if ms is None else ms).alias("ms"))
 
 
 @query(
@@ -136,6 +136,45 @@ def csr_write(spark, sf):
     return csr_tables.csr_read(spark, path)[2].select("pos", "i", "j", "v")
 
 
+@query(f"WITH l AS ({L}), n AS (SELECT count(*) AS rows_of FROM orders), placed AS (SELECT (row_number() OVER (ORDER BY i, j, v) - 1)::BIGINT AS pos, i, j, v FROM l) SELECT pos, i, j, v FROM placed, n WHERE i >= rows_of // 10 AND i < 2 * (rows_of // 10)")
+def csr_row_range(spark, sf):
+    """The second tenth of L's rows, read alone from a compressed matrix."""
+    path, rows = new_folder(spark, "csr"), t.rows_l(spark, sf)
+    csr_tables.csr_write(t.matrix_l(spark, sf), rows, rows.groupBy("matrix").agg(F.count(F.lit(1)).alias("nrows")), path)
+    tenth = rows.count() // 10
+    return csr_tables.csr_rows(spark, path, "L", tenth, 2 * tenth - 1)
+
+
+@query(
+    """WITH kinds AS (SELECT s_suppkey AS k, s_suppkey % 5 AS kind FROM supplier)
+    SELECT 'm=' || k AS matrix, CASE kind WHEN 1 THEN 'missing size line' WHEN 2 THEN 'bad size line' ELSE 'unsupported matrix' END AS reason,
+    CASE kind WHEN 2 THEN k || ' x 1' WHEN 3 THEN '1 1 ' || k || ' 0' WHEN 4 THEN '1 1 ' || k END AS line FROM kinds WHERE kind > 0"""
+)
+def mm_header_rejects(spark, sf):
+    """A file for each supplier, four fifths of them spoilt in the header: no size line, a bad one, complex or hermitian entries."""
+    path, k = new_folder(spark, "mm-heads"), F.col("s_suppkey")
+    kind, number = k % 5, k.cast("string")
+    head = F.concat(F.lit("%%MatrixMarket matrix coordinate "), F.when(kind == 3, "complex general").when(kind == 4, "real hermitian").otherwise("real general"))
+    size = F.when(kind == 2, F.concat(number, F.lit(" x 1"))).otherwise(F.lit("1 1 1"))
+    entry = F.when(kind == 3, F.concat(F.lit("1 1 "), number, F.lit(" 0"))).otherwise(F.concat(F.lit("1 1 "), number))
+    lines = F.when(kind == 1, F.array(head, F.lit("% no more"))).otherwise(F.array(head, F.lit("% a comment"), size, entry))
+    files = t.table(spark, sf, "supplier").select(k.alias("m"), F.posexplode(lines).alias("at", "value"))
+    files.repartition("m").sortWithinPartitions("m", "at").select("m", "value").write.partitionBy("m").text(path)
+    return matrix_market.mm_rejects(spark, path, "folder")
+
+
+@query(
+    f"""SELECT user_id::VARCHAR AS matrix, {CHUNKS} AS chunk, 'static' AS schedule, 4 AS threads, CASE WHEN event_type = 'view' THEN 'sequential' ELSE 'chunk' END AS section,
+    CASE event_id % 10 WHEN 0 THEN printf('%.6f', -1 - value) ELSE 'NaN' END AS line FROM events WHERE event_id % 10 < 2"""
+)
+def runs_rejects(spark, sf):
+    """E rendered to the chunk layout with a fifth of the samples spoilt, and the lines that are none read back."""
+    path = new_folder(spark, "runs-bad")
+    spoilt = F.when(F.col("event_id") % 10 == 0, -1 - F.col("ms")).when(F.col("event_id") % 10 == 1, F.lit(float("nan"))).otherwise(F.col("ms"))
+    run_files.write_chunk_files(_chunk_runs(spark, sf, spoilt), path)
+    return run_files.runs_rejects(spark, path).select("matrix", "chunk", "schedule", "threads", "section", "line")
+
+
 # Layout
 
 
@@ -191,6 +230,20 @@ def dense_vector(spark, sf):
     return spmv.column_vector(t.columns_l(spark, sf)).select("j", "x")
 
 
+@query("SELECT count(*) AS n, count(*) AS n_in_range, count(*) AS n_repeated, true AS differ, true AS even FROM part")
+def dense_vector_law(spark, sf):
+    """The random vector over L's columns: entries in [0, 10), the same from every partitioning, nearly all different, spread evenly."""
+    n = t.columns_l(spark, sf).count()
+    one = spmv.dense_vector(spark, "L", n, 7)
+    other = spmv.dense_vector(spark, "L", n, 7).repartition(5).select("j", F.col("x").alias("again"))
+    x = F.col("x")
+    found = one.join(other, "j").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((x >= 0) & (x < 10)).alias("n_in_range"), F.count_if(x == F.col("again")).alias("n_repeated"),
+        (F.countDistinct("x") > 0.99 * F.count(x)).alias("differ"), (F.abs(F.avg("x") - 5) < 20 / F.sqrt(F.count(x))).alias("even"),
+    )
+    return found
+
+
 def _l(spark, sf):
     return t.matrix_l(spark, sf), t.columns_l(spark, sf), t.rows_l(spark, sf)
 
@@ -357,6 +410,43 @@ def schedule_eval(spark, sf):
     return runs.schedule_eval(t.samples_e(spark, sf), ["matrix", "variant"])
 
 
+#: E with the file that each sample lies in: a schedule and a thread number by the event's number.
+FILES = "files AS (SELECT user_id AS matrix, event_type AS variant, CASE event_id % 2 WHEN 0 THEN 'static' ELSE 'guided' END AS schedule, (4 << (event_id // 2 % 2)::INT)::INT AS threads, value FROM events)"
+
+
+def _in_files(spark, sf):
+    k = F.col("event_id")
+    return t.samples_e(spark, sf).select("matrix", "variant", F.when(k % 2 == 0, "static").otherwise("guided").alias("schedule"), F.when(F.expr("event_id div 2 % 2") == 0, 4).otherwise(8).alias("threads"), "ms")
+
+
+@query(
+    f"""WITH {FILES}, means AS (SELECT matrix, schedule, threads, variant, {MEAN} AS mean FROM files GROUP BY ALL), base AS (SELECT matrix, schedule, threads, mean AS base_mean FROM means WHERE variant = 'view')
+    SELECT matrix, schedule, threads, variant, mean, base_mean, base_mean / mean AS speedup FROM means JOIN base USING (matrix, schedule, threads) WHERE variant <> 'view'"""
+)
+def speedup_by_file(spark, sf):
+    """Each sample against the baseline of its own file."""
+    return runs.speedup(_in_files(spark, sf), t.BASELINE, ("variant",), ("matrix", "schedule", "threads")).select("matrix", "schedule", "threads", "variant", "mean", "base_mean", "speedup")
+
+
+@query(
+    f"""WITH {FILES}, rolled AS (SELECT matrix, schedule, threads, grouping(matrix, schedule, threads) AS level, count(*) AS n, {MEAN} AS mean, min(value) AS least FROM files GROUP BY ROLLUP (matrix, schedule, threads))
+    SELECT matrix, schedule, threads, level::BIGINT AS level, n, mean, least, CASE WHEN level = 0 THEN rank() OVER (PARTITION BY level, matrix, schedule ORDER BY mean) END::INT AS place FROM rolled"""
+)
+def schedule_eval_threads(spark, sf):
+    """The rollup over matrix, schedule and threads."""
+    return runs.schedule_eval(_in_files(spark, sf), ["matrix", "schedule", "threads"])
+
+
+@query(
+    f"""WITH {STATS}, sizes AS (SELECT l_suppkey AS matrix, count(*) AS nnz FROM lineitem GROUP BY ALL)
+    SELECT matrix, variant, {THREADS} AS threads, speedup, 2 * nnz / mean AS throughput FROM gains LEFT JOIN sizes USING (matrix)"""
+)
+def throughput(spark, sf):
+    """Operations per time of each variant, the entries of a matrix counted in a table: the line items of the supplier with its number."""
+    sizes = t.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("matrix")).agg(F.count(F.lit(1)).alias("nnz"))
+    return runs.bottlenecks(t.samples_e(spark, sf), t.BASELINE, t.by_variant(1), sizes).select("matrix", "variant", "threads", "speedup", "throughput")
+
+
 @query(
     f"""WITH {STATS}, threaded AS (SELECT *, {THREADS} AS threads FROM gains)
     SELECT matrix, variant, threads, speedup, speedup / threads AS efficiency, speedup < 1 AS slower, p90 > 2 * median AS tail_heavy, mean > p90 AS outlier,

@@ -26,3 +26,11 @@ def csr_read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     """matrices, row_ptr and slots of csr_write()."""
     parts = (spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _SCHEMAS.items())
     return (spark.read.parquet(f"{path}/matrices"), *parts)
+
+
+def csr_rows(spark: SparkSession, path: str, matrix: str, first: int, last: int) -> DataFrame:
+    """(pos, i, j, v) of rows first to last of one matrix: the row pointers turn them into a range of places, by which Parquet skips what lies outside. No such rows give none."""
+    _, pointers, slots = csr_read(spark, path)
+    mine = pointers.where((F.col("matrix") == matrix) & F.col("i").between(first, last))
+    begin, end = mine.agg(F.min("ptr"), F.max(F.col("ptr") + F.col("n"))).first()
+    return slots.where((F.col("matrix") == matrix) & (F.col("pos") >= (begin or 0)) & (F.col("pos") < (end or 0))).select("pos", "i", "j", "v")

@@ -142,6 +142,41 @@ def test_nearest_rank(spark, n, place):
     assert (r.n, r.p90) == (n, float(place + 1))
 
 
+@pytest.mark.parametrize("listed", [runs.LISTED, 40, 0])
+def test_order_statistics_of_large_groups(spark, monkeypatch, listed):
+    """Groups gathered and groups selected from give the same: one with a third of all samples, ties, few values, a wide spread, nulls in the key."""
+    monkeypatch.setattr(runs, "LISTED", listed)
+    rng = random.Random(listed)
+    rows = [("hot", "v", round(rng.lognormvariate(0, 4), 6)) for _ in range(4000)] + [("ties", "v", float(rng.randrange(3))) for _ in range(3000)] + [("same", None, 7.0)] * 2000
+    rows += [(None, "v", float(k)) for k in range(41)] + [("few", "w", float(-k)) for k in range(3)] + [("hot", "w", 0.5)]
+    groups = {}
+    for m, v, ms in rows:
+        groups.setdefault((m, v), []).append(ms)
+    got = runs.statistics(spark.createDataFrame(rows, "matrix string, variant string, ms double").repartition(7), ["matrix", "variant"]).collect()
+    expected = {k: (len(v), sorted(v)[len(v) // 2], sorted(v)[9 * len(v) // 10]) for k, v in groups.items()}
+    assert {(r.matrix, r.variant): (r.n, r.median, r.p90) for r in got} == expected and len(got) == len(expected)
+    assert all(abs(r["mean"] - sum(groups[r.matrix, r.variant]) / r.n) <= 1e-6 * max(1, abs(r["mean"])) for r in got)
+
+
+def test_plans_of_reports(spark):
+    """All figures of a report come from one table of statistics."""
+    df = spark.createDataFrame([("m", "base", 4.0), ("m", "b", 2.0)], "matrix string, variant string, ms double")
+    for out, most in ((runs.summary_report(df, "base", F.lit(1)), 3), (runs.bottlenecks(df, "base", F.lit(2)), 2), (runs.order_statistics(df, ["matrix"]), 1)):
+        plan = plan_of(out)
+        assert plan.count("Exchange ") <= most and "Join" not in plan
+    entries = spark.createDataFrame([("m", 0, 1, 1.0)], "matrix string, i long, j long, v double")
+    domain = spark.createDataFrame([("m", 0)], "matrix string, i long")
+    profile = plan_of(runs.sparsity_profile(entries, layout.row_counts(entries, domain), domain.select("matrix", F.lit(2).alias("ncols"))))
+    assert "LeftSemi" not in profile and profile.count("high#") > 0
+
+
+def test_baseline_in_the_scope_of_a_file(spark):
+    rows = [("m", "base", 4, 8.0), ("m", "base", 8, 6.0), ("m", "a", 4, 2.0), ("m", "a", 8, 3.0), ("m", "a", 16, 1.0)]
+    df = spark.createDataFrame(rows, "matrix string, variant string, threads int, ms double")
+    assert {(r.threads, r.speedup) for r in runs.speedup(df, "base", ("variant",), ("matrix", "threads")).collect()} == {(4, 4.0), (8, 2.0)}
+    assert {(r.threads, r.base_mean) for r in runs.speedup(df, "base", ("variant", "threads")).collect()} == {(4, 7.0), (8, 7.0), (16, 7.0)}
+
+
 def test_first_of_equal_configurations_wins(spark):
     df = spark.createDataFrame([("m", "base", 4.0), ("m", "b", 2.0), ("m", "a", 2.0), ("m", "c", 3.0)], "matrix string, variant string, ms double")
     order = F.when(F.col("variant") == "b", 1).when(F.col("variant") == "a", 2).otherwise(3)

@@ -1,6 +1,7 @@
 """Coordinate text and result files on small fixtures with known answers."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +225,22 @@ def test_many_entries_equal_to_the_size_line(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(matrix_market, "_COPIES", 7)
     (tmp_path / "a.mtx").write_text(HEAD.format("real", "general") + "2 3 4\n" * 101)
     assert [tuple(r)[2:] for r in matrix_market.mm_scan(spark, str(tmp_path)).collect()] == [(1, 2, 4.0)] * 100
+
+
+def test_row_ranges_are_pushed_down(spark, tmp_path):
+    entries = spark.range(6000).select(F.lit("m").alias("matrix"), (F.col("id") % 300).alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    sizes = spark.createDataFrame([("m", 300)], "matrix string, nrows long")
+    csr_tables.csr_write(entries, layout.row_domain(sizes), sizes, str(tmp_path / "m"))
+    part = csr_tables.csr_rows(spark, str(tmp_path / "m"), "m", 100, 102)
+    assert sorted((r.i, r.j) for r in part.collect()) == sorted((k % 300, k) for k in range(6000) if 100 <= k % 300 <= 102)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(pos,2000)" in plan and "LessThan(pos,2060)" in plan and "PartitionFilters: [isnotnull(matrix" in plan
+    assert csr_tables.csr_rows(spark, str(tmp_path / "m"), "m", 900, 950).count() == csr_tables.csr_rows(spark, str(tmp_path / "m"), "none", 0, 5).count() == 0
+
+
+def test_what_was_written_can_be_cleared(spark):
+    df = storage.written(spark.range(3), "kept")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and spark.sparkContext.applicationId in path
+    storage.clear(spark)
+    assert not os.path.exists(path) and storage.written(spark.range(3), "more").count() == 3
