@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from rowmesh.functions.storage import new_folder, written
 
-__all__ = ["new_folder", "small", "text_bytes", "word_chunks", "written"]
+__all__ = ["free_names", "new_folder", "small", "text_bytes", "word_chunks", "written"]
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -41,3 +41,9 @@ def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
             end = cut.start()
         yield data[at:end].split()
         at = end + 1
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, changed where a column has one, in whatever case of letters."""
+    taken = {c.lower() for c in columns}
+    return [next(n for k in range(len(taken) + 1) if (n := f"{w}{k or ''}").lower() not in taken) for w in wanted]

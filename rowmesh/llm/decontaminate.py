@@ -3,12 +3,13 @@
 Tokens are runs of Unicode letters, marks and digits; where a script sets no blanks
 between words, each character is a token. A seed is the hash of six tokens at the
 places of a fixed mask; the places between are ignored, so a substituted token
-there doesn't break the seed. The masks below hit every stretch of 12 tokens with
-at most 2 substitutions (a test proves it). Items under 12 tokens have one seed, of
-all their tokens. The seeds of the documents are joined with those of the benchmark,
-and where the two have one in common their token sequences are laid side by side at
-every shift that a common seed shows: an overlap is the longest stretch with at
-least 80 % equal tokens.
+there doesn't break the seed. The masks below hit every stretch of 12 tokens or more
+with at most 20 % substitutions: up to 60 tokens a test finds the fewest substitutions
+that escape them all, and a longer stretch holds 12 tokens with at most 2. Items under
+12 tokens have one seed, of all their tokens. The seeds of the documents are joined
+with those of the benchmark, and where the two have one in common their token
+sequences are laid side by side at every shift that a common seed shows: an overlap is
+the longest stretch with at least 80 % equal tokens.
 
 One way for a benchmark of any size: a filter of fixed size, made of all benchmark
 seeds, goes to the tasks that read the documents; only documents with a seed that
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import free_names, small, written
 
 #: Fixed seed masks: the places, from a window's first token, that are hashed.
 MASKS = (
     (0, 1, 2, 4, 6, 7),
     (0, 2, 3, 6, 7, 8),
     (0, 1, 2, 3, 4, 6),
+    (0, 1, 5, 7, 8, 9),
 )
 #: Shortest overlap in tokens, and the share of them that must be equal.
 MIN_OVERLAP, MIN_EQUAL = 12, 0.8
@@ -150,11 +152,11 @@ def _masks(lengths: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
     return [(i + 1, m) for i, m in enumerate(MASKS)] + [(1000 + n, tuple(range(n))) for n in lengths]
 
 
-def _item_seeds(t: Tokens, n_texts: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _item_seeds(t: Tokens, n_texts: int, min_item: int = MIN_ITEM) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Seeds of benchmark texts: (salt, text, token of all tokens, hash) by mask; short items have one over all their tokens."""
     count = np.bincount(t.text, minlength=n_texts)
     found = []
-    for salt, places in _masks(tuple(sorted({int(n) for n in count if MIN_ITEM <= n < MIN_OVERLAP}))):
+    for salt, places in _masks(tuple(sorted({int(n) for n in count if min_item <= n < MIN_OVERLAP}))):
         at, h = _seeds(t, places, salt)
         size = count[t.text[at]]
         right = size >= MIN_OVERLAP if salt < 1000 else size == len(places)
@@ -178,12 +180,12 @@ def _shifts(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
 class Sides:
     """One text and the benchmark items that may overlap it."""
 
-    def __init__(self, text: str, items: list[str]):
+    def __init__(self, text: str, items: list[str], min_item: int = MIN_ITEM):
         self.x, self.data, _ = tokens(pa.array([text], pa.large_string()))
         self.y, _, _ = tokens(pa.array(items, pa.large_string()))
         self.first = np.searchsorted(self.y.text, np.arange(len(items) + 1))
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.item_seeds = _item_seeds(self.y, len(items))
+        self.item_seeds = _item_seeds(self.y, len(items), min_item)
 
     def _mine(self, salt: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the text's seeds, by hash."""
@@ -269,13 +271,13 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return texts.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
 
 
-def _seed_table(items: DataFrame) -> DataFrame:
+def _seed_table(items: DataFrame, min_item: int) -> DataFrame:
     """(h, item, salt): the different seeds of each item."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             t, _, _ = tokens(batch.column(1))
-            for salt, of, _, h in _item_seeds(t, batch.num_rows):
+            for salt, of, _, h in _item_seeds(t, batch.num_rows, min_item):
                 rows = np.unique(np.stack([of.astype(np.uint64), h]), axis=1)
                 mine = batch.column(0).take(pa.array(rows[0].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(rows[1].astype(np.int64)), mine, pa.array(np.full(len(mine), salt, np.int32))], ["h", "item", "salt"])
@@ -343,58 +345,88 @@ def _candidates(keyed: DataFrame, seeds: DataFrame, bits: int) -> DataFrame:
 
 
 OVERLAPS = "item_id long, equal_tokens long, overlap_tokens long, item_token long, doc_start long, doc_end long"
-#: Parts into which the items of one text are dealt, so that no row holds them all.
-_DEALT = 16
+#: Items of one text that are laid beside it in one row.
+_DEALT = 32
 
 
-def _verified(candidates: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
-    """(k1, k2, *OVERLAPS) of every different candidate text and item that overlap."""
-    pairs = candidates.select(*_KEY, F.explode("hs").alias("h")).join(seeds.select("h", "item"), "h").select(*_KEY, "item").distinct()
-    dealt = pairs.join(items, "item").groupBy(*_KEY, F.pmod(F.xxhash64("item"), F.lit(_DEALT)).alias("part")).agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"))).alias("items"))
+def _pairs(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(k1, k2, item): every different candidate text and item with a common seed."""
+    return candidates.select(*_KEY, F.explode("hs").alias("h")).distinct().join(seeds.select("h", "item"), "h").select(*_KEY, "item").distinct()
+
+
+def _verified(candidates: DataFrame, pairs: DataFrame, items: DataFrame, min_item: int, one: bool) -> DataFrame:
+    """(k1, k2, *OVERLAPS) of the pairs that overlap; with `one`, the rest of a row's items is left alone once one overlaps."""
+    dealt = pairs.withColumn("part", F.expr(f"(row_number() OVER (PARTITION BY k1, k2 ORDER BY item) - 1) div {_DEALT}")).join(items, "item")
+    rows = dealt.groupBy(*_KEY, "part").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"))).alias("items"))
     texts = candidates.groupBy(*_KEY).agg(F.first("text").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             out: list[tuple] = []
             for row, text, mine in zip(range(batch.num_rows), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                sides = Sides(text, [m["item_text"] for m in mine])
-                out += [(row, m["item_id"], *found) for k, m in enumerate(mine) if (found := sides.overlap(k)) is not None]
+                sides = Sides(text, [m["item_text"] for m in mine], min_item)
+                for k, m in enumerate(mine):
+                    if (found := sides.overlap(k)) is not None:
+                        out.append((row, m["item_id"], *found))
+                        if one:
+                            break
             if out:
                 columns = list(zip(*out))
                 keys = [batch.column(k).take(pa.array(columns[0], pa.int64())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.int64()) for c in columns[1:])], [*_KEY, *(x.split()[0] for x in OVERLAPS.split(", "))])
 
-    return texts.join(dealt, _KEY).select(*_KEY, "text", "items").mapInArrow(each, f"k1 long, k2 long, {OVERLAPS}")
+    return texts.join(rows, _KEY).select(*_KEY, "text", "items").mapInArrow(each, f"k1 long, k2 long, {OVERLAPS}")
+
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, filter_bits: int, min_item: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, items and seeds, written."""
+    items = written(_items(benchmark), "items")
+    seeds = written(_seed_table(items, min_item), "item-seeds")
+    return written(_candidates(_keyed(docs), seeds, filter_bits), "candidates"), items, seeds
 
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS, min_item: int = MIN_ITEM) -> DataFrame:
     """A row for each document and benchmark item that overlap: the longest overlap, and its code points in the text.
 
     Every row of docs is a document of its own, whatever its doc_id; a null text
     has no tokens and a null benchmark text no seeds. Of equal benchmark texts the
     least item_id stands for all (-1 where it is null). Of several overlaps with
     one item the longest counts, then the one with most equal tokens, then the
-    first. Items of fewer than MIN_ITEM tokens match nothing, those under
+    first. Items of fewer than min_item tokens (at least 1) match nothing, those under
     MIN_OVERLAP only whole and unchanged. Empty tables give no rows. Only the
     columns named here are read. filter_bits changes the effort, not the result.
     """
-    candidates, found = _found(docs, benchmark, filter_bits)
+    candidates, items, seeds = _prepared(docs, benchmark, filter_bits, min_item)
+    found = written(_verified(candidates, _pairs(candidates, seeds), items, min_item, False), "overlaps")
     return candidates.select("doc_id", *_KEY).join(found, _KEY).drop(*_KEY)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, filter_bits: int) -> tuple[DataFrame, DataFrame]:
-    items = written(_items(benchmark), "items")
-    seeds = written(_seed_table(items), "item-seeds")
-    candidates = written(_candidates(_keyed(docs), seeds, filter_bits), "candidates")
-    return candidates, written(_verified(candidates, seeds, items), "overlaps")
-
+def contaminated(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS, min_item: int = MIN_ITEM) -> DataFrame:
+    """(k1, k2): the keys of the different texts that overlap any item, see _keyed().
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    Where many items share a passage, a text that holds it needs one of them. So each
+    text is laid beside the least item of each common seed first, and only texts that
+    overlap none of these beside the others.
+    """
+    candidates, items, seeds = _prepared(docs, benchmark, filter_bits, min_item)
+    firsts = seeds.groupBy("h").agg(F.min("item").alias("item"))
+    first_pairs = written(_pairs(candidates, firsts), "first-pairs")
+    found = written(_verified(candidates, first_pairs, items, min_item, True).select(*_KEY).distinct(), "overlaps")
+    open_ones = written(candidates.join(found, _KEY, "left_anti"), "candidates")
+    if not open_ones.limit(1).count():
+        return found
+    others = _pairs(open_ones, seeds).join(first_pairs, [*_KEY, "item"], "left_anti")
+    more = written(_verified(open_ones, others, items, min_item, True).select(*_KEY).distinct(), "overlaps")
+    return found.unionByName(more)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS, min_item: int = MIN_ITEM) -> DataFrame:
     """The rows of docs, all columns, whose text overlaps no benchmark item; see benchmark_overlaps().
 
     A row with a null or empty text stays, and rows that repeat stay or go together.
+    Columns may have any names and types.
     """
-    _, found = _found(docs, benchmark, filter_bits)
-    text = F.col("text").cast("string")
-    marked = docs.withColumns({"_rm_k1": F.xxhash64(F.lit(1), text), "_rm_k2": F.xxhash64(F.lit(2), text)})
-    return marked.join(found.select(F.col("k1").alias("_rm_k1"), F.col("k2").alias("_rm_k2")).distinct(), ["_rm_k1", "_rm_k2"], "left_anti").select(*docs.columns)
+    found = contaminated(docs, benchmark, filter_bits, min_item)
+    text, keys = F.col("text").cast("string"), free_names(docs.columns, *_KEY)
+    marked = docs.withColumns({k: F.xxhash64(F.lit(n + 1), text) for n, k in enumerate(keys)})
+    return marked.join(found.withColumnsRenamed(dict(zip(_KEY, keys))), keys, "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import small, text_bytes, written
+from .common import free_names, small, text_bytes, written
 
 #: Documents that must hold a line.
 LEAST_DOCS = 10
@@ -166,16 +166,10 @@ def _marked(docs: DataFrame, keys: DataFrame, names: list[str]) -> tuple[DataFra
     return joined.select(*docs.columns, names[2]), None
 
 
-def _free(columns: list[str], *wanted: str) -> list[str]:
-    """Names that no column has, in any case of letters."""
-    taken = {c.lower() for c in columns}
-    return [next(n for k in range(len(taken) + 1) if (n := f"{w}{k or ''}") not in taken) for w in wanted]
-
-
 def _each(docs: DataFrame, keys: DataFrame, keep_first: bool, give, schema) -> DataFrame:
     """give(batch, [(lines, which go) of each row]) over docs(doc_id, text, ...)."""
     columns = docs.columns
-    marked, shared = _marked(docs, keys, _free(columns, "_t1", "_t2", "_keys"))
+    marked, shared = _marked(docs, keys, free_names(columns, "_t1", "_t2", "_keys"))
     at, of = columns.index("doc_id"), columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,67 @@ def test_masks_hit_every_12_tokens_with_two_substitutions():
             assert any(not {m + at for m in mask} & set(wrong) for mask in d.MASKS for at in range(12 - mask[-1]))
 
 
+def fewest_escapes(masks, upto):
+    """For each length, the fewest substitutions with which a stretch holds no mask's places unchanged: over the last 11 tokens, token by token."""
+    window = np.arange(1 << 12)
+    hit = np.zeros(len(window), bool)
+    for m in masks:
+        hit |= window & sum(1 << (m[-1] - p) for p in m) == 0
+    # What lies before the stretch counts as changed.
+    cost, out = np.full(1 << 11, 10**6), [0]
+    cost[-1] = 0
+    for _ in range(upto):
+        new = np.full(1 << 11, 10**6)
+        for changed in (0, 1):
+            full = np.arange(1 << 11) << 1 | changed
+            np.minimum.at(new, full & 0x7FF, np.where(hit[full], 10**6, cost + changed))
+        cost = new
+        out.append(int(cost.min()))
+    return out
+
+
+def test_masks_hit_every_overlap():
+    """No overlap of up to 60 tokens escapes; of a longer one, 12 tokens in a row have at most 2 substitutions: on average over its windows they have under 3."""
+    fewest = fewest_escapes(d.MASKS, 60)
+    assert all(fewest[n] > n // 5 for n in range(12, 61))
+    assert all(12 * (n // 5) < 3 * (n - 11) for n in range(56, 5000)) and fewest[12] > 2
+    assert [n for n in range(12, 61) if fewest_escapes(d.MASKS[:3], 60)[n] <= n // 5] == [15, 16, 17, 20]
+
+
+def test_overlaps_that_escape_three_masks(spark):
+    """15 tokens of which three differ and 20 of which four do, at all places that keep their ends."""
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (15, 16, 17, 20)]
+    docs = []
+    for n, text in items:
+        for wrong in itertools.combinations(range(1, n - 1), n // 5):
+            if n == 20 and (sum(wrong) % 7 or wrong[0] != 2) or n in (16, 17) and sum(wrong) % 5:
+                continue
+            docs.append((len(docs), " ".join(f"x{len(docs)}" if k in wrong else w for k, w in enumerate(text.split())), n))
+    docs.append((len(docs), " ".join("zz" if k in (3, 7, 8) else w for k, w in enumerate(items[0][1].split())), 15))
+    docs.append((len(docs), " ".join("zz" if k in (2, 9, 10, 13) else w for k, w in enumerate(items[3][1].split())), 20))
+    rows = d.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string, n long"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.overlap_tokens) for r in rows} == {(k, n, n) for k, _, n in docs}
+
+
+def test_a_passage_that_many_items_share(spark):
+    """1,000 texts and 400 items with one passage: the stage needs one item for each text; the query gives all pairs."""
+    passage = " ".join(f"hot{k}" for k in range(14))
+    items = spark.createDataFrame([(j, f"{passage} {' '.join(f'i{j}w{k}' for k in range(20))}") for j in range(400)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{' '.join(f'd{i}w{k}' for k in range(30))} {passage}") for i in range(1000)] + [(5000, passage[:40])], "doc_id long, text string")
+    d.drop_contaminated(docs.limit(5), items).count()
+    began = time.time()
+    assert [r.doc_id for r in d.drop_contaminated(docs, items).collect()] == [5000]
+    assert time.time() - began < 20
+    few = d.benchmark_overlaps(docs.where("doc_id % 50 = 0"), items).groupBy("overlap_tokens").count().collect()
+    assert [tuple(r) for r in few] == [(14, 20 * 400)]
+
+
+def test_shortest_item_is_a_parameter(spark):
+    docs, items = spark.createDataFrame([(1, "say Hello twice"), (2, "no")], "doc_id long, text string"), spark.createDataFrame([(1, "hello"), (2, "say hello")], "item_id long, text string")
+    pairs = lambda n: {(r.doc_id, r.item_id) for r in d.benchmark_overlaps(docs, items, min_item=n).collect()}
+    assert pairs(3) == set() and pairs(2) == {(1, 2)} and pairs(1) == {(1, 1), (1, 2)}
+
+
 def test_longest():
     rng = random.Random(1)
     for _ in range(300):
