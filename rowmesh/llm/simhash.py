@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import small, text_bytes, word_chunks, written
+from .common import free_names, small, text_bytes, word_chunks, written
 from .components import connected_components
 
 SHINGLE = 3
@@ -187,24 +188,35 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     return components(keyed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _hashable(docs: DataFrame, column: str) -> Column:
+    """A column as it can be hashed: maps by their entries in order, what holds maps as text."""
+    kind = docs.schema[column].dataType
+    if isinstance(kind, MapType) and not any(x in kind.valueType.simpleString() for x in ("map<", "variant")):
+        return F.array_sort(F.map_entries(column))
+    if any(x in kind.simpleString() for x in ("map<", "variant")):
+        return F.to_json(F.struct(column))
+    return F.col(column)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the least doc_id, and of rows that share it the one whose text hash is least.
 
-    All columns stay. Of rows alike in doc_id and text the one with the least hash of
-    all columns stays, of rows equal in all columns one. A component without any
-    doc_id keeps one row. Null and empty texts have fingerprint 0 and so are one
-    component. An empty table gives an empty one.
+    All columns stay, whatever their names and types. Of rows alike in doc_id and text
+    the one with the least hash of all columns stays, of rows equal in all columns one. A
+    component without any doc_id keeps one row. Null and empty texts have fingerprint 0
+    and so are one component. An empty table gives an empty one.
     """
-    columns, keys = docs.columns, ["_rm_id", "_rm_text", "_rm_all"]
+    columns, keys = docs.columns, free_names(docs.columns, "_id", "_text", "_all")
+    count = free_names([*docs.columns, *keys], "_n")[0]
     keyed = written(fingerprints(docs), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("first")
-    best = components(keyed).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_rm_id"), F.col("first.text_hash").alias("_rm_text"))
-    marked = docs.withColumns({"_rm_id": F.col("doc_id").cast("long"), "_rm_text": F.xxhash64(F.coalesce("text", F.lit(""))), "_rm_all": F.xxhash64(*columns)})
+    best = components(keyed).groupBy("root").agg(first).select(F.col("first.doc_id").alias(keys[0]), F.col("first.text_hash").alias(keys[1]))
+    marked = docs.withColumns(dict(zip(keys, (F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*[_hashable(docs, c) for c in columns])))))
     alike = _within(marked.select(*keys), best, keys[:2])
-    chosen = written(alike.groupBy(*keys[:2]).agg(F.min(keys[2]).alias(keys[2]), F.count(F.lit(1)).alias("n")), "chosen")
+    chosen = written(alike.groupBy(*keys[:2]).agg(F.min(keys[2]).alias(keys[2]), F.count(F.lit(1)).alias(count)), "chosen")
     # Nearly always one row has that id and text; only the others are grouped, and so moved, with their texts.
-    one = _within(marked, chosen.where("n = 1"), keys)
-    several = _within(marked, chosen.where("n > 1"), keys).dropDuplicates(keys)
+    one = _within(marked, chosen.where(F.col(count) == 1), keys)
+    several = _within(marked, chosen.where(F.col(count) > 1), keys).dropDuplicates(keys)
     return one.unionByName(several).select(*columns)
 
 

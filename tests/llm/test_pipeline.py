@@ -104,3 +104,21 @@ def test_what_odd_documents_come_to(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in safe) == sorted((i or 0, (t or "").replace("a@b.com", "[EMAIL]")) for i, t, *_ in rows)
     ids = p.tokens(spark, docs, SF).collect()
     assert sorted(len(r.ids) for r in ids)[:2] == [0, 0] and len(ids) == len(rows)
+
+
+def test_columns_of_any_name_and_type(spark):
+    """Names that stages make up, in other letters too, and maps, arrays and structs come out of every stage as they went in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("text", F.concat(F.lit(GOOD + " "), F.col("text")))
+    docs = docs.unionByName(docs.limit(3))
+    for name in ("_rm_id", "_rm_text", "_rm_all", "_rm_k1", "_id", "_Text", "_all", "_n", "k1", "K2"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    key = F.col("doc_id").cast("string")
+    docs = docs.withColumns({"m": F.create_map(key, F.lit(1), F.lit("z"), F.lit(2)), "a": F.array(F.create_map(key, F.lit(1))), "s": F.struct(F.create_map(F.lit("k"), F.map_from_arrays(F.array(key), F.array(key))).alias("deep"), key.alias("id"))})
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[c] == f"{c}{r.doc_id}" for c in ("_rm_id", "_rm_text", "_rm_all", "_rm_k1", "_id", "_Text", "_all", "_n", "k1", "K2"))
+            assert r.m == {str(r.doc_id): 1, "z": 2} and r.a == [{str(r.doc_id): 1}] and r.s.deep == {"k": {str(r.doc_id): str(r.doc_id)}}
