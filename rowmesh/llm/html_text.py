@@ -12,6 +12,7 @@ import html as references
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,16 +34,22 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption center".split())
 TAG_POINTS = {"article": 25, "main": 15, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "address": -3, "th": -5}
 # Words of class, id and role that name what isn't the article, and what is.
-FOREIGN = frozenset(
-    "ad ads advert advertisement advertisements advertising adverts banner sponsor sponsored promo promotion menu nav navbar navigation navigations breadcrumb breadcrumbs sidebar "
-    "side rail widget widgets footer foot masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related "
-    "recommended recommendations comment comments respond discussion disqus reply replies login signup search toolbar pagination pager contentinfo complementary alert dialog "
-    "skip hidden header".split()
+#: Foreign where such a word begins or ends a name (main-navigation, sidebar-left).
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion menu nav navbar navigation navigations breadcrumb breadcrumbs sidebar footer masthead "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription login signup toolbar pagination pager contentinfo complementary".split()
+)
+#: Foreign only where a name has no other words (alert-box, but not elementor-widget or side-by-side).
+WEAK = frozenset("banner side rail widget widgets foot notice notices share sharing social search skip hidden header alert dialog".split())
+#: Words that say where or how an element is, not what.
+NEUTRAL = frozenset(
+    "container wrapper wrap box block area section inner outer bar list item items link links button buttons icon icons left right top bottom row col column columns group slot unit form panel "
+    "region module active open closed mobile desktop sticky fixed title label site js sm md lg xl".split()
 )
-ALWAYS_FOREIGN = FOREIGN - {"ad", "ads", "side", "foot", "header", "banner", "social", "notice", "hidden", "search", "alert"}
 OWN = frozenset("article articles post entry content contents body text main story page blog hentry".split())
-#: Foreign even where the name also says content: what readers wrote, and other articles.
-OTHERS = frozenset("comment comments respond discussion disqus reply replies related recommended recommendations".split())
+#: Foreign wherever the word stands: what readers wrote, and other articles.
+OTHERS = frozenset("respond discussion disqus reply replies related recommended recommendations".split())
+_COMMENTS = re.compile(r"(?!no)[a-z]*comments?(?:list|area|box|form|block|section|wrapper|thread|feed)?")
 #: A class that begins with one of these says what a page has or lacks, not what the element is.
 STATES = frozenset("has have no with without not show hide supports enable enabled disable disabled".split())
 #: What a start of each of these ends, and where the search for it stops.
@@ -59,41 +66,63 @@ _INTERESTING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+#: What puts an element in doubt, from what is undone first to last.
+BY_WEAK, BY_STRONG, BY_OTHERS, BY_FRAME = 1, 2, 3, 4
+
+
+@lru_cache(maxsize=1 << 16)
+def _named(name: str) -> tuple[frozenset[str], int]:
+    """The words of one class, id or role, and the doubt that the name as a whole raises."""
+    words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+    if not words or len(words) > 1 and words[0] in STATES:
+        return frozenset(), 0
+    if any(w in OTHERS or _COMMENTS.fullmatch(w) for w in words):
+        return frozenset(words), BY_OTHERS
+    core = [w for w in words if w not in NEUTRAL]
+    if core and (core[0] in STRONG or core[-1] in STRONG):
+        return frozenset(words), BY_STRONG
+    return frozenset(words), BY_WEAK if core and all(w in WEAK for w in core) else 0
+
+
 class Element:
-    """An element; `gone` if it is dropped, `doubt` if it is dropped unless it turns out to hold the article."""
+    """An element; `gone` if it is dropped, `doubt` (why) if it is dropped unless it turns out to hold the article."""
 
-    __slots__ = ("tag", "parent", "names", "gone", "doubt", "depth", "within", "kids", "link", "number", "last", "points", "chars", "linked", "weight", "cores")
+    __slots__ = ("tag", "parent", "names", "gone", "doubt", "depth", "within", "kids", "link", "number", "last", "points", "chars", "linked", "own", "weight", "cores", "cut")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.kids = tag, parent, []
         self.names: frozenset[str] = frozenset()
         self.depth = parent.depth + 1 if parent is not None else 0
-        self.gone, self.doubt = tag in DROPPED, tag in FRAME
+        self.gone, self.doubt = tag in DROPPED, BY_FRAME if tag in FRAME else 0
         self.link = tag == "a" or parent is not None and parent.link
         #: Whether an article or main element lies around this one.
         self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
-        self.points, self.chars, self.linked, self.weight, self.cores = 0.0, 0, 0, 0, 0
+        self.points, self.chars, self.linked, self.own, self.weight, self.cores, self.cut = 0.0, 0, 0, 0, 0, 0, False
         if attributes and _INTERESTING.search(attributes):
             self._read(attributes)
         if tag == "header" and not self.within:
-            self.doubt = True
+            self.doubt = BY_FRAME
 
     def _read(self, attributes: str) -> None:
-        words: list[str] = []
+        doubts = [self.doubt]
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
                 for whole in value.split():
-                    found = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", whole).lower())
-                    if found and (len(found) == 1 or found[0] not in STATES):
-                        words += found
+                    words, doubt = _named(whole)
+                    self.names |= words
+                    doubts.append(doubt)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
-                self.doubt = True
-        self.names = frozenset(words)
-        if self.tag not in ("html", "body", "article", "main") and (self.names & ALWAYS_FOREIGN or self.names & FOREIGN and not self.names & OWN):
-            self.doubt = True
-        if self.tag in ("article", "section") and self.names & {"comment", "comments", "reply", "replies", "respond"}:
-            self.doubt = True
+                doubts.append(BY_STRONG)
+        worst = max(doubts)
+        if self.tag not in ("html", "body", "article", "main") or worst == BY_OTHERS and self.tag == "article":
+            # A weak or strong word says little beside one that names content.
+            self.doubt = 0 if worst == BY_WEAK and self.names & OWN else worst
+
+    @property
+    def readers(self) -> bool:
+        """Whether the name is that of what readers wrote or of other articles."""
+        return self.doubt == BY_OTHERS or any(w in OTHERS or _COMMENTS.fullmatch(w) for w in self.names)
 
 
 def parse(page: str) -> Element:
@@ -188,8 +217,11 @@ def settle(root: Element) -> None:
     The weight of an element is its text outside links and dropped elements. A
     doubtful one stays if it holds half of the page's weight and, unless it is a form or
     its own name says content, also every article and main element of the page (or,
-    on a page without these, its first-level headings). If nothing is left so, those
-    with half of the weight stay, but no menus, footers and the like.
+    on a page without these, its first-level headings). Then names are doubted where
+    they leave too little: elements with weak names stay if without them less than half
+    would be left, those with strong names if less than a tenth would, and of these
+    only such as hold, with their doubtful siblings, half of the text. If nothing is left
+    so, those with half of the weight stay, but no menus, footers and the like.
     """
     order = [root]
     for node in order:
@@ -197,8 +229,10 @@ def settle(root: Element) -> None:
     marks = ("article", "main")
     if not any(x.tag in marks and not x.doubt for x in order):
         marks = ("h1",)
+    for node in order:
+        node.own = 0 if node.link else sum(len(k) - k.count(" ") for k in node.kids if isinstance(k, str) and not k.isspace())
     for node in reversed(order):
-        node.weight += 0 if node.link else sum(len(k) - k.count(" ") for k in node.kids if isinstance(k, str) and not k.isspace())
+        node.weight += node.own
         node.cores += node.tag in marks and not node.doubt
         if node.parent is not None:
             node.parent.weight += node.weight
@@ -206,13 +240,32 @@ def settle(root: Element) -> None:
     unsure = [x for x in order if x.doubt]
     for x in unsure:
         large = 2 * x.weight >= root.weight and x.weight > 0
-        named = x.tag == "form" or x.names & OWN and not x.names & OTHERS and x.tag not in FRAME
+        named = x.tag == "form" or x.names & OWN and not x.readers and x.tag not in FRAME
         x.gone = not (large and (named or 0 < x.cores == root.cores))
-    if root.weight and unsure and not _left(root):
+    if not root.weight or not any(x.gone for x in unsure):
+        return
+    for most, share in ((BY_WEAK, 2), (BY_STRONG, 10)):
+        whole = _weight(order, most)
+        if share * _weight(order, 0) < whole:
+            together: dict[int, int] = {}
+            for x in unsure:
+                if x.gone and x.doubt <= most:
+                    together[id(x.parent)] = together.get(id(x.parent), 0) + x.weight
+            for x in unsure:
+                if x.gone and x.doubt <= most and (most == BY_WEAK or 2 * together[id(x.parent)] >= whole):
+                    x.gone = False
+    if not _left(root):
         for x in unsure:
             x.gone = x.gone and (2 * x.weight < root.weight or x.tag in FRAME and x.tag != "form")
 
 
+def _weight(order: list[Element], undone: int) -> int:
+    """The text that is left if doubts up to `undone` don't count; parents come before their kids."""
+    for x in order:
+        x.cut = x.gone and x.doubt > undone or x.parent is not None and x.parent.cut
+    return sum(x.own for x in order if not x.cut)
+
+
 def _left(root: Element) -> bool:
     """Whether any text is left outside what goes."""
     nodes = [root]
@@ -302,7 +355,7 @@ def main_text(page: str | None) -> str:
         return node.points * (1 - min(1.0, node.linked / node.chars)) if node.chars else 0.0
 
     best = max((x for x in order if x.chars and x.tag in BLOCK), key=lambda x: (score(x), -x.number))
-    up = best
+    best = up = _spread(best)
     while up is not None:
         if up.tag == "article" or up.tag == "main" and best.tag not in ("article", "main"):
             best = up
@@ -316,6 +369,19 @@ def main_text(page: str | None) -> str:
     return "\n".join(text for node, text in found if (k := bisect_right(begins, node.number)) and node.number < chosen[k - 1].last)
 
 
+def _spread(best: Element) -> Element:
+    """The element over which the article is spread: one with several kids of one kind (tag and names), few links in them, of which the one that holds `best` has the lesser part of the text."""
+    node, found = best, best
+    while node.parent is not None and node.parent.tag not in ("body", "html"):
+        up = node.parent
+        alike = [k.chars - k.linked for k in up.kids if isinstance(k, Element) and not k.gone and k.chars and k.tag == node.tag and k.names == node.names and 4 * k.linked < k.chars]
+        text = sum(alike)
+        if len(alike) > 1 and 5 * (node.chars - node.linked) <= 3 * text and 2 * text >= up.chars - up.linked:
+            found = up
+        node = up
+    return found
+
+
 def _siblings(best: Element, score) -> list[Element]:
     """Siblings that belong to the article. Beside an article element these are only other articles; else what scores or reads like paragraphs, and headings right before."""
     least = max(10.0, 0.2 * score(best))

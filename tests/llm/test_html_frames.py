@@ -6,6 +6,7 @@ import time
 import pytest
 
 from rowmesh.llm.html_text import main_text
+from tests.llm.slow_html import slow_text
 
 WORDS = "river stone market harvest letter window winter bridge garden captain silver morning road village engine paper".split()
 
@@ -49,6 +50,39 @@ FRAMES = {
     "hidden notice": "<body><div style='display:none'>{n}</div><div>{a}</div></body>",
 }
 
+#: Names that say little: each around every paragraph ({p}) of an article, or around all of it ({a}).
+NAMES = {
+    "site builder": "<body>{menu}<div class='elementor-widget-wrap'>{each}</div><footer>{n}</footer></body>|<div class='elementor-element elementor-widget'><div class='elementor-widget-container'>{p}</div></div>",
+    "alert boxes": "<body>{menu}{each}<footer>{n}</footer></body>|<section class=alert-box>{p}</section>",
+    "paragraphs of speech": "<body><main>{each}</main><aside>{n}</aside></body>|<p class=dialog>{x}</p>",
+    "drop caps": "<body><main>{each}</main></body>|<p class=skip-dropcap>{x}</p>",
+    "boxes side by side": "<body><main>{each}</main></body>|<div class=side-by-side>{p}</div>",
+    "issues": "<body><main>{each}</main></body>|<div class=social-issues>{p}</div>",
+    "overflow": "<body><article>{each}</article></body>|<div class=overflow-hidden>{p}</div>",
+    "left side": "<body>{menu}<h1>{t}</h1><div class=left-side>{ps}</div><footer>{n}</footer></body>|",
+    "share text": "<body><h1>{t}</h1>{each1}</body>|<p class='paragraph share-text'>{x}</p>",
+    "boxes in a column": "<body><div class=col>{each}</div><div class=sidebar>{n}</div></body>|<div class='notice box'>{p}</div>",
+    "comment list": "<body><div id=wrap>{a}</div><ol class=commentlist><li>{n}</li><li>{n}</li></ol></body>|",
+    "user comments": "<body><article>{a}<div class=usercomments>{n}</div></article></body>|",
+    "commentary": "<body><div class=commentary>{a}</div><div class=readerComments>{n}{n}{n}{n}{n}{n}</div></body>|",
+    "names of a theme": "<body><div class=site-header><p>{s}</p></div><div class=main-navigation><p>{s}</p></div><div class=site-main>{a}</div><div class=widget-area>{n}</div><div class=site-footer>{n}</div></body>|",
+    "short article, long sidebar": "<body><div class=col><h1>{t}</h1><p>{x1}</p></div><div class=sidebar>{n}{n}</div></body>|short",
+}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_that_say_little(name):
+    for seed in range(5):
+        rng = random.Random(seed)
+        parts, a = article(rng, 4)
+        outer, _, each = NAMES[name].partition("|")
+        wrap = lambda x: each.format(p=f"<p>{x}</p>", x=x)
+        heading = each.format(p=f"<h1>{parts[0]}</h1>", x=parts[0])
+        ps = "".join(f"<p>{x}</p>" for x in parts[1:])
+        one = each == "short"
+        page = outer.format(a=a, t=parts[0], ps=ps, x1=parts[1], menu=MENU, n=noise(rng), s=sentence(rng, 6), each="" if one else heading + "".join(map(wrap, parts[1:])), each1="" if one else "".join(map(wrap, parts[1:])))
+        assert main_text(f"<!DOCTYPE html><html>{page}</html>").split("\n") == (parts[:2] if one else parts)
+
 
 @pytest.mark.parametrize("name", FRAMES)
 def test_article_in_a_frame(name):
@@ -68,3 +102,19 @@ def test_nested_tags_take_linear_time():
 
 def test_only_frames_give_nothing():
     assert main_text("<nav>x</nav><footer>y</footer>") == "" == main_text("<form><input><button>Go</button></form>")
+
+
+def test_against_a_slow_version():
+    """Random nests of plain boxes, lists and quotes around paragraphs and links: the same text from points by their definition."""
+    rng = random.Random(8)
+
+    def box(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{sentence(rng, rng.randrange(1, 25))}</p>" if rng.random() < 0.7 else f"<p><a href=/x>{sentence(rng, 9)}</a></p>"
+        tag = rng.choice(["div", "section", "div class=content", "ul"])
+        inner = "".join(box(depth - 1) for _ in range(rng.randrange(1, 4)))
+        return f"<{tag}>{f'<li>{inner}</li>' if tag == 'ul' else inner}</{tag.split()[0]}>"
+
+    for _ in range(300):
+        page = f"<html><body><nav><p>{sentence(rng)}</p></nav><article><p>{sentence(rng)}</p>{box(3)}{box(3)}</article><div class=sidebar>{box(1)}</div></body></html>"
+        assert main_text(page) == slow_text(page), page

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__
 from rowmesh.llm import subwords
+from tests.llm.slow_html import slow_text
 from tests.llm import test_decontaminate, test_html_text, test_lm, test_pii, test_quality, test_simhash
 
 SF = "/root/testdata/sf0.001"
@@ -78,6 +79,7 @@ def test_op6(rows):
     got = {r.page_id: r for r in rows("op6_html")}
     pages = duckdb.sql(f"select page_id, url, html from '{SF}/pages.parquet'").fetchall()
     assert {i: (r.url, r.text, r.n_chars) for i, r in got.items()} == {i: (u, test_html_text.main_text(h), len(test_html_text.main_text(h))) for i, u, h in pages}
+    assert {i: r.text for i, r in got.items()} == {i: slow_text(h) for i, _, h in pages}
 
 
 def test_op7(rows, docs):
