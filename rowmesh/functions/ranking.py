@@ -33,7 +33,7 @@ def ranges_for(df: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, math.ceil(input_bytes(df) / RANGE_BYTES)))
 
 
-def _same(column: pa.Array) -> np.ndarray:
+def same_as_before(column: pa.Array) -> np.ndarray:
     """Whether each value but the first equals the one before it; null equals null, NaN equals NaN."""
     odd = column.is_null().to_numpy(zero_copy_only=False).astype(np.int8)
     if pa.types.is_floating(column.type):
@@ -54,8 +54,8 @@ def _numbered(group: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             starts = np.zeros(n, bool)
             for k in group:
                 column = batch.column(k)
-                starts[1:] |= ~_same(column)
-                starts[0] |= last is not None and not _same(pa.concat_arrays([last.column(k), column[:1]]))[0]
+                starts[1:] |= ~same_as_before(column)
+                starts[0] |= last is not None and not same_as_before(pa.concat_arrays([last.column(k), column[:1]]))[0]
             places = np.arange(at, at + n)
             # Where each row's group begins: at its last start, or where the group before this batch did.
             begins = np.maximum.accumulate(np.where(starts, places, begun))

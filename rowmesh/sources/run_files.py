@@ -1,21 +1,44 @@
-"""Result files of benchmark runs: a reader for the four text layouts, a writer of the chunk layout, and partitioned tables."""
+"""Result files of benchmark runs: a reader for the four text layouts, writers of them, and partitioned tables.
+
+Files are read line by line, in as many splits as they have. A line's section is named
+by the last title before it: titles are filled in within each split, where lines lie in
+order, and a carry table of one row per split says which section goes on at its start
+and how many samples that has had. So a result file may be larger than a task, and no
+text is gathered into one row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The titles by which a section of a result file is known.
-SEQUENTIAL, PARALLEL, CHUNK, TIMES, CHUNK_LINE = "SEQUENTIAL", "PARALLEL", "CHUNK SIZE: ", "Times (ms):", "Chunk "
+from rowmesh.functions.ranking import same_as_before
+from rowmesh.functions.storage import written
+
+# The titles by which a section of a result file is known, and the lines that name what a file is about.
+SEQUENTIAL, PARALLEL, CHUNK, TIMES, CHUNK_LINE, SUMMARY = "SEQUENTIAL", "PARALLEL", "CHUNK SIZE: ", "Times (ms):", "Chunk ", "SUMMARY:"
+VERSION, BASELINE_TITLE = " VERSION:", "SEQUENTIAL (baseline - no parallelization):"
+TITLE = rf"^(?:{SEQUENTIAL}|{PARALLEL}{VERSION[:-1]}|{CHUNK}|{CHUNK_LINE}|{SUMMARY}|BEST|Best chunk|Times)"
+MATRIX, SCHEDULE_TYPE, SCHEDULE, N_THREADS, THREADS = "Matrix: ", "Schedule Type: ", "Schedule: ", "Number of threads: ", "Threads: "
+MATRIX_LINE, SCHEDULE_LINE, THREADS_LINE = r"^Matrix: (\S+)", r"^Schedule(?: Type)?: (\w+)", r"^(?:Number of threads|Threads): (\d+)"
+SUMMARY_LINE = f"{CHUNK_LINE}%d: Avg %.6f ms | 90th %.6f ms | Speedup %.2fx"
+SAMPLE_FORMAT = "%.6f"
 #: A line that is a sample, and one that looks like a number but is none.
 SAMPLE = r"[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]{1,3})?"
 NUMERIC = r"[-+]?(?:[0-9][0-9.eE+-]*|\.[0-9.eE+-]+|[iI]nf(?:inity)?|INF|[nN]a[nN]|NAN)"
 #: Samples of a section that one file of write_chunk_files() holds.
 FILE_RUNS = 1000
+#: Files, or splits that begin within a section, that every task holds a row for, at most; more are joined.
+BROADCAST_ROWS = 100_000
 
 
-def _part(path: Column, pattern: str) -> Column:
-    found = F.regexp_extract(path, pattern, 1)
+def _part(text: Column, pattern: str) -> Column:
+    found = F.regexp_extract(text, pattern, 1)
     return F.when(found != "", found)
 
 
@@ -27,57 +50,95 @@ def runs_scan(spark: SparkSession, path: str) -> DataFrame:
     and threads come from the path, threads from the text where the path has none;
     part numbers the pieces of a split result. No files give no rows.
     """
-    return _sections(spark, path).select("env", "matrix", "variant", "schedule", "threads", "chunk", "section", F.posexplode(_lines(SAMPLE)), "part").select(
-        "env", "matrix", "variant", "schedule", "threads", "chunk", "section", (F.col("pos") + 1 + F.col("part") * FILE_RUNS).alias("run"), F.col("col").cast("double").alias("ms"), "part"
-    )
-
-
-def _lines(pattern: str) -> Column:
-    """The lines of a section that are such a number."""
-    return F.regexp_extract_all("body", F.lit(rf"(?m)^[ \t\r]*({pattern})[ \t\r]*$"), 1)
+    run = F.col("before") + 1 + F.col("part") * FILE_RUNS
+    return _lines(spark, path).where("sample").select("env", "matrix", "variant", "schedule", "threads", "chunk", "section", run.alias("run"), F.col("number").cast("double").alias("ms"), "part")
 
 
 def runs_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(env, matrix, schedule, threads, chunk, section, line): lines of the sections that look like a number but are no sample: negative, infinite, not a number."""
-    found = _sections(spark, path).where("section <> 'summary'").select("env", "matrix", "schedule", "threads", "chunk", "section", F.explode(_lines(NUMERIC)).alias("line"))
-    return found.where(~F.rlike("line", F.lit(f"^{SAMPLE}$")))
-
-
-def _sections(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    files = files.select(
-        "file",
-        F.when(F.contains("file", F.lit("/LOCAL/")), "LOCAL").when(F.contains("file", F.lit("/CLUSTER/")), "CLUSTER").alias("env"),
-        _part(F.col("text"), r"(?m)^Matrix: (\S+)").alias("matrix"),
-        F.lower(F.coalesce(_part(F.col("text"), r"(?m)^Schedule(?: Type)?: (\w+)"), F.lit("none"))).alias("schedule"),
-        F.coalesce(_part(F.col("file"), r"/(\d+)_threads/"), _part(F.col("file"), r"threads=(\d+)"), _part(F.col("text"), r"(?m)^(?:Number of threads|Threads): (\d+)")).cast("int").alias("threads"),
-        F.coalesce(_part(F.col("file"), r"/part=(\d+)/").cast("int"), F.lit(0)).alias("part"),
-        F.when(F.contains("file", F.lit("PARALLEL")), "parallel").otherwise("sequential").alias("alone"),
-        "text",
-    )
-    # A section runs from its title to the next.
-    starts = F.split("text", rf"(?m)^(?=SEQUENTIAL|PARALLEL VERSION|{CHUNK}|{CHUNK_LINE}|SUMMARY:|BEST|Best chunk|Times)")
-    cut = files.select("*", F.explode(starts).alias("body")).drop("text")
-    head = F.substring_index("body", "\n", 1)
+    found = _lines(spark, path).where("not sample and number is not null and section <> 'summary'")
+    return found.select("env", "matrix", "schedule", "threads", "chunk", "section", F.col("number").alias("line"))
+
+
+def summaries_scan(spark: SparkSession, path: str) -> DataFrame:
+    """(env, matrix, schedule, threads, chunk, mean, p90, speedup) from files that hold only a line for each chunk."""
+    number = lambda word: _part(F.col("title"), rf"{word} ([0-9.]+)").cast("double")
+    found = _lines(spark, path).where("section = 'summary' and number is null")
+    return found.select("env", "matrix", "schedule", "threads", "chunk", number("Avg").alias("mean"), number("90th").alias("p90"), number("Speedup").alias("speedup"))
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, at, title, number, sample) in order within each split: with the last title of the split so far in place of the line's own, the samples since then, and the line's place."""
+    last, title, count, place = None, pa.scalar(None, pa.string()), 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        file, at, titles, number, sample = batch.columns
+        fresh = np.ones(n, bool)
+        fresh[1:] = ~(same_as_before(file) & same_as_before(at))
+        if last is not None:
+            fresh[0] = not all(same_as_before(pa.concat_arrays([last.column(k), batch.column(k)[:1]]))[0] for k in (0, 1))
+        begins = fresh | titles.is_valid().to_numpy(zero_copy_only=False)
+        begin = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+        counts = np.r_[0, np.cumsum(sample.to_numpy(zero_copy_only=False).astype(np.int64))]
+        # Rows before the batch's first title go on with what was before.
+        before = counts[:-1] - np.where(begin < 0, -count, counts[np.maximum(begin, 0)])
+        held = pc.if_else(pa.array(begin < 0), title, titles.take(pa.array(np.maximum(begin, 0))))
+        yield pa.RecordBatch.from_arrays([file, at, held, number, sample, pa.array(before), pa.array(np.arange(place, place + n))], ["file", "at", "title", "number", "sample", "before", "place"])
+        last, title, count, place = batch.slice(n - 1), held[n - 1], int(before[-1]) + int(counts[-1] - counts[-2]), place + n
+
+
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Titles, samples and other numbers of all files, each with its section and what its file says."""
+    read = spark.read.option("recursiveFileLookup", True).text(path)
+    text = F.regexp_replace("value", r"[ \t\r]+$", "")
+    number = _part(text, rf"^[ \t\r]*({NUMERIC})$")
+    kinds = {"matrix": MATRIX_LINE, "schedule": SCHEDULE_LINE, "threads": THREADS_LINE}
+    lines = read.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.when(F.rlike("value", F.lit(TITLE)), text).alias("title"), number.alias("number"),
+        F.coalesce(F.rlike(number, F.lit(f"^{SAMPLE}$")), F.lit(False)).alias("sample"), *[_part(F.col("value"), p).alias(k) for k, p in kinds.items()],
+    )
+    # What a file is about: the first such lines, wherever they are.
+    place = F.struct("at", "id")
+    about = lines.where(" or ".join(f"{k} is not null" for k in kinds)).withColumn("id", F.monotonically_increasing_id()).groupBy("file")
+    about = written(about.agg(*[F.min_by(F.col(k), F.when(F.col(k).isNotNull(), place)).alias(k) for k in kinds]), "files")
+    marks = lines.where("title is not null or number is not null").select("file", "at", "title", "number", "sample")
+    marks = written(marks.mapInArrow(_filled, "file string, at long, title string, number string, sample boolean, before long, place long"), "lines")
+    carries = _few(written(_carries(marks), "carries"))
+    going = marks.join(carries, ["file", "at"], "left").withColumn("before", F.col("before") + F.when(F.col("title").isNull(), F.coalesce("had", F.lit(0))).otherwise(F.lit(0)))
+    going = going.withColumn("title", F.coalesce("title", "goes_on")).drop("goes_on", "had", "place", "at")
+    head = F.col("title")
+    alone = F.when(F.contains("file", F.lit("PARALLEL")), "parallel").otherwise("sequential")
     kind = (
         F.when(F.startswith(head, F.lit(CHUNK)), "chunk")
-        .when(F.startswith(head, F.lit("PARALLEL")), "parallel")
+        .when(F.startswith(head, F.lit(PARALLEL)), "parallel")
         .when(F.startswith(head, F.lit(SEQUENTIAL)), "sequential")
-        .when(F.startswith(head, F.lit(TIMES)), F.col("alone"))
+        .when(F.startswith(head, F.lit(TIMES)), alone)
         .when(F.startswith(head, F.lit(CHUNK_LINE)), "summary")
     )
-    return cut.withColumn("section", kind).where("section is not null").withColumns(
-        {
-            "chunk": _part(head, r"^(?:CHUNK SIZE: |Chunk )(\d+)").cast("int"),
-            "variant": F.when(F.col("section").isin("chunk", "summary"), F.concat_ws("-", "schedule", F.coalesce(_part(head, r"(\d+)"), F.lit("0")))).otherwise(F.col("section")),
-        }
-    )
+    named = going.withColumn("section", kind).where("section is not null").join(_few(about), "file", "left")
+    return named.select(
+        F.when(F.contains("file", F.lit("/LOCAL/")), "LOCAL").when(F.contains("file", F.lit("/CLUSTER/")), "CLUSTER").alias("env"), "matrix",
+        F.lower(F.coalesce("schedule", F.lit("none"))).alias("schedule"),
+        F.coalesce(_part(F.col("file"), r"/(\d+)_threads/"), _part(F.col("file"), r"threads=(\d+)"), F.col("threads")).cast("int").alias("threads"),
+        F.coalesce(_part(F.col("file"), r"/part=(\d+)/").cast("int"), F.lit(0)).alias("part"),
+        "section", "title", "number", "sample", "before", _part(head, r"^(?:CHUNK SIZE: |Chunk )(\d+)").cast("int").alias("chunk"),
+    ).withColumn("variant", F.when(F.col("section").isin("chunk", "summary"), F.concat_ws("-", "schedule", F.coalesce(F.col("chunk").cast("string"), F.lit("0")))).otherwise(F.col("section")))
 
 
-def summaries_scan(spark: SparkSession, path: str) -> DataFrame:
-    """(env, matrix, schedule, threads, chunk, mean, p90, speedup) from files that hold only a line for each chunk."""
-    number = lambda word: _part(F.col("body"), rf"{word} ([0-9.]+)").cast("double")
-    return _sections(spark, path).where("section = 'summary'").select("env", "matrix", "schedule", "threads", "chunk", number("Avg").alias("mean"), number("90th").alias("p90"), number("Speedup").alias("speedup"))
+def _carries(marks: DataFrame) -> DataFrame:
+    """(file, at, goes_on, had): for each split after a title of its file, the last such title and the samples since then."""
+    ends = marks.groupBy("file", "at").agg(F.max_by("title", "place").alias("own"), F.max_by(F.col("before") + F.col("sample").cast("long"), "place").alias("n"))
+    in_order = Window.partitionBy("file").orderBy("at")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"goes_on": F.last("own", ignorenulls=True).over(earlier), "stretch": F.count("own").over(in_order)})
+    ends = ends.withColumn("out", F.sum("n").over(Window.partitionBy("file", "stretch").orderBy("at")))
+    return ends.withColumn("had", F.lag("out").over(in_order)).where("goes_on is not null").select("file", "at", "goes_on", "had")
 
 
 def runs_write(runs: DataFrame, path: str, form: str = "parquet") -> None:
@@ -90,23 +151,23 @@ def write_chunk_files(runs: DataFrame, path: str) -> None:
     keys = ["threads", "matrix", "schedule", "part"]
     pieces = runs.withColumn("part", F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"))
     sections = pieces.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("run", "ms"))).alias("samples"))
-    lines = F.array_join(F.transform("samples", lambda s: F.format_string("%.6f", s["ms"])), "\n")
-    title = F.when(F.col("chunk").isNull(), "SEQUENTIAL (baseline - no parallelization):").otherwise(F.concat(F.lit(CHUNK), F.col("chunk").cast("string")))
+    lines = F.array_join(F.transform("samples", lambda s: F.format_string(SAMPLE_FORMAT, s["ms"])), "\n")
+    title = F.when(F.col("chunk").isNull(), BASELINE_TITLE).otherwise(F.concat(F.lit(CHUNK), F.col("chunk").cast("string")))
     texts = sections.select(*keys, F.coalesce("chunk", F.lit(-1)).alias("chunk"), F.concat_ws("\n", title, lines, F.lit("")).alias("body"))
     whole = texts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "body"))), lambda s: s["body"]), "\n").alias("bodies"))
-    head = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit("\nSchedule Type: "), F.upper("schedule"), F.lit("\nNumber of threads: "), F.col("threads").cast("string"), F.lit("\n"))
+    head = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{SCHEDULE_TYPE}"), F.upper("schedule"), F.lit(f"\n{N_THREADS}"), F.col("threads").cast("string"), F.lit("\n"))
     whole.select(*keys, F.concat_ws("\n", head, "bodies").alias("value")).write.partitionBy("threads", "matrix", "schedule", "part").text(path)
 
 
 def _samples_text() -> Column:
-    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "ms"))), lambda s: F.format_string("%.6f", s["ms"])), "\n")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "ms"))), lambda s: F.format_string(SAMPLE_FORMAT, s["ms"])), "\n")
 
 
 def write_plain_files(runs: DataFrame, path: str) -> None:
     """runs(matrix, section, run, ms) in the plain layout: files of one section, 'sequential' or 'parallel'; one holds at most FILE_RUNS runs."""
     pieces = runs.withColumns({"part": F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"), "kind": F.upper("section")})
     texts = pieces.groupBy("kind", "matrix", "part").agg(_samples_text().alias("samples"))
-    value = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit(f"\n{TIMES}\n"), F.col("samples"), F.lit("\n"))
+    value = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{TIMES}\n"), F.col("samples"), F.lit("\n"))
     texts.select("kind", "matrix", "part", value.alias("value")).write.partitionBy("kind", "matrix", "part").text(path)
 
 
@@ -114,16 +175,16 @@ def write_paired_files(runs: DataFrame, path: str) -> None:
     """runs(matrix, threads, section, run, ms) in the layout of sequential and parallel runs in one file; one holds at most FILE_RUNS runs of each."""
     pieces = runs.withColumn("part", F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"))
     sections = pieces.groupBy("threads", "matrix", "part", "section").agg(_samples_text().alias("samples"))
-    title = F.when(F.col("section") == "sequential", f"{SEQUENTIAL} VERSION:").otherwise(f"{PARALLEL} VERSION:")
+    title = F.when(F.col("section") == "sequential", f"{SEQUENTIAL}{VERSION}").otherwise(f"{PARALLEL}{VERSION}")
     bodies = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((F.col("section") != "sequential").alias("second"), F.concat_ws("\n", title, "samples").alias("body")))), lambda s: s["body"]), "\n\n")
     files = sections.groupBy("threads", "matrix", "part").agg(bodies.alias("bodies"))
-    value = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit("\n\n"), F.col("bodies"), F.lit("\n\nSUMMARY:\n"))
+    value = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit("\n\n"), F.col("bodies"), F.lit(f"\n\n{SUMMARY}\n"))
     files.select("threads", "matrix", "part", value.alias("value")).write.partitionBy("threads", "matrix", "part").text(path)
 
 
 def write_summary_files(lines: DataFrame, path: str) -> None:
     """lines(matrix, schedule, threads, chunk, mean, p90, speedup) in the layout without samples; the chunks of a matrix are few."""
-    line = F.format_string(f"{CHUNK_LINE}%d: Avg %.6f ms | 90th %.6f ms | Speedup %.2fx", "chunk", "mean", "p90", "speedup")
+    line = F.format_string(SUMMARY_LINE, "chunk", "mean", "p90", "speedup")
     files = lines.groupBy("threads", "matrix", "schedule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", line.alias("line")))), lambda s: s["line"]), "\n").alias("lines"))
-    value = F.concat(F.lit("Matrix: "), F.col("matrix").cast("string"), F.lit("\nSchedule: "), F.col("schedule"), F.lit("\nThreads: "), F.col("threads").cast("string"), F.lit("\n\n"), F.col("lines"), F.lit("\n"))
+    value = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{SCHEDULE}"), F.col("schedule"), F.lit(f"\n{THREADS}"), F.col("threads").cast("string"), F.lit("\n\n"), F.col("lines"), F.lit("\n"))
     files.select("threads", "matrix", "schedule", value.alias("value")).write.partitionBy("threads", "matrix", "schedule").text(path)

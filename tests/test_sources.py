@@ -244,3 +244,26 @@ def test_what_was_written_can_be_cleared(spark):
     assert os.path.exists(path) and spark.sparkContext.applicationId in path
     storage.clear(spark)
     assert not os.path.exists(path) and storage.written(spark.range(3), "more").count() == 3
+
+
+@pytest.mark.parametrize("before, after", [("512", "1m"), ("1m", "512"), ("700", "700")])
+def test_result_files_larger_than_a_task(spark, tmp_path, before, after):
+    """Sections that begin in one split and go on over many: the same rows however the files are cut, also between building and reading."""
+    rows, size = [], "spark.sql.files.maxPartitionBytes"
+    for m in ("m1", "m2"):
+        text = f"Matrix: {m}\nSchedule Type: STATIC - CHUNK SIZE ANALYSIS\nNumber of threads: 4\n\n"
+        for chunk, n in ((None, 3), (1, 700), (5, 1), (10, 0), (20, 1500)):
+            text += ("SEQUENTIAL (baseline - no parallelization):" if chunk is None else f"\nCHUNK SIZE: {chunk}") + "\n"
+            text += "".join(f"{k}.25\n" + ("-7\n" if k % 500 == 9 else "") for k in range(n)) + "Average: 1 ms | 90th percentile: 2 ms\n"
+            rows += [(m, "sequential" if chunk is None else f"static-{chunk}", chunk, k + 1, k + 0.25) for k in range(n)]
+        (tmp_path / f"{m}.txt").write_text(text + "\nBEST CHUNK SIZE: 1\n12345\n")
+    old = spark.conf.get(size)
+    try:
+        spark.conf.set(size, before)
+        scan, rejects = run_files.runs_scan(spark, str(tmp_path)), run_files.runs_rejects(spark, str(tmp_path))
+        spark.conf.set(size, after)
+        got = sorted((r.matrix, r.variant, r.chunk or 0, r.run, r.ms) for r in scan.collect())
+        assert got == sorted((m, v, c or 0, k, x) for m, v, c, k, x in rows)
+        assert sorted((r.matrix, r.chunk, r.line) for r in rejects.collect()) == sorted((m, c, "-7") for m in ("m1", "m2") for c in (1, 1, 20, 20, 20))
+    finally:
+        spark.conf.set(size, old)
