@@ -17,7 +17,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,14 +29,14 @@ from .common import small, text_bytes, written
 FOLDS, HELD_OUT = 7, 2
 #: Words with the greatest counts that every task holds, and the bytes that such a word has at most.
 TOP_WORDS, TOP_BYTES = 1 << 16, 64
-#: Windows that one task trains on, passes over the windows of a round, step size.
-TRAINER_WINDOWS, PASSES, RATE = 1 << 17, 1, 0.01
+#: Windows that one task trains on, at least and at most, and trainers of a round between; passes over the windows of a round, step size.
+TRAINER_WINDOWS, MOST_WINDOWS, TRAINERS, PASSES, RATE = 1 << 17, 1 << 20, 16, 1, 0.01
 #: Parts of the training documents, by a hash of their id, that each round takes: the first rounds only find the way, the last gets half.
 SHARES = (1, 1, 2, 4)
 #: Windows that a trainer holds and shuffles at a time.
 HELD_WINDOWS = 1 << 16
-#: Trainers averaged in one group.
-FAN_IN = 64
+#: Trainers averaged in one group, and numbers of a slice of their parameters, each of which is averaged by itself.
+FAN_IN, SLICE = 64, 1 << 14
 #: Distinct words that a worker counts before it hands them on, words whose subwords it remembers, and words that are encoded at once.
 COUNTED, REMEMBERED, WORDS_AT_ONCE = 300_000, 400_000, 100_000
 #: Stands for the end of a text among the words; no word holds a line end.
@@ -185,20 +184,47 @@ def _train_share(start: np.ndarray, lex: attention.Lexicon):
             learn()
             seen += n
         if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([attention.flat(trainer.p).astype("<f4").tobytes()], pa.binary())],
-                ["trainer", "weight", "p"],
-            )
+            values = attention.flat(trainer.p).astype("<f4")
+            parts = [values[at : at + SLICE].tobytes() for at in range(0, len(values), SLICE)]
+            one = [TaskContext.get().partitionId()] * len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], ["trainer", "slice", "weight", "p"])
 
     return each
 
 
-def _mean(group: pd.DataFrame) -> pd.DataFrame:
-    """Weighted mean of at most FAN_IN parameter vectors, in the order of their trainers."""
-    group = group.sort_values("trainer")
-    weights = group["weight"].to_numpy()
-    total = sum(w * np.frombuffer(p, "<f4").astype(np.float64) for w, p in zip(weights, group["p"]))
-    return pd.DataFrame({"trainer": [int(group["trainer"].iloc[0]) // FAN_IN], "weight": [weights.sum()], "p": [(total / weights.sum()).astype("<f4").tobytes()]})
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (trainer, slice, weight, p, g) in order of g, slice and trainer: the weighted mean of each slice over the trainers of a group, held as one sum at a time."""
+    key, weight, total = None, 0.0, None
+
+    def mean() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], ["trainer", "slice", "weight", "p"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            here, w = (batch.column(4)[k].as_py(), batch.column(1)[k].as_py()), batch.column(2)[k].as_py()
+            values = np.frombuffer(batch.column(3)[k].as_buffer(), "<f4").astype(np.float64)
+            if here != key:
+                if key is not None:
+                    yield mean()
+                key, weight, total = here, 0.0, np.zeros(len(values))
+            weight += w
+            total += w * values
+    if key is not None:
+        yield mean()
+
+
+def averaged(found: DataFrame, trainers: int) -> np.ndarray | None:
+    """The weighted mean of parameters(trainer, slice, weight, p), numbered below `trainers`, in groups of FAN_IN at a time; None without any.
+
+    Each slice goes its own way, so a task holds two slices, whatever the number of
+    trainers and parameters. The sums run in the order of the trainers.
+    """
+    while trainers > 1:
+        grouped = found.withColumn("g", F.floor(F.col("trainer") / FAN_IN)).repartition("g", "slice").sortWithinPartitions("g", "slice", "trainer")
+        found = grouped.mapInArrow(_means, "trainer long, slice int, weight double, p binary")
+        trainers = math.ceil(trainers / FAN_IN)
+    parts = [r.p for r in found.orderBy("slice").select("p").collect()]
+    return np.frombuffer(b"".join(parts), "<f4") if parts else None
 
 
 def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, folder: str, name: str) -> attention.Params:
@@ -211,14 +237,13 @@ def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, fold
     share = F.pmod(F.xxhash64("doc_id"), F.lit(sum(SHARES)))
     for part in SHARES:
         mine = train.where((share >= done) & (share < done + part))
-        left = max(1, math.ceil(n_windows * part / sum(SHARES) / TRAINER_WINDOWS))
-        windows = training_windows(mine, lex, folder, name).repartition(left, "k").sortWithinPartitions("k", "ids")
-        found = written(windows.mapInArrow(_train_share(params, lex), "trainer long, weight double, p binary"), "trained")
-        while left > 1:
-            found = found.groupBy(F.floor(F.col("trainer") / FAN_IN).alias("g")).applyInPandas(_mean, "trainer long, weight double, p binary")
-            left = math.ceil(left / FAN_IN)
-        if (last := found.first()) is not None:
-            params = np.frombuffer(last["p"], "<f4")
+        expected = n_windows * part / sum(SHARES)
+        # Many windows for each trainer keep the parameters that are averaged few beside them.
+        trainers = max(1, math.ceil(expected / min(MOST_WINDOWS, max(TRAINER_WINDOWS, expected / TRAINERS))))
+        windows = training_windows(mine, lex, folder, name).repartition(trainers, "k").sortWithinPartitions("k", "ids")
+        found = written(windows.mapInArrow(_train_share(params, lex), "trainer long, slice int, weight double, p binary"), "trained")
+        if (mean := averaged(found, trainers)) is not None:
+            params = mean
         done += part
     return attention.unflat(params)
 

@@ -188,3 +188,58 @@ def test_context_bears_within_a_class(spark):
     odd = [(1000, "north stone " * 20), (1001, "north stones " * 20)]
     got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows + odd, "doc_id long, text string")).where("doc_id >= 1000").collect()}
     assert got[1000] > got[1001] + 5
+
+
+def plain_trained(p, lex, ids):
+    """One token at a time: its class by a softmax, then every choice down to the subword, each with the places that its window shows."""
+    seen, total = [lex.end, *ids], 0.0
+    for t, goal in enumerate([*ids, lex.end]):
+        first = max(0, t // a.STRIDE * a.STRIDE - (a.WINDOW - a.STRIDE))
+        e = p["E"][lex.row[seen[first : t + 1]]].astype(np.float64)
+        s = (e[-1] @ p["q"]) @ (e @ p["k"]).T / np.sqrt(a.WIDTH) + p["far"][np.arange(len(e))[::-1]]
+        w = np.exp(s - s.max())
+        c = (w / w.sum()) @ (e @ p["v"])
+        y = c @ p["o"] + e[-1] @ p["r"] + p["b"]
+        total += y[lex.cls[goal]] - y.max() - math.log(np.exp(y - y.max()).sum())
+        h = c @ p["w"] + e[-1] @ p["u"]
+        for k in range(lex.begins[goal], lex.begins[goal + 1]):
+            node, way = int(lex.nodes[k]), int(lex.ways[k])
+            total -= math.log1p(math.exp(-way * (float(h @ p["t"][node]) + float(p["d"][node]) + float(lex.odds[node]))))
+    return total / math.log(10)
+
+
+def test_score_of_a_trained_model():
+    """After training, when every parameter has moved, on sequences with an order to learn."""
+    rng, lex = np.random.default_rng(6), small_lexicon()
+    start = a.initial(lex.class_share, rows=301)
+    ids = (rng.integers(0, 290, (2000, 1)) + np.arange(a.WINDOW + 1) * 3) % 300
+    p = a.train(start, lex, ids, np.ones((2000, a.WINDOW), bool), 2, 0.01)
+    assert all(not np.allclose(p[k], start[k]) for k in p)
+    texts = [rng.integers(0, 300, n) for n in (0, 1, 16, 33, 90)] + [(7 + np.arange(60) * 3) % 300]
+    got = a.Scorer(p, lex).score(texts)
+    assert np.allclose(got, [plain_trained(p, lex, t.tolist()) for t in texts], rtol=1e-4)
+    assert got[-1] > a.Scorer(start, lex).score(texts[-1:])[0] + 20
+
+
+@pytest.mark.parametrize("trainers, fan_in, slice_of", [(1, 64, 16), (7, 3, 16), (9, 3, 5), (64, 64, 1000)])
+def test_average_by_slices(spark, monkeypatch, trainers, fan_in, slice_of):
+    """Slices and groups of any size, and trainers without windows, give the weighted mean."""
+    monkeypatch.setattr(lm, "FAN_IN", fan_in)
+    rng = np.random.default_rng(trainers)
+    values, weights = rng.standard_normal((trainers, 83)).astype("<f4"), rng.integers(1, 9, trainers).astype(float)
+    there = [k for k in range(trainers) if k % 4 != 2 or trainers == 1]
+    rows = [(k, at // slice_of, float(weights[k]), values[k, at : at + slice_of].tobytes()) for k in there for at in range(0, 83, slice_of)]
+    got = lm.averaged(spark.createDataFrame(rows, "trainer long, slice int, weight double, p binary").repartition(3), trainers)
+    assert np.allclose(got, (values[there] * weights[there, None]).sum(axis=0) / weights[there].sum(), rtol=1e-5, atol=1e-6)
+    assert lm.averaged(spark.createDataFrame([], "trainer long, slice int, weight double, p binary"), trainers) is None
+
+
+def test_many_trainers_agree_with_the_data(spark, monkeypatch):
+    """Rounds of several trainers, averaged in two levels, still learn which words go together."""
+    for name, value in (("TRAINER_WINDOWS", 40), ("MOST_WINDOWS", 60), ("FAN_IN", 2)):
+        monkeypatch.setattr(lm, name, value)
+    rng = random.Random(8)
+    rows = [(i, " ".join(" ".join(rng.choice([("north", "stone"), ("south", "stones")])) for _ in range(40))) for i in range(400)]
+    odd = [(1000, "north stone " * 20), (1001, "north stones " * 20)]
+    got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows + odd, "doc_id long, text string")).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001]
