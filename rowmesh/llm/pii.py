@@ -10,6 +10,7 @@ always stays; the rewritten text only adds spans that contain an edit.
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import unicodedata
 from bisect import bisect_right
@@ -47,19 +48,31 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# Numbers of two digits as words, words for repeated digits, and names of the signs.
+TEENS = {w: str(10 + k) for k, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+TENS = {w: str(2 + k) for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
+TIMES = {"double": 2, "triple": 3}
 _DOTS = "dot|punkt|punto|point"
 _ATS = "at|arroba|chez|klammeraffe"
 
-_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?![^\W_])"
+_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+_LONG = rf"(?:(?:{'|'.join(TIMES)})[ -]{_DIGIT}|(?:{'|'.join(TENS)})(?:[ -](?:one|two|three|four|five|six|seven|eight|nine)(?![^\W_]))?|{'|'.join(TEENS)})"
+_WORD = rf"(?:{_LONG}|{_DIGIT})(?![^\W_])"
 _ITEM = rf"(?:{_WORD}|[0-9]++|(?:{_DOTS})(?![^\W_]))"
 _GAP = "[ ,.()-]++"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus ++)?{_WORD}(?:{_GAP}{_ITEM})++|(?<![^\W_])(?:\+|plus ++)?[0-9]++(?:{_GAP}{_ITEM})++", re.IGNORECASE)
 _SPELLED_ITEM = re.compile(rf"{_WORD}|[0-9]+|(?:{_DOTS})(?![^\W_])|plus|\+|[.]", re.IGNORECASE)
-#: Cheap test before _SPELLED: two spelled digits with at most numbers and dots between them.
-_TWO_WORDS = re.compile(rf"(?<![^\W_]){_WORD}(?:{_GAP}(?:[0-9]++|(?:{_DOTS})(?![^\W_])))*+{_GAP}{_WORD}", re.IGNORECASE)
+#: Cheap test before _SPELLED: a word for two digits, or two spelled digits with at most numbers and dots between them.
+_TWO_WORDS = re.compile(rf"(?<![^\W_]){_LONG}(?![^\W_])|(?<![^\W_]){_WORD}(?:{_GAP}(?:[0-9]++|(?:{_DOTS})(?![^\W_])))*+{_GAP}{_WORD}", re.IGNORECASE)
 # A run of blanks is only tried from its begin.
-_DISGUISED_AT = re.compile(rf"(?<! ) *+[\[({{<] *+(?:{_ATS}|@) *+[\])}}>] *+|(?<=[A-Za-z0-9])[_-](?:at|AT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
-_DISGUISED_DOT = re.compile(rf"(?<! ) *+[\[({{<] *+(?:{_DOTS}|\.) *+[\])}}>] *+|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.IGNORECASE)
+_DISGUISED_AT = re.compile(
+    rf"(?<! ) *+(?<![\[({{<])[\[({{<]++ *+(?:{_ATS}|@|ät|at[ -]sign) *+[\])}}>]++ *+|(?<=[A-Za-z0-9]) ?[_*|/~-]++(?:at)[_*|/~-]++ ?(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[(\[][aä][)\]](?=[A-Za-z0-9-]++(?:\.|[ (\[]))", re.IGNORECASE
+)
+_DISGUISED_DOT = re.compile(rf"(?<! ) *+(?<![\[({{<])[\[({{<]++ *+(?:{_DOTS}|\.|period) *+[\])}}>]++ *+|(?<=[A-Za-z0-9]) ?[_*|/~-]++(?:dot)[_*|/~-]++ ?(?=[A-Za-z0-9])", re.IGNORECASE)
+#: Signs in capitals within a word of small letters.
+_CAPITALS = re.compile(r"(?<![A-Za-z0-9._-])[a-z0-9._-]++(?P<at>AT)[a-z0-9-]++(?P<rest>(?:DOT[a-z0-9-]++)++)(?![A-Za-z0-9])")
+#: Characters written as references of HTML or as bytes of a url.
+_REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|commat|period|lowbar|hyphen|plus);|%(?:40|2[BbDdEe]|5[Ff])")
 #: Bare words count only as a whole address: an at, after it a domain with bare or plain dots and a known end, before it a local part, of which one at least is disguised.
 _BARE_AT = re.compile(rf"(?<! ) ++(?:{_ATS}|@) ++|@", re.IGNORECASE)
 _BARE_DOMAIN = re.compile(rf"(?P<host>[A-Za-z0-9-]++)(?P<rest>(?:(?: ++(?:{_DOTS}|\.) ++|\.)[A-Za-z0-9-]++)++)", re.IGNORECASE)
@@ -81,12 +94,16 @@ _BEFORE_PLACE = frozenset(
     "stand stands stood standing stop stops stopped start starts started begin began begins end ends ended be is are was were am been being here there home available hosted visit visited shop "
     "found find posted read seen saw see us me him her them it you not now then only just also all one held based again still aim aimed laugh laughed smile smiled point pointed knock knocked".split()
 )
+#: File names end so, and stand before a place: "index.html at example.com".
+_FILES = frozenset("html htm txt pdf py js php exe zip doc docx jpg jpeg png gif csv json xml com org net".split())
+#: A local part that can't be an ordinary word.
+_DOTTED_NAME = re.compile(r"[A-Za-z]{2,}(?:[._][A-Za-z0-9]{2,})+")
 _NO_NAMES = _BEFORE_PLACE | _PROSE | frozenset(f"{_ATS}|{_DOTS}".split("|"))
 _BARE_DOT = re.compile(rf" ++(?:{_DOTS}|\.) ++", re.IGNORECASE)
 _DOT_WORDS = frozenset(_DOTS.split("|"))
 _SIGNS = frozenset(f"{_ATS}|{_DOTS}".split("|"))
 #: One of these is in every text that the last transducer changes.
-_HINTS = ("[", "(", "{", "<", "_at_", "-at-", "_dot_", "-dot-", " @ ", *(f" {w} " for w in _DOTS.split("|")))
+_HINTS = ("[", "(", "{", "<", "_at_", "-at-", "*at*", "|at|", "/at/", "~at~", "_dot_", "-dot-", "*dot*", "|dot|", "/dot/", "~dot~", " @ ", " at ", *(f" {w} " for w in _DOTS.split("|")))
 
 _PLAIN = re.compile(r"[A-Za-z0-9]")
 
@@ -174,7 +191,28 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
                 lo = first.end() if (first := _LONE_FIRST.match(run)) else 0
                 hi = _without_last(run)
                 edits += [(m.start() + k, m.start() + k + 1, _LETTER_DIGITS[c]) for k, c in enumerate(run[:hi]) if k >= lo and c in _LETTER_DIGITS]
-    return edits + _foreign(text)
+    return _apart(edits + _foreign(text) + _references(text))
+
+
+def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The edits in order, without those that begin within an earlier one."""
+    out: list[tuple[int, int, str]] = []
+    for edit in sorted(edits):
+        if not out or edit[0] >= out[-1][1]:
+            out.append(edit)
+    return out
+
+
+def _references(text: str) -> list[tuple[int, int, str]]:
+    """References and url bytes that stand for one printable ASCII character."""
+    if "&" not in text and "%" not in text:
+        return []
+    found = []
+    for m in _REFERENCE.finditer(text):
+        put = chr(int(m[0][1:], 16)) if m[0][0] == "%" else html.unescape(m[0])
+        if len(put) == 1 and " " < put <= "~":
+            found.append((m.start(), m.end(), put))
+    return found
 
 
 def _without_last(run: str) -> int:
@@ -192,22 +230,35 @@ def _foreign(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), known[m[0]]) for m in re.finditer("[" + "".join(map(re.escape, known)) + "]", text)]
 
 
+def _digits(item: str) -> str:
+    """What an item of a spelled number stands for."""
+    words = re.split("[ -]", item.lower())
+    if words[0] in TIMES:
+        return DIGIT_WORDS[words[1]] * TIMES[words[0]]
+    if words[0] in TENS:
+        return TENS[words[0]] + (DIGIT_WORDS[words[1]] if len(words) > 1 else "0")
+    if words[0] in ("plus", "+"):
+        return "+"
+    return TEENS.get(words[0]) or DIGIT_WORDS.get(words[0]) or (item if item[0].isdigit() else ".")
+
+
 def _numbers(text: str) -> list[tuple[int, int, str]]:
     if not _TWO_WORDS.search(text):
         return []
     edits = []
     for m in _SPELLED.finditer(text):
-        items = list(_SPELLED_ITEM.finditer(m[0]))
-        if sum(i[0].lower() in DIGIT_WORDS for i in items) < 2:
-            continue
-        plain = "".join("+" if i[0].lower() in ("plus", "+") else "." if not i[0][0].isdigit() and i[0].lower() not in DIGIT_WORDS else DIGIT_WORDS.get(i[0].lower(), i[0]) for i in items)
-        edits.append((m.start(), m.end(), plain.rstrip(".")))
+        items = [i[0] for i in _SPELLED_ITEM.finditer(m[0])]
+        plain = [_digits(i) for i in items]
+        if sum(len(p) for i, p in zip(items, plain) if i[0].isalpha() and p.isdigit()) >= 2:
+            edits.append((m.start(), m.end(), "".join(plain).rstrip(".")))
     return edits
 
 
 def _ends_address(at: str, host: str, rest: str, dotted: bool) -> bool:
     """Whether the end of a bare address is one: a known one, or any letters where at and dot are both disguised and it doesn't read as prose."""
     last = re.split(r"[ .]", rest)[-1].lower()
+    if host.lower() in DIGIT_WORDS or at and host.lower() == "www":
+        return False
     if last in _ENDS:
         return True
     if not (last.isalpha() and len(last) >= 2 and dotted and at) or last in _PROSE or last in DIGIT_WORDS or last in _SIGNS:
@@ -251,11 +302,15 @@ def _bare_addresses(text: str) -> Iterator[tuple[int, int, str]]:
             continue
         at = m[0].strip().lower() if m[0] != "@" else ""
         dots = [(domain.start("rest") + d.start(), domain.start("rest") + d.end()) for d in _BARE_DOT.finditer(domain["rest"])]
-        # " at " before a plain domain is ordinary prose; " @ " isn't.
-        if not (dots or at == "@") or not _ends_address(at, domain["host"], domain["rest"], bool(dots)):
+        if not _ends_address(at, domain["host"], domain["rest"], bool(dots)):
             continue
         begin, lead = _local_part(text, floor, m.start())
-        if begin == m.start() or at == "at" and not lead and text[begin : m.start()].lower() in _NO_NAMES:
+        name = text[begin : m.start()]
+        # " at " before a plain domain is ordinary prose, but for a shouted one, or after what can be no word; " @ " isn't.
+        shouted = m[0].strip() == "AT" and not name.isupper()
+        if not (dots or at == "@" or shouted or lead or _DOTTED_NAME.fullmatch(name) and name.rsplit(".", 1)[-1].lower() not in _FILES):
+            continue
+        if not name or at and not lead and (name.lower() in _NO_NAMES or name.lower() in DIGIT_WORDS):
             continue
         yield from ((s, e, ".") for s, e in [*lead, *dots])
         if at:
@@ -265,15 +320,51 @@ def _bare_addresses(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _addresses(text: str) -> list[tuple[int, int, str]]:
     lower = text.lower()
-    if not any(h in lower for h in _HINTS):
+    capitals = _capitals(text) if "AT" in text and "DOT" in text else []
+    if not capitals and not any(h in lower for h in _HINTS):
         return []
-    edits = [(m.start(), m.end(), "@") for m in _DISGUISED_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _DISGUISED_DOT.finditer(text)]
-    taken = sorted(edits)
+    edits = capitals + _spaced(text) + [(m.start(), m.end(), "@") for m in _DISGUISED_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _DISGUISED_DOT.finditer(text)]
+    taken = _apart(edits)
     view = Layer(text, taken)
     # Bare words are read in the text as the brackets have left it.
     more = list(_bare_addresses(view.text))
     more += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _BARE_IP.finditer(view.text) for d in _BARE_DOT.finditer(m[0])]
-    return taken + [(s, e, put) for a, b, put in more for s, e, _ in [view.back(a, b)]]
+    return _apart(taken + [(s, e, put) for a, b, put in more for s, e, _ in [view.back(a, b)]])
+
+
+def _capitals(text: str) -> list[tuple[int, int, str]]:
+    found = []
+    for m in _CAPITALS.finditer(text):
+        found.append((m.start("at"), m.end("at"), "@"))
+        found += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in re.finditer("DOT", m["rest"])]
+    return found
+
+
+def _spaced(text: str) -> list[tuple[int, int, str]]:
+    """Edits that close up an address of single characters with a blank between each two."""
+    found, floor, n = [], 0, len(text)
+    at = text.find(" @ ")
+    while at >= 0:
+        begin, end = at, at + 3
+        while begin - 1 >= floor and text[begin - 1] in _LOCAL and (begin == 1 or text[begin - 2].isspace()):
+            begin = max(begin - 2, 0)
+        # `begin` lies at the blank before the first character, or at the text's begin.
+        first = begin + (begin > 0 or text[:1].isspace())
+        while end < n and (text[end].isalnum() and text[end].isascii() or text[end] in ".-") and (end + 1 == n or not text[end + 1].isalnum()):
+            end += 2
+            if end - 1 >= n or text[end - 1] != " ":
+                break
+        letters = text[at + 3 : end - 1].split(" ")
+        last = "".join(letters).rsplit(".", 1)
+        # A single letter behind a known end is a word.
+        if len(last) == 2 and last[1] not in _ENDS and last[1][:-1] in _ENDS and last[1][-1] in "aAI":
+            letters.pop()
+            end -= 2
+        if at - first >= 3 and len(letters) >= 4 and len(last) == 2 and last[0] and len(last[1]) >= 2:
+            found += [(k, k + 1, "") for k in range(first, end - 1) if text[k] == " "]
+            floor = end
+        at = text.find(" @ ", at + 2)
+    return found
 
 
 def added(text: str, base: list[Span]) -> list[Span]:

@@ -131,3 +131,46 @@ def test_prose_gets_nothing():
 def test_new_patterns_take_linear_time():
     for text in ("one 1 " * 50_000, "one " + "1 " * 100_000, "o. (" * 60_000, "1 " + "(" * 200_000, "l.1 " * 60_000, "o " * 100_000 + "1"):
         pii.find(text)
+
+
+# Ways of hiding an address that are in common use, whatever the patterns are.
+HIDDEN = [
+    "john(a)gmail.com", "john[a]gmail.com", "john AT gmail.com", "jane.doe at company.io", "john[ät]web[punkt]de", "john (ät) web.de", "john&#64;gmail&#46;com", "john&commat;gmail&period;com", "john&#x40;gmail.com",
+    "john%40gmail.com", "john%40gmail%2Ecom", "j o h n @ g m a i l . c o m", "john{at}gmail{dot}com", "john<at>gmail<dot>com", "john -at- gmail -dot- com", "john_at_gmail_dot_com", "john*at*gmail*dot*com",
+    "john|at|gmail|dot|com", "john /at/ gmail /dot/ com", "johnATgmailDOTcom", "john [at sign] gmail [period] com", "john [[at]] gmail [[dot]] com", "john ( at ) gmail ( dot ) com", "john[@]gmail[.]com", "john @ gmail dot com", "john@gmail (dot) com", "j.smith AT mail.example.org", "john (AT) gmail (DOT) com",
+]
+
+
+@pytest.mark.parametrize("hidden", HIDDEN)
+def test_common_ways_to_hide_an_address(hidden):
+    for before, after in (("", ""), ("Write to ", " today."), ("x: ", ", please"), ("mail\n", "\nthanks")):
+        base, spans = pii.find(before + hidden + after)
+        assert [(s, k, e) for s, k, e in spans if (s, k, e) not in base] == [(len(before), 0, len(before) + len(hidden))], before
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("plus one two one two double five five zero one nine nine", "phone"), ("+1 212 double five 5 01 ninety-two", "phone"), ("plus forty-nine thirty twelve thirty-four fifty-six", "phone"),
+        ("ninety-two dot sixteen dot ten dot one", "ip"), ("four triple one double one double one one one double one double one double one", "card"),
+    ],
+)
+def test_words_for_several_digits(text, kind):
+    base, spans = pii.find(f"say {text}, ok")
+    assert [(s, pii.KINDS[k], e) for s, k, e in spans if (s, k, e) not in base] == [(4, kind, 4 + len(text))]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "he was seven at three dot com", "book at www dot example dot com", "see us @ example . com", "see index.html at example.com", "MEET AT GMAIL.COM", "look at example.com", "rule 3 (a) and (b) apply. So", "he said &amp; left", "a %40 b", "a b c @ d e f",
+        "double trouble at ninety-two dot", "twenty one people met twenty-two others", "either/at/or and/or", "clause (a) of it. com", "I a m @ h o m e", "AT the DOT", "5 * at * 6",
+    ],
+)
+def test_what_is_no_address(text):
+    assert pii.find(text)[1] == pii.find(text)[0] == plain(text)
+
+
+def test_later_patterns_take_linear_time():
+    for text in ("a " * 100_000 + "@ " + "b " * 100_000, "a @ " * 60_000, "&#64;" * 60_000, "%40" * 90_000, "aAT" * 70_000, "xATyDOT" * 40_000, "*at*" * 60_000, "a (a)" * 60_000, "double " * 50_000, "twenty-" * 50_000, "ab.cd at ab.cd " * 20_000, "[[[" * 90_000, "x AT y.com " * 20_000):
+        pii.find(text)
