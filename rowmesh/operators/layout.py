@@ -17,7 +17,11 @@ SEGMENT = 4096
 
 
 def sym_expand(entries: DataFrame, symmetry: Column) -> DataFrame:
-    """entries with the mirror of each off-diagonal entry of a symmetric or skew-symmetric matrix; the latter's has the other sign."""
+    """entries with the mirror of each off-diagonal entry of a symmetric or skew-symmetric matrix; the latter's has the other sign.
+
+    Entries of any other symmetry, or of none, and those with a null row or column stay
+    as they are; repeated ones are each mirrored. No entries give none.
+    """
     own, mirror = F.struct("i", "j", "v"), lambda v: F.struct(F.col("j").alias("i"), F.col("i").alias("j"), v.alias("v"))
     off = F.col("i") != F.col("j")
     cells = (
@@ -57,7 +61,12 @@ def csr_slots(entries: DataFrame) -> DataFrame:
 
 
 def csr_pack(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(matrix, i, seg, cells): each row as arrays of (j, v) in order, at most `segment` entries in one."""
+    """(matrix, i, seg, cells): each row as arrays of (j, v) in order, at most `segment` entries in one.
+
+    Repeated entries and explicit zeros each have a cell. A null matrix or row is packed
+    like any other, null columns and values come first in their order. Empty rows and
+    no entries give no rows.
+    """
     slots = ranked(entries.select("matrix", "i", "j", "v"), ["matrix", "i"], ["j", "v"], "at")
     seg = F.floor(F.col("at") / segment).cast("int")
     return slots.groupBy("matrix", "i", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cells"))
