@@ -63,3 +63,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of written() that nothing rests on any more."""
+    spark = df.sparkSession
+    own = _own_folder(shared_folder(spark), spark.sparkContext.applicationId)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.makeQualified(hadoop.getParent()).equals(files.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own))):
+            files.delete(hadoop, True)

@@ -267,3 +267,13 @@ def test_result_files_larger_than_a_task(spark, tmp_path, before, after):
         assert sorted((r.matrix, r.chunk, r.line) for r in rejects.collect()) == sorted((m, c, "-7") for m in ("m1", "m2") for c in (1, 1, 20, 20, 20))
     finally:
         spark.conf.set(size, old)
+
+
+def test_a_table_can_be_discarded_alone(spark, tmp_path):
+    one, two = storage.written(spark.range(3), "one"), storage.written(spark.range(4), "two")
+    spark.range(2).write.parquet(f"file://{tmp_path}/other")
+    other = spark.read.parquet(f"file://{tmp_path}/other")
+    paths = [df.inputFiles()[0].removeprefix("file://") for df in (one, two, other)]
+    storage.discard(one)
+    storage.discard(other)
+    assert [os.path.exists(x) for x in paths] == [False, True, True]
