@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmesh.functions.storage import discard
+
 from . import attention, vocabularies
 from .common import small, text_bytes, written
 
@@ -184,7 +186,8 @@ def _train_share(start: np.ndarray, lex: attention.Lexicon):
             learn()
             seen += n
         if seen:
-            values = attention.flat(trainer.p).astype("<f4")
+            # What a trainer hasn't met is zero here, and takes little room.
+            values = attention.flat(trainer.p).astype("<f4") - start
             parts = [values[at : at + SLICE].tobytes() for at in range(0, len(values), SLICE)]
             one = [TaskContext.get().partitionId()] * len(parts)
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], ["trainer", "slice", "weight", "p"])
@@ -214,7 +217,7 @@ def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def averaged(found: DataFrame, trainers: int) -> np.ndarray | None:
-    """The weighted mean of parameters(trainer, slice, weight, p), numbered below `trainers`, in groups of FAN_IN at a time; None without any.
+    """The weighted mean of changes(trainer, slice, weight, p), numbered below `trainers`, in groups of FAN_IN at a time; None without any.
 
     Each slice goes its own way, so a task holds two slices, whatever the number of
     trainers and parameters. The sums run in the order of the trainers.
@@ -243,7 +246,8 @@ def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, fold
         windows = training_windows(mine, lex, folder, name).repartition(trainers, "k").sortWithinPartitions("k", "ids")
         found = written(windows.mapInArrow(_train_share(params, lex), "trainer long, slice int, weight double, p binary"), "trained")
         if (mean := averaged(found, trainers)) is not None:
-            params = mean
+            params = params + mean
+        discard(found)
         done += part
     return attention.unflat(params)
 
