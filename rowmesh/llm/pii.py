@@ -64,11 +64,16 @@ _SPELLED = re.compile(rf"(?<![^\W_])(?:plus ++)?{_WORD}(?:{_GAP}{_ITEM})++|(?<![
 _SPELLED_ITEM = re.compile(rf"{_WORD}|[0-9]+|(?:{_DOTS})(?![^\W_])|plus|\+|[.]", re.IGNORECASE)
 #: Cheap test before _SPELLED: a word for two digits, or two spelled digits with at most numbers and dots between them.
 _TWO_WORDS = re.compile(rf"(?<![^\W_]){_LONG}(?![^\W_])|(?<![^\W_]){_WORD}(?:{_GAP}(?:[0-9]++|(?:{_DOTS})(?![^\W_])))*+{_GAP}{_WORD}", re.IGNORECASE)
-# A run of blanks is only tried from its begin.
-_DISGUISED_AT = re.compile(
-    rf"(?<! ) *+(?<![\[({{<])[\[({{<]++ *+(?:{_ATS}|@|ät|at[ -]sign) *+[\])}}>]++ *+|(?<=[A-Za-z0-9]) ?[_*|/~-]++(?:at)[_*|/~-]++ ?(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[(\[][aä][)\]](?=[A-Za-z0-9-]++(?:\.|[ (\[]))", re.IGNORECASE
+# A run of blanks is only tried from its begin. Signs in brackets, and signs joined to the words around them.
+_IN_BRACKETS = tuple(
+    re.compile(pattern, re.IGNORECASE)
+    for pattern in (
+        rf"(?<! ) *+(?<![\[({{<])[\[({{<]++ *+(?:{_ATS}|@|ät|at[ -]sign) *+[\])}}>]++ *+|(?<=[A-Za-z0-9])[(\[][aä][)\]](?=[A-Za-z0-9-]++(?:\.|[ (\[]))",
+        rf"(?<! ) *+(?<![\[({{<])[\[({{<]++ *+(?:{_DOTS}|\.|period) *+[\])}}>]++ *+",
+    )
 )
-_DISGUISED_DOT = re.compile(rf"(?<! ) *+(?<![\[({{<])[\[({{<]++ *+(?:{_DOTS}|\.|period) *+[\])}}>]++ *+|(?<=[A-Za-z0-9]) ?[_*|/~-]++(?:dot)[_*|/~-]++ ?(?=[A-Za-z0-9])", re.IGNORECASE)
+_JOINED = tuple(re.compile(rf"(?<=[A-Za-z0-9]) ?[_*|/~-]++(?:{word})[_*|/~-]++ ?(?=[A-Za-z0-9])", re.IGNORECASE) for word in ("at", "dot"))
+_JOINED_HINT = re.compile(r"[_*|/~-](?:at|dot)[_*|/~-]")
 #: Signs in capitals within a word of small letters.
 _CAPITALS = re.compile(r"(?<![A-Za-z0-9._-])[a-z0-9._-]++(?P<at>AT)[a-z0-9-]++(?P<rest>(?:DOT[a-z0-9-]++)++)(?![A-Za-z0-9])")
 #: Characters written as references of HTML or as bytes of a url.
@@ -102,8 +107,10 @@ _NO_NAMES = _BEFORE_PLACE | _PROSE | frozenset(f"{_ATS}|{_DOTS}".split("|"))
 _BARE_DOT = re.compile(rf" ++(?:{_DOTS}|\.) ++", re.IGNORECASE)
 _DOT_WORDS = frozenset(_DOTS.split("|"))
 _SIGNS = frozenset(f"{_ATS}|{_DOTS}".split("|"))
-#: One of these is in every text that the last transducer changes.
-_HINTS = ("[", "(", "{", "<", "_at_", "-at-", "*at*", "|at|", "/at/", "~at~", "_dot_", "-dot-", "*dot*", "|dot|", "/dot/", "~dot~", " @ ", " at ", *(f" {w} " for w in _DOTS.split("|")))
+#: One of these is in every text with bare words that make an address.
+_BARE_HINTS = (" @ ", *(f" {w} " for w in _SIGNS))
+_NUMBER_WORDS = frozenset({*DIGIT_WORDS, *TEENS, *TENS, *TIMES})
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 _PLAIN = re.compile(r"[A-Za-z0-9]")
 
@@ -243,7 +250,7 @@ def _digits(item: str) -> str:
 
 
 def _numbers(text: str) -> list[tuple[int, int, str]]:
-    if not _TWO_WORDS.search(text):
+    if _NUMBER_WORDS.isdisjoint(_LETTERS.findall(text.lower())) or not _TWO_WORDS.search(text):
         return []
     edits = []
     for m in _SPELLED.finditer(text):
@@ -320,10 +327,14 @@ def _bare_addresses(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _addresses(text: str) -> list[tuple[int, int, str]]:
     lower = text.lower()
-    capitals = _capitals(text) if "AT" in text and "DOT" in text else []
-    if not capitals and not any(h in lower for h in _HINTS):
+    edits = _capitals(text) if "AT" in text and "DOT" in text else []
+    for patterns, there in ((_IN_BRACKETS, any(c in text for c in "[({<")), (_JOINED, _JOINED_HINT.search(lower))):
+        if there:
+            edits += [(m.start(), m.end(), put) for pattern, put in zip(patterns, "@.") for m in pattern.finditer(text)]
+    if " @ " in text:
+        edits += _spaced(text)
+    if not edits and not any(h in lower for h in _BARE_HINTS):
         return []
-    edits = capitals + _spaced(text) + [(m.start(), m.end(), "@") for m in _DISGUISED_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _DISGUISED_DOT.finditer(text)]
     taken = _apart(edits)
     view = Layer(text, taken)
     # Bare words are read in the text as the brackets have left it.
