@@ -267,6 +267,16 @@ def spmv_parallel(spark, sf):
     return spmv.spmv_parallel(*_l(spark, sf), 8, ("i",)).select("i", "y")
 
 
+@query(Y)
+def spmv_row_blocks(spark, sf):
+    return spmv.spmv_row_blocks(*_l(spark, sf), 50, 16).select("i", "y")
+
+
+@query(Y)
+def spmv_balanced(spark, sf):
+    return spmv.spmv_balanced(*_l(spark, sf), 16).select("i", "y")
+
+
 @query(
     """WITH loads AS (SELECT (l_orderkey // 50) % 16 AS w, count(*) AS n_entries, min(l_orderkey) AS first_row, max(l_orderkey) AS last_row FROM lineitem GROUP BY ALL)
     SELECT w::INT AS w, n_entries, first_row, last_row, (max(n_entries) OVER () * 16)::DOUBLE / (sum(n_entries) OVER ())::DOUBLE AS imbalance FROM loads"""

@@ -31,6 +31,10 @@ def test_products_agree(spark, workers):
     _, entries, rows, x, y = small(spark)
     assert as_dict(spmv.spmv(entries, x, rows)) == y
     assert as_dict(spmv.spmv_parallel(entries, x, rows, workers)) == y
+    for schedule in ("balanced", "blocks", "range"):
+        assert as_dict(spmv.spmv_balanced(entries, x, rows, workers, schedule)) == y
+    with pytest.raises(ValueError):
+        spmv.spmv_balanced(entries, x, rows, schedule="guided")
 
 
 @pytest.mark.parametrize("limit", [4_000_000, 5])
