@@ -66,6 +66,24 @@ def _numbered(group: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return each
 
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with a column more: whether a row is the first or the last of all."""
+    held, first = None, True
+
+    def marked(batch: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+        edge = np.zeros(batch.num_rows, bool)
+        edge[0], edge[-1] = edge[0] | first, edge[-1] | last
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(edge)], [*batch.schema.names, "_edge"])
+
+    for batch in batches:
+        if held is not None:
+            yield marked(held, False)
+            first = False
+        held = batch
+    if held is not None:
+        yield marked(held, True)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """df with the rank (0-based, long) of each row in its group under `order`; rows equal in all of it stand in any order.
 
@@ -79,15 +97,17 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     keys = [*group, *order, "_tie"]
     n = partitions or ranges_for(df)
     rows = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_part", F.spark_partition_id())
-    schema = StructType([*rows.schema, StructField("_at", LongType()), StructField("_run", LongType()), StructField("_first", BooleanType())])
-    rows = written(rows.mapInArrow(_numbered([df.columns.index(g) for g in group]), schema), "ranked")
-    carries = written(_carries(rows, group), "carries")
+    schema = StructType([*rows.schema, StructField("_at", LongType()), StructField("_run", LongType()), StructField("_first", BooleanType()), StructField("_edge", BooleanType())])
+    number = _numbered([df.columns.index(g) for g in group])
+    rows = written(rows.mapInArrow(lambda batches: _edges(number(batches)), schema), "ranked")
+    # Parquet's statistics let the scan pass over all but the first and last pages of each partition.
+    carries = written(_carries(rows.where("_edge"), group), "carries")
     rank = F.col("_run") + F.when(F.col("_first"), F.col("_carry")).otherwise(F.lit(0))
     return rows.join(F.broadcast(carries), "_part").select(*df.columns, rank.alias(name))
 
 
 def _carries(rows: DataFrame, group: list[str]) -> DataFrame:
-    """(_part, _carry): for each partition, how many rows of its first group lie in the partitions before it."""
+    """(_part, _carry): for each partition, how many rows of its first group lie in the partitions before it; from their first and last rows."""
     key = F.struct(F.lit(0).alias("one"), *group)
     parts = rows.groupBy("_part").agg(
         F.min_by(key, "_at").alias("head"), F.max_by(key, "_at").alias("tail"), (F.max_by("_run", "_at") + 1).alias("n"), F.max_by("_first", "_at").alias("single")

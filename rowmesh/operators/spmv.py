@@ -71,12 +71,17 @@ def spmv(entries: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
 def column_blocks(x: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
     """(matrix, block, first, xs): x as arrays over the columns from `first` on, null where a column has no entry; entries that repeat are summed."""
     sums = _vector(x).groupBy("matrix", "j").agg(F.sum("x").alias("x")).withColumn("block", F.expr(f"j div {int(block)}"))
-    ends = sums.groupBy("matrix", "block").agg(F.min("j").alias("first"), F.max("j").alias("last"), F.count(F.lit(1)).alias("n"))
-    # Columns without an entry between others come in as nulls, so that places in an array are columns.
-    holes = ends.where("n < last - first + 1").select("matrix", "block", F.explode(F.sequence("first", "last")).alias("j"), F.lit(None).cast("double").alias("x"))
-    full = sums.select("matrix", "block", "j", "x").unionByName(holes).groupBy("matrix", "block", "j").agg(F.max("x").alias("x"))
-    cells = F.sort_array(F.collect_list(F.struct("j", "x")))
-    return full.groupBy("matrix", "block").agg(F.min("j").alias("first"), F.transform(cells, lambda c: c["x"]).alias("xs"))
+    lists = sums.groupBy("matrix", "block").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("cells"))
+    # Columns without an entry between two others come in as nulls, so that places in an array are columns.
+    missing = lambda c, k: c["j"] - F.coalesce(F.get("cells", k - 1)["j"], c["j"] - 1) - 1
+    filled = F.transform("cells", lambda c, k: F.concat(F.array_repeat(F.lit(None).cast("double"), missing(c, k).cast("int")), F.array(c["x"])))
+    return lists.select("matrix", "block", F.get("cells", F.lit(0))["j"].alias("first"), F.flatten(filled).alias("xs"))
+
+
+def _places(x: DataFrame, block: int) -> int:
+    """How many places the arrays of column_blocks() have, holes included."""
+    spans = _vector(x).groupBy("matrix", F.expr(f"j div {int(block)}").alias("block")).agg((F.max("j") - F.min("j") + 1).alias("n"))
+    return spans.agg(F.sum("n")).first()[0] or 0
 
 
 def tiles(packed: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
@@ -95,13 +100,13 @@ def tiles(packed: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
 def spmv_packed(packed: DataFrame, x: DataFrame, rows: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
     """(matrix, i, y) row by row over the packed arrays, in tiles: each looks its entries of x up in the array of its block of columns.
 
-    x stays in tables, an array for each block. Blocks are broadcast up to BROADCAST_X
-    entries of x and joined beyond that, where Spark splits heavy blocks: the tiles,
-    the arithmetic and so the result are the same. What counts is as in spmv(); only the
+    x stays in tables, an array for each block. Blocks are broadcast while their
+    arrays, holes included, have up to BROADCAST_X places, and joined beyond that, where
+    Spark splits heavy blocks: the tiles, the arithmetic and so the result are the same. What counts is as in spmv(); only the
     sums of tiles are shuffled.
     """
     arrays = column_blocks(x, block)
-    if _vector(x).limit(BROADCAST_X + 1).count() <= BROADCAST_X:
+    if _places(x, block) <= BROADCAST_X:
         arrays = F.broadcast(arrays)
     product = lambda c: F.coalesce(c["v"] * F.get("xs", (c["j"] - F.col("first")).cast("int")), F.lit(0.0))
     y = F.aggregate("cells", F.lit(0.0), lambda sum_of, c: sum_of + product(c))

@@ -63,6 +63,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_blocks_of_a_vector_with_holes(spark):
+    """Places in an array are columns, from the block's first entry to its last; holes count as places, repeated entries once."""
+    x = spark.createDataFrame([("m", 9, 1.0), ("m", 3, 2.0), ("m", 5, 4.0), ("m", 5, 0.5), ("m", 10, 3.0), ("m", 41, 7.0), ("m", None, 1.0), ("m", 40, None), (None, 2, 6.0)], "matrix string, j long, x double")
+    got = {(r.matrix, r.block): (r.first, r.xs) for r in spmv.column_blocks(x, 10).collect()}
+    assert got == {("m", 0): (3, [2.0, None, 4.5, None, None, None, 1.0]), ("m", 1): (10, [3.0]), ("m", 4): (41, [7.0]), (None, 0): (2, [6.0])}
+    assert spmv._places(x, 10) == 10 and spmv._places(x.where("x > 100"), 10) == 0
+    assert spmv.column_blocks(x.where("x > 100"), 10).count() == 0
+
+
 def test_plans_of_products(spark, monkeypatch):
     """Packed rows aren't unpacked; columns with many entries are joined where they lie, others by the column."""
     _, entries, rows, x, _ = small(spark)
