@@ -1,10 +1,14 @@
 """Result files of benchmark runs: a reader for the four text layouts, writers of them, and partitioned tables.
 
+A file holds one report or several, one after the other; each but the first begins
+with the line that names its matrix. So there need not be a file for each matrix, and
+the writers make as many files as there are tasks.
+
 Files are read line by line, in as many splits as they have. A line's section is named
-by the last title before it: titles are filled in within each split, where lines lie in
-order, and a carry table of one row per split says which section goes on at its start
-and how many samples that has had. So a result file may be larger than a task, and no
-text is gathered into one row.
+by the last title before it in its report: titles are filled in and reports counted
+within each split, where lines lie in order, and a carry table of one row per split says
+which section goes on at its start, how many samples that has had and how many reports
+there were. So a result file may be larger than a task, and no text is gathered into one row.
 """
 
 from __future__ import annotations
@@ -24,16 +28,16 @@ from rowmesh.functions.storage import written
 SEQUENTIAL, PARALLEL, CHUNK, TIMES, CHUNK_LINE, SUMMARY = "SEQUENTIAL", "PARALLEL", "CHUNK SIZE: ", "Times (ms):", "Chunk ", "SUMMARY:"
 VERSION, BASELINE_TITLE = " VERSION:", "SEQUENTIAL (baseline - no parallelization):"
 TITLE = rf"^(?:{SEQUENTIAL}|{PARALLEL}{VERSION[:-1]}|{CHUNK}|{CHUNK_LINE}|{SUMMARY}|BEST|Best chunk|Times)"
-MATRIX, SCHEDULE_TYPE, SCHEDULE, N_THREADS, THREADS = "Matrix: ", "Schedule Type: ", "Schedule: ", "Number of threads: ", "Threads: "
-MATRIX_LINE, SCHEDULE_LINE, THREADS_LINE = r"^Matrix: (\S+)", r"^Schedule(?: Type)?: (\w+)", r"^(?:Number of threads|Threads): (\d+)"
+MATRIX, SCHEDULE_TYPE, SCHEDULE, N_THREADS, THREADS, PART = "Matrix: ", "Schedule Type: ", "Schedule: ", "Number of threads: ", "Threads: ", "Part: "
+MATRIX_LINE, SCHEDULE_LINE, THREADS_LINE, PART_LINE = r"^Matrix: (\S+)", r"^Schedule(?: Type)?: (\w+)", r"^(?:Number of threads|Threads): (\d+)", r"^Part: (\d+)"
 SUMMARY_LINE = f"{CHUNK_LINE}%d: Avg %.6f ms | 90th %.6f ms | Speedup %.2fx"
 SAMPLE_FORMAT = "%.6f"
 #: A line that is a sample, and one that looks like a number but is none.
 SAMPLE = r"[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]{1,3})?"
 NUMERIC = r"[-+]?(?:[0-9][0-9.eE+-]*|\.[0-9.eE+-]+|[iI]nf(?:inity)?|INF|[nN]a[nN]|NAN)"
-#: Samples of a section that one file of write_chunk_files() holds.
+#: Samples of a section that one report of a writer holds.
 FILE_RUNS = 1000
-#: Files, or splits that begin within a section, that every task holds a row for, at most; more are joined.
+#: Reports, or splits that begin within a report, that every task holds a row for, at most; more are joined.
 BROADCAST_ROWS = 100_000
 
 
@@ -47,8 +51,8 @@ def runs_scan(spark: SparkSession, path: str) -> DataFrame:
 
     Files with samples give a row for each; summaries without samples give none
     (see summaries_scan()), nor do lines that are no number (see runs_rejects()). env
-    and threads come from the path, threads from the text where the path has none;
-    part numbers the pieces of a split result. No files give no rows.
+    comes from the path, threads and part from the text where the path has none; part
+    numbers the pieces of a split result. No files give no rows.
     """
     run = F.col("before") + 1 + F.col("part") * FILE_RUNS
     return _lines(spark, path).where("sample").select("env", "matrix", "variant", "schedule", "threads", "chunk", "section", run.alias("run"), F.col("number").cast("double").alias("ms"), "part")
@@ -68,13 +72,13 @@ def summaries_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, at, title, number, sample) in order within each split: with the last title of the split so far in place of the line's own, the samples since then, and the line's place."""
-    last, title, count, place = None, pa.scalar(None, pa.string()), 0, 0
+    """(file, at, title, number, sample, matrix, ...) in order within each split: with the last title of the split so far in place of the line's own, the samples since then, the line's place, and the lines naming a matrix up to this one and up to the title."""
+    last, title, count, place, reports, titled = None, pa.scalar(None, pa.string()), 0, 0, 0, 0
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        file, at, titles, number, sample = batch.columns
+        file, at, titles, number, sample, matrix = batch.columns[:6]
         fresh = np.ones(n, bool)
         fresh[1:] = ~(same_as_before(file) & same_as_before(at))
         if last is not None:
@@ -85,8 +89,14 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows before the batch's first title go on with what was before.
         before = counts[:-1] - np.where(begin < 0, -count, counts[np.maximum(begin, 0)])
         held = pc.if_else(pa.array(begin < 0), title, titles.take(pa.array(np.maximum(begin, 0))))
-        yield pa.RecordBatch.from_arrays([file, at, held, number, sample, pa.array(before), pa.array(np.arange(place, place + n))], ["file", "at", "title", "number", "sample", "before", "place"])
+        named = np.r_[0, np.cumsum(matrix.is_valid().to_numpy(zero_copy_only=False).astype(np.int64))]
+        split = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+        report = named[1:] - np.where(split < 0, -reports, named[np.maximum(split, 0)])
+        title_report = np.where(begin < 0, titled, report[np.maximum(begin, 0)])
+        more = {"before": before, "place": np.arange(place, place + n), "report": report, "title_report": title_report}
+        yield pa.RecordBatch.from_arrays([file, at, held, *batch.columns[3:], *map(pa.array, more.values())], [*batch.schema.names, *more])
         last, title, count, place = batch.slice(n - 1), held[n - 1], int(before[-1]) + int(counts[-1] - counts[-2]), place + n
+        reports, titled = int(report[-1]), int(title_report[-1])
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -98,20 +108,31 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.option("recursiveFileLookup", True).text(path)
     text = F.regexp_replace("value", r"[ \t\r]+$", "")
     number = _part(text, rf"^[ \t\r]*({NUMERIC})$")
-    kinds = {"matrix": MATRIX_LINE, "schedule": SCHEDULE_LINE, "threads": THREADS_LINE}
+    kinds = {"matrix": MATRIX_LINE, "schedule": SCHEDULE_LINE, "threads": THREADS_LINE, "piece": PART_LINE}
     lines = read.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.when(F.rlike("value", F.lit(TITLE)), text).alias("title"), number.alias("number"),
         F.coalesce(F.rlike(number, F.lit(f"^{SAMPLE}$")), F.lit(False)).alias("sample"), *[_part(F.col("value"), p).alias(k) for k, p in kinds.items()],
     )
-    # What a file is about: the first such lines, wherever they are.
-    place = F.struct("at", "id")
-    about = lines.where(" or ".join(f"{k} is not null" for k in kinds)).withColumn("id", F.monotonically_increasing_id()).groupBy("file")
-    about = written(about.agg(*[F.min_by(F.col(k), F.when(F.col(k).isNotNull(), place)).alias(k) for k in kinds]), "files")
-    marks = lines.where("title is not null or number is not null").select("file", "at", "title", "number", "sample")
-    marks = written(marks.mapInArrow(_filled, "file string, at long, title string, number string, sample boolean, before long, place long"), "lines")
+    names = " or ".join(f"{k} is not null" for k in kinds)
+    marks = lines.where(f"title is not null or number is not null or {names}")
+    schema = "file string, at long, title string, number string, sample boolean, " + ", ".join(f"{k} string" for k in kinds) + ", before long, place long, report long, title_report long"
+    marks = written(marks.mapInArrow(_filled, schema), "lines")
     carries = _few(written(_carries(marks), "carries"))
-    going = marks.join(carries, ["file", "at"], "left").withColumn("before", F.col("before") + F.when(F.col("title").isNull(), F.coalesce("had", F.lit(0))).otherwise(F.lit(0)))
-    going = going.withColumn("title", F.coalesce("title", "goes_on")).drop("goes_on", "had", "place", "at")
+    none, inside = F.lit(0), F.col("title").isNotNull()
+    going = marks.join(carries, ["file", "at"], "left").withColumns(
+        {
+            "before": F.col("before") + F.when(inside, none).otherwise(F.coalesce("had", none)),
+            "title": F.coalesce("title", "goes_on"),
+            # What stands before the first matrix of a file belongs to its first report.
+            "report": F.greatest(F.lit(1), F.col("report") + F.coalesce("reports_before", none)),
+            "title_report": F.greatest(F.lit(1), F.when(inside, F.col("title_report") + F.coalesce("reports_before", none)).otherwise(F.col("goes_on_report"))),
+        }
+    )
+    # What a report is about: its first such lines, wherever they are.
+    place = F.struct("at", "place")
+    about = going.where(names).groupBy("file", "report").agg(*[F.min_by(F.col(k), F.when(F.col(k).isNotNull(), place)).alias(k) for k in kinds])
+    about = written(about, "reports")
+    going = going.where(f"report = title_report and not ({names})").select("file", "report", "title", "number", "sample", "before")
     head = F.col("title")
     alone = F.when(F.contains("file", F.lit("PARALLEL")), "parallel").otherwise("sequential")
     kind = (
@@ -121,24 +142,27 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         .when(F.startswith(head, F.lit(TIMES)), alone)
         .when(F.startswith(head, F.lit(CHUNK_LINE)), "summary")
     )
-    named = going.withColumn("section", kind).where("section is not null").join(_few(about), "file", "left")
+    named = going.withColumn("section", kind).where("section is not null").join(_few(about), ["file", "report"], "left")
     return named.select(
         F.when(F.contains("file", F.lit("/LOCAL/")), "LOCAL").when(F.contains("file", F.lit("/CLUSTER/")), "CLUSTER").alias("env"), "matrix",
         F.lower(F.coalesce("schedule", F.lit("none"))).alias("schedule"),
         F.coalesce(_part(F.col("file"), r"/(\d+)_threads/"), _part(F.col("file"), r"threads=(\d+)"), F.col("threads")).cast("int").alias("threads"),
-        F.coalesce(_part(F.col("file"), r"/part=(\d+)/").cast("int"), F.lit(0)).alias("part"),
+        F.coalesce(_part(F.col("file"), r"/part=(\d+)/").cast("int"), F.col("piece").cast("int"), F.lit(0)).alias("part"),
         "section", "title", "number", "sample", "before", _part(head, r"^(?:CHUNK SIZE: |Chunk )(\d+)").cast("int").alias("chunk"),
     ).withColumn("variant", F.when(F.col("section").isin("chunk", "summary"), F.concat_ws("-", "schedule", F.coalesce(F.col("chunk").cast("string"), F.lit("0")))).otherwise(F.col("section")))
 
 
 def _carries(marks: DataFrame) -> DataFrame:
-    """(file, at, goes_on, had): for each split after a title of its file, the last such title and the samples since then."""
-    ends = marks.groupBy("file", "at").agg(F.max_by("title", "place").alias("own"), F.max_by(F.col("before") + F.col("sample").cast("long"), "place").alias("n"))
+    """(file, at, goes_on, had, goes_on_report, reports_before): for each split after a title or a matrix of its file, the last such title, the samples since then, its report, and the matrices named."""
+    ends = marks.groupBy("file", "at").agg(
+        F.max_by("title", "place").alias("own"), F.max_by(F.col("before") + F.col("sample").cast("long"), "place").alias("n"), F.max_by("title_report", "place").alias("own_report"), F.max("report").alias("reports")
+    )
     in_order = Window.partitionBy("file").orderBy("at")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumns({"goes_on": F.last("own", ignorenulls=True).over(earlier), "stretch": F.count("own").over(in_order)})
+    ends = ends.withColumns({"goes_on": F.last("own", ignorenulls=True).over(earlier), "stretch": F.count("own").over(in_order), "reports_before": F.coalesce(F.sum("reports").over(earlier), F.lit(0))})
     ends = ends.withColumn("out", F.sum("n").over(Window.partitionBy("file", "stretch").orderBy("at")))
-    return ends.withColumn("had", F.lag("out").over(in_order)).where("goes_on is not null").select("file", "at", "goes_on", "had")
+    ends = ends.withColumn("goes_on_report", F.last(F.when(F.col("own").isNotNull(), F.col("own_report") + F.col("reports_before")), ignorenulls=True).over(earlier))
+    return ends.withColumn("had", F.lag("out").over(in_order)).where("goes_on is not null or reports_before > 0").select("file", "at", "goes_on", "had", "goes_on_report", "reports_before")
 
 
 def runs_write(runs: DataFrame, path: str, form: str = "parquet") -> None:
@@ -147,7 +171,7 @@ def runs_write(runs: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def write_chunk_files(runs: DataFrame, path: str) -> None:
-    """runs(matrix, schedule, threads, chunk, run, ms) in the chunk layout, chunk null for the baseline; a file holds at most FILE_RUNS runs of a section."""
+    """runs(matrix, schedule, threads, chunk, run, ms) in the chunk layout, chunk null for the baseline; a report holds at most FILE_RUNS runs of a section, a file any number of reports."""
     keys = ["threads", "matrix", "schedule", "part"]
     pieces = runs.withColumn("part", F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"))
     sections = pieces.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("run", "ms"))).alias("samples"))
@@ -155,8 +179,8 @@ def write_chunk_files(runs: DataFrame, path: str) -> None:
     title = F.when(F.col("chunk").isNull(), BASELINE_TITLE).otherwise(F.concat(F.lit(CHUNK), F.col("chunk").cast("string")))
     texts = sections.select(*keys, F.coalesce("chunk", F.lit(-1)).alias("chunk"), F.concat_ws("\n", title, lines, F.lit("")).alias("body"))
     whole = texts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "body"))), lambda s: s["body"]), "\n").alias("bodies"))
-    head = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{SCHEDULE_TYPE}"), F.upper("schedule"), F.lit(f"\n{N_THREADS}"), F.col("threads").cast("string"), F.lit("\n"))
-    whole.select(*keys, F.concat_ws("\n", head, "bodies").alias("value")).write.partitionBy("threads", "matrix", "schedule", "part").text(path)
+    head = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{SCHEDULE_TYPE}"), F.upper("schedule"), F.lit(f"\n{N_THREADS}"), F.col("threads").cast("string"), F.lit(f"\n{PART}"), F.col("part").cast("string"), F.lit("\n"))
+    whole.select(F.concat_ws("\n", head, "bodies").alias("value")).write.text(path)
 
 
 def _samples_text() -> Column:
@@ -164,27 +188,27 @@ def _samples_text() -> Column:
 
 
 def write_plain_files(runs: DataFrame, path: str) -> None:
-    """runs(matrix, section, run, ms) in the plain layout: files of one section, 'sequential' or 'parallel'; one holds at most FILE_RUNS runs."""
+    """runs(matrix, section, run, ms) in the plain layout: files of one section, 'sequential' or 'parallel'; a report holds at most FILE_RUNS runs, a file any number of reports."""
     pieces = runs.withColumns({"part": F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"), "kind": F.upper("section")})
     texts = pieces.groupBy("kind", "matrix", "part").agg(_samples_text().alias("samples"))
-    value = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{TIMES}\n"), F.col("samples"), F.lit("\n"))
-    texts.select("kind", "matrix", "part", value.alias("value")).write.partitionBy("kind", "matrix", "part").text(path)
+    value = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{PART}"), F.col("part").cast("string"), F.lit(f"\n{TIMES}\n"), F.col("samples"), F.lit("\n"))
+    texts.select("kind", value.alias("value")).write.partitionBy("kind").text(path)
 
 
 def write_paired_files(runs: DataFrame, path: str) -> None:
-    """runs(matrix, threads, section, run, ms) in the layout of sequential and parallel runs in one file; one holds at most FILE_RUNS runs of each."""
+    """runs(matrix, threads, section, run, ms) in the layout of sequential and parallel runs in one report; one holds at most FILE_RUNS runs of each, a file any number of reports."""
     pieces = runs.withColumn("part", F.floor((F.col("run") - 1) / FILE_RUNS).cast("int"))
     sections = pieces.groupBy("threads", "matrix", "part", "section").agg(_samples_text().alias("samples"))
     title = F.when(F.col("section") == "sequential", f"{SEQUENTIAL}{VERSION}").otherwise(f"{PARALLEL}{VERSION}")
     bodies = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((F.col("section") != "sequential").alias("second"), F.concat_ws("\n", title, "samples").alias("body")))), lambda s: s["body"]), "\n\n")
     files = sections.groupBy("threads", "matrix", "part").agg(bodies.alias("bodies"))
-    value = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit("\n\n"), F.col("bodies"), F.lit(f"\n\n{SUMMARY}\n"))
-    files.select("threads", "matrix", "part", value.alias("value")).write.partitionBy("threads", "matrix", "part").text(path)
+    value = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{PART}"), F.col("part").cast("string"), F.lit("\n\n"), F.col("bodies"), F.lit(f"\n\n{SUMMARY}\n"))
+    files.select("threads", value.alias("value")).write.partitionBy("threads").text(path)
 
 
 def write_summary_files(lines: DataFrame, path: str) -> None:
-    """lines(matrix, schedule, threads, chunk, mean, p90, speedup) in the layout without samples; the chunks of a matrix are few."""
+    """lines(matrix, schedule, threads, chunk, mean, p90, speedup) in the layout without samples; the chunks of a matrix are few, a file holds any number of reports."""
     line = F.format_string(SUMMARY_LINE, "chunk", "mean", "p90", "speedup")
     files = lines.groupBy("threads", "matrix", "schedule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", line.alias("line")))), lambda s: s["line"]), "\n").alias("lines"))
     value = F.concat(F.lit(MATRIX), F.col("matrix").cast("string"), F.lit(f"\n{SCHEDULE}"), F.col("schedule"), F.lit(f"\n{THREADS}"), F.col("threads").cast("string"), F.lit("\n\n"), F.col("lines"), F.lit("\n"))
-    files.select("threads", "matrix", "schedule", value.alias("value")).write.partitionBy("threads", "matrix", "schedule").text(path)
+    files.select(value.alias("value")).write.text(path)

@@ -277,3 +277,38 @@ def test_a_table_can_be_discarded_alone(spark, tmp_path):
     storage.discard(one)
     storage.discard(other)
     assert [os.path.exists(x) for x in paths] == [False, True, True]
+
+
+def test_reports_share_files(spark, tmp_path):
+    """Many matrices are written into few files, in each layout, and read back."""
+    runs = spark.range(900).select(
+        F.expr("id div 3").cast("string").alias("matrix"), F.lit("static").alias("schedule"), F.lit(4).alias("threads"), F.when(F.col("id") % 3 > 0, 5).alias("chunk"),
+        F.when(F.col("id") % 3 > 0, "parallel").otherwise("sequential").alias("section"), F.greatest(F.lit(1), F.col("id") % 3).cast("int").alias("run"), F.col("id").cast("double").alias("ms"),
+    )
+    for name, write, of in (("chunk", run_files.write_chunk_files, "chunk"), ("plain", run_files.write_plain_files, "parallel"), ("paired", run_files.write_paired_files, "parallel")):
+        write(runs, str(tmp_path / name))
+        assert len(list((tmp_path / name).rglob("part-*.txt"))) <= 20
+        got = run_files.runs_scan(spark, str(tmp_path / name)).collect()
+        assert sorted((int(r.matrix), r.section, r.run, r.ms) for r in got) == sorted((k // 3, of if k % 3 else "sequential", max(1, k % 3), float(k)) for k in range(900))
+    cells = spark.range(300).select(F.col("id").alias("matrix"), F.lit("guided").alias("schedule"), F.lit(4).alias("threads"), F.lit(1).alias("chunk"), F.col("id").cast("double").alias("mean"), F.lit(1.0).alias("p90"), F.lit(2.0).alias("speedup"))
+    run_files.write_summary_files(cells, str(tmp_path / "summary"))
+    assert len(list((tmp_path / "summary").rglob("part-*.txt"))) <= 20
+    assert sorted((int(r.matrix), r.mean) for r in run_files.summaries_scan(spark, str(tmp_path / "summary")).collect()) == [(k, float(k)) for k in range(300)]
+
+
+@pytest.mark.parametrize("split", ["40", "100", "1m"])
+def test_reports_in_one_file(spark, tmp_path, split, monkeypatch):
+    """What names a report may come after its samples; a report ends at the next matrix, also when that has no section; reports and sections go over splits."""
+    text = "Threads: 8\nMatrix: a\nTimes (ms):\n" + "".join(f"{k}.5\n" for k in range(40)) + "Schedule: auto\nMatrix: b\n7\n8\nMatrix: c\nThreads: 2\nSEQUENTIAL VERSION:\n1.5\n\nPARALLEL VERSION:\n" + "2.5\n-1\n" * 30
+    (tmp_path / "all.txt").write_text(text)
+    monkeypatch.setattr(run_files, "BROADCAST_ROWS", 100_000 if split == "100" else 0)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = run_files.runs_scan(spark, str(tmp_path)).collect()
+        assert sorted((r.matrix, r.schedule, r.threads, r.section, r.run, r.ms) for r in got) == sorted(
+            [("a", "auto", 8, "sequential", k + 1, k + 0.5) for k in range(40)] + [("c", "none", 2, "sequential", 1, 1.5)] + [("c", "none", 2, "parallel", k + 1, 2.5) for k in range(30)]
+        )
+        assert [(r.matrix, r.threads, r.line) for r in run_files.runs_rejects(spark, str(tmp_path)).collect()] == [("c", 2, "-1")] * 30
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
