@@ -312,3 +312,29 @@ def test_reports_in_one_file(spark, tmp_path, split, monkeypatch):
         assert [(r.matrix, r.threads, r.line) for r in run_files.runs_rejects(spark, str(tmp_path)).collect()] == [("c", 2, "-1")] * 30
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_written_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Files grow in number with the entries, also where a row or the last block holds most of them, and each has the count of its own entries."""
+    monkeypatch.setattr(matrix_market, "FILE_ENTRIES", 100)
+    entries = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 50).alias("i"), F.col("id").alias("j"), F.lit(1.5).alias("v"))
+    matrix_market.mm_write(entries, str(tmp_path / "m"), 50, 3000)
+    sizes = [(int(x[1].split()[2]), len(x) - 2) for x in ((p.read_text().splitlines()) for p in (tmp_path / "m").glob("part-*")) if x]
+    assert all(a == b for a, b in sizes) and sum(a for a, _ in sizes) == 3000 and max(a for a, _ in sizes) <= 200
+    got = matrix_market.mm_scan(spark, str(tmp_path), "folder").collect()
+    assert sorted((r.i, r.j) for r in got) == sorted((7 if k < 2000 else k % 50, k) for k in range(3000))
+
+
+def test_headers_are_found_without_a_sort(spark, folder):
+    plan = matrix_market._headers(matrix_market._lines(spark, folder, "file"))._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_small_matrices_in_a_table(spark, tmp_path):
+    """A table of texts gives the same rejects as the files."""
+    spark.createDataFrame(list(FILES.items()), "file string, text string").write.parquet(str(tmp_path / "t"))
+    (tmp_path / "f").mkdir()
+    for name, text in FILES.items():
+        (tmp_path / "f" / name).write_text(text)
+    rows = lambda df: sorted((r.matrix, r.reason, r.line or "") for r in df.collect())
+    assert rows(matrix_market.mm_rejects(spark, str(tmp_path / "t"), form="table")) == rows(matrix_market.mm_rejects(spark, str(tmp_path / "f")))
