@@ -17,9 +17,10 @@ def csr_write(entries: DataFrame, rows: DataFrame, matrices: DataFrame, path: st
     A matrix without entries has its row pointers and no slots; no matrices at all give empty tables.
     """
     matrices.write.mode("overwrite").parquet(f"{path}/matrices")
-    for name, table, key in (("row_ptr", row_ptr(entries, rows), "i"), ("slots", csr_slots(entries), "pos")):
+    for name, table, key in (("row_ptr", row_ptr(entries, rows).repartitionByRange("matrix", "i"), "i"), ("slots", csr_slots(entries), "pos")):
+        # Slots lie in ranges already, as they were ranked by them.
         table = table.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _SCHEMAS[name].split(", ")])
-        table.repartitionByRange("matrix", key).sortWithinPartitions("matrix", key).write.partitionBy("matrix").mode("overwrite").parquet(f"{path}/{name}")
+        table.sortWithinPartitions("matrix", key).write.partitionBy("matrix").mode("overwrite").parquet(f"{path}/{name}")
 
 
 def csr_read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
