@@ -255,15 +255,17 @@ def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, fold
 SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: binary, n: int>>"
 
 
-def _scored(docs: DataFrame, top: dict[bytes, int], lex: attention.Lexicon, params: attention.Params, folder: str, name: str) -> DataFrame:
-    """Each document with its score, its sums over the top words, and its other words with their counts."""
-    sent = docs.sparkSession.sparkContext.broadcast((top, lex, params))
+def _scored(docs: DataFrame, top: dict[bytes, int], model: tuple[attention.Lexicon, attention.Params] | None, folder: str, name: str) -> DataFrame:
+    """Each document with its score (null without a model), its sums over the top words, and its other words with their counts."""
+    sent = docs.sparkSession.sparkContext.broadcast((top, model))
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, lex, params = sent.value
+        top, model = sent.value
         log = {w: math.log10(c + 1) for w, c in top.items()}
-        scorer, subwords = attention.Scorer(params, lex), Subwords(folder, name)
+        if model is not None:
+            lex, params = model
+            scorer, subwords = attention.Scorer(params, lex), Subwords(folder, name)
         for batch in small(batches):
             n_tokens, known, base, texts = [], [], [], []
             words_out, numbers_out, ends = [], array("i"), [0]
@@ -281,36 +283,26 @@ def _scored(docs: DataFrame, top: dict[bytes, int], lex: attention.Lexicon, para
                 ends.append(len(words_out))
             pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(np.array(numbers_out, np.int32))], ["word", "n"])
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(rare_type)
+            score = pa.nulls(len(texts), pa.float64()) if model is None else pa.array(scorer.score(subwords.texts(texts)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scorer.score(subwords.texts(texts))), rare],
+                [batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), score, rare],
                 ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
             )
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(each, SCORED)
 
 
-def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocabularies.BYTE_BPE, top_words: int = TOP_WORDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
 
-    base_score is the add-one log10 score of the document's words and its end under
-    the counts of the training documents; score is the attention model's log10
-    probability of the lower-cased text. A null text counts as an empty one, whose
-    only token is the end. Rows are scored one by one, whatever their ids, and
-    repeated rows each; other columns don't matter. Without training documents no
-    token is known and the model is its start. No documents give no rows.
-    """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    train = slim.where(~F.col("held_out"))
-    counts = written(word_counts(train), "word-counts")
+
+def _all_scores(slim: DataFrame, counts: DataFrame, model: tuple[attention.Lexicon, attention.Params] | None, folder: str, name: str, top_words: int) -> DataFrame:
+    """The columns of scores() from slim(doc_id, held_out, text) and written word counts; score is null without a model."""
     tokens, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
     rows = counts.where(F.octet_length("word") <= TOP_BYTES).orderBy(F.col("c").desc(), "word").limit(top_words).toArrow()
     top = dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist())) | ({END: ends} if ends else {})
-    encoding, _ = vocabularies.byte_bpe(folder, name)
-    seen = subword_counts(counts, folder, name)
-    lex = attention.lexicon(seen, [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)] + [b""])
-    params = train_model(train, lex, seen.sum() / attention.WINDOW + seen[-1], folder, name)
     # Written, so that the joins below don't score anything twice and the row numbers stay as they are.
-    done = written(_scored(slim, top, lex, params, folder, name).withColumn("row", F.monotonically_increasing_id()), "scored")
+    done = written(_scored(slim, top, model, folder, name).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = done.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("n_more"))
     return done.drop("rare").join(found, "row", "left").select(
@@ -322,3 +314,30 @@ def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocab
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(tokens + kinds + 1))).alias("base_score"),
         "score",
     )
+
+
+def base_scores(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
+    """scores() without the column score, for which alone a model is trained; these columns rest on the words only."""
+    slim = _slim(docs)
+    counts = written(word_counts(slim.where(~F.col("held_out"))), "word-counts")
+    return _all_scores(slim, counts, None, "", "", top_words).drop("score")
+
+
+def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocabularies.BYTE_BPE, top_words: int = TOP_WORDS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
+
+    base_score is the add-one log10 score of the document's words and its end under
+    the counts of the training documents; score is the attention model's log10
+    probability of the lower-cased text. A null text counts as an empty one, whose
+    only token is the end. Rows are scored one by one, whatever their ids, and
+    repeated rows each; other columns don't matter. Without training documents no
+    token is known and the model is its start. No documents give no rows.
+    """
+    slim = _slim(docs)
+    train = slim.where(~F.col("held_out"))
+    counts = written(word_counts(train), "word-counts")
+    encoding, _ = vocabularies.byte_bpe(folder, name)
+    seen = subword_counts(counts, folder, name)
+    lex = attention.lexicon(seen, [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)] + [b""])
+    params = train_model(train, lex, seen.sum() / attention.WINDOW + seen[-1], folder, name)
+    return _all_scores(slim, counts, (lex, params), folder, name, top_words)

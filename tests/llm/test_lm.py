@@ -243,3 +243,22 @@ def test_many_trainers_agree_with_the_data(spark, monkeypatch):
     odd = [(1000, "north stone " * 20), (1001, "north stones " * 20)]
     got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows + odd, "doc_id long, text string")).where("doc_id >= 1000").collect()}
     assert got[1000] > got[1001]
+
+
+@pytest.mark.parametrize("top", [3, 1 << 16])
+def test_base_scores_train_nothing(spark, monkeypatch, top):
+    monkeypatch.setattr(lm, "train_model", None)
+    rows = documents(120) + [(500, None), (501, ""), (None, "the End é"), (7, "the river"), (502, "neverseen " * 3), (503, "w" * 5000)]
+    got = lm.base_scores(spark.createDataFrame(rows, "doc_id long, text string"), top_words=top)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    got, expected = sorted([tuple(r) for r in got.collect()], key=key), sorted(plain_base(rows), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in expected]
+    assert np.allclose([r[5] for r in got], [r[5] for r in expected], rtol=1e-9)
+
+
+def test_query_of_base_counts_trains_nothing(spark, monkeypatch):
+    from rowmesh.llm import queries
+
+    monkeypatch.setattr(lm, "train_model", None)
+    assert queries.lm_base_counts(spark, "/root/testdata/sf0.001").count() > 0
