@@ -15,8 +15,10 @@ import os
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from .common import small
 
 #: Share of candidate merges that are skipped, and among how many keys a document's id chooses: all that the variant's type holds.
 DROPOUT, VARIANTS = 0.1, 1 << 31
+#: Documents that are encoded together; many of their stretches are the same.
+ROWS = 640
 #: Segmentations that a worker remembers at most (about 200 bytes each), and the longest stretch worth remembering.
 REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
 
@@ -38,6 +42,14 @@ _BLANK_BYTES = _BLANK.encode()
 _LAST = np.int32(2**31 - 1)
 
 
+def _hashes(keys: np.ndarray, buckets: int, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each key, and its slot before the bucket's displacement."""
+    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x & np.uint64(buckets - 1), x >> shift
+
+
 class Vocabulary:
     """Pieces of a SentencePiece BPE model with byte fallback, and the way from ids to bytes."""
 
@@ -80,14 +92,48 @@ class Vocabulary:
                 a, b = symbols.get(x[:cut]), symbols.get(x[cut:])
                 if a is not None and b is not None:
                     made[a << 32 | b] = (symbols[x], self.order[x])
-        self.pairs = np.array(sorted(made), np.int64)
-        self.made, self.made_order = np.array([made[k] for k in self.pairs.tolist()], np.int32).T.copy()
+        keys = np.array(sorted(made), np.int64)
+        self.shift, at = self._slots(keys)
+        # No pair of symbols, be they unknown, has the key -2.
+        self.pairs = np.full(1 << 64 - int(self.shift), -2, np.int64)
+        self.made, self.made_order = np.full((2, len(self.pairs)), -1, np.int32)
+        self.pairs[at] = keys
+        self.made[at], self.made_order[at] = np.array([made[k] for k in keys.tolist()], np.int32).reshape(-1, 2).T
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+        """A table with a slot for each key, found without a search: keys fall into buckets, each with a displacement that leads all its keys to free slots."""
+        bits = max(4, (2 * len(keys)).bit_length())
+        while True:
+            shift = np.uint64(64 - bits)
+            self.displaced = np.zeros(1 << bits - 3, np.uint64)
+            bucket, slot = _hashes(keys, len(self.displaced), shift)
+            order = np.argsort(bucket, kind="stable")
+            members = np.split(order, np.cumsum(np.bincount(bucket, minlength=len(self.displaced)))[:-1])
+            taken, at, slots = bytearray(1 << bits), np.zeros(len(keys), np.int64), slot.tolist()
+            for k in sorted(range(len(members)), key=lambda k: -len(members[k])):
+                mine = members[k].tolist()
+                if not mine:
+                    break
+                for d in range(1 << bits):
+                    found = [slots[i] ^ d for i in mine]
+                    if len(set(found)) == len(found) and not any(map(taken.__getitem__, found)):
+                        break
+                else:
+                    break
+                self.displaced[k] = d
+                at[mine] = found
+                for x in found:
+                    taken[x] = 1
+            if sum(taken) == len(keys):
+                return shift, at
+            bits += 1
 
     def meet(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What symbols a and b make, and its place in the order of merges (_LAST where they make nothing)."""
         key = a.astype(np.int64) << 32 | b
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        fits = (self.pairs[at] == key) & (b >= 0)
+        bucket, slot = _hashes(key, len(self.displaced), self.shift)
+        at = slot ^ self.displaced[bucket]
+        fits = self.pairs[at] == key
         return np.where(fits, self.made[at], -1), np.where(fits, self.made_order[at], _LAST)
 
     def fallback(self, text: str) -> list[int]:
@@ -160,8 +206,17 @@ def _by_heap(v: Vocabulary, s: str, base: int, skip: int) -> list[int]:
     return [e for e in end if e]
 
 
-def merged_together(v: Vocabulary, stretches: list[str], bases: np.ndarray, skip: int, trace: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes | None]:
-    """Ids of many short stretches (2 bytes each, native order), merged in step; None where one has a character that no piece holds.
+def merged_together(v: Vocabulary, stretches: list[str], bases: np.ndarray, skip: int) -> list[bytes | None]:
+    """Ids of many short stretches (2 bytes each, native order), merged in step; None where one has a character that no piece holds."""
+    ids, counts, known = merged_in_step(v, stretches, bases, skip)
+    data, ends = ids.tobytes(), np.cumsum(counts * 2).tolist()
+    return [data[e - 2 * n : e] if ok else None for e, n, ok in zip(ends, counts.tolist(), known.tolist())]
+
+
+def merged_in_step(
+    v: Vocabulary, stretches: list[str], bases: np.ndarray, skip: int, trace: list[tuple[np.ndarray, np.ndarray]] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of many short stretches (uint16), one after the other, how many each has, and whether they hold: not where one has a character that no piece holds.
 
     Into `trace` goes, step by step, which stretches had a candidate and what its place adds to the base.
 
@@ -178,11 +233,11 @@ def merged_together(v: Vocabulary, stretches: list[str], bases: np.ndarray, skip
     known = (symbol >= 0).sum(axis=1) == sizes
     after = np.where(inside, place + 1, width - 1).astype(np.int64)
     before = np.broadcast_to(place - 1, (rows, width)).copy()
-    worth = np.full((rows, width), _LAST, np.int32)
+    worth, makes = np.full((rows, width), _LAST, np.int32), np.full((rows, width), -1, np.int32)
     if width > 1:
-        worth[:, :-1] = v.meet(symbol[:, :-1], symbol[:, 1:])[1]
+        makes[:, :-1], worth[:, :-1] = v.meet(symbol[:, :-1], symbol[:, 1:])
     alive = inside.copy()
-    S, A, B, G, W = symbol.ravel(), after.ravel(), before.ravel(), alive.ravel(), worth.ravel()
+    S, A, B, G, W, M = symbol.ravel(), after.ravel(), before.ravel(), alive.ravel(), worth.ravel(), makes.ravel()
     live = np.flatnonzero(known)
     while len(live):
         k = worth[live].argmin(axis=1)
@@ -204,26 +259,35 @@ def merged_together(v: Vocabulary, stretches: list[str], bases: np.ndarray, skip
             row, at, mid, end = row[go], at[go], mid[go], end[go]
             k = k[go]
         gone = row + mid
-        S[at] = v.meet(S[at], S[gone])[0]
+        now = S[at] = M[at]
         G[gone], W[gone] = False, _LAST
         A[at] = end
         # The place past a row's end holds no symbol, so nothing is made with it.
         B[row + end] = k
-        W[at] = v.meet(S[at], S[row + end])[1]
+        M[at], W[at] = v.meet(now, S[row + end])
         left = B[at]
         has = left >= 0
         back = (row + left)[has]
-        W[back] = v.meet(S[back], S[at[has]])[1]
+        M[back], W[back] = v.meet(S[back], now[has])
     which = v.symbol_id[symbol[alive]]
     counts = alive.sum(axis=1)
     # A character of pieces that is no piece itself needs the byte pieces.
     known &= np.bincount(np.repeat(np.arange(rows), counts), which < 0, rows) == 0
-    data, ends = which.astype(np.uint16).tobytes(), np.cumsum(counts * 2).tolist()
-    return [data[e - 2 * n : e] if ok else None for e, n, ok in zip(ends, counts.tolist(), known.tolist())]
+    return which.astype(np.uint16), counts, known
+
+
+def _spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other: each from its first on, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(firsts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 #: Stretches up to this length are merged together, so many at a time.
 _SHORT, _TOGETHER = (8, 16, 40), 16_384
+#: What a worker remembers of a stretch, in numbers of 2 bytes: its own hash (2), how many ids it has where nothing is
+#: skipped (_NO_IDS where it must be merged by itself), how many candidates lie on the way there, the ids, and what each
+#: candidate's place adds to the base (2 each).
+_HEAD, _NO_IDS = 4, 0xFFFF
 
 
 class Encoder:
@@ -241,8 +305,9 @@ class Encoder:
             raise ValueError("ids go into two bytes")
         self.v, self.key, self.skip = v, key, round(dropout * 2**32)
         # Two generations: what is met again moves to the younger; the older goes when the younger is full.
-        self.young: dict[int, dict[str, tuple]] = {0: {}}
-        self.old: dict[int, dict[str, tuple]] = {0: {}}
+        # An entry is one string of bytes, which the garbage collector passes by.
+        self.young: dict[int, dict[str, bytes]] = {0: {}}
+        self.old: dict[int, dict[str, bytes]] = {0: {}}
 
     def _stretch(self, s: str, base: int) -> bytes:
         # A blank sign of the source is no blank: it goes through the byte pieces, so that decoding gives it back.
@@ -254,23 +319,33 @@ class Encoder:
                 out.extend(_merged(self.v, part, base + k * 0x9E3779B1 & 0xFFFFFFFF, self.skip))
         return out.tobytes()
 
-    def _new(self, stretches: list[str]) -> dict[str, tuple[bytes | None, bytes, int]]:
-        """Of each stretch its ids where nothing is skipped, the candidates on the way (4 bytes each), and its own hash; no ids where it must be merged by itself."""
-        found: dict[str, tuple[bytes | None, bytes, int]] = {}
+    def _new(self, stretches: list[str]) -> list[bytes]:
+        """An entry for each stretch, see _HEAD; one without ids where it must be merged by itself."""
+        own = np.fromiter(map(xxhash.xxh32_intdigest, stretches), np.uint32, len(stretches))
+        head = np.empty((len(stretches), _HEAD), np.uint16)
+        head[:, :2], head[:, 2], head[:, 3] = own.view(np.uint16).reshape(-1, 2), _NO_IDS, 0
+        found = [head[k].tobytes() for k in range(len(stretches))]
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         least = 0
         for most in _SHORT:
-            some = [s for s in stretches if least < len(s) <= most]
+            some = np.flatnonzero((sizes > least) & (sizes <= most))
             least = most
             for at in range(0, len(some), _TOGETHER):
                 part, trace = some[at : at + _TOGETHER], []
-                ids = merged_together(self.v, part, np.zeros(len(part), np.uint64), 0, trace)
+                ids, n_ids, known = merged_in_step(self.v, [stretches[i] for i in part.tolist()], np.zeros(len(part), np.uint64), 0, trace)
                 rows = np.concatenate([r for r, _ in trace] or [np.zeros(0, np.int64)])
-                spots = np.concatenate([x for _, x in trace] or [np.zeros(0, np.uint32)])[np.argsort(rows, kind="stable")].tobytes()
-                ends = (4 * np.cumsum(np.bincount(rows, minlength=len(part)))).tolist()
-                found.update((s, (x, spots[a:b], xxhash.xxh32_intdigest(s.encode()))) for s, x, a, b in zip(part, ids, [0, *ends], ends))
-        for s in stretches:
-            if s not in found:
-                found[s] = (None, b"", xxhash.xxh32_intdigest(s.encode()))
+                spots = np.concatenate([x for _, x in trace] or [np.zeros(0, np.uint32)])[np.argsort(rows.astype(np.uint16), kind="stable")]
+                n_spots = np.bincount(rows, minlength=len(part))
+                lengths = _HEAD + n_ids + 2 * n_spots
+                ends = np.cumsum(lengths)
+                begins, data = ends - lengths, np.empty(lengths.sum(), np.uint16)
+                data[begins], data[begins + 1], data[begins + 2], data[begins + 3] = head[part, 0], head[part, 1], n_ids, n_spots
+                data[_spread(begins + _HEAD, n_ids)] = ids
+                data[_spread(begins + _HEAD + n_ids, 2 * n_spots)] = spots.view(np.uint16)
+                data = data.tobytes()
+                for i, a, b, ok in zip(part.tolist(), (2 * begins).tolist(), (2 * ends).tolist(), known.tolist()):
+                    if ok:
+                        found[i] = data[a:b]
         return found
 
     def encode_all(self, texts: list[str | None], variants: list[int]) -> list[np.ndarray]:
@@ -297,57 +372,75 @@ class Encoder:
     def _group(self, parts: list[tuple[int, str]], begins: np.ndarray, keys: list[int], out: list[bytearray]) -> None:
         cut = [self.v.stretch.findall(part) for _, part in parts]
         counts = np.array(list(map(len, cut)), np.int64)
-        all_ = [s for stretches in cut for s in stretches]
-        table = self._table(set(all_))
-        number = {s: k for k, s in enumerate(table)}
+        all_ = list(chain.from_iterable(cut))
+        # Stretches are numbered as they are met.
+        number: dict[str, int] = defaultdict(count().__next__)
         which = np.fromiter(map(number.__getitem__, all_), np.int64, len(all_))
-        entries = list(table.values())
-        done = [entries[k][0] for k in which.tolist()]
+        entries = self._table(list(number))
+        # The ids of each stretch are a run in one of the pools, which are laid end to end; the entries are the first.
+        pools = [b"".join(entries)]
+        data = np.frombuffer(pools[0], np.uint16)
+        upto, lengths = len(data), np.fromiter(map(len, entries), np.int64, len(entries)) // 2
+        heads = np.cumsum(lengths) - lengths
+        n_ids, n_spots = data[heads + 2].astype(np.int64), data[heads + 3].astype(np.int64)
+        alone = n_ids == _NO_IDS
+        n_ids[alone] = 0
+        first, n, alone = (heads + _HEAD)[which], n_ids[which], alone[which]
         if self.skip:
             sizes = np.fromiter(map(len, all_), np.int64, len(all_))
             ends = np.cumsum(sizes)
             firsts = np.cumsum(counts) - counts
             part_begin = begins - (ends - sizes)[np.minimum(firsts, len(all_) - 1)]
             at = ends - sizes + np.repeat(part_begin, counts)
-            own = np.array([e[2] for e in entries], np.uint64)
+            own = data[heads].astype(np.uint64) | data[heads + 1].astype(np.uint64) << np.uint64(16)
             bases = _bases(own[which], np.repeat(np.array([keys[k] for k, _ in parts], np.uint64), counts), at)
-            spots = np.frombuffer(b"".join(e[1] for e in entries), np.uint32)
-            n = np.array([len(e[1]) // 4 for e in entries], np.int64)
-            starts, mine = (np.cumsum(n) - n)[which], n[which]
-            place = np.repeat(starts - np.cumsum(mine) + mine, mine) + np.arange(mine.sum())
-            over = _lowest(np.repeat(bases.astype(np.uint32), mine) + spots[place], self.skip)
-            changed = np.unique(np.repeat(np.arange(len(all_)), mine)[over])
+            spots, mine = data[_spread(heads + _HEAD + n_ids, 2 * n_spots)].view(np.uint32), n_spots[which]
+            over = _lowest(np.repeat(bases.astype(np.uint32), mine) + spots[_spread((np.cumsum(n_spots) - n_spots)[which], mine)], self.skip)
+            hit = np.zeros(len(all_), bool)
+            hit[np.repeat(np.arange(len(all_)), mine)[over]] = True
+            changed = np.flatnonzero(hit)
             least = 0
             for most in _SHORT:
                 some = changed[(sizes[changed] > least) & (sizes[changed] <= most)]
                 least = most
                 for k in range(0, len(some), _TOGETHER):
-                    part = some[k : k + _TOGETHER].tolist()
-                    for i, ids in zip(part, merged_together(self.v, [all_[i] for i in part], bases[part], self.skip)):
-                        done[i] = ids
-        alone: dict[tuple[str, int], bytes] = {}
-        for i, ids in enumerate(done):
-            if ids is None:
-                base = int(bases[i]) if self.skip else 0
-                if (found := alone.get((all_[i], base))) is None:
-                    found = alone[all_[i], base] = self._stretch(all_[i], base)
-                done[i] = found
-        i = 0
-        for (k, _), n_mine in zip(parts, counts.tolist()):
-            out[k] += b"".join(done[i : i + n_mine])
-            i += n_mine
-
-    def _table(self, seen: set[str]) -> dict[str, tuple[bytes | None, bytes, int]]:
-        """What is remembered, or found now, of each stretch."""
+                    part = some[k : k + _TOGETHER]
+                    ids, made, known = merged_in_step(self.v, [all_[i] for i in part.tolist()], bases[part], self.skip)
+                    first[part], n[part], alone[part] = upto + np.cumsum(made) - made, made, ~known
+                    pools.append(ids.tobytes())
+                    upto += len(ids)
+        met: dict[tuple[str, int], tuple[int, int]] = {}
+        for i in np.flatnonzero(alone).tolist():
+            base = int(bases[i]) if self.skip else 0
+            if (found := met.get((all_[i], base))) is None:
+                pools.append(self._stretch(all_[i], base))
+                found = met[all_[i], base] = upto, len(pools[-1]) // 2
+                upto += found[1]
+            first[i], n[i] = found
+        ids = np.frombuffer(b"".join(pools), np.uint16)[_spread(first, n)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)].tolist()
+        for (k, _), a, b in zip(parts, [0, *ends], ends):
+            out[k] += ids[2 * a : 2 * b]
+
+    def _table(self, seen: list[str]) -> list[bytes]:
+        """What is remembered, or found now, of each of these different stretches."""
         young, old = self.young[0], self.old[0]
-        table = {s: known for s in seen if (known := young.get(s) or old.get(s)) is not None}
-        table |= self._new([s for s in seen if s not in table])
-        for s, known in table.items():
-            if len(s) <= LONGEST_REMEMBERED and s not in young:
+        table, rest, new = [], [], []
+        for k, s in enumerate(seen):
+            if (known := young.get(s)) is None:
+                rest.append(k)
+                if (known := old.get(s)) is None:
+                    new.append(k)
+            table.append(known)
+        for k, known in zip(new, self._new([seen[k] for k in new])):
+            table[k] = known
+        for k in rest:
+            s = seen[k]
+            if len(s) <= LONGEST_REMEMBERED:
                 if len(young) >= REMEMBERED // 2:
                     self.old[0], self.young[0] = young, {}
                     young = self.young[0]
-                young[s] = known
+                young[s] = table[k]
         return table
 
     def encode(self, text: str | None, variant: int = 0) -> list[int]:
@@ -401,7 +494,7 @@ def encoded(
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(folder, name, dropout, key)
-        for batch in small(batches):
+        for batch in small(batches, ROWS):
             chosen = [variant_of(i, variants) for i in batch.column(0).to_pylist()]
             ids = encoder.encode_all(batch.column(batch.num_columns - 1).to_pylist(), chosen)
             ends = np.cumsum([0, *map(len, ids)])
@@ -437,7 +530,7 @@ def encoded_digests(
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(folder, name, dropout, key)
         low, high = min(encoder.v.bytes_ids), max(encoder.v.bytes_ids)
-        for batch in small(batches):
+        for batch in small(batches, ROWS):
             rows = []
             texts, chosen = batch.column(1).to_pylist(), [variant_of(i, variants) for i in batch.column(0).to_pylist()]
             for text, variant, ids in zip(texts, chosen, encoder.encode_all(texts, chosen)):

@@ -145,3 +145,45 @@ def test_remembered_stretches_against_merging_each(monkeypatch):
         assert ids.tolist() == expected
     monkeypatch.setattr(s, "PART", 300)
     assert [x.tolist() for x in s.Encoder(V, 0.2, key=3).encode_all(texts, list(range(len(texts))))] == [x.tolist() for x in got]
+
+
+def test_every_pair_is_met_at_once():
+    """meet() needs no search, and agrees with the pieces for pairs that make one, that make none, and that hold unknown symbols."""
+    symbols = {k: x for x, k in zip(V.ids, range(len(V.ids)))}
+    made = {(a, b): (c, V.order[symbols[c]]) for key, c in zip(V.pairs.tolist(), V.made.tolist()) if key >= 0 for a, b in [(key >> 32, key & 0xFFFFFFFF)]}
+    assert len(made) > 50_000 and all(c in symbols for c, _ in made.values())
+    assert all(symbols[a] + symbols[b] == symbols[c] for (a, b), (c, _) in made.items() if a in symbols and b in symbols)
+    rng = s.np.random.default_rng(1)
+    n = len(V.symbol_id)
+    pairs = [*made, *map(tuple, rng.integers(-1, n, (20_000, 2)).tolist()), (-1, -1), (-1, 0), (0, -1)]
+    a, b = s.np.array(pairs, s.np.int32).T
+    which, order = V.meet(a, b)
+    assert list(zip(which.tolist(), order.tolist())) == [made.get(p, (-1, int(s._LAST))) for p in pairs]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 37, 5000])
+def test_slots_of_any_number_of_pairs(n):
+    v = object.__new__(s.Vocabulary)
+    keys = s.np.unique(s.np.random.default_rng(n).integers(0, 1 << 45, n))
+    shift, at = v._slots(keys)
+    assert len(set(at.tolist())) == len(keys) and (not n or at.max() < 1 << 64 - int(shift))
+
+
+def test_what_is_remembered_is_not_walked_by_the_garbage_collector():
+    import gc
+
+    encoder = s.Encoder(V, 0.1)
+    encoder.encode_all([t for t in samples()], list(range(len(samples()))))
+    entries = list(encoder.young[0].values())
+    assert len(entries) > 100 and not any(map(gc.is_tracked, entries))
+
+
+def test_groups_of_any_size_give_the_same_ids(monkeypatch):
+    """Remembered or new, alone or with others, in one group or many, with characters that no piece holds."""
+    texts = samples() + ["a🦊b 🦊 ▁x", "▁", "word " * 50 + "y" * 60]
+    one = [x.tolist() for x in s.Encoder(V, 0.3).encode_all(texts, list(range(len(texts))))]
+    monkeypatch.setattr(s, "PART", 50)
+    monkeypatch.setattr(s, "_TOGETHER", 7)
+    monkeypatch.setattr(s, "REMEMBERED", 20)
+    encoder = s.Encoder(V, 0.3)
+    assert [encoder.encode(t, k) for k, t in enumerate(texts)] == one
