@@ -217,11 +217,14 @@ def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def averaged(found: DataFrame, trainers: int) -> np.ndarray | None:
-    """The weighted mean of changes(trainer, slice, weight, p), numbered below `trainers`, in groups of FAN_IN at a time; None without any.
+    """The weighted mean of changes(trainer, slice, weight, p), of about `trainers`, in groups of FAN_IN at a time; None without any.
 
     Each slice goes its own way, so a task holds two slices, whatever the number of
-    trainers and parameters. The sums run in the order of the trainers.
+    trainers and parameters. The sums run in the order of the trainers. How many
+    there are is read from the rows, as more tasks than were asked for may have
+    trained; the driver gets one row a slice in any case.
     """
+    trainers = max(trainers, (found.agg(F.max("trainer")).first()[0] or 0) + 1)
     while trainers > 1:
         grouped = found.withColumn("g", F.floor(F.col("trainer") / FAN_IN)).repartition("g", "slice").sortWithinPartitions("g", "slice", "trainer")
         found = grouped.mapInArrow(_means, "trainer long, slice int, weight double, p binary")
@@ -243,7 +246,8 @@ def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, fold
         expected = n_windows * part / sum(SHARES)
         # Many windows for each trainer keep the parameters that are averaged few beside them.
         trainers = max(1, math.ceil(expected / min(MOST_WINDOWS, max(TRAINER_WINDOWS, expected / TRAINERS))))
-        windows = training_windows(mine, lex, folder, name).repartition(trainers, "k").sortWithinPartitions("k", "ids")
+        # A shuffle may have more partitions than asked for; trainers with few windows each would learn little and hand on much.
+        windows = training_windows(mine, lex, folder, name).repartition(trainers, "k").coalesce(trainers).sortWithinPartitions("k", "ids")
         found = written(windows.mapInArrow(_train_share(params, lex), "trainer long, slice int, weight double, p binary"), "trained")
         if (mean := averaged(found, trainers)) is not None:
             params = params + mean

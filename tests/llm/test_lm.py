@@ -245,6 +245,27 @@ def test_many_trainers_agree_with_the_data(spark, monkeypatch):
     assert got[1000] > got[1001]
 
 
+@pytest.mark.parametrize("asked, there", [(1, 7), (3, 211)])
+def test_average_over_more_trainers_than_asked_for(spark, asked, there):
+    """The driver gets one row a slice, whatever the number of trainers that a shuffle made."""
+    values = np.random.default_rng(there).standard_normal((there, 20)).astype("<f4")
+    rows = [(k, at // 16, 1.0, values[k, at : at + 16].tobytes()) for k in range(there) for at in range(0, 20, 16)]
+    got = lm.averaged(spark.createDataFrame(rows, "trainer long, slice int, weight double, p binary"), asked)
+    assert got.shape == (20,) and np.allclose(got, values.mean(axis=0), rtol=1e-5, atol=1e-6)
+
+
+def test_trainers_as_asked_for_where_shuffles_have_more_partitions(spark, monkeypatch):
+    """Where a shuffle makes more partitions than asked for, no more tasks train."""
+    kind = type(spark.range(1))
+    monkeypatch.setattr(lm, "TRAINER_WINDOWS", 200)
+    many, plain, seen = kind.repartition, lm.averaged, []
+    wider = lambda self, n, *columns: many(self, max(n, 20), *columns) if isinstance(n, int) and columns else many(self, n, *columns)
+    monkeypatch.setattr(kind, "repartition", wider)
+    monkeypatch.setattr(lm, "averaged", lambda found, n: seen.append((n, found.select("trainer").distinct().count())) or plain(found, n))
+    rows = lm.scores(spark.createDataFrame(documents(300), "doc_id long, text string")).collect()
+    assert len(rows) == 300 and len(seen) == len(lm.SHARES) and all(there <= n for n, there in seen)
+
+
 @pytest.mark.parametrize("top", [3, 1 << 16])
 def test_base_scores_train_nothing(spark, monkeypatch, top):
     monkeypatch.setattr(lm, "train_model", None)
