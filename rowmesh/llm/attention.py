@@ -24,8 +24,8 @@ _SAFE = 60.0
 Params = dict[str, np.ndarray]
 
 
-#: Parameters with a row for each subword or node.
-_TABLES = ("E", "t", "d")
+#: More than any subword has choices.
+_MOST = np.uint16(65535)
 
 
 def shapes(rows: int = ROWS) -> dict[str, tuple[int, ...]]:
@@ -58,32 +58,39 @@ def unflat(values: np.ndarray) -> Params:
     return out
 
 
-def _softmax(x: np.ndarray) -> None:
-    """In place, over the last axis."""
-    was, ones = x, np.ones(x.shape[-1], x.dtype)
+def _softmax(x: np.ndarray, times: np.ndarray | None = None) -> None:
+    """In place, over the last axis; each row times a number, if there are any."""
+    ones = np.ones(x.shape[-1], x.dtype)
     # One maximum for all rows does, unless some row lies far below it.
-    e = np.exp(x - x.max())
-    total = e @ ones
+    e = x - x.max()
+    total = np.exp(e, out=e) @ ones
     if total.min() < 1e-25:
-        e = np.exp(x - x.max(axis=-1, keepdims=True))
-        total = e @ ones
-    np.divide(e, total[..., None], out=was)
+        np.subtract(x, x.max(axis=-1, keepdims=True), out=e)
+        total = np.exp(e, out=e) @ ones
+    np.multiply(e, ((1 if times is None else times) / total)[..., None], out=x)
 
 
 @dataclass
 class Choices:
-    """The two-way choices that lead to the targets: at which place, at which node, which way (1 or -1), and the node's log odds."""
+    """The two-way choices that lead to the targets: at which place, at which node, which way (1 or -1), and the node's log odds.
+
+    First come the first choices of all targets, then the second ones of those that have one, and so on: the
+    targets with more choices stand before those with fewer, so each level is that of the one before it, cut short to its size.
+    """
 
     place: np.ndarray
     node: np.ndarray
     way: np.ndarray
     odds: np.ndarray
+    sizes: list[int]
 
 
 def _gathered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of `values` by their place among n."""
-    d = values.shape[1]
-    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d).astype(values.dtype)
+    out, columns = np.empty((n, values.shape[1]), values.dtype), np.ascontiguousarray(values.T, np.float64)
+    for k, column in enumerate(columns):
+        out[:, k] = np.bincount(at, column, n)
+    return out
 
 
 def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.ndarray, choices: Choices | None = None, with_loss: bool = True) -> tuple[float, Params]:
@@ -95,29 +102,32 @@ def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.
     # Two-dimensional where a product runs over all places, three-dimensional where it stays within a window.
     flat2 = lambda x: x.reshape(n * w, -1)
     deep = lambda x: x.reshape(n, w, -1)
+    # What the attention gathers and the subword itself go through one product.
+    both = np.empty((n * w, 2 * WIDTH), p["E"].dtype)
     e = p["E"].take(rows.ravel(), axis=0)
-    q, k, v = deep(e @ p["q"]), deep(e @ p["k"]), deep(e @ p["v"])
+    qkv = np.hstack([p["q"] * e.dtype.type(scale), p["k"], p["v"]])
+    q, k, v = (deep(e @ np.ascontiguousarray(x)) for x in np.split(qkv, 3, axis=1))
     a = q @ k.transpose(0, 2, 1)
-    a *= scale
     a += far
     _softmax(a)
-    c = flat2(a @ v)
-    # What the attention gathers and the subword itself go through one product.
-    both, out = np.hstack([c, e]), np.vstack([p["o"], p["r"]])
+    both[:, :WIDTH], both[:, WIDTH:] = flat2(a @ v), e
+    out = np.vstack([p["o"], p["r"]])
     y = both @ out
     y += p["b"]
-    _softmax(y)
     real, each, goal = real.ravel(), np.arange(n * w), target.ravel()
     count = max(1, int(real.sum()))
-    loss = float(-(np.log(np.maximum(y[each, goal], 1e-30)) * real).sum() / count) if with_loss else 0.0
+    part = (real / y.dtype.type(count)).astype(y.dtype)
+    if with_loss:
+        _softmax(y)
+        loss = float(-(np.log(np.maximum(y[each, goal], 1e-30)) * real).sum() / count)
+        y *= part[:, None]
+    else:
+        loss = 0.0
+        _softmax(y, part)
     dy = y
-    dy[each, goal] -= 1
-    dy *= (real / y.dtype.type(count)).astype(y.dtype)[:, None]
+    dy[each, goal] -= part
     g_out, d_both = both.T @ dy, dy @ out.T
     g = {"o": g_out[:WIDTH], "r": g_out[WIDTH:], "b": np.ones(len(dy), dy.dtype) @ dy}
-    dc, de, dh = d_both[:, :WIDTH], d_both[:, WIDTH:], None
-    for name in ("w", "u", "t", "d"):
-        g[name] = np.zeros_like(p[name])
     if choices is not None and len(choices.place):
         wu = np.vstack([p["w"], p["u"]])
         h = (both @ wu).take(choices.place, axis=0)
@@ -127,22 +137,36 @@ def loss_and_gradient(p: Params, rows: np.ndarray, target: np.ndarray, real: np.
             loss += float(np.logaddexp(0, -z).sum() / count)
         dz = (-choices.way / (1 + np.exp(np.clip(z, -_SAFE, _SAFE))) / h.dtype.type(count)).astype(h.dtype)
         g["d"] = np.bincount(choices.node, dz, len(p["d"])).astype(h.dtype)
-        g["t"] = _gathered(choices.node, dz[:, None] * h, len(p["t"]))
-        dh = _gathered(choices.place, dz[:, None] * t, n * w)
-        g_wu, d_more = both.T @ dh, dh @ wu.T
+        h *= dz[:, None]
+        g["t"] = _gathered(choices.node, h, len(p["t"]))
+        t *= dz[:, None]
+        # Each level adds to the first places of the one before it.
+        at = upto = choices.sizes[0]
+        for size in choices.sizes[1:]:
+            t[:size] += t[upto : upto + size]
+            upto += size
+        dh = np.zeros((n * w, WIDTH), h.dtype)
+        dh[choices.place[:at]] = t[:at]
+        g_wu = both.T @ dh
+        d_both += dh @ wu.T
         g["w"], g["u"] = g_wu[:WIDTH], g_wu[WIDTH:]
-        dc, de = dc + d_more[:, :WIDTH], de + d_more[:, WIDTH:]
-    dc = deep(dc)
+    else:
+        for name in ("w", "u", "t", "d"):
+            g[name] = np.zeros_like(p[name])
+    dc, de = deep(np.ascontiguousarray(d_both[:, :WIDTH])), d_both[:, WIDTH:]
     ds = dc @ v.transpose(0, 2, 1)
     ds -= np.einsum("nij,nij->ni", ds, a)[..., None]
     ds *= a
-    g["far"] = np.bincount(np.maximum(lag, 0).ravel(), (ds.sum(axis=0) * (lag >= 0)).ravel(), WINDOW).astype(p["E"].dtype)
-    ds *= scale
-    dq, dk, dv = flat2(ds @ k), flat2(ds.transpose(0, 2, 1) @ q), flat2(a.transpose(0, 2, 1) @ dc)
-    d_qkv = np.hstack([dq, dk, dv])
+    by_lag = np.ones(n, ds.dtype) @ ds.reshape(n, w * w)
+    g["far"] = np.bincount(np.maximum(lag, 0).ravel(), by_lag * (lag >= 0).ravel(), WINDOW).astype(p["E"].dtype)
+    d_qkv = np.empty((n * w, 3 * WIDTH), ds.dtype)
+    d_qkv[:, :WIDTH] = flat2(ds @ k)
+    # The queries hold the scale already.
+    d_qkv[:, WIDTH : 2 * WIDTH] = flat2(ds.transpose(0, 2, 1) @ q)
+    d_qkv[:, 2 * WIDTH :] = flat2(a.transpose(0, 2, 1) @ dc)
     g_qkv = e.T @ d_qkv
-    g["q"], g["k"], g["v"] = g_qkv[:, :WIDTH], g_qkv[:, WIDTH : 2 * WIDTH], g_qkv[:, 2 * WIDTH :]
-    de = de + d_qkv @ np.hstack([p["q"], p["k"], p["v"]]).T
+    g["q"], g["k"], g["v"] = g_qkv[:, :WIDTH] * g_qkv.dtype.type(scale), g_qkv[:, WIDTH : 2 * WIDTH], g_qkv[:, 2 * WIDTH :]
+    de = de + d_qkv @ qkv.T
     g["E"] = _gathered(rows.ravel(), de, len(p["E"]))
     return loss, g
 
@@ -156,14 +180,25 @@ def _some(values: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, lookup[values]
 
 
+#: Parameters without rows, and the tables that go by subword and by node.
+_WHOLE, _BY_ROW, _BY_NODE = ("q", "k", "v", "o", "r", "b", "far", "w", "u"), ("E",), ("t", "d")
+
+
 class Trainer:
     """Adam from given parameters, which stay as they are; of the tables with a row for each subword or node, a step changes only the rows it meets."""
 
     def __init__(self, start: Params, lex: Lexicon, rate: float, seed: int = 3):
-        self.p = {k: x.copy() for k, x in start.items()}
-        self.first, self.second = ({k: np.zeros_like(x) for k, x in start.items()} for _ in range(2))
+        # Side by side: parameters, their first and their second moments.
+        self.whole = np.stack([np.concatenate([start[k].ravel() for k in _WHOLE]), *np.zeros((2, sum(start[k].size for k in _WHOLE)), np.float32)])
+        n = len(start["E"])
+        self.by_row, self.by_node = np.zeros((n, 3, WIDTH), np.float32), np.zeros((n, 3, WIDTH + 1), np.float32)
+        self.by_row[:, 0], self.by_node[:, 0, :WIDTH], self.by_node[:, 0, WIDTH] = start["E"], start["t"], start["d"]
+        self.p, at = {"E": self.by_row[:, 0], "t": self.by_node[:, 0, :WIDTH], "d": self.by_node[:, 0, WIDTH]}, 0
+        for k in _WHOLE:
+            self.p[k] = self.whole[0, at : at + start[k].size].reshape(start[k].shape)
+            at += start[k].size
         self.lex, self.rate, self.steps = lex, rate, 0
-        self.lookup, self.rng = np.zeros(len(start["E"]), np.int64), np.random.default_rng(seed)
+        self.lookup, self.rng = np.zeros(n, np.int64), np.random.default_rng(seed)
 
     def learn(self, ids: np.ndarray, real: np.ndarray) -> None:
         """Once over the windows (rows of ids, each the target of the one before it, where `real`) in seeded order."""
@@ -172,21 +207,34 @@ class Trainer:
             self._step(ids[order[at : at + STEP_WINDOWS]], real[order[at : at + STEP_WINDOWS]])
 
     def _step(self, ids: np.ndarray, real: np.ndarray) -> None:
-        p, lex, goal = self.p, self.lex, ids[:, 1:]
+        lex, goal = self.lex, ids[:, 1:]
         met, rows = _some(lex.row[ids[:, :-1]], self.lookup)
         place = np.flatnonzero(real.ravel())
         choices = lex.choices(place, goal.ravel()[place])
         nodes, choices.node = _some(choices.node, self.lookup)
-        part = {k: met if k == "E" else nodes if k in _TABLES else slice(None) for k in p}
-        _, g = loss_and_gradient({k: p[k][part[k]] for k in p}, rows, lex.cls[goal].astype(np.int64), real, choices, with_loss=False)
+        row, node = self.by_row.take(met, axis=0), self.by_node.take(nodes, axis=0)
+        p = self.p | {"E": row[:, 0], "t": np.ascontiguousarray(node[:, 0, :WIDTH]), "d": node[:, 0, WIDTH]}
+        _, g = loss_and_gradient(p, rows, lex.cls[goal].astype(np.int64), real, choices, with_loss=False)
         self.steps += 1
-        size, scale = self.rate / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
-        for k, at in part.items():
-            m, s, d = self.first[k][at], self.second[k][at], g[k]
-            m += 0.1 * (d - m)
-            s += 0.01 * (d * d - s)
-            self.first[k][at], self.second[k][at] = m, s
-            p[k][at] -= size * m / (np.sqrt(scale * s) + 1e-8)
+        self._adam(self.whole, np.concatenate([g[k].ravel() for k in _WHOLE]))
+        self._adam(row.transpose(1, 0, 2), g["E"])
+        self._adam(node.transpose(1, 0, 2), np.hstack([g["t"], g["d"][:, None]]))
+        self.by_row[met], self.by_node[nodes] = row, node
+
+    def _adam(self, state: np.ndarray, g: np.ndarray) -> None:
+        """One step of parameters and their moments, in place."""
+        size, scale = np.float32(self.rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
+        p, m, s = state
+        m += np.float32(0.1) * (g - m)
+        g = g * g
+        g -= s
+        g *= np.float32(0.01)
+        s += g
+        by = np.sqrt(scale * s)
+        by += np.float32(1e-8)
+        np.divide(m, by, out=by)
+        by *= size
+        p -= by
 
 
 def train(start: Params, lex: Lexicon, ids: np.ndarray, real: np.ndarray, passes: int, rate: float, seed: int = 3) -> Params:
@@ -213,13 +261,21 @@ class Lexicon:
     ways: np.ndarray
     odds: np.ndarray
 
+    def __post_init__(self):
+        self.lengths = np.diff(self.begins).astype(np.uint16)
+
     def choices(self, place: np.ndarray, ids: np.ndarray) -> Choices:
         """The choices that lead to the ids, each at its place."""
-        lo = self.begins[ids]
-        n = self.begins[ids + 1] - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        node = self.nodes[at].astype(np.int64)
-        return Choices(np.repeat(place, n), node, self.ways[at], self.odds[node])
+        lo, n = self.begins.take(ids), self.lengths.take(ids)
+        order = np.argsort(_MOST - n, kind="stable")
+        lo, place = lo.take(order), place.take(order)
+        # How many have a first choice, a second one, and so on.
+        sizes = len(ids) - np.cumsum(np.bincount(n))[:-1]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = lo.take(within)
+        at += np.repeat(np.arange(len(sizes)), sizes)
+        node = self.nodes.take(at)
+        return Choices(place.take(within), node, self.ways.take(at), self.odds.take(node), sizes.tolist())
 
     @property
     def end(self) -> int:
@@ -286,7 +342,7 @@ class Scorer:
         self.v = np.hstack([np.vstack([p["E"] @ p["v"], blank]), one]).astype(np.float32)
         self.o = p["o"]
         self.r = np.vstack([p["E"] @ p["r"] + p["b"], np.zeros((1, CLASSES), np.float32)]).astype(np.float32)
-        self.w, self.t, self.d = p["w"], p["t"], p["d"]
+        self.w, self.t, self.d = (np.ascontiguousarray(p[k]) for k in ("w", "t", "d"))
         self.u = np.vstack([p["E"] @ p["u"], blank]).astype(np.float32)
         lag = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)
         self.far = np.where(lag < 0, _FAR, p["far"][np.maximum(lag, 0)]).astype(np.float32)

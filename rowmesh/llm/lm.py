@@ -2,7 +2,8 @@
 
 Counts are taken over all training documents by Spark. The most frequent words,
 a fixed number of them, go to every task; the words of a document that are not
-among them are looked up by a join. The attention model is trained in parallel:
+among them are looked up by a join. Texts are encoded once, into a table from which
+the model learns and scores. The attention model is trained in parallel:
 each training document is cut into consecutive windows, so that every token is a
 target once. The documents come in rounds, each with a larger share of them; in a
 round each task trains on its part of the windows from common parameters, and the
@@ -12,12 +13,13 @@ results are averaged before the next.
 from __future__ import annotations
 
 import math
-from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from rowmesh.functions.storage import discard
 
 from . import attention, vocabularies
-from .common import small, text_bytes, written
+from .common import small, text_bytes, written  # noqa: F401
 
 #: A document is held out if the CRC-32 of its id as text leaves this remainder.
 FOLDS, HELD_OUT = 7, 2
@@ -35,12 +37,14 @@ TOP_WORDS, TOP_BYTES = 1 << 16, 64
 TRAINER_WINDOWS, MOST_WINDOWS, TRAINERS, PASSES, RATE = 1 << 17, 1 << 20, 16, 1, 0.01
 #: Parts of the training documents, by a hash of their id, that each round takes: the first rounds only find the way, the last gets half.
 SHARES = (1, 1, 2, 4)
-#: Windows that a trainer holds and shuffles at a time.
-HELD_WINDOWS = 1 << 16
+#: Windows that a trainer holds and shuffles at a time, and consecutive windows of a text that go to a trainer in one row.
+HELD_WINDOWS, WINDOWS_A_ROW = 1 << 16, 16
 #: Trainers averaged in one group, and numbers of a slice of their parameters, each of which is averaged by itself.
 FAN_IN, SLICE = 64, 1 << 14
 #: Distinct words that a worker counts before it hands them on, words whose subwords it remembers, and words that are encoded at once.
 COUNTED, REMEMBERED, WORDS_AT_ONCE = 300_000, 400_000, 100_000
+#: Texts that are cut into words together.
+ROWS = 1024
 #: Stands for the end of a text among the words; no word holds a line end.
 END = b"\n"
 #: Fills a window after the end of its text; no subword has this id.
@@ -52,6 +56,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different A-Z lower-cased words of some texts (binary), which of them each word is, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    ends, flat = lists.offsets.to_numpy(), lists.flatten()
+    # White space at a text's ends leaves an empty word there.
+    real = pc.greater(pc.binary_length(flat), 0)
+    upto = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    found = pc.filter(flat, real).dictionary_encode()
+    return found.dictionary.cast(pa.binary()), found.indices.to_numpy(), np.diff(upto[ends - ends[0]])
+
+
+def _spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other: each from its first on, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(firsts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Subwords:
     """Ids of words under a public byte vocabulary, each word with a blank before it."""
 
@@ -98,10 +119,11 @@ def word_counts(train: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
 
-        for batch in small(batches):
-            for text in batch.column(0).to_pylist():
-                counts.update(text_bytes(text).lower().split())
-                counts[END] += 1
+        for batch in small(batches, ROWS):
+            words, which, _ = _words(batch.column(0))
+            for w, c in zip(words.to_pylist(), np.bincount(which, minlength=len(words)).tolist()):
+                counts[w] += c
+            counts[END] += batch.num_rows
             if len(counts) >= COUNTED:
                 yield out()
                 counts.clear()
@@ -134,7 +156,20 @@ def subword_counts(counts: DataFrame, folder: str, name: str) -> np.ndarray:
 
 
 def training_windows(train: DataFrame, lex: attention.Lexicon, folder: str, name: str) -> DataFrame:
-    """(k long, ids binary) from train(doc_id, text): each text, with an end before and after it, in windows of WINDOW + 1 ids (2 bytes each).
+    """(k long, ids binary) from train(doc_id, text): the windows of each text, see windows_of(), one in a row."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(folder, name)
+        for batch in small(batches, ROWS):
+            data, ends = known.texts(batch.column(1))[-2:]
+            ids = [data[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return windows_of(train.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, ids binary"), lex, 1)
+
+
+def windows_of(encoded: DataFrame, lex: attention.Lexicon, a_row: int = WINDOWS_A_ROW) -> DataFrame:
+    """(k long, ids binary) from encoded(doc_id, ids): each text, with an end before and after it, in windows of WINDOW + 1 ids (2 bytes each), `a_row` consecutive ones in a row.
 
     A window begins with the last id of the one before it, so every token of a
     text and its end is a target once. What lies after the end is _AFTER.
@@ -144,22 +179,21 @@ def training_windows(train: DataFrame, lex: attention.Lexicon, folder: str, name
         raise ValueError("ids go into two bytes")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(folder, name)
         for batch in small(batches):
             keys, data = [], []
-            words = [text_bytes(text).lower().split() for text in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), subwords.texts(words)):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.frombuffer(text, np.uint16)
                 n = -(-(len(ids) + 1) // size)
                 line = np.full(n * size + 1, _AFTER, np.uint16)
                 line[1 : len(ids) + 1] = ids
                 line[[0, len(ids) + 1]] = end
-                data.append(line[np.arange(n)[:, None] * size + np.arange(size + 1)].tobytes())
-                own = str(doc).encode()
-                keys += [xxhash.xxh64_intdigest(b"%s %d" % (own, k)) >> 1 for k in range(n)]
-            places = pa.array(np.arange(len(keys) + 1) * 2 * (size + 1), pa.int32()).buffers()[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.Array.from_buffers(pa.binary(), len(keys), [None, places, pa.py_buffer(b"".join(data))])], ["k", "ids"])
+                cut = line[np.arange(n)[:, None] * size + np.arange(size + 1)].tobytes()
+                own, step = str(doc).encode(), 2 * (size + 1) * a_row
+                data += [cut[at : at + step] for at in range(0, len(cut), step)]
+                keys += [xxhash.xxh64_intdigest(b"%s %d" % (own, k)) >> 1 for k in range(-(-n // a_row))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["k", "ids"])
 
-    return train.select("doc_id", "text").mapInArrow(each, "k long, ids binary")
+    return encoded.select("doc_id", "ids").mapInArrow(each, "k long, ids binary")
 
 
 def _train_share(start: np.ndarray, lex: attention.Lexicon):
@@ -176,12 +210,13 @@ def _train_share(start: np.ndarray, lex: attention.Lexicon):
                 trainer.learn(ids, real)
 
         for batch in batches:
-            held += batch.column(1).to_pylist()
-            n += batch.num_rows
-            if n >= HELD_WINDOWS:
-                learn()
-                seen, n = seen + n, 0
-                held.clear()
+            for ids in batch.column(1).to_pylist():
+                held.append(ids)
+                n += len(ids) // (2 * (attention.WINDOW + 1))
+                if n >= HELD_WINDOWS:
+                    learn()
+                    seen, n = seen + n, 0
+                    held.clear()
         if n:
             learn()
             seen += n
@@ -233,8 +268,8 @@ def averaged(found: DataFrame, trainers: int) -> np.ndarray | None:
     return np.frombuffer(b"".join(parts), "<f4") if parts else None
 
 
-def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, folder: str, name: str) -> attention.Params:
-    """Training on all windows of train(doc_id, text), about n_windows, in rounds; after each an average over the trainers.
+def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float) -> attention.Params:
+    """Training on all windows of train(doc_id, ids), about n_windows, in rounds; after each an average over the trainers.
 
     Windows are dealt to trainers and put in order by a hash of document and place, so
     the result doesn't depend on how the input is split, but for sums of floats.
@@ -247,7 +282,7 @@ def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, fold
         # Many windows for each trainer keep the parameters that are averaged few beside them.
         trainers = max(1, math.ceil(expected / min(MOST_WINDOWS, max(TRAINER_WINDOWS, expected / TRAINERS))))
         # A shuffle may have more partitions than asked for; trainers with few windows each would learn little and hand on much.
-        windows = training_windows(mine, lex, folder, name).repartition(trainers, "k").coalesce(trainers).sortWithinPartitions("k", "ids")
+        windows = windows_of(mine, lex).repartition(trainers, "k").coalesce(trainers).sortWithinPartitions("k", "ids")
         found = written(windows.mapInArrow(_train_share(params, lex), "trainer long, slice int, weight double, p binary"), "trained")
         if (mean := averaged(found, trainers)) is not None:
             params = params + mean
@@ -256,60 +291,112 @@ def train_model(train: DataFrame, lex: attention.Lexicon, n_windows: float, fold
     return attention.unflat(params)
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: binary, n: int>>"
+class Known:
+    """Words of the texts of a task under numbers, with what is known of each: log10 of its count and one (0 if it is no top word) and its subwords. A bounded number is remembered."""
+
+    def __init__(self, folder: str, name: str, top: dict[bytes, int] | None = None):
+        self.subwords, self.top = Subwords(folder, name) if name else None, top or {}
+        self._clear()
 
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+        self.log, self.first, self.n, self.pool = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
-def _scored(docs: DataFrame, top: dict[bytes, int], model: tuple[attention.Lexicon, attention.Params] | None, folder: str, name: str) -> DataFrame:
-    """Each document with its score (null without a model), its sums over the top words, and its other words with their counts."""
-    sent = docs.sparkSession.sparkContext.broadcast((top, model))
+    def _learn(self, new: list[bytes]) -> None:
+        self.log = np.r_[self.log, np.log10([self.top.get(w, 0) + 1 for w in new])]
+        if self.subwords is None:
+            return
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
+            ids, of = self.subwords.each(some)
+            n = np.bincount(of, minlength=len(some))
+            self.first, self.n = np.r_[self.first, len(self.pool) + np.cumsum(n) - n], np.r_[self.n, n]
+            self.pool = np.r_[self.pool, ids.astype(np.uint16)]
+
+    def texts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different words of the texts and their logs, which of them each word is, how many words each text has; subword ids one text after the other, and where each text's end."""
+        words, which, n_words = _words(texts)
+        if len(self.number) + len(words) > REMEMBERED:
+            self._clear()
+        before = len(self.log)
+        mine = np.fromiter(map(self.number.__getitem__, words.to_pylist()), np.int64, len(words))
+        if new := len(self.number) - before:
+            self._learn(list(islice(reversed(self.number), new))[::-1])
+        if self.subwords is None:
+            return words, self.log[mine], which, n_words, self.pool, np.zeros(len(n_words), np.int64)
+        sizes = self.n[mine][which]
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(n_words)]
+        return words, self.log[mine], which, n_words, self.pool[_spread(self.first[mine][which], sizes)], ends
+
+
+ENCODED = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<struct<word: binary, n: int>>, ids binary"
+
+
+def encoded(docs: DataFrame, top: dict[bytes, int], folder: str, name: str) -> DataFrame:
+    """Each document with its sums over the top words, its other words with their counts, and its subword ids (2 bytes each; none without a vocabulary's name)."""
+    sent = docs.sparkSession.sparkContext.broadcast(top)
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, model = sent.value
-        log = {w: math.log10(c + 1) for w, c in top.items()}
-        if model is not None:
-            lex, params = model
-            scorer, subwords = attention.Scorer(params, lex), Subwords(folder, name)
-        for batch in small(batches):
-            n_tokens, known, base, texts = [], [], [], []
-            words_out, numbers_out, ends = [], array("i"), [0]
-            for text in batch.column(2).to_pylist():
-                words = text_bytes(text).lower().split()
-                texts.append(words)
-                common = [w for w in words if w in log]
-                base.append(sum(map(log.__getitem__, common), log.get(END, 0.0)))
-                if len(common) < len(words):
-                    others = Counter(w for w in words if w not in log)
-                    words_out += others
-                    numbers_out.extend(others.values())
-                n_tokens.append(len(words) + 1)
-                known.append(len(common) + (END in log))
-                ends.append(len(words_out))
-            pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(np.array(numbers_out, np.int32))], ["word", "n"])
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(rare_type)
-            score = pa.nulls(len(texts), pa.float64()) if model is None else pa.array(scorer.score(subwords.texts(texts)))
+        known = Known(folder, name, sent.value)
+        of_end = math.log10(sent.value.get(END, 0) + 1)
+        for batch in small(batches, ROWS):
+            words, log, which, n_words, data, ends = known.texts(batch.column(2))
+            rows, log_of = len(n_words), log[which]
+            of = np.repeat(np.arange(rows), n_words)
+            common = log_of > 0
+            base = np.bincount(of, log_of, rows) + of_end
+            n_known = np.bincount(of[common], minlength=rows) + (of_end > 0)
+            # Other words in order of text and word.
+            pairs, n = np.unique(of[~common] * len(words) + which[~common], return_counts=True)
+            other = words.take(pa.array(pairs % max(1, len(words))))
+            places = np.r_[0, np.cumsum(np.bincount(pairs // max(1, len(words)), minlength=rows))]
+            rare = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.StructArray.from_arrays([other, pa.array(n, pa.int32())], ["word", "n"])).cast(rare_type)
+            ids = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.r_[0, 2 * ends].astype(np.int32)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), score, rare],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                [batch.column(0), batch.column(1), pa.array(n_words + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), rare, ids],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "rare", "ids"],
             )
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(each, SCORED)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(each, ENCODED)
+
+
+def _scored(done: DataFrame, lex: attention.Lexicon, params: attention.Params) -> DataFrame:
+    """The columns of done(row, ..., ids), with the model's score in place of the ids."""
+    sent = done.sparkSession.sparkContext.broadcast((lex, params))
+    out = done.drop("ids").withColumn("score", F.lit(0.0)).schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, params = sent.value
+        scorer = attention.Scorer(params, lex)
+        for batch in small(batches):
+            ids = [np.frombuffer(x, np.uint16) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scorer.score(ids))], out.names)
+
+    return done.mapInArrow(each, out)
 
 
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
 
 
-def _all_scores(slim: DataFrame, counts: DataFrame, model: tuple[attention.Lexicon, attention.Params] | None, folder: str, name: str, top_words: int) -> DataFrame:
-    """The columns of scores() from slim(doc_id, held_out, text) and written word counts; score is null without a model."""
-    tokens, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
+def _encoded(slim: DataFrame, counts: DataFrame, folder: str, name: str, top_words: int) -> DataFrame:
+    """encoded() of slim(doc_id, held_out, text) with row numbers, under the most frequent of the written word counts."""
+    ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0]
     rows = counts.where(F.octet_length("word") <= TOP_BYTES).orderBy(F.col("c").desc(), "word").limit(top_words).toArrow()
     top = dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist())) | ({END: ends} if ends else {})
-    # Written, so that the joins below don't score anything twice and the row numbers stay as they are.
-    done = written(_scored(slim, top, model, folder, name).withColumn("row", F.monotonically_increasing_id()), "scored")
+    # Written, so that no text is encoded twice and the row numbers stay as they are.
+    return written(encoded(slim, top, folder, name).withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def _all_scores(done: DataFrame, counts: DataFrame, model: tuple[attention.Lexicon, attention.Params] | None) -> DataFrame:
+    """The columns of scores() from encoded documents and written word counts; score is null without a model."""
+    tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     rare = done.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("n_more"))
-    return done.drop("rare").join(found, "row", "left").select(
+    slim = done.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "ids")
+    scored = slim.withColumn("score", F.lit(None).cast("double")) if model is None else _scored(slim, *model)
+    return scored.join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -324,7 +411,7 @@ def base_scores(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
     """scores() without the column score, for which alone a model is trained; these columns rest on the words only."""
     slim = _slim(docs)
     counts = written(word_counts(slim.where(~F.col("held_out"))), "word-counts")
-    return _all_scores(slim, counts, None, "", "", top_words).drop("score")
+    return _all_scores(_encoded(slim, counts, "", "", top_words), counts, None).drop("score")
 
 
 def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocabularies.BYTE_BPE, top_words: int = TOP_WORDS) -> DataFrame:
@@ -343,5 +430,6 @@ def scores(docs: DataFrame, folder: str = vocabularies.FOLDER, name: str = vocab
     encoding, _ = vocabularies.byte_bpe(folder, name)
     seen = subword_counts(counts, folder, name)
     lex = attention.lexicon(seen, [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)] + [b""])
-    params = train_model(train, lex, seen.sum() / attention.WINDOW + seen[-1], folder, name)
-    return _all_scores(slim, counts, (lex, params), folder, name, top_words)
+    done = _encoded(slim, counts, folder, name, top_words)
+    params = train_model(done.where(~F.col("held_out")), lex, seen.sum() / attention.WINDOW + seen[-1])
+    return _all_scores(done, counts, (lex, params))

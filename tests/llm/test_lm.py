@@ -283,3 +283,77 @@ def test_query_of_base_counts_trains_nothing(spark, monkeypatch):
 
     monkeypatch.setattr(lm, "train_model", None)
     assert queries.lm_base_counts(spark, "/root/testdata/sf0.001").count() > 0
+
+
+ODD = [(1, " The\tRiver\x0b runs\x0c\r\n "), (2, "a\x1cb\x1d c\x1e d\x1f \x00 e\x85f g h  i"), (3, None), (4, ""), (5, " \n\t"), (None, "ÄÖ İI ſ the end"), (6, "x" * 3000 + " the the"), (7, "\n|\n| the")]
+
+
+def plain_ids(text):
+    """Subwords of the A-Z lower-cased words, each with a blank before it."""
+    encoding = lm.vocabularies.byte_bpe()[0]
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [x for w in WORD.findall(lower) for x in encoding.encode_ordinary(" " + w)]
+
+
+@pytest.mark.parametrize("remembered", [1, 400_000])
+def test_encoded_documents_against_plain_ones(remembered, monkeypatch):
+    """Words cut by Arrow are those of the contract's class, whatever is remembered of earlier texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "REMEMBERED", remembered)
+    known = lm.Known(lm.vocabularies.FOLDER, lm.vocabularies.BYTE_BPE, {b"the": 9, b"|": 3})
+    for rows in (ODD, ODD[::-1], documents(50), ODD[2:5], []):
+        words, log, which, n_words, data, ends = known.texts(pa.array([t for _, t in rows], pa.string()))
+        expected = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+        assert n_words.tolist() == list(map(len, expected))
+        assert [words[i].as_py().decode() for i in which.tolist()] == [w for ws in expected for w in ws]
+        assert np.allclose(log, [math.log10({b"the": 9, b"|": 3}.get(w.as_py(), 0) + 1) for w in words])
+        assert [x.tolist() for x in np.split(data, ends[:-1])][: len(rows)] == [plain_ids(t) for _, t in rows]
+
+
+def test_model_learns_and_scores_from_one_encoding(spark, monkeypatch):
+    """Texts are encoded once: what trains and what is scored are the ids written then."""
+    made, learned, train = [], [], lm.train_model
+    monkeypatch.setattr(lm, "encoded", lambda *a, plain=lm.encoded: made.append(plain(*a)) or made[-1])
+    monkeypatch.setattr(lm, "train_model", lambda df, *a: learned.append(df) or train(df, *a))
+    rows = documents(60) + ODD
+    assert lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert len(made) == 1 and "text" not in learned[0].columns
+    got = sorted(np.frombuffer(r.ids, np.uint16).tolist() for r in made[0].collect())
+    assert got == sorted(plain_ids(t) for _, t in rows)
+
+
+def test_rows_of_several_windows_hold_the_same_windows(spark):
+    encoding = lm.vocabularies.byte_bpe()[0]
+    lex = a.lexicon(np.ones(encoding.n_vocab + 1, np.int64), [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)] + [b""])
+    rows = [(i, np.arange(n, dtype=np.uint16).tobytes()) for i, n in enumerate((0, 1, 31, 32, 33, 500, 511, 512, 3000))]
+    df = spark.createDataFrame(rows, "doc_id long, ids binary")
+    one, many = ([r.ids for r in lm.windows_of(df, lex, k).collect()] for k in (1, 16))
+    size = 2 * (a.WINDOW + 1)
+    assert sorted(one) == sorted(x[at : at + size] for x in many for at in range(0, len(x), size))
+    assert len(many) == sum(-(-len(ids) // 2 // (16 * a.WINDOW)) if len(ids) // 2 % (16 * a.WINDOW) else len(ids) // 2 // (16 * a.WINDOW) + 1 for _, ids in rows)
+
+
+def test_trainer_against_adam_over_whole_tables():
+    """A step changes the rows it meets as Adam with its moments does, and no others."""
+    rng, lex = np.random.default_rng(7), small_lexicon()
+    start = a.initial(lex.class_share, rows=301)
+    ids, real = rng.integers(0, 60, (200, a.WINDOW + 1)), rng.random((200, a.WINDOW)) < 0.9
+    p, m, s = ({k: x.astype(np.float64) * c for k, x in start.items()} for c in (1, 0, 0))
+    order = np.random.default_rng(3).permutation(len(ids))
+    for step, at in enumerate(range(0, len(ids), a.STEP_WINDOWS), 1):
+        x, r = ids[order[at : at + a.STEP_WINDOWS]], real[order[at : at + a.STEP_WINDOWS]]
+        place = np.flatnonzero(r.ravel())
+        choices = lex.choices(place, x[:, 1:].ravel()[place])
+        _, g = a.loss_and_gradient(p, lex.row[x[:, :-1]], lex.cls[x[:, 1:]].astype(np.int64), r, choices)
+        for k in p:
+            met = np.unique(lex.row[x[:, :-1]]) if k == "E" else np.unique(choices.node) if k in ("t", "d") else slice(None)
+            m[k][met] += 0.1 * (g[k][met] - m[k][met])
+            s[k][met] += 0.01 * (g[k][met] ** 2 - s[k][met])
+            p[k][met] -= 0.01 / (1 - 0.9**step) * m[k][met] / (np.sqrt(s[k][met] / (1 - 0.99**step)) + 1e-8)
+    got = a.train(start, lex, ids, real, 1, 0.01)
+    for k in p:
+        # Where a gradient is next to nothing its sign is chance, and so is the first step.
+        assert np.mean(np.abs(got[k] - p[k]) < 1e-3) > 0.999, k
+    others = np.setdiff1d(np.arange(301), lex.row[ids])
+    assert len(others) and np.array_equal(got["E"][others], start["E"][others])
