@@ -158,9 +158,10 @@ def links(fps: DataFrame, part: int = PART) -> DataFrame:
     of over `part` members is cut into parts by hash, and every two parts are a
     cell of their own, so that no task has to hold or compare a group of any size.
     Groups are counted with partial sums and the counts joined back, a join whose
-    heavy keys Spark can split.
+    heavy keys Spark can split. It is a merge, as Spark sizes points by the fingerprints,
+    a thirtieth of them, and would send them to every task.
     """
-    points = at_anchors(fps)
+    points = at_anchors(fps).hint("merge")
     met = points.join(points.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor")
     parts = F.ceil(F.col("n") / part).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
@@ -179,7 +180,8 @@ def components(keyed: DataFrame) -> DataFrame:
     roots = connected_components(links(nodes.select("fp")))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return keyed.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    # A merge, so that a table with a row for each document is never broadcast, however small its file is.
+    return keyed.hint("merge").join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:

@@ -115,3 +115,13 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicate_components(df).count() == 0
     assert simhash.drop_near_duplicates(df).count() == 0
+
+
+def test_what_grows_with_documents_is_not_broadcast(spark):
+    """However small Spark takes the tables to be: it sizes a fingerprint's 30 points as one, and a table of all documents by its file."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1
+    keyed = fps.withColumn("doc_id", F.monotonically_increasing_id())
+    plan = simhash.components(keyed)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in next(line for line in plan.splitlines() if "Join" in line)
