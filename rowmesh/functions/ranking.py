@@ -84,6 +84,13 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marked(held, True)
 
 
+def in_ranges(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """df range-partitioned by the keys and in their order within partitions, as many as ranges_for() says."""
+    # A tie-breaker among the range keys splits rows that are equal in all else.
+    tied, keys = df.withColumn("_tie", F.monotonically_increasing_id()), [*keys, "_tie"]
+    return tied.repartitionByRange(partitions or ranges_for(df), *keys).sortWithinPartitions(*keys).drop("_tie")
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """df with the rank (0-based, long) of each row in its group under `order`; rows equal in all of it stand in any order.
 
@@ -92,22 +99,21 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     of one row per partition holds how many rows the group at a partition's start has in
     the partitions before; it is all that is joined back. Null is a group like any other.
     """
-    # A tie-breaker among the range keys splits rows that are equal in all else.
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    keys = [*group, *order, "_tie"]
-    n = partitions or ranges_for(df)
-    rows = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_part", F.spark_partition_id())
+    rows = in_ranges(df, [*group, *order], partitions).withColumn("_part", F.spark_partition_id())
     schema = StructType([*rows.schema, StructField("_at", LongType()), StructField("_run", LongType()), StructField("_first", BooleanType()), StructField("_edge", BooleanType())])
     number = _numbered([df.columns.index(g) for g in group])
     rows = written(rows.mapInArrow(lambda batches: _edges(number(batches)), schema), "ranked")
     # Parquet's statistics let the scan pass over all but the first and last pages of each partition.
-    carries = written(_carries(rows.where("_edge"), group), "carries")
+    carries = written(carries_of(rows.where("_edge"), group), "carries")
     rank = F.col("_run") + F.when(F.col("_first"), F.col("_carry")).otherwise(F.lit(0))
     return rows.join(F.broadcast(carries), "_part").select(*df.columns, rank.alias(name))
 
 
-def _carries(rows: DataFrame, group: list[str]) -> DataFrame:
-    """(_part, _carry): for each partition, how many rows of its first group lie in the partitions before it; from their first and last rows."""
+def carries_of(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(_part, _carry): for each partition, how many rows of its first group lie in the partitions before it; from their first and last rows.
+
+    Of each row: its partition, its place there (_at), the rows of its group before it there (_run), and whether its group is the partition's first (_first).
+    """
     key = F.struct(F.lit(0).alias("one"), *group)
     parts = rows.groupBy("_part").agg(
         F.min_by(key, "_at").alias("head"), F.max_by(key, "_at").alias("tail"), (F.max_by("_run", "_at") + 1).alias("n"), F.max_by("_first", "_at").alias("single")

@@ -7,10 +7,16 @@ repeat a place and explicit zeros are kept. rows(matrix, i) is the domain of row
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmesh.functions.ranking import exclusive_sum, ranked
+from rowmesh.functions.ranking import carries_of, exclusive_sum, in_ranges, ranked, same_as_before
+from rowmesh.functions.storage import written
 
 #: Entries of a row that one packed segment holds at most.
 SEGMENT = 4096
@@ -36,7 +42,9 @@ def sym_expand(entries: DataFrame, symmetry: Column) -> DataFrame:
 def row_domain(matrices: DataFrame, block: int = 1 << 20) -> DataFrame:
     """(matrix, i) for every row of matrices(matrix, nrows), made in blocks so that one large matrix is spread over tasks."""
     starts = matrices.where("nrows > 0").select("matrix", "nrows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nrows") - 1, F.lit(block).cast("long"))).alias("s"))
-    return starts.repartition("matrix", "s").select("matrix", F.explode(F.sequence("s", F.least(F.col("s") + block, F.col("nrows")) - 1)).alias("i"))
+    # A number of partitions, as Spark would put these few rows together into one.
+    n = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return starts.repartition(n, "matrix", "s").select("matrix", F.explode(F.sequence("s", F.least(F.col("s") + block, F.col("nrows")) - 1)).alias("i"))
 
 
 def coo_sort(entries: DataFrame) -> DataFrame:
@@ -60,16 +68,92 @@ def csr_slots(entries: DataFrame) -> DataFrame:
     return ranked(entries.select("matrix", "i", "j", "v"), ["matrix"], ["i", "j", "v"], "pos")
 
 
+def _packed(segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (matrix, i, j, v) in order: their segments, closed where no other partition can have a part of them, else open.
+
+    A partition's first group may have begun before it, so all its segments are open and
+    count from the partition's start; so is its last segment, which may go on.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        # Rows of the segment that is not known to be full, from its first on, that one's place in its group, and whether that group is the partition's first.
+        held, begun, first, at = None, 0, True, 0
+
+        def made(rows: pa.RecordBatch, cuts: np.ndarray, run: np.ndarray, firsts: bool, is_open: bool) -> pa.RecordBatch:
+            """The segments of rows between each cut and the next."""
+            n, starts, size = len(cuts) - 1, cuts[:-1], np.diff(cuts)
+            inner = rows.slice(cuts[0], cuts[-1] - cuts[0])
+            cells = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.StructArray.from_arrays([inner.column(2), inner.column(3)], ["j", "v"]))
+            none, heads = pa.nulls(n, cells.type), pa.array(starts)
+            seg = pa.array((run[starts] // segment).astype(np.int32))
+            place = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(run[starts]), pa.array(run[starts] + size - 1), pa.array(np.full(n, firsts))]
+            if not is_open:
+                place = [pa.nulls(n, p.type) for p in place]
+            both = [none, cells] if is_open else [cells, none]
+            return pa.RecordBatch.from_arrays([rows.column(0).take(heads), rows.column(1).take(heads), seg, *both, *place], ["matrix", "i", "seg", "cells", "rest", "_part", "_at", "_start", "_run", "_first"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in zip(held.columns, batch.columns)], batch.schema.names)
+            n = rows.num_rows
+            starts = np.zeros(n, bool)
+            for k in range(2):
+                starts[1:] |= ~same_as_before(rows.column(k))
+            places = np.arange(n)
+            run = places - np.maximum.accumulate(np.where(starts, places, -begun))
+            cuts = np.flatnonzero(starts | (run % segment == 0))
+            # Segments before the second group belong to the partition's first, if the batch began in it.
+            head = int(np.searchsorted(cuts, np.argmax(starts) if starts.any() else n)) if first else 0
+            head = min(head, len(cuts) - 1)
+            if head:
+                yield made(rows, cuts[: head + 1], run, True, True)
+                at += head
+            if head < len(cuts) - 1:
+                yield made(rows, cuts[head:], run, False, False)
+                at += len(cuts) - 1 - head
+            first = first and not starts.any()
+            held, begun = rows.slice(cuts[-1]), int(run[cuts[-1]])
+        if held is not None:
+            run = begun + np.arange(held.num_rows)
+            yield made(held, np.array([0, held.num_rows]), run, first, True)
+
+    return each
+
+
 def csr_pack(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(matrix, i, seg, cells): each row as arrays of (j, v) in order, at most `segment` entries in one.
 
     Repeated entries and explicit zeros each have a cell. A null matrix or row is packed
     like any other, null columns and values come first in their order. Empty rows and
     no entries give no rows.
+
+    Rows are packed where ranges of all entries lie in order. What may go on in another
+    range, a range's first row and last segment, is cut and put together again once a
+    carry table of one row per range says how many entries lie in the ranges before.
     """
-    slots = ranked(entries.select("matrix", "i", "j", "v"), ["matrix", "i"], ["j", "v"], "at")
-    seg = F.floor(F.col("at") / segment).cast("int")
-    return slots.groupBy("matrix", "i", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cells"))
+    slim = entries.select("matrix", "i", "j", "v")
+    matrix, i, j, v = (slim.schema[c].dataType.simpleString() for c in slim.columns)
+    cells = f"array<struct<j: {j}, v: {v}>>"
+    schema = f"matrix {matrix}, i {i}, seg int, cells {cells}, rest {cells}, _part int, _at long, _start long, _run long, _first boolean"
+    # Rows may come in any order, so a number decides the ranges and nearly all of the sort: bits of the matrix's hash and the least bits of the row. Names that begin alike are slow to sort by.
+    number = F.shiftleft(F.xxhash64("matrix"), 44) + F.coalesce(F.pmod(F.col("i").cast("long"), F.lit(1 << 44)), F.lit(0))
+    ordered = in_ranges(slim.withColumn("_number", number), ["_number", *slim.columns]).select(*slim.columns)
+    found = written(ordered.mapInArrow(_packed(segment), schema), "packed")
+    carries = written(carries_of(found.where("_part is not null"), ["matrix", "i"]), "carries")
+    opened = found.where("_part is not null").join(F.broadcast(carries), "_part")
+    start = F.col("_start") + F.when(F.col("_first"), F.col("_carry")).otherwise(F.lit(0))
+    room = (F.lit(segment) - F.col("start") % segment).cast("int")
+    seg = F.floor(F.col("start") / segment).cast("int")
+    pieces = F.array(
+        F.struct(seg.alias("seg"), F.col("start"), F.slice("rest", F.lit(1), room).alias("cells")),
+        F.struct((seg + 1).alias("seg"), (F.col("start") + room).alias("start"), F.slice("rest", room + 1, F.lit(segment)).alias("cells")),
+    )
+    pieces = opened.withColumn("start", start).select("matrix", "i", F.explode(F.filter(pieces, lambda p: F.size(p["cells"]) > 0)).alias("p"))
+    pieces = pieces.select("matrix", "i", "p.seg", F.struct("p.start", "p.cells").alias("piece"))
+    mended = pieces.groupBy("matrix", "i", "seg").agg(F.flatten(F.sort_array(F.collect_list("piece"))["cells"]).alias("cells"))
+    return found.where("_part is null").select("matrix", "i", "seg", "cells").unionByName(mended)
 
 
 def csr_unpack(packed: DataFrame) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +19,10 @@ from .layout import row_ptr
 BROADCAST_X = 2_000_000
 #: Columns of one block of a tiled product: an array of half a megabyte.
 COLUMN_BLOCK = 1 << 16
+#: Most places of x's arrays that are joined to each tile, holes included; a join writes the array into every row.
+BROADCAST_PLACES = 4096
+#: Shares that the tiles of a block are dealt to, each with a copy of the block's array, and cells that are cut at a time.
+SHARES, BATCH_CELLS = 8, 1 << 20
 #: A column is heavy if it has more than 1 / _SHARE of an even partition's entries; so there are at most _SHARE heavy ones for each partition.
 _SHARE = 4
 
@@ -97,20 +107,115 @@ def tiles(packed: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
     return cut.select("matrix", "i", F.explode(pieces).alias("t")).select("matrix", "t.block", "i", "t.cells")
 
 
+def _cut(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed rows (matrix, i, cells) as tiles, those of one block of columns and one batch in a row: their i, lengths, columns from the block's start on, and values as bytes.
+
+    Cells without a column or value count nothing and are left out. Rows are dealt to shares in turn.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = TaskContext.get().partitionId()
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(sizes)
+            # Some million cells at a time.
+            ends = np.r_[np.flatnonzero(np.diff(upto // BATCH_CELLS)) + 1, len(sizes)]
+            for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                part, n = batch.slice(lo, hi - lo), sizes[lo:hi]
+                j, v = part.column(2).flatten().flatten()
+                keep = pc.and_(pc.is_valid(j), pc.is_valid(v))
+                row = np.repeat(np.arange(hi - lo), n)[keep.to_numpy(zero_copy_only=False)]
+                if not len(row):
+                    continue
+                j = j.filter(keep).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                v = v.filter(keep).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+                # As Spark's div, towards zero.
+                at = np.where(j < 0, -(-j // block), j // block)
+                starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
+                lengths, names = np.diff(np.r_[starts, len(row)]), part.column(0).dictionary_encode()
+                name, tile_at = names.indices.to_numpy(zero_copy_only=False)[row[starts]], at[starts]
+                order = np.lexsort((tile_at, name))
+                starts, lengths, name, tile_at = starts[order], lengths[order], name[order], tile_at[order]
+                before = np.cumsum(lengths) - lengths
+                cells = np.repeat(starts - before, lengths) + np.arange(len(row))
+                places, v, rows = (j - at * block)[cells].astype(np.int32), v[cells], part.column(1).take(pa.array(row[starts]))
+                none, i = rows.is_null().to_numpy(zero_copy_only=False), pc.fill_null(rows.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+                groups = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (tile_at[1:] != tile_at[:-1])])
+                tiles, cells = np.r_[groups, len(name)], np.r_[before[groups], len(row)]
+                held = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])] for x, cut in ((i, tiles), (none, tiles), (lengths.astype(np.int32), tiles), (places, cells), (v, cells))]
+                shares = (share + np.arange(len(groups))) % SHARES
+                share += len(groups)
+                head = [names.dictionary.take(pa.array(name[groups])), pa.array(tile_at[groups]), pa.array(shares.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*head, *[pa.array(x, pa.binary()) for x in held]], ["matrix", "block", "share", "i", "none", "lengths", "places", "v"])
+
+    return each
+
+
+def _multiplied(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of _cut() behind the array of their block of x: (matrix, i, y) of each tile."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, xs, known = None, 0, None, None
+        for batch in batches:
+            keys = list(zip(batch.column("matrix").to_pylist(), batch.column("block").to_pylist()))
+            sums, rows, none, names = [], [], [], []
+            for k in range(batch.num_rows):
+                if batch.column("xs")[k].is_valid:
+                    values = batch.column("xs")[k].values
+                    key, first, known = keys[k], batch.column("first")[k].as_py(), values.is_valid().to_numpy(zero_copy_only=False)
+                    xs = np.where(known, values.to_numpy(zero_copy_only=False), 0.0)
+                elif keys[k] == key:
+                    i, no, lengths, places, v = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("i", np.int64), ("none", bool), ("lengths", np.int32), ("places", np.int32), ("v", np.float64)))
+                    places = places.astype(np.int64) + (key[1] * block - first)
+                    there = (places >= 0) & (places < len(xs))
+                    places[~there] = 0
+                    with np.errstate(all="ignore"):
+                        products = np.where(there & known[places], v * xs[places], 0.0)
+                        # Added up one by one, in order.
+                        sums.append(np.bincount(np.repeat(np.arange(len(i)), lengths), products, len(i)))
+                    rows.append(i)
+                    none.append(no)
+                    names.append((key[0], len(i)))
+            if sums:
+                matrix = pa.concat_arrays([pa.repeat(pa.scalar(m, batch.schema.field("matrix").type), n) for m, n in names])
+                yield pa.RecordBatch.from_arrays([matrix, pa.array(np.concatenate(rows), mask=np.concatenate(none)), pa.array(np.concatenate(sums))], ["matrix", "i", "y"])
+
+    return each
+
+
+def _beside_blocks(packed: DataFrame, arrays: DataFrame, block: int) -> DataFrame:
+    """(matrix, i, y): the sum of each tile, where tiles and the arrays of their blocks lie in one partition.
+
+    A block is dealt to SHARES shares, each with its array, so that one with most cells is
+    spread over tasks. Tasks hold one array and one batch of tiles, whatever a block has of them.
+    """
+    name, row = packed.schema["matrix"].dataType.simpleString(), packed.schema["i"].dataType
+    slim = packed.where("matrix is not null and size(cells) > 0").select("matrix", "i", "cells")
+    cut = slim.mapInArrow(_cut(block), f"matrix {name}, block long, share int, i binary, none binary, lengths binary, places binary, v binary")
+    shares = F.explode(F.array(*map(F.lit, range(SHARES)))).alias("share")
+    both = arrays.where("matrix is not null").select("matrix", "block", "first", "xs", shares).unionByName(cut, allowMissingColumns=True)
+    keys = ["matrix", "block", "share"]
+    # A number of partitions, as Spark would put together those whose bytes compress well, and sort them at full length.
+    most = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = both.repartition(most, *keys).sortWithinPartitions(*keys, F.col("xs").isNull())
+    return met.mapInArrow(_multiplied(block), f"matrix {name}, i long, y double").withColumn("i", F.col("i").cast(row))
+
+
 def spmv_packed(packed: DataFrame, x: DataFrame, rows: DataFrame, block: int = COLUMN_BLOCK) -> DataFrame:
     """(matrix, i, y) row by row over the packed arrays, in tiles: each looks its entries of x up in the array of its block of columns.
 
-    x stays in tables, an array for each block. Blocks are broadcast while their
-    arrays, holes included, have up to BROADCAST_X places, and joined beyond that, where
-    Spark splits heavy blocks: the tiles, the arithmetic and so the result are the same. What counts is as in spmv(); only the
-    sums of tiles are shuffled.
+    x stays in tables, an array for each block. Arrays that, holes included, have up to
+    BROADCAST_PLACES places are joined to each tile as columns are; larger ones meet the
+    tiles of their block, packed as they are, in a shuffle, as a join would copy the array
+    for each tile. The tiles, the arithmetic and so the result are the same. What counts is
+    as in spmv(). x never reaches the driver but for broadcasts of that size.
     """
     arrays = column_blocks(x, block)
-    if _places(x, block) <= BROADCAST_X:
-        arrays = F.broadcast(arrays)
+    if _places(x, block) > min(BROADCAST_X, BROADCAST_PLACES):
+        return _over_domain(_beside_blocks(packed, arrays, block), rows)
     product = lambda c: F.coalesce(c["v"] * F.get("xs", (c["j"] - F.col("first")).cast("int")), F.lit(0.0))
     y = F.aggregate("cells", F.lit(0.0), lambda sum_of, c: sum_of + product(c))
-    return _over_domain(tiles(packed, block).join(arrays, ["matrix", "block"]).select("matrix", "i", y.alias("y")), rows)
+    return _over_domain(tiles(packed, block).join(F.broadcast(arrays), ["matrix", "block"]).select("matrix", "i", y.alias("y")), rows)
 
 
 def spmv_parallel(entries: DataFrame, x: DataFrame, rows: DataFrame, workers: int | None = None, by: tuple[str, ...] = ("matrix", "i")) -> DataFrame:

@@ -253,3 +253,45 @@ def test_one_row_with_most_entries(spark):
 def test_vector_does_not_depend_on_partitions(spark):
     few = {r.j: r.x for r in spmv.dense_vector(spark, "m", 50, 5).coalesce(1).collect()}
     assert few == {r.j: r.x for r in spmv.dense_vector(spark, "m", 50, 5).repartition(7).collect()}
+
+
+def test_packing_moves_only_what_borders_cut(spark):
+    """Rows over several ranges, null and NaN keys, segments of several lengths against a plain version; whole rows are read back without a shuffle."""
+    rng = random.Random(4)
+    cells = [(rng.choice(["a", "b", None]), rng.choice([None, 7, 7, 7, rng.randrange(-50, 50)]), rng.choice([None, rng.randrange(100)]), rng.choice([None, float("nan"), float(rng.randrange(5))])) for _ in range(3000)]
+    entries = spark.createDataFrame(cells, "matrix string, i long, j long, v double")
+    order = lambda x: (x is not None, x != x, 0 if x is None or x != x else x)
+    for segment in (1, 7, 100, layout.SEGMENT):
+        rows, expected = {}, {}
+        for m, i, j, v in cells:
+            rows.setdefault((m, i), []).append((j, v))
+        for key, found in rows.items():
+            found.sort(key=lambda c: (order(c[0]), order(c[1])))
+            expected |= {(*key, k // segment): repr(found[k : k + segment]) for k in range(0, len(found), segment)}
+        packed = layout.csr_pack(entries, segment)
+        got = packed.collect()
+        assert len(got) == len(expected) and {(r.matrix, r.i, r.seg): repr([tuple(c) for c in r.cells]) for r in got} == expected
+    plan = plan_of(packed)
+    assert "Union" in plan and plan.count("isnotnull(_part") >= 1 and plan.count("isnull(_part") >= 1
+
+
+def test_blocks_meet_tiles_without_a_join(spark):
+    """An array of a block isn't written into the row of each tile; holes, what isn't finite, negative columns and rows without a number count as in spmv()."""
+    n, inf, nan = 9000, float("inf"), float("nan")
+    rng = random.Random(6)
+    cells = [("m", rng.choice([3, rng.randrange(40)]), rng.randrange(n), float(rng.randrange(-4, 5))) for _ in range(4000)] + [("m", 41, 0, inf), ("m", 41, 5, inf), ("m", 42, 7, nan), ("m", None, 8, 2.0), ("m", 43, -3, 5.0), ("m", 43, n + 9, 5.0), ("other", 0, 8, 1.0)]
+    entries = spark.createDataFrame(cells, "matrix string, i long, j long, v double")
+    x = spark.createDataFrame([("m", j, float(j % 13)) for j in range(-4, n) if j % 1000 != 5], "matrix string, j long, x double")
+    rows = spark.createDataFrame([("m", i) for i in [*range(44), None]] + [("other", 0)], "matrix string, i long")
+    for block in (spmv.COLUMN_BLOCK, 1000):
+        product = spmv.spmv_packed(layout.csr_pack(entries, 500), x, rows, block)
+        assert not any("Join" in line and "block" in line for line in plan_of(product).splitlines())
+        got = as_dict(product)
+        assert repr(sorted(got.items(), key=repr)) == repr(sorted(as_dict(spmv.spmv(entries, x, rows)).items(), key=repr))
+        assert got["m", None] == 16.0 and got["m", 43] == 50.0 and got["other", 0] == 0.0 and got["m", 42] != got["m", 42]
+
+
+def test_domain_of_one_matrix_is_spread(spark):
+    rows = layout.row_domain(spark.createDataFrame([("m", 1000)], "matrix string, nrows long"), 10)
+    made = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 1 and sum(r["count"] for r in made) == 1000
